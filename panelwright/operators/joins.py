@@ -39,26 +39,43 @@ def left_join(
     hash of the whole row, and the dimension is repeated once per salt: a key that holds a
     third of the fact stays divided, and no row is lost.
     """
+    return _attach(_salted(fact, salts), dim, on, broadcast_rows, salts, how).drop("__salt")
+
+
+def enrich(
+    panel: DataFrame,
+    dimensions: Sequence[Dimension],
+    *,
+    broadcast_rows: int = BROADCAST_ROWS,
+    salts: int = SALTS,
+) -> DataFrame:
+    """Attach dimension tables one after the other; a later one may use a column of an earlier one.
+
+    All joins share one salt per row, so large dimensions of the same key shuffle the panel once.
+    """
+    out = _salted(panel, salts)
+    for d in dimensions:
+        out = _attach(out, d.table, [(d.left_key, d.right_key)], broadcast_rows, salts, "left")
+    return out.drop("__salt")
+
+
+def _salted(fact: DataFrame, salts: int) -> DataFrame:
+    salt = F.pmod(F.xxhash64(*[quoted(c) for c in fact.columns]), F.lit(salts))
+    return fact.withColumn("__salt", salt.cast("int"))
+
+
+def _attach(fact, dim, on, broadcast_rows, salts, how) -> DataFrame:
     keys = {r: f"__key{i}" for i, (_, r) in enumerate(on)}
     clash = (set(dim.columns) - set(keys)) & set(fact.columns)
     if clash:
         raise ValueError(f"columns on both sides of the join: {sorted(clash)}")
     right = dim.select(*[quoted(c).alias(keys.get(c, c)) for c in dim.columns])
-    small = right.count() <= broadcast_rows
-    left = fact
-    if not small:
-        salt = F.pmod(F.xxhash64(*[quoted(c) for c in fact.columns]), F.lit(salts))
-        left = fact.withColumn("__salt", salt.cast("int"))
-        right = right.withColumn("__right_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    condition = F.lit(True) if small else F.col("__salt") == F.col("__right_salt")
+    condition = F.lit(True)
     for l, r in on:
         condition = condition & (quoted(l) == F.col(keys[r]))
-    joined = left.join(F.broadcast(right) if small else right, condition, how)
-    return joined.drop("__salt", "__right_salt", *keys.values())
-
-
-def enrich(panel: DataFrame, dimensions: Sequence[Dimension], **options) -> DataFrame:
-    """Attach dimension tables one after the other; a later one may use a column of an earlier one."""
-    for d in dimensions:
-        panel = left_join(panel, d.table, [(d.left_key, d.right_key)], **options)
-    return panel
+    if right.count() <= broadcast_rows:
+        right = F.broadcast(right)
+    else:
+        right = right.withColumn("__right_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        condition = condition & (F.col("__salt") == F.col("__right_salt"))
+    return fact.join(right, condition, how).drop("__right_salt", *keys.values())

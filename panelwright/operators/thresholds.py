@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from panelwright.operators.running import running_sums
 
+AsOf = str | datetime.date | Column
+
 
 def bucket_name(threshold) -> str:
     return f"bucket_{threshold}"
@@ -71,10 +73,17 @@ def first_crossing(running: DataFrame, threshold) -> DataFrame:
     return running.filter(F.col(counter_name(threshold)) == 1)
 
 
-def resolve_as_of(table: DataFrame, time: str, as_of: str | datetime.date) -> Column:
-    """A date as a column; "max" is the last date of the table, found by a scalar subquery."""
+def latest(table: DataFrame, time: str) -> Column:
+    """The last date of a table as a scalar subquery. Ask the raw table: that is a scan of one column."""
+    return table.agg(F.max(time)).scalar()
+
+
+def resolve_as_of(table: DataFrame, time: str, as_of: AsOf) -> Column:
+    """A date as a column: a column as it is, "max" for the last date of the table, or a date."""
+    if isinstance(as_of, Column):
+        return as_of
     if as_of == "max":
-        return table.agg(F.max(time)).scalar()
+        return latest(table, time)
     return F.lit(as_of).cast(table.schema[time].dataType)
 
 
@@ -84,7 +93,7 @@ def durations(
     thresholds: Sequence[int],
     *,
     time: str | None = None,
-    as_of: str | datetime.date | None = None,
+    as_of: AsOf | None = None,
 ) -> DataFrame:
     """One row per entity: for each pair A < B the counter of A on the row where B is first reached.
 
@@ -105,11 +114,11 @@ def durations(
 def cross_section(
     running: DataFrame,
     time: str,
-    as_of: str | datetime.date,
+    as_of: AsOf,
     *,
     reached=None,
 ) -> DataFrame:
-    """The rows of one date ("max" or a given one), if asked only of entities past a threshold."""
+    """The rows of one date ("max", latest(...) or a given one), if asked only of entities past a threshold."""
     rows = running.filter(F.col(time) == resolve_as_of(running, time, as_of))
     return rows if reached is None else rows.filter(F.col(counter_name(reached)) != 0)
 

@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 from panelwright.functions.nulls import complete_rows
 from panelwright.functions.numbering import number_in_order
 from panelwright.operators.columns import quoted
-from panelwright.operators.grid import GRID_DIMENSIONS, around, squared
+from panelwright.operators.grid import GRID_DIMENSIONS
 from panelwright.operators.joins import left_join
-from panelwright.session import materialise
+from panelwright.session import materialise, materialise_counted
 
 CANDIDATES = 4_000_000
 CANDIDATES_PER_CLUSTER = 64
@@ -60,16 +60,16 @@ def ward_tree(
     radius = extent * 2
     number = 0
     if m * m > candidates:
-        radius = _widest(live, xs, extent / m ** (1 / d), extent, _budget(m, candidates))
+        radius = _widest(live, xs, extent / m ** (1 / d), extent, m, candidates)
     while m > 1:
         number += 1
         everything = radius > extent
-        joined = materialise(_round(live, xs, radius, everything), "clusters")
+        joined, left = materialise_counted(_round(live, xs, radius, everything), "clusters")
         merges.append(joined.filter("right is not null").select(
             F.col("rep").alias("left"), "right", "height", "size", F.lit(number).alias("round")
         ))
         live = joined.select("rep", "size", *xs)
-        before, m = m, live.count()
+        before, m = m, left
         if everything:
             continue
         if m * m <= candidates:
@@ -77,63 +77,74 @@ def ward_tree(
         elif m == before:
             radius *= 2
         elif before - m < before / 10:
-            radius = _widest(live, xs, radius, extent, _budget(m, candidates), shrink=False)
+            radius = _widest(live, xs, radius, extent, m, candidates, shrink=False)
     tree = merges[0]
     for part in merges[1:]:
         tree = tree.unionByName(part)
     return materialise(tree.withColumn("size", F.col("size").cast("long")), "ward-tree")
 
 
-def _budget(m: int, candidates: int) -> int:
-    return max(candidates, CANDIDATES_PER_CLUSTER * m)
-
-
 def _cells(xs: Sequence[str], radius: float) -> list:
     return [F.floor(F.col(x) / F.lit(radius)) for x in xs[:GRID_DIMENSIONS]]
 
 
-def _widest(live, xs, radius, extent, budget, shrink=True) -> float:
-    """Double or halve a radius to the widest whose cells hold no more candidates than the budget."""
+def _widest(live, xs, radius, extent, m, candidates, shrink=True) -> float:
+    """Double or halve a radius to the widest whose cells are not crowded.
+
+    No cell may hold more candidates than one task should compare, nor all cells together more
+    than the budget.
+    """
 
-    def crowding(r):
+    def crowded(r):
         counts = live.groupBy(*[c.alias(f"c{i}") for i, c in enumerate(_cells(xs, r))]).count()
-        return counts.agg(F.sum(F.col("count").cast("double") * F.col("count"))).first()[0]
+        n = F.col("count").cast("double")
+        total, most = counts.agg(F.sum(n * n), F.max(n * n)).first()
+        return total > max(candidates, CANDIDATES_PER_CLUSTER * m) or most > candidates
 
-    if shrink and crowding(radius) > budget:
-        while crowding(radius) > budget and radius > extent * 1e-12:
+    if shrink and crowded(radius):
+        while radius > extent * 1e-12:
             radius /= 2
+            if not crowded(radius):
+                break
         return radius
-    while radius <= extent and crowding(radius * 2) <= budget:
+    while radius <= extent and not crowded(radius * 2):
         radius *= 2
     return radius
 
 
 def _round(live: DataFrame, xs: Sequence[str], radius: float, everything: bool) -> DataFrame:
-    """Join all mutual nearest pairs of height up to the radius; joined clusters carry right and height."""
-    names = [f"c{i}" for i in range(min(len(xs), GRID_DIMENSIONS))]
-    cells = _cells(xs, radius)
-    a = around(live, cells, names).select(*names, *[F.col(c).alias(f"{c}_a") for c in live.columns])
-    b = live.select(*[c.alias(n) for c, n in zip(cells, names)], *[F.col(c).alias(f"{c}_b") for c in live.columns])
-    gap = squared([F.col(f"{x}_a") - F.col(f"{x}_b") for x in xs])
-    sizes = 2 * F.col("size_a") * F.col("size_b") / (F.col("size_a") + F.col("size_b"))
-    pairs = a.join(b, names).filter("rep_a < rep_b").select("rep_a", "rep_b", (sizes * gap).alias("h2"))
-    if not everything:
-        pairs = pairs.filter(F.col("h2") <= F.lit(radius * radius))
-    # Equal heights are ordered by a hash of the pair: chains of ties break up in few rounds.
-    pair = F.struct("h2", F.xxhash64("rep_a", "rep_b").alias("tie"), "rep_a", "rep_b")
-    ends = pairs.select(F.explode(F.array("rep_a", "rep_b")).alias("rep"), pair.alias("pair"))
-    nearest = ends.groupBy("rep").agg(F.min("pair").alias("pair"))
-    mutual = nearest.groupBy("pair").agg(F.count(F.lit(1)).alias("ends")).filter("ends = 2")
-    taken = mutual.select(
-        F.explode(F.array("pair.rep_a", "pair.rep_b")).alias("rep"),
-        F.col("pair.rep_a").alias("into"), F.col("pair.rep_b").alias("right"), F.col("pair.h2").alias("h2"),
-    )
-    grouped = live.join(taken, "rep", "left").groupBy(F.coalesce("into", "rep").alias("rep"))
-    return grouped.agg(
-        F.sum("size").alias("size"),
-        *[(F.sum(F.col(x) * F.col("size")) / F.sum("size")).alias(x) for x in xs],
-        F.max("right").alias("right"),
-        F.sqrt(F.max("h2")).alias("height"),
+    """Join all mutual nearest pairs of height up to the radius; joined clusters carry right and height.
+
+    Equal heights are ordered by a hash of the pair, so that chains of ties break up in few rounds.
+    """
+    g = range(min(len(xs), GRID_DIMENSIONS))
+    cells = [f"floor({xs[i]} / {radius!r}D)" for i in g]
+    spread = " ".join(f"LATERAL VIEW explode(sequence({c} - 1, {c} + 1)) t{i} AS c{i}" for i, c in zip(g, cells))
+    own = ", ".join(f"{c} AS c{i}" for i, c in zip(g, cells))
+    same = " AND ".join(f"a.c{i} = b.c{i}" for i in g)
+    gap = " + ".join(f"(a.{x} - b.{x}) * (a.{x} - b.{x})" for x in xs)
+    centre = ", ".join(f"sum({x} * size) / sum(size) AS {x}" for x in xs)
+    return live.sparkSession.sql(
+        f"""
+        WITH a AS (SELECT * FROM {{live}} {spread}),
+        b AS (SELECT *, {own} FROM {{live}}),
+        pairs AS (
+          SELECT a.rep AS rep_a, b.rep AS rep_b, 2 * a.size * b.size / (a.size + b.size) * ({gap}) AS h2
+          FROM a JOIN b ON {same} WHERE a.rep < b.rep),
+        ends AS (
+          SELECT explode(array(rep_a, rep_b)) AS rep, struct(h2, xxhash64(rep_a, rep_b) AS tie, rep_a, rep_b) AS pair
+          FROM pairs WHERE {'true' if everything else f'h2 <= {radius * radius!r}D'}),
+        nearest AS (SELECT rep, min(pair) AS pair FROM ends GROUP BY rep),
+        mutual AS (SELECT pair FROM nearest GROUP BY pair HAVING count(*) = 2),
+        taken AS (
+          SELECT explode(array(pair.rep_a, pair.rep_b)) AS rep, pair.rep_a AS into, pair.rep_b AS right, pair.h2
+          FROM mutual)
+        SELECT coalesce(into, live.rep) AS rep, sum(size) AS size, {centre},
+               max(right) AS right, sqrt(max(h2)) AS height
+        FROM {{live}} AS live LEFT JOIN taken ON live.rep = taken.rep
+        GROUP BY coalesce(into, live.rep)
+        """,
+        live=live,
     )
 
 

@@ -46,6 +46,10 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def last_day(spark: SparkSession, sf_dir: str) -> Column:
+    return th.latest(load(spark, sf_dir, "events").select(F.to_date("ts").alias("day")), "day")
+
+
 def running(spark: SparkSession, sf_dir: str) -> DataFrame:
     return th.threshold_counters(panel(spark, sf_dir), "entity", "day", "total_metric", THRESHOLDS)
 

@@ -441,10 +441,10 @@ def _axes() -> str:
 
     sign = "SIGN(CASE WHEN ROUND(ABS(v0), 9) >= ROUND(ABS(v1), 9) AND ROUND(ABS(v0), 9) >= ROUND(ABS(v2), 9) THEN v0 WHEN ROUND(ABS(v1), 9) >= ROUND(ABS(v2), 9) THEN v1 ELSE v2 END)"
     signed = ", ".join(f"v{k} * {sign} AS v{k}" for k in range(3))
-    first = power("one", "0.6, 0.5, 0.4", "", "")
+    first = power("one", "6e-1, 5e-1, 4e-1", "", "")
     dot = "(a0 * v0 + a1 * v1 + a2 * v2)"
     shrink = f" - eigen * {dot} * a{{0}}"
-    second = power("two", "0.3, -0.7, 0.5", shrink, ", first_axis")
+    second = power("two", "3e-1, -7e-1, 5e-1", shrink, ", first_axis")
     top = times("v")
     return f"""m AS MATERIALIZED (SELECT {cells} FROM scaled),
 {first},

@@ -138,6 +138,7 @@ def dim_enrich(spark, sf_dir):
     orders = load(spark, sf_dir, "orders").groupBy("o_custkey").agg(
         F.count(F.lit(1)).alias("n_orders"), F.avg("o_totalprice").alias("mean_price")
     )
+    orders = materialise(orders, "orders-per-customer")
     suppliers = load(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(
         F.avg("s_acctbal").alias("supplier_balance")
     )
@@ -191,7 +192,7 @@ def first_crossing(spark, sf_dir):
 @query
 def threshold_durations(spark, sf_dir):
     run = base.running(spark, sf_dir)
-    section = th.cross_section(run, "day", "max", reached=100).select("entity", "total_metric")
+    section = th.cross_section(run, "day", base.last_day(spark, sf_dir), reached=100).select("entity", "total_metric")
     spans = th.durations(run, "entity", THRESHOLDS)
     joined = th.with_durations(section, spans, "entity")
     names = [c for c in joined.columns if c.startswith("days_")]
@@ -208,7 +209,7 @@ def durations_as_of(spark, sf_dir):
 
 @query
 def asof_cross_section(spark, sf_dir):
-    return th.cross_section(base.running(spark, sf_dir), "day", "max", reached=100).select(
+    return th.cross_section(base.running(spark, sf_dir), "day", base.last_day(spark, sf_dir), reached=100).select(
         "entity", day_text("day").alias("day"), real("total_metric").alias("total_metric"), whole("total_bad").alias("total_bad")
     )
 
@@ -222,7 +223,7 @@ def day_n_cross_section(spark, sf_dir):
 
 @query
 def significant_entities(spark, sf_dir):
-    section = th.cross_section(base.running(spark, sf_dir), "day", "max", reached=100)
+    section = th.cross_section(base.running(spark, sf_dir), "day", base.last_day(spark, sf_dir), reached=100)
     return th.significant(section, "total_metric", 2500).select(
         "entity", real("total_metric").alias("total_metric"), whole("day_1000").alias("day_1000")
     )
@@ -320,7 +321,7 @@ def ols_by_section(spark, sf_dir):
     sections = th.label_sections(
         {
             "day 10": th.day_n_section(run, 100, 10, "total_metric", 500),
-            "as of": th.significant(th.cross_section(run, "day", "max", reached=100), "total_metric", 2500),
+            "as of": th.significant(th.cross_section(run, "day", base.last_day(spark, sf_dir), reached=100), "total_metric", 2500),
         }
     )
     fit = regression.ols(sections, regression.model("total_bad", "total_metric"), by=["section"])

@@ -31,6 +31,7 @@ def read_csv(
     schema: T.StructType | str | None = None,
     *,
     multi_line: bool = False,
+    trailing_comma: bool = False,
     null_value: str = "NA",
     sanitize: bool = False,
 ) -> DataFrame:
@@ -39,16 +40,20 @@ def read_csv(
     With a schema the file is read once and the header must carry the schema's names in order;
     without one Spark reads it twice to guess the types, which suits exploration only.
     Quoted fields may hold doubled quotes, and line breaks when multi_line is set (Spark then
-    keeps one file per task: write large exports as many files). A nameless last column, left
-    by a trailing comma, is dropped.
+    keeps one file per task: write large exports as many files). Lines that end in a comma have
+    a nameless last column, which is dropped; with a schema, say so by trailing_comma.
     """
+    if schema is not None:
+        schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else T.StructType(list(schema.fields))
+        if trailing_comma:
+            schema = schema.add(f"_c{len(schema)}", T.StringType())
     reader = (
         spark.read.option("header", True)
         .option("nullValue", null_value)
         .option("quote", '"')
         .option("escape", '"')
         .option("multiLine", multi_line)
-        .option("enforceSchema", False)
+        .option("enforceSchema", schema is None or trailing_comma)
         .option("encoding", "UTF-8")
     )
     if schema is not None:
