@@ -503,6 +503,45 @@ ORACLES["dbscan_sweep"] = f"""WITH RECURSIVE {POINTS}, {', '.join(density(e, m,
     for i, (e, m) in enumerate(GRID)
 )
 
+def greedy_ward(table: str) -> str:
+    """CTEs up to merges(step, left_rep, right_rep, height, size), joining the closest pair each time."""
+    xs = list(FEATURES)
+    gap = " + ".join(f"(a.{x} - b.{x}) * (a.{x} - b.{x})" for x in xs)
+    means = ", ".join(f"SUM(w.{x} * w.size) / SUM(w.size) AS {x}" for x in xs)
+    return f"""ward AS (
+  SELECT 0 AS step, entity AS rep, CAST(1 AS DOUBLE) AS size, {', '.join(xs)},
+         CAST(NULL AS BIGINT) AS right_rep, CAST(NULL AS DOUBLE) AS height
+  FROM {table}
+  UNION ALL
+  SELECT MAX(w.step) + 1, CASE WHEN w.rep = best.r THEN best.l ELSE w.rep END, SUM(w.size), {means},
+         MAX(CASE WHEN w.rep = best.r THEN best.r END), SQRT(MAX(CASE WHEN w.rep = best.r THEN best.h2 END))
+  FROM ward AS w, (
+    SELECT a.rep AS l, b.rep AS r, 2 * a.size * b.size / (a.size + b.size) * ({gap}) AS h2
+    FROM ward AS a JOIN ward AS b ON a.rep < b.rep ORDER BY h2, l, r LIMIT 1) AS best
+  GROUP BY CASE WHEN w.rep = best.r THEN best.l ELSE w.rep END),
+merges AS MATERIALIZED (
+  SELECT step, rep AS left_rep, right_rep, height, size FROM ward WHERE right_rep IS NOT NULL)"""
+
+
+ORACLES["ward_merges"] = f"""WITH RECURSIVE {SCALED}, points AS MATERIALIZED (SELECT * FROM scaled), {greedy_ward('points')}
+SELECT CAST(step AS BIGINT) AS step, left_rep AS left, right_rep AS right, {r('height')} AS height, {big('size')} AS size
+FROM merges"""
+
+ORACLES["ward_cut"] = f"""WITH RECURSIVE {SCALED}, points AS MATERIALIZED (SELECT * FROM scaled), {greedy_ward('points')},
+kept AS MATERIALIZED (SELECT * FROM merges WHERE step <= (SELECT COUNT(*) - 4 FROM points)),
+climb(entity, held) AS (
+  SELECT entity, entity FROM points UNION ALL
+  SELECT entity, left_rep FROM climb JOIN kept ON climb.held = kept.right_rep),
+roots AS (SELECT entity, MIN(held) AS root FROM climb GROUP BY entity)
+SELECT entity, DENSE_RANK() OVER (ORDER BY root) AS cluster FROM roots"""
+
+ORACLES["ward_elbow"] = f"""WITH RECURSIVE {FEATURE_TABLE}, points AS MATERIALIZED (SELECT entity, {', '.join(FEATURES)} FROM features),
+{greedy_ward('points')},
+ranked AS (SELECT height * height / 2 AS part, ROW_NUMBER() OVER (ORDER BY height DESC) AS place FROM merges)
+SELECT k, {r('SUM(CASE WHEN place >= k THEN part ELSE 0 END)')} AS wss
+FROM (SELECT UNNEST(RANGE(1, 11)) AS k) AS ks, ranked GROUP BY k"""
+
+
 # --- comparison of labels ----------------------------------------------------------------------
 
 BOTH = f"{FEATURE_TABLE}, both_labels AS (SELECT *, {LABEL_A} AS label_a, {LABEL_B} AS label_b FROM features WHERE total < 4000)"
