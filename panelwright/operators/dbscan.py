@@ -22,12 +22,14 @@ from panelwright.operators.columns import quoted
 from panelwright.operators.graph import components
 from panelwright.operators.grid import GRID_DIMENSIONS, around, largest_gap, least_gap, squared
 from panelwright.operators.joins import left_join
-from panelwright.session import materialise
+from panelwright.session import materialise, materialise_counted, spread
 
 # Two cells are compared point by point up to this product of their sizes, else by halving.
 PAIR_BUDGET = 10_000
 # Halving beyond this depth would exceed the range of the cell numbers.
 DEEPEST = 40
+COMPARISONS_PER_TASK = 500_000
+BOXES_PER_TASK = 5_000
 
 
 def distance_pairs(df: DataFrame, id_column: str, features: Sequence[str], within: float) -> DataFrame:
@@ -106,16 +108,16 @@ def _bounds(d: int, name: str, side: str = "") -> list[Column]:
     return [F.col(f"{name}{i}{side}") for i in range(d)]
 
 
-def _near(left: DataFrame, right: DataFrame, d: int, eps: float, side: float) -> DataFrame:
+def _near(left: DataFrame, rows: int, right: DataFrame, d: int, eps: float, side: float) -> DataFrame:
     """Pairs of boxes within eps, columns suffixed _a and _b, with squared gaps `least` and `largest`.
 
-    Boxes are at most `side` long, so the low corners of two of them in reach differ by at most
+    `rows` is about the number of left boxes. Boxes are at most `side` long, so the low corners of two of them in reach differ by at most
     eps + side in each dimension and lie in adjacent cells of that width.
     """
     width, g = eps + side, min(d, GRID_DIMENSIONS)
     names = [f"g{i}" for i in range(g)]
     corner = [F.floor(F.col(f"lo{i}") / F.lit(width)) for i in range(g)]
-    a = around(left, corner, names).select(*names, *[F.col(c).alias(f"{c}_a") for c in left.columns])
+    a = around(spread(left, rows, BOXES_PER_TASK), corner, names).select(*names, *[F.col(c).alias(f"{c}_a") for c in left.columns])
     b = right.select(*[c.alias(n) for c, n in zip(corner, names)], *[F.col(c).alias(f"{c}_b") for c in right.columns])
     bounds = (_bounds(d, "lo", "_a"), _bounds(d, "hi", "_a"), _bounds(d, "lo", "_b"), _bounds(d, "hi", "_b"))
     return (
@@ -134,7 +136,7 @@ def _labels(rows, points, id_column, d, eps, min_pts, border_points) -> DataFram
     side = eps / d**0.5 * (1 - 1e-9)
 
     celled = points.withColumn("cell", F.array(*[F.floor(F.col(x) / F.lit(side)) for x in xs]))
-    cells = materialise(
+    cells, n_cells = materialise_counted(
         celled.groupBy("cell").agg(F.sum("w").alias("w"), F.count(F.lit(1)).alias("n"), *_box(xs)), "cells"
     )
     crowd = cells.select(F.col("cell").alias("own_cell"), F.col("w").alias("cell_w"), F.col("n").alias("cell_n"))
@@ -143,7 +145,7 @@ def _labels(rows, points, id_column, d, eps, min_pts, border_points) -> DataFram
     # Points of thin cells, as boxes without extent, against the boxes of the cells around.
     thin = celled.filter(F.col("cell_w") < min_pts)
     probes = thin.select("pid", "cell", "cell_w", *[F.col(x).alias(f"{b}{i}") for i, x in enumerate(xs) for b in ("lo", "hi")])
-    near = _near(probes, cells.select("cell", "w", *_corner_names(d)), d, eps, side)
+    near = _near(probes, n_cells, cells.select("cell", "w", *_corner_names(d)), d, eps, side)
     near = near.filter("cell_a != cell_b").select(
         "pid_a", "cell_w_a", "cell_b", "w_b", (F.col("largest") <= limit).alias("inside"),
         *[F.col(f"lo{i}_a").alias(f"y{i}") for i in range(d)],
@@ -168,10 +170,10 @@ def _labels(rows, points, id_column, d, eps, min_pts, border_points) -> DataFram
     judged = materialise(thick.unionByName(judged.select(*thick.columns)), "core-points")
 
     cores = judged.filter("is_core")
-    core_cells = materialise(
+    core_cells, n_core_cells = materialise_counted(
         cores.groupBy("cell").agg(F.min("pid").alias("node"), F.max("cell_n").alias("n"), *_box(xs)), "core-cells"
     )
-    edges = _links(cores, core_cells, d, eps, side)
+    edges = _links(cores, core_cells, n_core_cells, d, eps, side)
     roots = components(core_cells.select("node"), edges)
     rooted = materialise(
         core_cells.join(roots, "node").select("cell", "root", *_corner_names(d)), "rooted-cells"
@@ -220,11 +222,11 @@ def _border_roots(edge_points, near, cores, rooted, d, limit) -> DataFrame:
     return here.union(sure).union(met).groupBy("pid").agg(F.min("root").alias("root"))
 
 
-def _links(cores: DataFrame, core_cells: DataFrame, d: int, eps: float, side: float) -> DataFrame:
+def _links(cores: DataFrame, core_cells: DataFrame, n_cells: int, d: int, eps: float, side: float) -> DataFrame:
     """Edges (a, b) between cells that hold core points within eps of each other."""
     limit = F.lit(eps * eps)
     boxes = core_cells.select("node", "cell", "n", *_corner_names(d))
-    pairs = _near(boxes, boxes, d, eps, side).filter("node_a < node_b")
+    pairs = _near(boxes, n_cells, boxes, d, eps, side).filter("node_a < node_b")
     pairs = pairs.withColumn("inside", F.col("largest") <= limit)
     pairs = materialise(pairs.select("node_a", "node_b", "cell_a", "cell_b", "n_a", "n_b", "inside"), "cell-pairs")
     edges = pairs.filter("inside").select("node_a", "node_b")
@@ -258,18 +260,20 @@ def _links(cores: DataFrame, core_cells: DataFrame, d: int, eps: float, side: fl
             "n_a", "n_b", "inside",
         )
         state = materialise(state, "part-pairs")
+        sure = materialise(state.filter("inside").select("node_a", "node_b").distinct(), "sure-links")
+        state = materialise(state.filter("not inside").join(sure, ["node_a", "node_b"], "left_anti"), "open-pairs")
         few = (F.col("n_a") * F.col("n_b") <= PAIR_BUDGET) | F.lit(depth >= DEEPEST)
-        met = _point_links(state.filter(~F.col("inside") & few), crowded, ["cell", "part"], d, limit)
-        found = materialise(state.filter("inside").select("node_a", "node_b").union(met).distinct(), "found-links")
-        edges = edges.union(found)
-        state = state.filter(~F.col("inside") & ~few).join(found, ["node_a", "node_b"], "left_anti")
+        met = materialise(_point_links(state.filter(few), crowded, ["cell", "part"], d, limit), "met-links")
+        edges = edges.union(sure).union(met)
+        state = state.filter(~few).join(met, ["node_a", "node_b"], "left_anti")
         state = materialise(state.select("node_a", "node_b", "cell_a", "cell_b", "part_a", "part_b"), "open-pairs")
     return edges.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
 
 def _point_links(pairs: DataFrame, members: DataFrame, keys: list[str], d: int, limit: Column) -> DataFrame:
     """Pairs of places that hold two points within the limit, each compared point by point."""
-    joined = pairs
+    work = pairs.agg(F.sum(F.col("n_a") * F.col("n_b"))).first()[0] or 0
+    joined = spread(pairs, work, COMPARISONS_PER_TASK)
     for end in ("a", "b"):
         table = members.select(
             *[F.col(k).alias(f"{k}_{end}") for k in keys], *[F.col(f"x{i}").alias(f"x{i}_{end}") for i in range(d)]

@@ -19,10 +19,12 @@ from pyspark.sql import functions as F
 
 from panelwright.functions.nulls import complete_rows
 from panelwright.operators.columns import quoted
-from panelwright.session import materialise
+from panelwright.session import materialise, materialise_counted, spread
 
 CHUNK = 2_000
 CANDIDATES = 20_000
+# Coordinate differences one task computes per pass.
+WORK_PER_TASK = 200_000_000
 
 
 @dataclass(frozen=True)
@@ -55,7 +57,10 @@ def kmeans_sweep(
     """
     ks, features = sorted(set(ks)), list(features)
     rows = df.select(quoted(id_column).alias("__id"), *[quoted(f).cast("double").alias(f) for f in features])
-    points = materialise(complete_rows(rows, features, invalid), "points")
+    points, n = materialise_counted(complete_rows(rows, features, invalid), "points")
+    work = float(n) * len(features) * starts * sum(ks)
+    if work > WORK_PER_TASK:
+        points = materialise(spread(points, work, WORK_PER_TASK), "spread-points")
     drawn = _draws(points, features, ks[-1], starts, seed)
 
     names = [f"__x{i}" for i in range(len(features))]

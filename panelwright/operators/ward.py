@@ -21,10 +21,13 @@ from panelwright.functions.numbering import number_in_order
 from panelwright.operators.columns import quoted
 from panelwright.operators.grid import GRID_DIMENSIONS
 from panelwright.operators.joins import left_join
-from panelwright.session import materialise, materialise_counted
+from panelwright.session import materialise, materialise_counted, spread
 
 CANDIDATES = 4_000_000
 CANDIDATES_PER_CLUSTER = 64
+# Half of a cell's 27 neighbours, itself among them.
+NEIGHBOURS = 14
+PAIRS_PER_TASK = 250_000
 
 
 def ward_tree(
@@ -64,7 +67,9 @@ def ward_tree(
     while m > 1:
         number += 1
         everything = radius > extent
-        joined, left = materialise_counted(_round(live, xs, radius, everything), "clusters")
+        pairs = min(m * m / 2, NEIGHBOURS * max(candidates, CANDIDATES_PER_CLUSTER * m))
+        step = _round(spread(live, pairs, PAIRS_PER_TASK), live, xs, radius, everything)
+        joined, left = materialise_counted(step, "clusters")
         merges.append(joined.filter("right is not null").select(
             F.col("rep").alias("left"), "right", "height", "size", F.lit(number).alias("round")
         ))
@@ -112,21 +117,21 @@ def _widest(live, xs, radius, extent, m, candidates, shrink=True) -> float:
     return radius
 
 
-def _round(live: DataFrame, xs: Sequence[str], radius: float, everything: bool) -> DataFrame:
+def _round(probes: DataFrame, live: DataFrame, xs: Sequence[str], radius: float, everything: bool) -> DataFrame:
     """Join all mutual nearest pairs of height up to the radius; joined clusters carry right and height.
 
-    Equal heights are ordered by a hash of the pair, so that chains of ties break up in few rounds.
+    `probes` is the same table as `live`, divided by the work of comparing its rows. Equal heights are ordered by a hash of the pair, so that chains of ties break up in few rounds.
     """
     g = range(min(len(xs), GRID_DIMENSIONS))
     cells = [f"floor({xs[i]} / {radius!r}D)" for i in g]
-    spread = " ".join(f"LATERAL VIEW explode(sequence({c} - 1, {c} + 1)) t{i} AS c{i}" for i, c in zip(g, cells))
+    adjacent = " ".join(f"LATERAL VIEW explode(sequence({c} - 1, {c} + 1)) t{i} AS c{i}" for i, c in zip(g, cells))
     own = ", ".join(f"{c} AS c{i}" for i, c in zip(g, cells))
     same = " AND ".join(f"a.c{i} = b.c{i}" for i in g)
     gap = " + ".join(f"(a.{x} - b.{x}) * (a.{x} - b.{x})" for x in xs)
     centre = ", ".join(f"sum({x} * size) / sum(size) AS {x}" for x in xs)
     return live.sparkSession.sql(
         f"""
-        WITH a AS (SELECT * FROM {{live}} {spread}),
+        WITH a AS (SELECT * FROM {{probes}} {adjacent}),
         b AS (SELECT *, {own} FROM {{live}}),
         pairs AS (
           SELECT a.rep AS rep_a, b.rep AS rep_b, 2 * a.size * b.size / (a.size + b.size) * ({gap}) AS h2
@@ -144,6 +149,7 @@ def _round(live: DataFrame, xs: Sequence[str], radius: float, everything: bool)
         FROM {{live}} AS live LEFT JOIN taken ON live.rep = taken.rep
         GROUP BY coalesce(into, live.rep)
         """,
+        probes=probes,
         live=live,
     )
 

@@ -55,3 +55,16 @@ def materialise_counted(df: DataFrame, label: str) -> tuple[DataFrame, int]:
     seen = Observation()
     stored = materialise(df.observe(seen, F.count(F.lit(1)).alias("rows")), label)
     return stored, seen.get["rows"]
+
+
+MOST_TASKS = 10_000
+
+
+def spread(df: DataFrame, work: float, per_task: float) -> DataFrame:
+    """Divide a table by the work its rows cause, where that is out of proportion to its bytes.
+
+    Small tables are read as one partition and adaptive execution keeps them so; a fixed number
+    of partitions is left alone.
+    """
+    tasks = int(min(work // per_task, MOST_TASKS))
+    return df.repartition(tasks) if tasks > 1 else df
