@@ -7,10 +7,12 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelwright.operators.columns import quoted
 
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 64 * 1024 * 1024
 SALTS = 32
 
 
@@ -34,8 +36,8 @@ def left_join(
 ) -> DataFrame:
     """Join on pairs of (fact key, dimension key), keeping the fact's key columns.
 
-    The dimension's rows are counted first. Up to broadcast_rows it is broadcast, so the fact
-    is not shuffled. Beyond that the fact's rows of one key are spread over `salts` tasks by a
+    The dimension is measured first. Up to broadcast_rows, and BROADCAST_BYTES of text, it is
+    broadcast, so the fact is not shuffled. Beyond that the fact's rows of one key are spread over `salts` tasks by a
     hash of the whole row, and the dimension is repeated once per salt: a key that holds a
     third of the fact stays divided, and no row is lost.
     """
@@ -73,9 +75,18 @@ def _attach(fact, dim, on, broadcast_rows, salts, how) -> DataFrame:
     condition = F.lit(True)
     for l, r in on:
         condition = condition & (quoted(l) == F.col(keys[r]))
-    if right.count() <= broadcast_rows:
+    if _fits(right, broadcast_rows):
         right = F.broadcast(right)
     else:
         right = right.withColumn("__right_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         condition = condition & (F.col("__salt") == F.col("__right_salt"))
     return fact.join(right, condition, how).drop("__right_salt", *keys.values())
+
+
+def _fits(table: DataFrame, rows: int) -> bool:
+    """Whether a table is small: by its rows, and where columns have no fixed width, by their bytes."""
+    fixed = (T.NumericType, T.BooleanType, T.DatetimeType)
+    wide = [f.name for f in table.schema.fields if not isinstance(f.dataType, fixed)]
+    length = sum((F.coalesce(F.octet_length(quoted(c).cast("string")), F.lit(0)) for c in wide), F.lit(0))
+    found = table.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(length.cast("long")), F.lit(0)).alias("b")).first()
+    return found["n"] <= rows and found["b"] <= BROADCAST_BYTES

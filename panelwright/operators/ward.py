@@ -15,13 +15,14 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelwright.functions.nulls import complete_rows
 from panelwright.functions.numbering import number_in_order
 from panelwright.operators.columns import quoted
 from panelwright.operators.grid import GRID_DIMENSIONS
 from panelwright.operators.joins import left_join
-from panelwright.session import materialise, materialise_counted, spread
+from panelwright.session import materialise, materialise_counted, scratch_path, spread, write_counted
 
 CANDIDATES = 4_000_000
 CANDIDATES_PER_CLUSTER = 64
@@ -53,9 +54,7 @@ def ward_tree(
 
     firsts = live.filter("size > 1").select("rep", "size", *[F.col(x).alias(f"{x}_key") for x in xs])
     copies = left_join(rows, firsts, [(x, f"{x}_key") for x in xs], how="inner").filter("id != rep")
-    merges = [copies.select(
-        F.col("rep").alias("left"), F.col("id").alias("right"), F.lit(0.0).alias("height"), "size", F.lit(0).alias("round")
-    )]
+    copies = copies.selectExpr("rep AS left", "id AS right", "0D AS height", "cast(size AS long) AS size", "0 AS round")
 
     corners = live.agg(F.count(F.lit(1)), *[f(x) for x in xs for f in (F.min, F.max)]).first()
     m = corners[0]
@@ -64,15 +63,14 @@ def ward_tree(
     number = 0
     if m * m > candidates:
         radius = _widest(live, xs, extent / m ** (1 / d), extent, m, candidates)
+    # The state after each round is one part of a table; its joined clusters are the tree.
+    states = scratch_path(df.sparkSession, "clusters")
     while m > 1:
         number += 1
         everything = radius > extent
         pairs = min(m * m / 2, NEIGHBOURS * max(candidates, CANDIDATES_PER_CLUSTER * m))
         step = _round(spread(live, pairs, PAIRS_PER_TASK), live, xs, radius, everything)
-        joined, left = materialise_counted(step, "clusters")
-        merges.append(joined.filter("right is not null").select(
-            F.col("rep").alias("left"), "right", "height", "size", F.lit(number).alias("round")
-        ))
+        joined, left = write_counted(step, f"{states}/round={number}")
         live = joined.select("rep", "size", *xs)
         before, m = m, left
         if everything:
@@ -83,10 +81,12 @@ def ward_tree(
             radius *= 2
         elif before - m < before / 10:
             radius = _widest(live, xs, radius, extent, m, candidates, shrink=False)
-    tree = merges[0]
-    for part in merges[1:]:
-        tree = tree.unionByName(part)
-    return materialise(tree.withColumn("size", F.col("size").cast("long")), "ward-tree")
+    if not number:
+        return copies
+    whole = df.sparkSession.read.schema(T.StructType([*joined.schema.fields, T.StructField("round", T.IntegerType())]))
+    merges = whole.parquet(states).filter("right is not null")
+    merges = merges.selectExpr("rep AS left", "right", "height", "cast(size AS long) AS size", "round")
+    return copies.unionByName(merges)
 
 
 def _cells(xs: Sequence[str], radius: float) -> list:
@@ -120,7 +120,10 @@ def _widest(live, xs, radius, extent, m, candidates, shrink=True) -> float:
 def _round(probes: DataFrame, live: DataFrame, xs: Sequence[str], radius: float, everything: bool) -> DataFrame:
     """Join all mutual nearest pairs of height up to the radius; joined clusters carry right and height.
 
-    `probes` is the same table as `live`, divided by the work of comparing its rows. Equal heights are ordered by a hash of the pair, so that chains of ties break up in few rounds.
+    `probes` is the same table as `live`, divided by the work of comparing its rows. A pair takes
+    both clusters along, so that it can become the joined one, and every cluster also offers
+    itself as the last resort: grouping the choices by pair then yields the next state. Equal
+    heights are ordered by a hash of the pair, so that chains of ties break up in few rounds.
     """
     g = range(min(len(xs), GRID_DIMENSIONS))
     cells = [f"floor({xs[i]} / {radius!r}D)" for i in g]
@@ -128,26 +131,34 @@ def _round(probes: DataFrame, live: DataFrame, xs: Sequence[str], radius: float,
     own = ", ".join(f"{c} AS c{i}" for i, c in zip(g, cells))
     same = " AND ".join(f"a.c{i} = b.c{i}" for i in g)
     gap = " + ".join(f"(a.{x} - b.{x}) * (a.{x} - b.{x})" for x in xs)
-    centre = ", ".join(f"sum({x} * size) / sum(size) AS {x}" for x in xs)
+    one, other = (f"struct({', '.join(f'{t}.{c}' for c in ('rep', 'size', *xs))})" for t in "ab")
+    centre = ", ".join(
+        f"CASE WHEN ends = 2 THEN (one.{x} * one.size + other.{x} * other.size) / (one.size + other.size) "
+        f"ELSE self.{x} END AS {x}"
+        for x in xs
+    )
     return live.sparkSession.sql(
         f"""
         WITH a AS (SELECT * FROM {{probes}} {adjacent}),
         b AS (SELECT *, {own} FROM {{live}}),
         pairs AS (
-          SELECT a.rep AS rep_a, b.rep AS rep_b, 2 * a.size * b.size / (a.size + b.size) * ({gap}) AS h2
+          SELECT 2 * a.size * b.size / (a.size + b.size) * ({gap}) AS h2, xxhash64(a.rep, b.rep) AS tie,
+                 {one} AS one, {other} AS other
           FROM a JOIN b ON {same} WHERE a.rep < b.rep),
-        ends AS (
-          SELECT explode(array(rep_a, rep_b)) AS rep, struct(h2, xxhash64(rep_a, rep_b) AS tie, rep_a, rep_b) AS pair
-          FROM pairs WHERE {'true' if everything else f'h2 <= {radius * radius!r}D'}),
-        nearest AS (SELECT rep, min(pair) AS pair FROM ends GROUP BY rep),
-        mutual AS (SELECT pair FROM nearest GROUP BY pair HAVING count(*) = 2),
-        taken AS (
-          SELECT explode(array(pair.rep_a, pair.rep_b)) AS rep, pair.rep_a AS into, pair.rep_b AS right, pair.h2
-          FROM mutual)
-        SELECT coalesce(into, live.rep) AS rep, sum(size) AS size, {centre},
-               max(right) AS right, sqrt(max(h2)) AS height
-        FROM {{live}} AS live LEFT JOIN taken ON live.rep = taken.rep
-        GROUP BY coalesce(into, live.rep)
+        offers AS (
+          SELECT explode(array(one.rep, other.rep)) AS rep, struct(h2, tie, one, other) AS pair
+          FROM pairs WHERE {'true' if everything else f'h2 <= {radius * radius!r}D'}
+          UNION ALL
+          SELECT a.rep, struct(double('infinity'), 0L, {one}, if(false, {one}, NULL)) FROM {{live}} AS a),
+        chosen AS (SELECT rep, min(pair) AS pair FROM offers GROUP BY rep),
+        grouped AS (
+          SELECT first(pair.one) AS one, first(pair.other) AS other, first(pair.h2) AS h2, count(*) AS ends,
+                 first(CASE WHEN rep = pair.one.rep THEN pair.one ELSE pair.other END) AS self
+          FROM chosen GROUP BY pair.one.rep, pair.other.rep)
+        SELECT CASE WHEN ends = 2 THEN one.rep ELSE self.rep END AS rep,
+               CASE WHEN ends = 2 THEN one.size + other.size ELSE self.size END AS size, {centre},
+               CASE WHEN ends = 2 THEN other.rep END AS right, CASE WHEN ends = 2 THEN sqrt(h2) END AS height
+        FROM grouped
         """,
         probes=probes,
         live=live,
@@ -168,7 +179,7 @@ def cut(df: DataFrame, id_column: str, tree: DataFrame, k: int) -> DataFrame:
     """(id, cluster): k clusters, numbered by their smallest member.
 
     The k - 1 highest joins are left out. Following the rest from `right` to `left` leads to the
-    smallest member; each round doubles the distance followed.
+    smallest member; each round triples the distance followed.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
@@ -177,15 +188,17 @@ def cut(df: DataFrame, id_column: str, tree: DataFrame, k: int) -> DataFrame:
         highest = tree.orderBy(*_order(True)).limit(k - 1).select("right")
         kept = tree.join(F.broadcast(highest), "right", "left_anti")  # k - 1 rows
     pointers = materialise(kept.select(F.col("right").alias("node"), F.col("left").alias("at")), "pointers")
-    while True:
-        further = pointers.select(F.col("node").alias("at"), F.col("at").alias("next"))
-        moved = pointers.join(further, "at", "left").select(
-            "node", F.coalesce("next", "at").alias("at"), F.col("next").isNotNull().alias("moved")
+    further = 1
+    while further:
+        step = df.sparkSession.sql(
+            """
+            SELECT p.node, coalesce(r.at, q.at, p.at) AS at, r.at IS NOT NULL AS further
+            FROM {pointers} p LEFT JOIN {pointers} q ON p.at = q.node LEFT JOIN {pointers} r ON q.at = r.node
+            """,
+            pointers=pointers,
         )
-        moved = materialise(moved, "pointers")
-        pointers = moved.select("node", "at")
-        if moved.filter("moved").isEmpty():
-            break
+        pointers, further = materialise_counted(step, "pointers", F.col("further"))
+        pointers = pointers.select("node", "at")
     ids = df.select(quoted(id_column).alias("node"))
     rooted = ids.join(pointers, "node", "left").withColumn("root", F.coalesce("at", "node"))
     roots = sorted(r["root"] for r in rooted.select("root").distinct().collect())  # k values

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -20,6 +20,8 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "16g") ->
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # Recording the Python line of every column expression doubles the time to build a plan.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -50,11 +52,16 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def materialise_counted(df: DataFrame, label: str) -> tuple[DataFrame, int]:
-    """The same, with the number of rows counted while they are written."""
+def materialise_counted(df: DataFrame, label: str, counted: Column | None = None) -> tuple[DataFrame, int]:
+    """The same, with the number of rows (or of rows that meet a condition) counted on the way."""
+    return write_counted(df, scratch_path(df.sparkSession, label), counted)
+
+
+def write_counted(df: DataFrame, path: str, counted: Column | None = None) -> tuple[DataFrame, int]:
     seen = Observation()
-    stored = materialise(df.observe(seen, F.count(F.lit(1)).alias("rows")), label)
-    return stored, seen.get["rows"]
+    rows = F.count(F.lit(1)) if counted is None else F.count_if(counted)
+    df.observe(seen, rows.alias("rows")).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), seen.get["rows"]
 
 
 MOST_TASKS = 10_000

@@ -102,6 +102,15 @@ def test_left_joins_small_and_salted(spark):
     assert chained.filter("name = 'x'").count() == fact.filter("k = 7").count()
 
 
+def test_few_but_wide_rows_are_not_broadcast(spark, monkeypatch):
+    fact = spark.range(20).select(F.col("id").alias("k"))
+    dim = spark.range(10).select(F.col("id").alias("key"), F.lit("x" * 100).alias("text"))
+    assert joins._fits(dim, 10) and not joins._fits(dim, 9)
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", 999)
+    assert not joins._fits(dim, 10) and joins._fits(dim.drop("text"), 10)
+    assert joins.left_join(fact, dim, [("k", "key")]).filter("text is not null").count() == 10
+
+
 def test_numbering(spark):
     df = spark.range(500).select(((F.col("id") * 37) % 500).alias("id")).repartition(6)
     got = number_in_order(df, [F.col("id").desc()], "n")
