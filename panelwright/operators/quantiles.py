@@ -14,7 +14,7 @@ from panelwright.session import materialise
 
 QUARTILES = (0.25, 0.5, 0.75)
 MARGIN = 0.01
-ACCURACY = 10_000
+ACCURACY = 1_000
 
 
 def exact_quantiles(
