@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -28,16 +30,45 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "16g") ->
     return spark
 
 
+_LOCAL_BASE: str | None = None
+
+
+def scratch_base(spark: SparkSession) -> str:
+    """The shared folder of spark.checkpoint.dir, or one temporary folder in local mode without it.
+
+    The setting is static, so it is only read here; the local folder is remembered in this module
+    and removed when the process ends.
+    """
+    global _LOCAL_BASE
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
+    if _LOCAL_BASE is None:
+        _LOCAL_BASE = tempfile.mkdtemp(prefix="panelwright-")
+        atexit.register(shutil.rmtree, _LOCAL_BASE, ignore_errors=True)
+    return _LOCAL_BASE
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh folder under the shared folder the session names in spark.checkpoint.dir."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-        base = tempfile.mkdtemp(prefix="panelwright-")
-        spark.conf.set("spark.checkpoint.dir", base)
     app = spark.sparkContext.applicationId
-    return f"{base.rstrip('/')}/panelwright/{app}/{label}-{uuid.uuid4().hex}"
+    return f"{scratch_base(spark)}/panelwright/{app}/{label}-{uuid.uuid4().hex}"
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the stored tables that a DataFrame reads, once nothing will read them again.
+
+    Only folders made by scratch_path are touched; a table of the user's is left alone.
+    """
+    spark = df.sparkSession
+    ours = f"/panelwright/{spark.sparkContext.applicationId}/"
+    folders = {f[: f.rindex("/")] for f in df.inputFiles() if ours in f}
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in folders:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
@@ -64,14 +95,12 @@ def write_counted(df: DataFrame, path: str, counted: Column | None = None) -> tu
     return df.sparkSession.read.schema(df.schema).parquet(path), seen.get["rows"]
 
 
-MOST_TASKS = 10_000
-
-
 def spread(df: DataFrame, work: float, per_task: float) -> DataFrame:
     """Divide a table by the work its rows cause, where that is out of proportion to its bytes.
 
     Small tables are read as one partition and adaptive execution keeps them so; a fixed number
-    of partitions is left alone.
+    of partitions is left alone. A table that has as many partitions already is not touched, so
+    the count only ever rises.
     """
-    tasks = int(min(work // per_task, MOST_TASKS))
-    return df.repartition(tasks) if tasks > 1 else df
+    tasks = int(work // per_task)
+    return df.repartition(tasks) if tasks > max(1, df.rdd.getNumPartitions()) else df
