@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm import bpe, records, sharding, simhash, topk, warc
+from panelwright.llm import bpe, decontam, records, sharding, simhash, topk, warc
 from panelwright.llm.oracles import ORACLES
 
 SHARDS = 40
@@ -39,6 +39,10 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(_table(spark, sf_dir, "pages"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return bpe.digest_documents(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
@@ -51,7 +55,7 @@ def op10_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_shards, op5_simhash, op6_top_k, op7_warc, op9_bpe, op10_records)
+    for f in (op2_shards, op5_simhash, op6_top_k, op7_warc, op8_decontamination, op9_bpe, op10_records)
 }
 
 __all__ = ["ORACLES", "QUERIES"]
