@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm import bpe, decontam, records, sharding, simhash, topk, warc
+from panelwright.llm import bpe, decontam, htmlmain, records, sharding, simhash, topk, warc
 from panelwright.llm.oracles import ORACLES
 
 SHARDS = 40
@@ -24,6 +24,10 @@ def op2_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents"), SHARDS)
 
 
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmlmain.extract(_table(spark, sf_dir, "pages"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"), SHINGLE, DIFFERING)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -55,7 +59,7 @@ def op10_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_shards, op5_simhash, op6_top_k, op7_warc, op8_decontamination, op9_bpe, op10_records)
+    for f in (op2_shards, op3_main_text, op5_simhash, op6_top_k, op7_warc, op8_decontamination, op9_bpe, op10_records)
 }
 
 __all__ = ["ORACLES", "QUERIES"]
