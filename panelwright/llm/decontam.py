@@ -94,7 +94,10 @@ def aligned(index: DataFrame, asked: DataFrame) -> DataFrame:
 
 
 def phrase_hits(documents: DataFrame, items: DataFrame, spots: DataFrame, width: int) -> DataFrame:
-    """(doc, item, low, high): runs of document words that windows of the item cover, word by word."""
+    """(doc, n_words, item, low, high): runs of document words that windows of the item cover.
+
+    Each run is compared word by word.
+    """
     touched = measured(spots.select("doc").distinct(), "touched-documents")
     texts = documents.withColumn("doc", tag(F.col("doc_id"), F.col("text"))).join(touched, "doc", "left_semi")
     texts = texts.select("doc", words(F.col("text")).alias("theirs")).dropDuplicates(["doc"])
@@ -104,7 +107,7 @@ def phrase_hits(documents: DataFrame, items: DataFrame, spots: DataFrame, width:
     length = F.greatest(F.least(F.size("words") - skipped, F.size("theirs") - begin), F.lit(0))
     both = both.withColumn("begin", begin).withColumn("n", length).withColumn("least", F.least(F.size("words"), F.lit(width)))
     flags = F.zip_with(F.slice("theirs", F.col("begin") + 1, F.col("n")), F.slice("words", skipped + 1, F.col("n")), lambda a, b: a == b)
-    both = both.withColumn("flags", flags).select("doc", "item", "begin", "n", "least", "flags")
+    both = both.select("doc", F.size("theirs").cast("long").alias("n_words"), "item", "begin", "n", "least", flags.alias("flags"))
     wrong = F.filter(F.transform("flags", lambda x, i: F.when(~x, i)), lambda i: i.isNotNull())
     both = both.withColumn("ends", F.concat(F.array(F.lit(-1)), wrong, F.array(F.col("n"))))
     runs = F.zip_with(
@@ -114,7 +117,7 @@ def phrase_hits(documents: DataFrame, items: DataFrame, spots: DataFrame, width:
     )
     long_enough = both.withColumn("run", F.explode(runs)).filter(F.col("run.high") - F.col("run.low") + 1 >= F.col("least"))
     return long_enough.select(
-        "doc", "item", (F.col("begin") + F.col("run.low")).alias("low"), (F.col("begin") + F.col("run.high")).alias("high")
+        "doc", "n_words", "item", (F.col("begin") + F.col("run.low")).alias("low"), (F.col("begin") + F.col("run.high")).alias("high")
     )
 
 
@@ -137,12 +140,10 @@ def proximity(index: DataFrame, asked: DataFrame, frequency: DataFrame, span: in
     return full.select("query", "doc", "pos").union(start.filter(F.col("all") == 1).select("query", "doc", "pos"))
 
 
-def contamination(documents: DataFrame, benchmark: DataFrame, width: int = 13, part: int = 20) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) per row of documents.
+def found_in(documents: DataFrame, benchmark: DataFrame, width: int) -> DataFrame:
+    """(doc, n_words, hit, ids) of the documents in which some window of some item occurs, stored.
 
-    A null or empty text has no words. Items that are null, empty or have no item_id are no
-    items; an item_id on several rows is each of their texts. Repeated document rows have equal
-    results, an empty table of documents has none; other columns are not read.
+    hit counts words inside occurrences, each once; ids are the items' ids as sorted strings.
     """
     documents = documents.select("doc_id", "text")
     items = benchmark.select("item_id", words(F.col("text")).alias("words")).filter("item_id IS NOT NULL AND size(words) > 0")
@@ -156,15 +157,25 @@ def contamination(documents: DataFrame, benchmark: DataFrame, width: int = 13, p
     spots = materialise(aligned(index, asked), "alignments")
     hits = materialise(phrase_hits(documents, items.select("item", "words"), spots, width), "hits")
     order = Window.partitionBy("doc").orderBy("low", "high").rowsBetween(Window.unboundedPreceding, -1)
-    covered = hits.select("doc", "low", "high").distinct().withColumn("till", F.coalesce(F.max("high").over(order), F.lit(-1)))
+    covered = hits.select("doc", "n_words", "low", "high").distinct().withColumn("till", F.coalesce(F.max("high").over(order), F.lit(-1)))
     fresh = F.greatest(F.col("high") - F.greatest(F.col("low") - 1, F.col("till")), F.lit(0))
-    n_hit = covered.groupBy("doc").agg(F.sum(fresh).alias("hit"))
+    hit = covered.groupBy("doc", "n_words").agg(F.sum(fresh).cast("long").alias("hit"))
     named = hits.select("doc", "item").distinct().join(items.select("item", F.col("item_id").cast("string").alias("id")), "item")
     lists = named.groupBy("doc").agg(F.array_sort(F.collect_set("id")).alias("ids"))
-    found = materialise(n_hit.join(lists, "doc"), "contaminated")
+    return materialise(hit.join(lists, "doc"), "contaminated")
+
+
+def contamination(documents: DataFrame, benchmark: DataFrame, width: int = 13, part: int = 20) -> DataFrame:
+    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) per row of documents.
+
+    A null or empty text has no words. Items that are null, empty or have no item_id are no
+    items; an item_id on several rows is each of their texts. Repeated document rows have equal
+    results, an empty table of documents has none; other columns are not read.
+    """
+    found = found_in(documents, benchmark, width).drop("n_words")
     rows = documents.select("doc_id", tag(F.col("doc_id"), F.col("text")).alias("doc"), F.size(words(F.col("text"))).cast("long").alias("n_words"))
     joined = rows.join(found, "doc", "left")
-    hit = F.coalesce("hit", F.lit(0)).cast("long")
+    hit = F.coalesce("hit", F.lit(0))
     ids = F.coalesce("ids", F.array().cast("array<string>"))
     return joined.select(
         "doc_id",
@@ -174,3 +185,10 @@ def contamination(documents: DataFrame, benchmark: DataFrame, width: int = 13, p
         F.sha2(F.concat_ws(",", ids), 256).alias("items_sha256"),
         ((hit > 0) & (hit * part >= F.col("n_words"))).alias("contaminated"),
     )
+
+
+def keep_uncontaminated(documents: DataFrame, benchmark: DataFrame, width: int = 13, part: int = 20) -> DataFrame:
+    """Documents of whose words fewer than one in `part` are covered, with all their columns."""
+    bad = found_in(documents, benchmark, width).filter(F.col("hit") * part >= F.col("n_words"))
+    bad = measured(bad.select(F.col("doc").alias("__contaminated")), "contaminated-tags")
+    return documents.join(bad, tag(documents["doc_id"], documents["text"]) == F.col("__contaminated"), "left_anti")

@@ -8,11 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm import bpe, decontam, htmlmain, records, sharding, simhash, topk, warc
+from panelwright.llm import bpe, decontam, htmlmain, langid, records, sharding, simhash, topk, toxicity, warc
 from panelwright.llm.oracles import ORACLES
 
 SHARDS = 40
 END_ID = 2
+TOXIC = 0.7
 SHINGLE, DIFFERING = 4, 4
 
 
@@ -20,6 +21,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
 def op2_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents"), SHARDS)
 
@@ -28,6 +33,10 @@ def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmlmain.extract(_table(spark, sf_dir, "pages"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.detect(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), TOXIC)
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"), SHINGLE, DIFFERING)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -59,7 +68,18 @@ def op10_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_shards, op3_main_text, op5_simhash, op6_top_k, op7_warc, op8_decontamination, op9_bpe, op10_records)
+    for f in (
+        op1_language,
+        op2_shards,
+        op3_main_text,
+        op4_toxicity,
+        op5_simhash,
+        op6_top_k,
+        op7_warc,
+        op8_decontamination,
+        op9_bpe,
+        op10_records,
+    )
 }
 
 __all__ = ["ORACLES", "QUERIES"]
