@@ -101,7 +101,7 @@ def phrase_hits(documents: DataFrame, items: DataFrame, spots: DataFrame, width:
     touched = measured(spots.select("doc").distinct(), "touched-documents")
     texts = documents.withColumn("doc", tag(F.col("doc_id"), F.col("text"))).join(touched, "doc", "left_semi")
     texts = texts.select("doc", words(F.col("text")).alias("theirs")).dropDuplicates(["doc"])
-    both = spots.join(texts, "doc").join(items, "item")
+    both = spots.join(items, "item").join(texts, "doc")
     skipped = F.greatest(-F.col("shift"), F.lit(0))
     begin = F.greatest(F.col("shift"), F.lit(0))
     length = F.greatest(F.least(F.size("words") - skipped, F.size("theirs") - begin), F.lit(0))
