@@ -111,9 +111,9 @@ def trie_join(left: np.ndarray, right: np.ndarray | None, depth: int, half: int,
     steps = _steps(forest.root)
     while stack:
         level, nodes, errors = stack.pop()
-        if len(nodes) > FRONTIER:
-            stack.append((level, nodes[FRONTIER:], errors[FRONTIER:]))
-            nodes, errors = nodes[:FRONTIER], errors[:FRONTIER]
+        if len(nodes) > FRONTIER:  # the part with fewer errors comes first
+            stack.append((level, nodes[:-FRONTIER], errors[:-FRONTIER]))
+            nodes, errors = nodes[-FRONTIER:], errors[-FRONTIER:]
         a0, a1, b0, b1 = nodes.T
         same = (steps[a1 - 1] == steps[a0]) & (steps[b1 - 1] == steps[b0]) & (forest.root[a0] == forest.root[b0])
         nodes, errors = nodes[~same], errors[~same]
@@ -130,8 +130,7 @@ def trie_join(left: np.ndarray, right: np.ndarray | None, depth: int, half: int,
                 steps = _steps(forest.root)
         nodes, errors = nodes[~ends], errors[~ends]
         if len(nodes):
-            for kind in _children(values, nodes, errors, level, half if level < 32 else whole):
-                stack.append((level + 1, *kind))
+            stack.append((level + 1, *_children(values, nodes, errors, level, half if level < 32 else whole)))
     return forest.root
 
 
@@ -150,11 +149,11 @@ def _members(nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a0[which] + nth // wide[which], b0[which] + nth % wide[which]
 
 
-def _children(values: np.ndarray, nodes: np.ndarray, errors: np.ndarray, level: int, budget: int) -> list:
-    """Pairs of children: first those that differ in this bit, last those that agree."""
+def _children(values: np.ndarray, nodes: np.ndarray, errors: np.ndarray, level: int, budget: int) -> tuple:
+    """Pairs of children and their errors: first those that differ in this bit, last those that agree."""
     a0, a1, b0, b1 = nodes.T
     am, bm = _split(values, a0, a1, level), _split(values, b0, b1, level)
-    out = []
+    pairs, costs = [], []
     self_pair = a0 == b0
     more = errors + 1 <= budget
     for x0, x1, y0, y1, keep, cost in (
@@ -165,9 +164,9 @@ def _children(values: np.ndarray, nodes: np.ndarray, errors: np.ndarray, level:
     ):
         keep = keep & (x1 > x0) & (y1 > y0)
         keep &= ~((x0 == y0) & (x1 - x0 == 1) & (y1 - y0 == 1))
-        if keep.any():
-            out.append((np.stack([x0[keep], x1[keep], y0[keep], y1[keep]], axis=1), errors[keep] + cost))
-    return out
+        pairs.append(np.stack([x0[keep], x1[keep], y0[keep], y1[keep]], axis=1))
+        costs.append(errors[keep] + cost)
+    return np.concatenate(pairs), np.concatenate(costs)
 
 
 def _split(values: np.ndarray, low: np.ndarray, high: np.ndarray, level: int) -> np.ndarray:
