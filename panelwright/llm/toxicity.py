@@ -277,7 +277,7 @@ class Model:
                 row[2] = int(own.argmax())
 
     def _step(self, rng: np.random.Generator, bags: list, mine: tuple[list, list], evidence: Evidence) -> dict:
-        picked = []
+        picked: list[tuple[list[str], bool]] = [([], False)]  # nothing said is nothing toxic
         for bad in (False, True):
             for n in rng.integers(len(mine[bad]), size=BATCH // 2):
                 i, hottest, highest = mine[bad][n]
@@ -341,7 +341,7 @@ def batch(windows: list[list[str]]) -> tuple[np.ndarray, np.ndarray, list[str]]:
     x = np.full((WINDOW, len(windows)), number[FILL])
     for n, window in enumerate(windows):
         x[: len(window), n] = [number[w] for w in window]
-    return x, np.array([len(window) for window in windows]), words
+    return x, np.array([max(1, len(window)) for window in windows]), words
 
 
 def starts(n: int) -> list[int]:

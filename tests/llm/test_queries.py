@@ -1,0 +1,36 @@
+"""The registered queries at the smallest size, and the pipeline against its stages."""
+
+import pytest
+
+import __spark_entry__ as entry
+import check
+import corpus_pipeline
+from panelwright.llm.oracles import ORACLES
+from panelwright.llm.queries import QUERIES
+from panelwright.llm.queries import SHINGLE
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_all_are_registered():
+    assert sorted(int(n.split("_")[0][2:]) for n in QUERIES) == list(range(1, 11))
+    assert set(QUERIES) | {"pipeline"} <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
+    assert SHINGLE == 4
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_twin(spark, name):
+    assert check.compare(spark, SF, name).startswith("ok")
+
+
+def test_pipeline_by_hand(spark):
+    """Each stage's rows follow from the operator run on all that the stage before kept."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    columns, kept = docs.columns, docs.count()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF).cache()
+        assert docs.columns == columns, name
+        assert 0.6 * kept <= docs.count() <= kept, name
+        kept = docs.count()
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    assert sorted(map(tuple, last.collect())) == sorted(map(tuple, corpus_pipeline.run(spark, SF).collect()))
