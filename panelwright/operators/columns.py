@@ -42,13 +42,15 @@ def parse_date(df: DataFrame, name: str, fmt: str = "yyyy-MM-dd", bad: str = "er
 
 
 def exclude(df: DataFrame, name: str, values: Sequence | DataFrame) -> DataFrame:
-    """Rows whose value is present and in none of the listed ones (a list, or a one-column table)."""
+    """Rows whose value is present and in none of the listed ones (a list, or a one-column table).
+
+    A missing value is left out even if nothing is listed.
+    """
     if isinstance(values, DataFrame):
         listed = values.select(values[values.columns[0]].alias(name)).distinct()
         return df.filter(F.col(name).isNotNull()).join(listed, name, "left_anti")
-    if not values:
-        return df
-    return df.filter(~F.col(name).isin(*values))
+    present = F.col(name).isNotNull()
+    return df.filter(present & ~F.col(name).isin(*values) if values else present)
 
 
 def keep(df: DataFrame, name: str, values: Sequence | DataFrame) -> DataFrame:

@@ -12,11 +12,20 @@ from panelwright.operators.joins import left_join
 
 
 def attach_labels(df: DataFrame, labels: DataFrame, id_column: str, *, only_labelled: bool = False) -> DataFrame:
-    """Join labels (one row per id); entities without one get NULL, or leave if only_labelled."""
-    joined = df.join(labels, id_column, "left")
+    """Join labels (one row per id); entities without one get NULL, or leave if only_labelled.
+
+    The job fails on an id with several rows of labels, which would repeat the entity's rows.
+    """
+    names = [c for c in labels.columns if c != id_column]
+    many = F.raise_error(F.concat(F.lit("several labels for "), F.col(id_column).cast("string")))
+    single = labels.groupBy(quoted(id_column)).agg(
+        F.count(F.lit(1)).alias("__n"), *[F.first(quoted(c)).alias(c) for c in names]
+    )
+    kinds = dict(labels.dtypes)
+    checked = [F.when(F.col("__n") > 1, many.cast(kinds[c])).otherwise(quoted(c)).alias(c) for c in names]
+    joined = df.join(single.select(quoted(id_column), *checked), id_column, "left")
     if not only_labelled:
         return joined
-    names = [c for c in labels.columns if c != id_column]
     return joined.dropna(how="all", subset=names)
 
 

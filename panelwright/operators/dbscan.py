@@ -20,7 +20,7 @@ from panelwright.functions.nulls import complete_rows
 from panelwright.functions.numbering import number_in_order
 from panelwright.operators.columns import quoted
 from panelwright.operators.graph import components
-from panelwright.operators.grid import GRID_DIMENSIONS, around, largest_gap, least_gap, squared
+from panelwright.operators.grid import GRID_DIMENSIONS, around, largest_gap, least_gap, selective, squared
 from panelwright.operators.joins import left_join
 from panelwright.session import materialise, materialise_counted, spread
 
@@ -32,13 +32,18 @@ COMPARISONS_PER_TASK = 500_000
 BOXES_PER_TASK = 5_000
 
 
-def distance_pairs(df: DataFrame, id_column: str, features: Sequence[str], within: float) -> DataFrame:
+def distance_pairs(
+    df: DataFrame, id_column: str, features: Sequence[str], within: float, *, invalid: str = "error"
+) -> DataFrame:
     """(id_a, id_b, distance) of all pairs up to a distance, id_a < id_b.
 
-    The list is as long as the answer; choose the radius accordingly.
+    The list is as long as the answer, which grows with the square of a crowd: for a look at a
+    few hundred entities. For large tables see kmeans.centre_distances.
     """
     d = min(len(features), GRID_DIMENSIONS)
-    rows = df.select(quoted(id_column).alias("id"), *[quoted(f).cast("double").alias(f"x{i}") for i, f in enumerate(features)])
+    xs = [f"x{i}" for i in range(len(features))]
+    rows = df.select(quoted(id_column).alias("id"), *[quoted(f).cast("double").alias(x) for f, x in zip(features, xs)])
+    rows = complete_rows(rows, xs, invalid)
     cells = [F.floor(F.col(f"x{i}") / F.lit(within)) for i in range(d)]
     names = [f"c{i}" for i in range(d)]
     a = around(rows, cells, names)
@@ -67,7 +72,7 @@ def dbscan(
     A point with min_pts points within eps, itself counted, is a core point. A border point
     joins the first of the clusters in reach.
     """
-    rows = _rows(df, id_column, features, invalid)
+    rows = _rows(df, id_column, features, invalid, eps)
     return _labels(rows, _distinct(rows), id_column, len(features), eps, min_pts, border_points)
 
 
@@ -75,7 +80,7 @@ def dbscan_sweep(
     df: DataFrame, id_column: str, features: Sequence[str], grid: Sequence[tuple[float, int]], *, invalid: str = "error"
 ) -> DataFrame:
     """Sizes per (eps, min_pts) and cluster: (eps, min_pts, cluster, size, cores)."""
-    rows = _rows(df, id_column, features, invalid)
+    rows = _rows(df, id_column, features, invalid, max((eps for eps, _ in grid), default=1.0))
     points = _distinct(rows)
     out = None
     for eps, min_pts in grid:
@@ -88,10 +93,12 @@ def dbscan_sweep(
     return out
 
 
-def _rows(df, id_column, features, invalid):
+def _rows(df, id_column, features, invalid, eps):
+    """Stored points; their coordinates are in the order of how well they part the points."""
     xs = [f"x{i}" for i in range(len(features))]
     rows = df.select(quoted(id_column).alias("id"), *[quoted(f).cast("double").alias(x) for f, x in zip(features, xs)])
-    return materialise(complete_rows(rows, xs, invalid), "points")
+    stored = materialise(complete_rows(rows, xs, invalid), "points")
+    return stored.select("id", *[F.col(x).alias(n) for x, n in zip(selective(stored, xs, eps), xs)])
 
 
 def _distinct(rows: DataFrame) -> DataFrame:

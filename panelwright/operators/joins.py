@@ -5,15 +5,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelwright.operators.columns import quoted
+from panelwright.session import scratch_path
 
 BROADCAST_ROWS = 100_000
 BROADCAST_BYTES = 64 * 1024 * 1024
-SALTS = 32
 
 
 @dataclass(frozen=True)
@@ -31,62 +31,43 @@ def left_join(
     on: Sequence[tuple[str, str]],
     *,
     broadcast_rows: int = BROADCAST_ROWS,
-    salts: int = SALTS,
     how: str = "left",
 ) -> DataFrame:
     """Join on pairs of (fact key, dimension key), keeping the fact's key columns.
 
-    The dimension is measured first. Up to broadcast_rows, and BROADCAST_BYTES of text, it is
-    broadcast, so the fact is not shuffled. Beyond that the fact's rows of one key are spread over `salts` tasks by a
-    hash of the whole row, and the dimension is repeated once per salt: a key that holds a
-    third of the fact stays divided, and no row is lost.
+    The dimension is computed once, stored, and measured on the way. Up to broadcast_rows and
+    BROADCAST_BYTES it is broadcast, so the fact is not shuffled. Beyond that both sides are
+    shuffled by key, and a key that holds a third of the fact is split over tasks by Spark's
+    adaptive skew join, which divides a partition by the tasks that wrote it and so equal rows too.
     """
-    return _attach(_salted(fact, salts), dim, on, broadcast_rows, salts, how).drop("__salt")
-
-
-def enrich(
-    panel: DataFrame,
-    dimensions: Sequence[Dimension],
-    *,
-    broadcast_rows: int = BROADCAST_ROWS,
-    salts: int = SALTS,
-) -> DataFrame:
-    """Attach dimension tables one after the other; a later one may use a column of an earlier one.
-
-    All joins share one salt per row, so large dimensions of the same key shuffle the panel once.
-    """
-    out = _salted(panel, salts)
-    for d in dimensions:
-        out = _attach(out, d.table, [(d.left_key, d.right_key)], broadcast_rows, salts, "left")
-    return out.drop("__salt")
-
-
-def _salted(fact: DataFrame, salts: int) -> DataFrame:
-    salt = F.pmod(F.xxhash64(*[quoted(c) for c in fact.columns]), F.lit(salts))
-    return fact.withColumn("__salt", salt.cast("int"))
-
-
-def _attach(fact, dim, on, broadcast_rows, salts, how) -> DataFrame:
     keys = {r: f"__key{i}" for i, (_, r) in enumerate(on)}
     clash = (set(dim.columns) - set(keys)) & set(fact.columns)
     if clash:
         raise ValueError(f"columns on both sides of the join: {sorted(clash)}")
-    right = dim.select(*[quoted(c).alias(keys.get(c, c)) for c in dim.columns])
+    right, small = _stored(dim.select(*[quoted(c).alias(keys.get(c, c)) for c in dim.columns]), broadcast_rows)
     condition = F.lit(True)
     for l, r in on:
         condition = condition & (quoted(l) == F.col(keys[r]))
-    if _fits(right, broadcast_rows):
-        right = F.broadcast(right)
-    else:
-        right = right.withColumn("__right_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        condition = condition & (F.col("__salt") == F.col("__right_salt"))
-    return fact.join(right, condition, how).drop("__right_salt", *keys.values())
+    return fact.join(F.broadcast(right) if small else right, condition, how).drop(*keys.values())
+
+
+def enrich(panel: DataFrame, dimensions: Sequence[Dimension], *, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Attach dimension tables one after the other; a later one may use a column of an earlier one."""
+    for d in dimensions:
+        panel = left_join(panel, d.table, [(d.left_key, d.right_key)], broadcast_rows=broadcast_rows)
+    return panel
 
 
-def _fits(table: DataFrame, rows: int) -> bool:
-    """Whether a table is small: by its rows, and where columns have no fixed width, by their bytes."""
+def _stored(table: DataFrame, rows: int) -> tuple[DataFrame, bool]:
+    """The stored table, and whether it is small by its rows and its bytes."""
     fixed = (T.NumericType, T.BooleanType, T.DatetimeType)
     wide = [f.name for f in table.schema.fields if not isinstance(f.dataType, fixed)]
     length = sum((F.coalesce(F.octet_length(quoted(c).cast("string")), F.lit(0)) for c in wide), F.lit(0))
-    found = table.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(length.cast("long")), F.lit(0)).alias("b")).first()
-    return found["n"] <= rows and found["b"] <= BROADCAST_BYTES
+    length = length + F.lit(8 * (len(table.columns) - len(wide)))
+    seen, path = Observation(), scratch_path(table.sparkSession, "dimension")
+    table.observe(
+        seen, F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(length.cast("long")), F.lit(0)).alias("b")
+    ).write.parquet(path)
+    found = seen.get
+    stored = table.sparkSession.read.schema(table.schema).parquet(path)
+    return stored, found["n"] <= rows and found["b"] <= BROADCAST_BYTES

@@ -59,9 +59,9 @@ def kmeans_sweep(
     rows = df.select(quoted(id_column).alias("__id"), *[quoted(f).cast("double").alias(f) for f in features])
     points, n = materialise_counted(complete_rows(rows, features, invalid), "points")
     work = float(n) * len(features) * starts * sum(ks)
-    if work > WORK_PER_TASK:
-        points = materialise(spread(points, work, WORK_PER_TASK), "spread-points")
-    drawn = _draws(points, features, ks[-1], starts, seed)
+    divided = spread(points, work, WORK_PER_TASK)
+    points = points if divided is points else materialise(divided, "spread-points")
+    drawn = _draws(points, n, features, ks[-1], starts, seed)
 
     names = [f"__x{i}" for i in range(len(features))]
     coordinates = points.select(*[quoted(f).alias(n) for f, n in zip(features, names)])
@@ -94,29 +94,32 @@ def kmeans_sweep(
     return KMeansFits(df.sparkSession.createDataFrame(best, schema), tuple(features))
 
 
-def _draws(points: DataFrame, features: list[str], k: int, starts: int, seed: int) -> dict[int, np.ndarray]:
-    """Per start k distinct points: those with the smallest hash of (seed, start, id)."""
-    distinct = points.groupBy(*[quoted(f) for f in features]).agg(F.min("__id").alias("__id"))
-    distinct = materialise(distinct, "distinct-points")
-    n = distinct.count()
-    if n < k:
-        raise ValueError(f"{k} clusters asked of {n} distinct points")
-    share = min(1.0, CANDIDATES / n)
+def _draws(points: DataFrame, n: int, features: list[str], k: int, starts: int, seed: int) -> dict[int, np.ndarray]:
+    """Per start k distinct points: those whose rows have the smallest hash of (seed, start, id).
+
+    Rows are hashed and filtered first, and only the few that are left are checked for copies of
+    a point, so the table is neither shuffled nor stored for its draws.
+    """
+    share = min(1.0, CANDIDATES / max(1, n))
     while True:
-        tried = distinct.withColumn("__start", F.explode(F.sequence(F.lit(1), F.lit(starts))))
+        tried = points.withColumn("__start", F.explode(F.sequence(F.lit(1), F.lit(starts))))
         tried = tried.withColumn(
             "__draw", F.md5(F.concat_ws(":", F.lit(seed), F.col("__start"), F.col("__id").cast("string")))
         )
         if share < 1.0:
             # A hash under this bound, so that each start ranks about CANDIDATES points only.
             tried = tried.filter(F.col("__draw") < f"{int(share * 16**8):08x}")
-        place = F.row_number().over(Window.partitionBy("__start").orderBy("__draw", "__id"))
+        first = F.min(F.struct("__draw", "__id")).alias("__first")
+        tried = tried.groupBy("__start", *[quoted(f) for f in features]).agg(first)
+        place = F.row_number().over(Window.partitionBy("__start").orderBy("__first"))
         picked = tried.withColumn("__place", place).filter(F.col("__place") <= k).collect()
         draws: dict[int, list] = {s: [] for s in range(1, starts + 1)}
         for r in sorted(picked, key=lambda r: r["__place"]):
             draws[r["__start"]].append([r[f] for f in features])
         if all(len(d) == k for d in draws.values()):
             return {s: np.array(d, dtype=float) for s, d in draws.items()}
+        if share >= 1.0:
+            raise ValueError(f"{k} clusters asked of {min(map(len, draws.values()))} distinct points")
         share = min(1.0, share * 10)
 
 
@@ -182,6 +185,17 @@ def nearest_centre(features: Sequence[str], centres: Sequence[tuple[int, Sequenc
     return F.array_min(F.array(*options))["label"]
 
 
+def centre_distances(
+    df: DataFrame, id_column: str, features: Sequence[str], centres: Sequence[tuple[int, Sequence[float]]]
+) -> DataFrame:
+    """(id, cluster, distance): each row's Euclidean distance to every centre, k rows for a row."""
+    cells = []
+    for label, centre in centres:
+        squares = [(quoted(f) - F.lit(float(v))) * (quoted(f) - F.lit(float(v))) for f, v in zip(features, centre)]
+        cells.append(F.struct(F.lit(label).alias("cluster"), F.sqrt(sum(squares[1:], squares[0])).alias("distance")))
+    return df.select(quoted(id_column), F.inline(F.array(*cells)))
+
+
 def assign(
     df: DataFrame,
     features: Sequence[str],

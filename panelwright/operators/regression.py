@@ -69,8 +69,8 @@ def _product(term: Iterable[str]) -> Column:
 
 FIT_FIELDS = (
     "term string, position int, estimate double, std_error double, t double, p double, "
-    "n long, dropped long, rank int, df int, sigma double, r2 double, adj_r2 double, "
-    "f double, f_df int, f_p double"
+    "n long, dropped long, rank int, df long, sigma double, r2 double, adj_r2 double, "
+    "f double, f_df long, f_p double"
 )
 
 
@@ -80,39 +80,54 @@ def ols(df: DataFrame, spec: Model, *, by: Sequence[str] = ()) -> DataFrame:
     Rows lacking any value of this model are left out and counted in `dropped`. A term that the
     earlier ones determine, or for which there are too few rows, gets NULL instead of failing.
     """
-    gram = _gram(df, spec, by)
-    names = ["(intercept)", *spec.names]
-    keys = T.StructType([df.schema[b] for b in by])
+    return ols_many(df, {"": spec}, by=by).drop("model")
+
+
+def ols_many(df: DataFrame, models: Mapping[str, Model], *, by: Sequence[str] = ()) -> DataFrame:
+    """Fit several models on one table in one scan; the rows of ols() with the model's name before them."""
+    gram = _gram(df, models, by)
+    names = {name: ["(intercept)", *spec.names] for name, spec in models.items()}
+    keys = T.StructType([df.schema[b] for b in by]).add("model", T.StringType(), False)
     schema = T.StructType([*keys.fields, *T.StructType.fromDDL(FIT_FIELDS).fields])
 
     def solve(batches):
         for batch in batches:
             rows = []
             for record in batch.itertuples(index=False, name=None):
-                key, (n, dropped, means, cross) = record[: len(by)], record[len(by) :]
-                rows += [(*key, *fit) for fit in _solve(names, n, dropped, means, cross)]
+                key, (n, dropped, means, cross) = record[: len(by) + 1], record[len(by) + 1 :]
+                rows += [(*key, *fit) for fit in _solve(names[key[-1]], n, dropped, means, cross)]
             yield pd.DataFrame(rows, columns=schema.names).astype(object).where(lambda x: x.notna(), None)
 
     return gram.mapInPandas(solve, schema)
 
 
-def _gram(df: DataFrame, spec: Model, by: Sequence[str]) -> DataFrame:
-    values = [_product(t) for t in spec.terms] + [quoted(spec.response).cast("double")]
-    cells = [f"__x{i}" for i in range(len(values))]
-    usable = F.lit(True)
-    for c in cells:
-        usable = usable & F.col(c).isNotNull() & ~F.isnan(c)
-    rows = df.select(*[quoted(b) for b in by], *[v.alias(c) for v, c in zip(values, cells)])
-    kept = rows.withColumn("__ok", usable).select(
-        *[quoted(b) for b in by], "__ok", *[F.when(F.col("__ok"), F.col(c)).alias(c) for c in cells]
-    )
-    pairs = combinations_with_replacement(cells, 2)
-    return kept.groupBy(*[quoted(b) for b in by]).agg(
-        F.count_if("__ok").alias("__n"),
-        F.count_if(~F.col("__ok")).alias("__dropped"),
-        F.array(*[F.avg(c) for c in cells]).alias("__means"),
-        F.array(*[F.covar_pop(a, b) for a, b in pairs]).alias("__cross"),
-    )
+def _gram(df: DataFrame, models: Mapping[str, Model], by: Sequence[str]) -> DataFrame:
+    """(by..., model, n, dropped, means, co-moments): one aggregate for all groups and models.
+
+    A product that several models use is computed once for a row; each model leaves out the rows
+    that lack one of its own values.
+    """
+    wanted = {name: [*spec.terms, (spec.response,)] for name, spec in models.items()}
+    cells = {t: f"__x{i}" for i, t in enumerate(dict.fromkeys(t for ts in wanted.values() for t in ts))}
+    rows = df.select(*[quoted(b) for b in by], *[_product(t).alias(c) for t, c in cells.items()])
+    flags, facts = {}, []
+    for i, (name, terms) in enumerate(wanted.items()):
+        usable = F.lit(True)
+        for t in terms:
+            usable = usable & F.col(cells[t]).isNotNull() & ~F.isnan(cells[t])
+        flags[f"__ok{i}"] = usable
+        values = [F.when(F.col(f"__ok{i}"), F.col(cells[t])) for t in terms]
+        facts.append(
+            F.struct(
+                F.lit(name).alias("__model"),
+                F.count_if(f"__ok{i}").alias("__n"),
+                F.count_if(~F.col(f"__ok{i}")).alias("__dropped"),
+                F.array(*[F.avg(v) for v in values]).alias("__means"),
+                F.array(*[F.covar_pop(a, b) for a, b in combinations_with_replacement(values, 2)]).alias("__cross"),
+            )
+        )
+    found = rows.withColumns(flags).groupBy(*[quoted(b) for b in by]).agg(F.array(*facts).alias("__facts"))
+    return found.select(*[quoted(b) for b in by], F.inline("__facts"))
 
 
 def _solve(names, n, dropped, means, cross) -> list[tuple]:
@@ -217,9 +232,12 @@ def residual_quantiles(df: DataFrame, spec: Model, fit: DataFrame, *, by: Sequen
 
 
 def ols_catalogue(models: Mapping[str, tuple[DataFrame, Model]]) -> DataFrame:
-    """Fit many models, each on its own table, into one result under the model's name."""
-    fits = None
+    """Fit many models, each on its own table, into one result; models of one table share a scan."""
+    tables: dict[int, tuple[DataFrame, dict[str, Model]]] = {}
     for name, (df, spec) in models.items():
-        fit = ols(df, spec).withColumn("model", F.lit(name))
+        tables.setdefault(id(df), (df, {}))[1][name] = spec
+    fits = None
+    for df, specs in tables.values():
+        fit = ols_many(df, specs)
         fits = fit if fits is None else fits.unionByName(fit)
     return fits

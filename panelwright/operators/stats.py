@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,11 +27,12 @@ def table_summary(df: DataFrame, columns: Sequence[str] | None = None, *, by: Se
     by = list(by)
     columns = [c for c in (columns or df.columns) if c not in by]
     kinds = {c: df.schema[c].dataType for c in columns}
-    numeric = [c for c in columns if isinstance(kinds[c], T.NumericType)]
+    numeric = [c for c in columns if isinstance(kinds[c], (T.NumericType, T.DatetimeType))]
+    numbers = {c: _number(quoted(c), kinds[c]) for c in numeric}
     facts = []
     for c in columns:
         x = quoted(c)
-        number = x.cast("double") if c in numeric else F.lit(None).cast("double")
+        number = numbers.get(c, F.lit(None).cast("double"))
         facts.append(
             F.struct(
                 F.lit(c).alias("column"),
@@ -49,7 +50,7 @@ def table_summary(df: DataFrame, columns: Sequence[str] | None = None, *, by: Se
     if not numeric:
         empty = F.lit(None).cast("double")
         return facts_long.withColumns({"q1": empty, "median": empty, "q3": empty})
-    quartiles = exact_quantiles(df, by, numeric)
+    quartiles = exact_quantiles(df.select(*keys, *[v.alias(c) for c, v in numbers.items()]), by, numeric)
     right = quartiles.select(
         *[quoted(b).alias(f"__by{i}") for i, b in enumerate(by)],
         F.col("column").alias("__column"),
@@ -73,6 +74,15 @@ def table_summary(df: DataFrame, columns: Sequence[str] | None = None, *, by: Se
     )
 
 
+def _number(x: Column, kind: T.DataType) -> Column:
+    """A column as a double; dates and times as days since 1970, times with their fraction of a day."""
+    if isinstance(kind, T.DateType):
+        return F.unix_date(x).cast("double")
+    if isinstance(kind, T.DatetimeType):
+        return F.unix_micros(x.cast("timestamp")) / F.lit(86_400_000_000.0)
+    return x.cast("double")
+
+
 def corr_matrix(df: DataFrame, columns: Sequence[str], *, nulls: str = "propagate") -> DataFrame:
     """Pearson correlations of all pairs in long form (a, b, r), both triangles and the diagonal."""
     names = {c: f"__c{i}" for i, c in enumerate(columns)}

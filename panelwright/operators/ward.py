@@ -3,9 +3,11 @@
 The height of joining two clusters is sqrt(2 s t / (s + t)) times the distance of their centres,
 so a cluster is (smallest member, size, centre) and no distance matrix is kept. Ward's distance
 is reducible: all pairs that are each other's nearest can be joined in one round, and the tree is
-the one that joining the closest pair at a time gives. The height is never below the distance of
-the centres, so a search within a radius h finds every pair of height up to h: rounds work on a
-grid of width h, chosen so that the candidates stay within a budget, and h grows as clusters do.
+the one that joining the closest pair at a time gives. The height is never below sqrt(min(s, t))
+times the distance of the centres, so a cluster of at least 2^i members finds every partner of its
+size or larger, up to height h, within h / 2^(i/2): clusters are put into classes by size, and each
+class searches a grid of its own width. h is chosen so that the candidates stay near a budget; once
+all pairs of clusters fit the budget, they are compared without a grid.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import types as T
 from panelwright.functions.nulls import complete_rows
 from panelwright.functions.numbering import number_in_order
 from panelwright.operators.columns import quoted
-from panelwright.operators.grid import GRID_DIMENSIONS
+from panelwright.operators.grid import GRID_DIMENSIONS, selective
 from panelwright.operators.joins import left_join
 from panelwright.session import materialise, materialise_counted, scratch_path, spread, write_counted
 
@@ -29,6 +31,8 @@ CANDIDATES_PER_CLUSTER = 64
 # Half of a cell's 27 neighbours, itself among them.
 NEIGHBOURS = 14
 PAIRS_PER_TASK = 250_000
+# What a cut or an elbow may ask for: so many rows are broadcast and reach the driver.
+MOST_CLUSTERS = 10_000
 
 
 def ward_tree(
@@ -56,31 +60,33 @@ def ward_tree(
     copies = left_join(rows, firsts, [(x, f"{x}_key") for x in xs], how="inner").filter("id != rep")
     copies = copies.selectExpr("rep AS left", "id AS right", "0D AS height", "cast(size AS long) AS size", "0 AS round")
 
-    corners = live.agg(F.count(F.lit(1)), *[f(x) for x in xs for f in (F.min, F.max)]).first()
+    corners = live.agg(F.count(F.lit(1)), F.sum("size"), *[f(x) for x in xs for f in (F.min, F.max)]).first()
     m = corners[0]
-    extent = math.sqrt(sum((corners[2 + 2 * i] - corners[1 + 2 * i]) ** 2 for i in range(d))) if m else 0.0
-    radius = extent * 2
+    extent = math.sqrt(sum((corners[3 + 2 * i] - corners[2 + 2 * i]) ** 2 for i in range(d))) if m else 0.0
+    highest = extent * math.sqrt(corners[1] or 1.0)  # no join is higher
+    radius = highest
     number = 0
     if m * m > candidates:
-        radius = _widest(live, xs, extent / m ** (1 / d), extent, m, candidates)
+        radius = extent / m ** (1 / d)
+        order = selective(live, xs, radius)
+        live = live.select("rep", "size", *[F.col(x).alias(n) for x, n in zip(order, xs)])
+        radius = _widest(live, xs, radius, highest, m, candidates)
     # The state after each round is one part of a table; its joined clusters are the tree.
     states = scratch_path(df.sparkSession, "clusters")
     while m > 1:
         number += 1
-        everything = radius > extent
+        everything = m * m <= candidates
         pairs = min(m * m / 2, NEIGHBOURS * max(candidates, CANDIDATES_PER_CLUSTER * m))
         step = _round(spread(live, pairs, PAIRS_PER_TASK), live, xs, radius, everything)
         joined, left = write_counted(step, f"{states}/round={number}")
         live = joined.select("rep", "size", *xs)
         before, m = m, left
-        if everything:
+        if everything or m * m <= candidates:
             continue
-        if m * m <= candidates:
-            radius = extent * 2
-        elif m == before:
+        if m == before:
             radius *= 2
         elif before - m < before / 10:
-            radius = _widest(live, xs, radius, extent, m, candidates, shrink=False)
+            radius = _widest(live, xs, radius, highest, m, candidates, shrink=False)
     if not number:
         return copies
     whole = df.sparkSession.read.schema(T.StructType([*joined.schema.fields, T.StructField("round", T.IntegerType())]))
@@ -89,21 +95,34 @@ def ward_tree(
     return copies.unionByName(merges)
 
 
-def _cells(xs: Sequence[str], radius: float) -> list:
-    return [F.floor(F.col(x) / F.lit(radius)) for x in xs[:GRID_DIMENSIONS]]
+SIZE_CLASS = "cast(floor(log2(size)) AS int)"
 
 
-def _widest(live, xs, radius, extent, m, candidates, shrink=True) -> float:
+def cells(xs: Sequence[str], radius: float) -> list[str]:
+    """Grid coordinates of a cluster in the grid of class k, as SQL."""
+    return [f"cast(floor({x} * pow(2D, k / 2D) / {radius!r}D) AS long)" for x in xs[:GRID_DIMENSIONS]]
+
+
+def crowd(live: DataFrame, xs: Sequence[str], radius: float) -> tuple[float, float]:
+    """Candidates of all cells together, and of the fullest cell: searchers times those found there."""
+    listed = live.withColumn("own", F.expr(SIZE_CLASS)).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("own"))))
+    keys = ["k", *[F.expr(c).alias(f"c{i}") for i, c in enumerate(cells(xs, radius))]]
+    counts = listed.groupBy(*keys).agg(F.count_if(F.col("own") == F.col("k")).alias("a"), F.count(F.lit(1)).alias("b"))
+    n = F.col("a").cast("double") * F.col("b")
+    total, most = counts.agg(F.sum(n), F.max(n)).first()
+    return total or 0.0, most or 0.0
+
+
+def _widest(live, xs, radius, highest, m, candidates, shrink=True) -> float:
     """Double or halve a radius to the widest whose cells are not crowded.
 
     No cell may hold more candidates than one task should compare, nor all cells together more
     than the budget.
     """
+    extent = highest
 
     def crowded(r):
-        counts = live.groupBy(*[c.alias(f"c{i}") for i, c in enumerate(_cells(xs, r))]).count()
-        n = F.col("count").cast("double")
-        total, most = counts.agg(F.sum(n * n), F.max(n * n)).first()
+        total, most = crowd(live, xs, r)
         return total > max(candidates, CANDIDATES_PER_CLUSTER * m) or most > candidates
 
     if shrink and crowded(radius):
@@ -120,18 +139,25 @@ def _widest(live, xs, radius, extent, m, candidates, shrink=True) -> float:
 def _round(probes: DataFrame, live: DataFrame, xs: Sequence[str], radius: float, everything: bool) -> DataFrame:
     """Join all mutual nearest pairs of height up to the radius; joined clusters carry right and height.
 
+    With `everything` all pairs are compared, whatever their height.
+
     `probes` is the same table as `live`, divided by the work of comparing its rows. A pair takes
     both clusters along, so that it can become the joined one, and every cluster also offers
     itself as the last resort: grouping the choices by pair then yields the next state. Equal
     heights are ordered by a hash of the pair, so that chains of ties break up in few rounds.
     """
-    g = range(min(len(xs), GRID_DIMENSIONS))
-    cells = [f"floor({xs[i]} / {radius!r}D)" for i in g]
-    adjacent = " ".join(f"LATERAL VIEW explode(sequence({c} - 1, {c} + 1)) t{i} AS c{i}" for i, c in zip(g, cells))
-    own = ", ".join(f"{c} AS c{i}" for i, c in zip(g, cells))
-    same = " AND ".join(f"a.c{i} = b.c{i}" for i in g)
+    own = cells(xs, radius)
+    g = range(len(own))
+    adjacent = " ".join(f"LATERAL VIEW explode(sequence({c} - 1, {c} + 1)) t{i} AS c{i}" for i, c in zip(g, own))
+    listed = "LATERAL VIEW explode(sequence(0, class)) t AS k"
+    at = ", ".join(f"{c} AS c{i}" for i, c in zip(g, own))
+    same = " AND ".join(["a.k = b.k", *[f"a.c{i} = b.c{i}" for i in g]])
+    if everything:
+        adjacent, listed, at, same = "", "LATERAL VIEW explode(array(0)) t AS k", "0 AS c0", "a.k = b.k"
+    classed = "0" if everything else SIZE_CLASS
     gap = " + ".join(f"(a.{x} - b.{x}) * (a.{x} - b.{x})" for x in xs)
-    one, other = (f"struct({', '.join(f'{t}.{c}' for c in ('rep', 'size', *xs))})" for t in "ab")
+    mine, theirs = (f"struct({', '.join(f'{t}.{c}' for c in ('rep', 'size', *xs))})" for t in "ab")
+    one, other = f"if(a.rep < b.rep, {mine}, {theirs})", f"if(a.rep < b.rep, {theirs}, {mine})"
     centre = ", ".join(
         f"CASE WHEN ends = 2 THEN (one.{x} * one.size + other.{x} * other.size) / (one.size + other.size) "
         f"ELSE self.{x} END AS {x}"
@@ -139,17 +165,19 @@ def _round(probes: DataFrame, live: DataFrame, xs: Sequence[str], radius: float,
     )
     return live.sparkSession.sql(
         f"""
-        WITH a AS (SELECT * FROM {{probes}} {adjacent}),
-        b AS (SELECT *, {own} FROM {{live}}),
+        WITH searching AS (SELECT *, {classed} AS k FROM {{probes}}),
+        a AS (SELECT * FROM searching {adjacent}),
+        found AS (SELECT * FROM (SELECT *, {classed} AS class FROM {{live}}) {listed}),
+        b AS (SELECT *, {at} FROM found),
         pairs AS (
-          SELECT 2 * a.size * b.size / (a.size + b.size) * ({gap}) AS h2, xxhash64(a.rep, b.rep) AS tie,
-                 {one} AS one, {other} AS other
-          FROM a JOIN b ON {same} WHERE a.rep < b.rep),
+          SELECT 2 * a.size * b.size / (a.size + b.size) * ({gap}) AS h2,
+                 xxhash64(least(a.rep, b.rep), greatest(a.rep, b.rep)) AS tie, {one} AS one, {other} AS other
+          FROM a JOIN b ON {same} WHERE a.rep < b.rep OR (b.class > a.k AND a.rep > b.rep)),
         offers AS (
           SELECT explode(array(one.rep, other.rep)) AS rep, struct(h2, tie, one, other) AS pair
           FROM pairs WHERE {'true' if everything else f'h2 <= {radius * radius!r}D'}
           UNION ALL
-          SELECT a.rep, struct(double('infinity'), 0L, {one}, if(false, {one}, NULL)) FROM {{live}} AS a),
+          SELECT a.rep, struct(double('infinity'), 0L, {mine}, if(false, {mine}, NULL)) FROM {{live}} AS a),
         chosen AS (SELECT rep, min(pair) AS pair FROM offers GROUP BY rep),
         grouped AS (
           SELECT first(pair.one) AS one, first(pair.other) AS other, first(pair.h2) AS h2, count(*) AS ends,
@@ -181,8 +209,8 @@ def cut(df: DataFrame, id_column: str, tree: DataFrame, k: int) -> DataFrame:
     The k - 1 highest joins are left out. Following the rest from `right` to `left` leads to the
     smallest member; each round triples the distance followed.
     """
-    if k < 1:
-        raise ValueError("k must be at least 1")
+    if not 1 <= k <= MOST_CLUSTERS:
+        raise ValueError(f"k must be from 1 to {MOST_CLUSTERS}")
     kept = tree
     if k > 1:
         highest = tree.orderBy(*_order(True)).limit(k - 1).select("right")
@@ -212,6 +240,8 @@ def elbow(tree: DataFrame, ks: Sequence[int] = range(1, 11)) -> DataFrame:
     A join of height h adds h * h / 2, so k clusters lack the k - 1 largest of these.
     """
     ks = sorted(ks)
+    if ks and not 1 <= ks[0] <= ks[-1] <= MOST_CLUSTERS:
+        raise ValueError(f"k must be from 1 to {MOST_CLUSTERS}")
     total = tree.agg(F.sum(F.col("height") * F.col("height") / 2)).first()[0] or 0.0
     top = [r["height"] for r in tree.orderBy(F.desc("height")).limit(ks[-1] - 1).select("height").collect()]
     rows = [(k, max(total - math.fsum(h * h / 2 for h in top[: k - 1]), 0.0)) for k in ks]

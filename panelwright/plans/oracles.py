@@ -164,16 +164,12 @@ FROM running WHERE {AS_OF} AND day_100 <> 0 AND total_metric >= 2500"""
 
 MEASURES = ("total", "bad", "span", "long_span")
 
-ORACLES["cluster_profile"] = f"""WITH {FEATURE_TABLE}, labelled AS (SELECT *, {LABEL_B} AS cluster FROM features)
-SELECT {big('cluster')} AS cluster, 'propagate' AS nulls, COUNT(*) AS rows,
-       {', '.join(f"{r(f'CASE WHEN COUNT({m}) = COUNT(*) THEN AVG({m}) END', 6)} AS mean_{m}" for m in MEASURES)}
-FROM labelled GROUP BY cluster
-UNION ALL
-SELECT {big('cluster')}, 'skip', COUNT(*), {', '.join(f"{r(f'AVG({m})', 6)}" for m in MEASURES)}
-FROM labelled GROUP BY cluster"""
-
 
 def _summary(column: str, kind: str) -> str:
+    if kind == "date":
+        column, name = f"CAST(DATE_DIFF('day', DATE '1970-01-01', {column}) AS DOUBLE)", column
+    else:
+        name = column
     if kind == "string":
         facts = ", ".join(f"CAST(NULL AS DOUBLE) AS {n}" for n in ("min", "q1", "median", "mean", "q3", "max"))
     else:
@@ -183,16 +179,17 @@ def _summary(column: str, kind: str) -> str:
             f"{r(f'AVG({column})')} AS mean, {r(q[2])} AS q3, {r(f'MAX({column})')} AS max"
         )
     return (
-        f"SELECT l_linestatus, '{column}' AS column, '{kind}' AS type, COUNT(*) AS rows, "
+        f"SELECT l_linestatus, '{name}' AS column, '{kind}' AS type, COUNT(*) AS rows, "
         f"COUNT(*) - COUNT({column}) AS nulls, {facts} FROM lines GROUP BY l_linestatus"
     )
 
 
 ORACLES["table_summary"] = """WITH lines AS (
-  SELECT l_linestatus, l_quantity, l_extendedprice, NULLIF(l_discount, 0.0) AS l_discount, l_returnflag FROM lineitem)
+  SELECT l_linestatus, l_quantity, l_extendedprice, NULLIF(l_discount, 0.0) AS l_discount, l_returnflag,
+         CAST(l_shipdate AS DATE) AS l_shipdate FROM lineitem)
 """ + " UNION ALL ".join(
     _summary(c, k)
-    for c, k in [("l_quantity", "double"), ("l_extendedprice", "double"), ("l_discount", "double"), ("l_returnflag", "string")]
+    for c, k in [("l_quantity", "double"), ("l_extendedprice", "double"), ("l_discount", "double"), ("l_returnflag", "string"), ("l_shipdate", "date")]
 )
 
 
@@ -292,6 +289,17 @@ LINE_COLUMNS = [*LINE_TERMS, "l_extendedprice"]
 
 ORACLES["ols_fit"] = f"WITH {fitted(2, moments(LINE_COLUMNS, 'lineitem'))} {coefficient_rows(LINE_TERMS)}"
 
+LINES = """(SELECT l_quantity, l_tax, NULLIF(l_discount, 0.0) AS l_discount, l_extendedprice, l_quantity * l_tax AS crossed
+  FROM lineitem) AS lines"""
+ORACLES["ols_catalogue"] = " UNION ALL ".join(
+    f"SELECT '{name}' AS model, * FROM (WITH {fitted(len(terms), moments([*columns, 'l_extendedprice'], LINES))} {coefficient_rows(terms)})"
+    for name, terms, columns in [
+        ("one", ["l_quantity"], ["l_quantity"]),
+        ("two", LINE_TERMS, LINE_TERMS),
+        ("crossed", ["l_quantity", "l_tax", "l_quantity:l_tax"], ["l_quantity", "l_tax", "crossed"]),
+    ]
+)
+
 ORACLES["ols_by_group"] = f"""WITH lines AS (
   SELECT l_returnflag, l_quantity, NULLIF(l_discount, 0.0) AS l_discount, l_extendedprice FROM lineitem),
 {fitted(2, moments(LINE_COLUMNS, 'lines', 'l_returnflag'))},
@@ -366,10 +374,9 @@ def lloyd(ks, starts: int = 25, rounds: int = 25, seed: int = 123) -> str:
     ctes = [
         SCALED,
         "points AS MATERIALIZED (SELECT * FROM scaled)",
-        f"distinct_points AS MATERIALIZED (SELECT {', '.join(xs)}, MIN(entity) AS id FROM points GROUP BY {', '.join(xs)})",
         f"""drawn AS MATERIALIZED (
-  SELECT *, ROW_NUMBER() OVER (PARTITION BY s ORDER BY md5('{seed}:' || s || ':' || id), id) AS c
-  FROM distinct_points, (SELECT UNNEST(RANGE(1, {starts + 1})) AS s) AS starts)""",
+  SELECT s, {', '.join(xs)}, ROW_NUMBER() OVER (PARTITION BY s ORDER BY MIN(md5('{seed}:' || s || ':' || entity))) AS c
+  FROM points, (SELECT UNNEST(RANGE(1, {starts + 1})) AS s) AS starts GROUP BY s, {', '.join(xs)})""",
         f"""centres_0 AS MATERIALIZED (
   SELECT k, s, c, {', '.join(xs)} FROM drawn, (SELECT UNNEST([{', '.join(map(str, ks))}]) AS k) AS ks WHERE c <= k)""",
     ]
@@ -389,34 +396,49 @@ def lloyd(ks, starts: int = 25, rounds: int = 25, seed: int = 123) -> str:
     ctes.append("""best AS (
   SELECT k, s, wss FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY k ORDER BY ROUND(wss, 6), s) AS place FROM costs) AS ranked
   WHERE place = 1)""")
-    return "WITH " + ",\n".join(ctes)
+    return ",\n".join(ctes)
 
 
-ORACLES["kmeans_fit"] = f"""{lloyd([4])}
+ORACLES["kmeans_fit"] = f"""WITH {lloyd([4])}
 SELECT {big('k')} AS k, ROW_NUMBER() OVER (ORDER BY total, bad, span) AS cluster, size, {r('withinss')} AS withinss,
        {r('total')} AS total, {r('bad')} AS bad, {r('span')} AS span
 FROM best JOIN (SELECT k, s, c, COUNT(*) AS size, SUM(d) AS withinss FROM assigned_26 GROUP BY k, s, c) AS parts USING (k, s)
 JOIN centres_25 USING (k, s, c)"""
 
-ORACLES["elbow_table"] = f"{lloyd(range(2, 10))} SELECT {big('k')} AS k, {r('wss')} AS wss FROM best"
+ORACLES["elbow_table"] = f"WITH {lloyd(range(2, 10))} SELECT {big('k')} AS k, {r('wss')} AS wss FROM best"
 
-CENTRES = "(VALUES (1, -1.0, -0.5, 0.8), (2, 0.9, 0.2, -0.9), (3, 0.1, 1.2, 0.3), (4, 0.4, -1.0, 0.1)) AS c(label, total, bad, span)"
+#: The four clusters of the label queries: k-means on the scaled features, numbered by centre.
+FOUR = f"""{lloyd([4], starts=5)},
+four AS MATERIALIZED (
+  SELECT k, s, c, {', '.join(FEATURES)}, ROW_NUMBER() OVER (ORDER BY {', '.join(FEATURES)}) AS cluster
+  FROM centres_25 JOIN best USING (k, s)),
+labels AS MATERIALIZED (SELECT entity, four.cluster FROM assigned_26 JOIN four USING (k, s, c)),
+labelled AS MATERIALIZED (SELECT features.*, cluster FROM features JOIN labels USING (entity))"""
 
-ORACLES["kmeans_assign"] = f"""WITH {SCALED}
-SELECT entity, CAST(ARG_MIN(label, d) AS BIGINT) AS cluster FROM (
-  SELECT entity, label, {' + '.join(f'POW(p.{x} - c.{x}, 2)' for x in FEATURES)} AS d FROM scaled AS p, {CENTRES}) AS measured
-GROUP BY entity"""
+ORACLES["kmeans_assign"] = f"WITH {FOUR} SELECT entity, {big('cluster')} AS cluster FROM labels"
 
-ORACLES["cluster_wss"] = f"""WITH {FEATURE_TABLE}, labelled AS (SELECT *, {LABEL_B} AS cluster FROM features)
+ORACLES["pairwise_distance"] = f"""WITH {FOUR}
+SELECT entity, {big('c.cluster')} AS cluster, {r('SQRT(' + ' + '.join(f'POW(p.{x} - c.{x}, 2)' for x in FEATURES) + ')')} AS distance
+FROM points AS p, four AS c"""
+
+ORACLES["cluster_wss"] = f"""WITH {FOUR}
 SELECT {big('cluster')} AS cluster, COUNT(*) AS size,
        {r(' + '.join(f'VAR_POP({x}) * COUNT(*)' for x in FEATURES))} AS withinss
 FROM labelled GROUP BY cluster"""
 
-ORACLES["cluster_join"] = f"""WITH {FEATURE_TABLE}
-SELECT entity, {r('total')} AS total, {big(LABEL_A)} AS cluster FROM features WHERE {LABEL_A} IS NOT NULL"""
+ORACLES["cluster_join"] = f"""WITH {FOUR}
+SELECT entity, {r('total')} AS total, {big('cluster')} AS cluster FROM labelled WHERE total < 4000"""
+
+ORACLES["cluster_split"] = f"""WITH {FOUR}
+SELECT entity, {r('total')} AS total, {r('bad')} AS bad FROM labelled WHERE cluster = 2"""
 
-ORACLES["cluster_split"] = f"""WITH {FEATURE_TABLE}
-SELECT entity, {r('total')} AS total, {r('bad')} AS bad FROM features WHERE {LABEL_A} = 2"""
+ORACLES["cluster_profile"] = f"""WITH {FOUR}
+SELECT {big('cluster')} AS cluster, 'propagate' AS nulls, COUNT(*) AS rows,
+       {', '.join(f"{r(f'CASE WHEN COUNT({m}) = COUNT(*) THEN AVG({m}) END', 6)} AS mean_{m}" for m in MEASURES)}
+FROM labelled GROUP BY cluster
+UNION ALL
+SELECT {big('cluster')}, 'skip', COUNT(*), {', '.join(f"{r(f'AVG({m})', 6)}" for m in MEASURES)}
+FROM labelled GROUP BY cluster"""
 
 ORACLES["outlier_table"] = f"""WITH {FEATURE_TABLE}
 SELECT entity, {r('total')} AS total, CAST(NULL AS BIGINT) AS cluster FROM features WHERE total >= 4000"""
@@ -466,10 +488,6 @@ ORACLES["pca_two_columns"] = f"""WITH {SCALED} SELECT entity, {r('total')} AS pc
 
 DISTANCE = "SQRT(" + " + ".join(f"POW(a.{x} - b.{x}, 2)" for x in FEATURES) + ")"
 
-ORACLES["pairwise_distance"] = f"""WITH {SCALED}
-SELECT a.entity AS id_a, b.entity AS id_b, {r(DISTANCE, 6)} AS distance
-FROM scaled AS a JOIN scaled AS b ON a.entity < b.entity WHERE {DISTANCE} <= 0.75"""
-
 
 def density(eps: float, min_pts: int, tag: str = "") -> str:
     """CTEs up to labelled{tag}(entity, cluster, is_core): components of core points, then borders."""
@@ -527,13 +545,17 @@ ORACLES["ward_merges"] = f"""WITH RECURSIVE {SCALED}, points AS MATERIALIZED (SE
 SELECT CAST(step AS BIGINT) AS step, left_rep AS left, right_rep AS right, {r('height')} AS height, {big('size')} AS size
 FROM merges"""
 
-ORACLES["ward_cut"] = f"""WITH RECURSIVE {SCALED}, points AS MATERIALIZED (SELECT * FROM scaled), {greedy_ward('points')},
+#: Ward's tree of `points` cut at four: ward_labels(entity, cluster).
+CUT = f"""{greedy_ward('points')},
 kept AS MATERIALIZED (SELECT * FROM merges WHERE step <= (SELECT COUNT(*) - 4 FROM points)),
 climb(entity, held) AS (
   SELECT entity, entity FROM points UNION ALL
   SELECT entity, left_rep FROM climb JOIN kept ON climb.held = kept.right_rep),
-roots AS (SELECT entity, MIN(held) AS root FROM climb GROUP BY entity)
-SELECT entity, DENSE_RANK() OVER (ORDER BY root) AS cluster FROM roots"""
+roots AS (SELECT entity, MIN(held) AS root FROM climb GROUP BY entity),
+ward_labels AS MATERIALIZED (SELECT entity, DENSE_RANK() OVER (ORDER BY root) AS cluster FROM roots)"""
+
+ORACLES["ward_cut"] = f"""WITH RECURSIVE {SCALED}, points AS MATERIALIZED (SELECT * FROM scaled), {CUT}
+SELECT entity, cluster FROM ward_labels"""
 
 ORACLES["ward_elbow"] = f"""WITH RECURSIVE {FEATURE_TABLE}, points AS MATERIALIZED (SELECT entity, {', '.join(FEATURES)} FROM features),
 {greedy_ward('points')},
@@ -544,20 +566,23 @@ FROM (SELECT UNNEST(RANGE(1, 11)) AS k) AS ks, ranked GROUP BY k"""
 
 # --- comparison of labels ----------------------------------------------------------------------
 
-BOTH = f"{FEATURE_TABLE}, both_labels AS (SELECT *, {LABEL_A} AS label_a, {LABEL_B} AS label_b FROM features WHERE total < 4000)"
+BOTH = f"""{FOUR}, {CUT},
+both_labels AS MATERIALIZED (
+  SELECT labelled.*, labelled.cluster AS label_a, ward_labels.cluster AS label_b
+  FROM labelled JOIN ward_labels USING (entity) WHERE total < 4000)"""
 
-ORACLES["cluster_compare"] = f"""WITH {BOTH}
+ORACLES["cluster_compare"] = f"""WITH RECURSIVE {BOTH}
 SELECT entity, {', '.join(f'{r(f)} AS {f}' for f in FEATURES)}, {big('label_a')} AS label_a, {big('label_b')} AS label_b
 FROM both_labels"""
 
-ORACLES["cluster_crosstab"] = f"""WITH {BOTH}
+ORACLES["cluster_crosstab"] = f"""WITH RECURSIVE {BOTH}
 SELECT {big('label_a')} AS label_a, {big('label_b')} AS label_b, COUNT(*) AS rows FROM both_labels GROUP BY label_a, label_b"""
 
-ORACLES["cluster_best_match"] = f"""WITH {BOTH},
+ORACLES["cluster_best_match"] = f"""WITH RECURSIVE {BOTH},
 matched AS (SELECT label_b, label_a, ROW_NUMBER() OVER (PARTITION BY label_b ORDER BY COUNT(*) DESC, label_a) AS place
   FROM both_labels GROUP BY label_b, label_a)
 SELECT entity, CAST(b.label_a AS VARCHAR) AS label_a, CAST(m.label_a AS VARCHAR) AS label_b
 FROM both_labels AS b JOIN matched AS m ON b.label_b = m.label_b AND place = 1"""
 
-ORACLES["relabel_map"] = f"""WITH {BOTH}
+ORACLES["relabel_map"] = f"""WITH RECURSIVE {BOTH}
 SELECT entity, CASE label_b WHEN 1 THEN '2' WHEN 2 THEN '4' WHEN 4 THEN '3' WHEN 3 THEN '1' END AS label_b FROM both_labels"""

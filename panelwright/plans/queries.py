@@ -138,7 +138,6 @@ def dim_enrich(spark, sf_dir):
     orders = load(spark, sf_dir, "orders").groupBy("o_custkey").agg(
         F.count(F.lit(1)).alias("n_orders"), F.avg("o_totalprice").alias("mean_price")
     )
-    orders = materialise(orders, "orders-per-customer")
     suppliers = load(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(
         F.avg("s_acctbal").alias("supplier_balance")
     )
@@ -234,7 +233,7 @@ def significant_entities(spark, sf_dir):
 
 @query
 def cluster_profile(spark, sf_dir):
-    labelled = base.features(spark, sf_dir).withColumn("cluster", base.label_b())
+    labelled = kmeans_labelled(spark, sf_dir)
     measures = ["total", "bad", "span", "long_span"]
     strict = stats.profile(labelled, "cluster", measures).withColumn("nulls", F.lit("propagate"))
     loose = stats.profile(labelled, "cluster", measures, nulls="skip").withColumn("nulls", F.lit("skip"))
@@ -246,8 +245,9 @@ def cluster_profile(spark, sf_dir):
 @query
 def table_summary(spark, sf_dir):
     lines = load(spark, sf_dir, "lineitem").select(
-        "l_linestatus", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag"
+        "l_linestatus", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag", "l_shipdate"
     ).withColumn("l_discount", F.nullif("l_discount", F.lit(0.0)))
+    lines = lines.withColumn("l_shipdate", F.to_date("l_shipdate"))
     summary = stats.table_summary(lines, by=["l_linestatus"])
     return summary.select(
         "l_linestatus", "column", "type", "rows", "nulls", *[real(c).alias(c) for c in ("min", "q1", "median", "mean", "q3", "max")]
@@ -302,6 +302,19 @@ def ols_fit(spark, sf_dir):
     return coefficient_view(regression.ols(load(spark, sf_dir, "lineitem"), LINE_MODEL))
 
 
+CATALOGUE = {
+    "one": regression.model("l_extendedprice", "l_quantity"),
+    "two": LINE_MODEL,
+    "crossed": regression.model("l_extendedprice", regression.crossed("l_quantity", "l_tax")),
+}
+
+
+@query
+def ols_catalogue(spark, sf_dir):
+    lines = load(spark, sf_dir, "lineitem").withColumn("l_discount", F.nullif("l_discount", F.lit(0.0)))
+    return coefficient_view(regression.ols_catalogue({n: (lines, m) for n, m in CATALOGUE.items()}), ["model"])
+
+
 @query
 def ols_by_group(spark, sf_dir):
     lines = load(spark, sf_dir, "lineitem").withColumn("l_discount", F.nullif("l_discount", F.lit(0.0)))
@@ -379,18 +392,35 @@ def elbow_table(spark, sf_dir):
     return kmeans.elbow(fits).select(whole("k").alias("k"), real("wss").alias("wss"))
 
 
-FIXED_CENTRES = [(1, (-1.0, -0.5, 0.8)), (2, (0.9, 0.2, -0.9)), (3, (0.1, 1.2, 0.3)), (4, (0.4, -1.0, 0.1))]
+STARTS = 5
+
+
+def both_features(spark, sf_dir):
+    """Stored features, and the same standardised; the panel is computed once."""
+    stored = materialise(base.features(spark, sf_dir), "features")
+    return stored, materialise(stats.standardize(stored, FEATURES), "scaled-features")
+
+
+def fitted_four(scaled):
+    """Centres and labels of k-means with four clusters."""
+    centres = kmeans.kmeans_sweep(scaled, "entity", FEATURES, [4], starts=STARTS).of(4)
+    return centres, kmeans.assign(scaled, FEATURES, centres).select("entity", "cluster")
+
+
+def kmeans_labelled(spark, sf_dir):
+    stored, scaled = both_features(spark, sf_dir)
+    return materialise(compare.attach_labels(stored, fitted_four(scaled)[1], "entity"), "labelled")
 
 
 @query
 def kmeans_assign(spark, sf_dir):
-    scaled = stats.standardize(base.features(spark, sf_dir), FEATURES)
-    return kmeans.assign(scaled, FEATURES, FIXED_CENTRES).select("entity", whole("cluster").alias("cluster"))
+    _, labels = fitted_four(both_features(spark, sf_dir)[1])
+    return labels.select("entity", whole("cluster").alias("cluster"))
 
 
 @query
 def cluster_wss(spark, sf_dir):
-    labelled = base.features(spark, sf_dir).withColumn("cluster", base.label_b())
+    labelled = kmeans_labelled(spark, sf_dir)
     return kmeans.cluster_wss(labelled, "cluster", FEATURES).select(
         whole("cluster").alias("cluster"), "size", real("withinss").alias("withinss")
     )
@@ -398,22 +428,23 @@ def cluster_wss(spark, sf_dir):
 
 @query
 def cluster_join(spark, sf_dir):
-    table = base.features(spark, sf_dir)
-    labels = table.withColumn("cluster", base.label_a()).dropna(subset=["cluster"]).select("entity", "cluster")
-    return compare.attach_labels(table, labels, "entity", only_labelled=True).select(
+    stored, scaled = both_features(spark, sf_dir)
+    small = stored.filter("total < 4000").select("entity")
+    labels = columns.keep(fitted_four(scaled)[1], "entity", small)
+    return compare.attach_labels(stored, labels, "entity", only_labelled=True).select(
         "entity", real("total").alias("total"), whole("cluster").alias("cluster")
     )
 
 
 @query
 def cluster_split(spark, sf_dir):
-    labelled = base.features(spark, sf_dir).withColumn("cluster", base.label_a())
+    labelled = kmeans_labelled(spark, sf_dir)
     return compare.part(labelled, "cluster", 2).select("entity", real("total").alias("total"), real("bad").alias("bad"))
 
 
 @query
 def outlier_table(spark, sf_dir):
-    table = base.features(spark, sf_dir)
+    table = materialise(base.features(spark, sf_dir), "features")
     outliers = table.filter("total >= 4000").select("entity")
     labels = columns.exclude(table, "entity", outliers).withColumn("cluster", base.label_a()).select("entity", "cluster")
     return columns.keep(compare.attach_labels(table, labels, "entity"), "entity", outliers).select(
@@ -438,8 +469,9 @@ def pca_two_columns(spark, sf_dir):
 
 @query
 def pairwise_distance(spark, sf_dir):
-    pairs = dbscan.distance_pairs(scaled_features(spark, sf_dir), "entity", FEATURES, 0.75)
-    return pairs.select("id_a", "id_b", real("distance", 6).alias("distance"))
+    scaled = both_features(spark, sf_dir)[1]
+    found = kmeans.centre_distances(scaled, "entity", FEATURES, fitted_four(scaled)[0])
+    return found.select("entity", whole("cluster").alias("cluster"), real("distance").alias("distance"))
 
 
 def dbscan_view(labels):
@@ -482,11 +514,13 @@ def ward_elbow(spark, sf_dir):
 
 
 def two_labelings(spark, sf_dir):
-    table = base.features(spark, sf_dir)
-    one = table.withColumn("label_a", base.label_a()).select("entity", "label_a")
-    two = table.withColumn("label_b", base.label_b()).select("entity", "label_b")
-    kept = table.filter("total < 4000")
-    return compare.attach_labels(compare.attach_labels(kept, one, "entity"), two, "entity")
+    """Labels of k-means and of Ward's tree cut at four, on the entities that are no outliers."""
+    stored, scaled = both_features(spark, sf_dir)
+    one = fitted_four(scaled)[1].withColumnRenamed("cluster", "label_a")
+    tree = ward.ward_tree(scaled, "entity", FEATURES)
+    two = ward.cut(scaled, "entity", tree, 4).withColumnRenamed("cluster", "label_b")
+    kept = stored.filter("total < 4000")
+    return materialise(compare.attach_labels(compare.attach_labels(kept, one, "entity"), two, "entity"), "labelings")
 
 
 @query
@@ -505,7 +539,7 @@ def cluster_crosstab(spark, sf_dir):
 
 @query
 def cluster_best_match(spark, sf_dir):
-    both = materialise(two_labelings(spark, sf_dir), "labelings")
+    both = two_labelings(spark, sf_dir)
     matched = compare.relabel(both, "label_b", compare.best_match(both, "label_b", "label_a"))
     return matched.select("entity", F.col("label_a").cast("string").alias("label_a"), "label_b")
 

@@ -60,8 +60,9 @@ def read_csv(
         df = reader.schema(schema).csv(path)
     else:
         df = reader.option("inferSchema", True).csv(path)
-    nameless = [c for c in df.columns if re.fullmatch(r"_c\d+", c)]
-    df = df.drop(*nameless)
+    last = f"_c{len(df.columns) - 1}"
+    nameless = df.columns[-1] == last and (schema is None or trailing_comma)
+    df = df.drop(last) if nameless else df
     return sanitize_names(df) if sanitize else df
 
 

@@ -1,4 +1,5 @@
 import math
+import random
 
 import numpy as np
 import pytest
@@ -230,3 +231,48 @@ def test_projection(spark):
     assert math.isclose(sum({r.component: r.share for r in table}.values()), 1.0)
     two = projection.pca_projection(df, "id", ["a", "c"]).orderBy("id").toPandas()
     assert np.allclose(two[["pc1", "pc2"]].to_numpy(), z[:, [0, 2]])
+
+
+def test_ward_of_heavy_points_stays_within_its_budget(spark, monkeypatch):
+    """Copies make heights far larger than distances; no cell may gather all clusters for that."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(300):
+        x, y = rng.uniform(0, 10), rng.uniform(0, 10)
+        rows += [(i * 400 + j, x, y) for j in range(400)]
+    df = spark.createDataFrame(rows, "id long, x double, y double")
+    seen, plain = [], ward._round
+
+    def watched(probes, live, xs, radius, everything):
+        m = live.count()
+        if everything:
+            seen.append((m * m, 2_000))
+        else:
+            seen.append((ward.crowd(live, xs, radius)[0], max(2_000, ward.CANDIDATES_PER_CLUSTER * m)))
+        return plain(probes, live, xs, radius, everything)
+
+    monkeypatch.setattr(ward, "_round", watched)
+    tree = ward.ward_tree(df, "id", ["x", "y"], candidates=2_000)
+    monkeypatch.undo()
+    assert tree.count() == len(rows) - 1
+    assert all(cost <= 3 * budget for cost, budget in seen), seen
+    whole = ward.ward_tree(df, "id", ["x", "y"])
+    heights = [sorted(r.height for r in t.filter("height > 0").collect()) for t in (tree, whole)]
+    assert np.allclose(*heights)
+
+
+def test_selective_columns_come_first(spark):
+    from panelwright.operators import grid
+
+    df = spark.range(1000).selectExpr("0.0D AS a", "id / 1.0D AS b", "floor(id / 10) * 1.0D AS c", "id % 2 * 1.0D AS d", "id * 7 % 1000 * 1.0D AS e")
+    assert grid.selective(df, list("abcde"), 1.0) == ["b", "e", "c", "d", "a"]
+
+
+def test_more_clusters_than_allowed(spark):
+    df = spark.createDataFrame([(1, 1.0), (2, 2.0)], "id long, x double")
+    tree = ward.ward_tree(df, "id", ["x"])
+    for bad in (0, ward.MOST_CLUSTERS + 1):
+        with pytest.raises(ValueError):
+            ward.cut(df, "id", tree, bad)
+        with pytest.raises(ValueError):
+            ward.elbow(tree, [1, bad])

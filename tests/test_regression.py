@@ -96,3 +96,29 @@ def test_tails():
         assert math.isclose(t_two_sided(t, v), 1 - 2 * inside, abs_tol=1e-8)
         assert math.isclose(f_upper(t * t, 1, v), t_two_sided(t, v), rel_tol=1e-10)
     assert math.isclose(f_upper(3.0, 2, 10), (1 + 2 * 3.0 / 10) ** -5, rel_tol=1e-12)
+
+
+def test_tails_of_large_degrees_of_freedom():
+    from panelwright.functions import tails
+
+    assert math.isclose(tails.t_two_sided(2.0, 1e12), math.erfc(2 / math.sqrt(2)), rel_tol=1e-9)
+    for t in (0.1, 1.0, 2.0, 5.0, 8.0):
+        exact = tails.beta_regularised(tails.LARGE / 2, 0.5, tails.LARGE / (tails.LARGE + t * t))
+        assert math.isclose(tails.t_two_sided(t, tails.LARGE * 1.0001), exact, rel_tol=1e-3)
+        assert math.isclose(tails._t_expanded(t, tails.LARGE), exact, rel_tol=1e-9)
+        assert math.isclose(tails.f_upper(t * t, 1, 1e9), tails.t_two_sided(t, 1e9), rel_tol=1e-7)
+    for f in (0.5, 1.0, 3.0):
+        exact = tails.beta_regularised(5e5, 1.5, 1e6 / (1e6 + 3 * f))
+        assert math.isclose(tails.f_upper(f, 3, 1e6 + 1), exact, rel_tol=1e-4)
+    with pytest.raises(ArithmeticError):
+        tails.beta_fraction(1e10, 1e10, 0.5)
+
+
+def test_more_rows_than_32_bits_count(spark, monkeypatch):
+    n = 3_000_000_000
+    gram = spark.createDataFrame([("", n, 0, [0.5, 2.0], [0.25, 0.5, 1.25])], "__model string, __n long, __dropped long, __means array<double>, __cross array<double>")
+    monkeypatch.setattr(rg, "_gram", lambda *a: gram)
+    df = spark.createDataFrame([(1.0, 2.0)], "x double, y double")
+    rows = rg.ols(df, rg.model("y", "x")).collect()
+    assert {r.df for r in rows} == {n - 2} and {r.n for r in rows} == {n}
+    assert math.isclose(rows[1].estimate, 2.0) and rows[1].p == 0.0

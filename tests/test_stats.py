@@ -36,7 +36,7 @@ def test_quantiles_beyond_the_broadcast_size(numbers, monkeypatch):
     from panelwright.operators import quantiles
 
     monkeypatch.setattr(quantiles, "left_join", lambda *a, **k: __import__(
-        "panelwright.operators.joins", fromlist=["x"]).left_join(*a, broadcast_rows=0, salts=3, **k))
+        "panelwright.operators.joins", fromlist=["x"]).left_join(*a, broadcast_rows=0, **k))
     q = exact_quantiles(df, [], ["y"]).first().quantiles
     assert np.allclose(q, np.quantile([r[2] for r in rows], [0.25, 0.5, 0.75]))
 
@@ -89,3 +89,12 @@ def test_standardize(numbers, spark):
     assert list(z.columns) == ["x", "y", "z"]
     flat = spark.createDataFrame([(3.0,), (3.0,)], "v double")
     assert [r.v for r in stats.standardize(flat, ["v"]).collect()] == [None, None]
+
+
+def test_summary_of_dates(spark):
+    rows = [("1970-01-02", "1970-01-01 12:00:00"), ("1970-01-05", "1970-01-02 00:00:00"), (None, None)]
+    df = spark.createDataFrame(rows, "d string, t string").selectExpr("cast(d AS date) d", "cast(t AS timestamp) t", "cast(t AS timestamp_ntz) n")
+    got = {r["column"]: r for r in stats.table_summary(df).collect()}
+    assert (got["d"].min, got["d"].median, got["d"].max, got["d"].nulls) == (1.0, 2.5, 4.0, 1)
+    for c in "tn":
+        assert (got[c].min, got[c].mean, got[c].max, got[c].nulls) == (0.5, 0.75, 1.0, 1)

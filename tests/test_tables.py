@@ -73,7 +73,7 @@ def test_lists(spark):
     assert [r.k for r in columns.exclude(df, "k", ["a"]).collect()] == ["b"]
     assert [r.k for r in columns.exclude(df, "k", listed).collect()] == ["b"]
     assert [r.k for r in columns.keep(df, "k", listed).collect()] == ["a"]
-    assert columns.exclude(df, "k", []).count() == 3
+    assert columns.exclude(df, "k", []).count() == 2  # a missing value is never kept, whatever the list
 
 
 def test_unique_keys(spark):
@@ -85,16 +85,15 @@ def test_unique_keys(spark):
         columns.require_unique(df.select(F.nullif("a", F.lit(2)).alias("a"), "b"), ["a", "b"])
 
 
-def test_left_joins_small_and_salted(spark):
+def test_left_joins_small_and_large(spark):
     fact = spark.range(2000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 50).alias("k"), "id")
     dim = spark.range(0, 40).select(F.col("id").alias("key"), (F.col("id") * 10).alias("v"))
     small = joins.left_join(fact, dim, [("k", "key")])
-    salted = joins.left_join(fact, dim, [("k", "key")], broadcast_rows=0, salts=5)
-    assert small.columns == salted.columns == ["k", "id", "v"]
-    assert small.count() == 2000 and small.exceptAll(salted).count() == 0 and salted.count() == 2000
+    large = joins.left_join(fact, dim, [("k", "key")], broadcast_rows=0)
+    assert small.columns == large.columns == ["k", "id", "v"]
+    assert small.count() == 2000 and small.exceptAll(large).count() == 0 and large.count() == 2000
     assert small.filter("v is null").count() == fact.filter("k >= 40").count()
-    spread = salted._jdf.queryExecution().executedPlan().toString()
-    assert "__salt" in spread
+    assert "BroadcastHashJoin" in small._jdf.queryExecution().executedPlan().toString()
     with pytest.raises(ValueError, match="both sides"):
         joins.left_join(fact, dim.withColumnRenamed("v", "id"), [("k", "key")])
     chained = joins.enrich(fact, [joins.Dimension(dim, "k", "key"), joins.Dimension(
@@ -102,15 +101,75 @@ def test_left_joins_small_and_salted(spark):
     assert chained.filter("name = 'x'").count() == fact.filter("k = 7").count()
 
 
+def test_equal_rows_of_a_hot_key_are_split(spark):
+    """A partition of equal rows is divided by the tasks that wrote it."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k",
+    }
+    kept = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        hot = spark.range(0, 100_000, 1, 8).select(F.lit(7).cast("long").alias("k"), F.lit("same").alias("v"))
+        rest = spark.range(0, 100, 1, 2).select(F.col("id").alias("k"), F.lit("x").alias("v"))
+        dim = spark.range(0, 1000).select(F.col("id").alias("key"), F.col("id").cast("string").alias("w"))
+        out = joins.left_join(hot.union(rest), dim, [("k", "key")], broadcast_rows=0)
+        assert out.groupBy(F.spark_partition_id()).count().filter("count > 80000").isEmpty()
+        assert out.count() == 100_100 and out.filter("w is null").isEmpty()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+
+
 def test_few_but_wide_rows_are_not_broadcast(spark, monkeypatch):
     fact = spark.range(20).select(F.col("id").alias("k"))
     dim = spark.range(10).select(F.col("id").alias("key"), F.lit("x" * 100).alias("text"))
-    assert joins._fits(dim, 10) and not joins._fits(dim, 9)
+    assert joins._stored(dim, 10)[1] and not joins._stored(dim, 9)[1]
     monkeypatch.setattr(joins, "BROADCAST_BYTES", 999)
-    assert not joins._fits(dim, 10) and joins._fits(dim.drop("text"), 10)
+    assert not joins._stored(dim, 10)[1] and joins._stored(dim.drop("text"), 10)[1]
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", 79)
+    assert not joins._stored(dim.drop("text"), 10)[1]  # numbers have a width as well
     assert joins.left_join(fact, dim, [("k", "key")]).filter("text is not null").count() == 10
 
 
+def test_dimensions_run_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    dim = spark.range(10).select(F.col("id").alias("key"), F.lit(1).alias("v")).mapInPandas(count, "key long, v int")
+    assert joins.left_join(spark.range(5).toDF("k"), dim, [("k", "key")]).count() == 5
+    assert seen.value == 10
+
+
+def test_a_plain_column_name_of_the_callers_is_kept(spark, tmp_path):
+    path = text_file(tmp_path, "a,_c1,b\n1,2,3\n")
+    df = csv.read_csv(spark, path, "a int, _c1 int, b int")
+    assert [tuple(r) for r in df.collect()] == [(1, 2, 3)] and df.columns == ["a", "_c1", "b"]
+    ends = text_file(tmp_path, "a,_c1\n1,2\n", "ends.csv")
+    assert csv.read_csv(spark, ends, "a int, _c1 int").columns == ["a", "_c1"]
+
+
+def test_null_rows_and_empty_lists(spark):
+    df = spark.createDataFrame([(1,), (2,), (None,)], "v int")
+    empty = spark.createDataFrame([], "w int")
+    assert [columns.exclude(df, "v", x).count() for x in ([], [1], empty)] == [2, 1, 2]
+    assert [columns.keep(df, "v", x).count() for x in ([], [1], empty)] == [0, 1, 0]
+
+
+def test_repeated_labels_fail(spark):
+    df = spark.createDataFrame([(1,), (2,)], "id int")
+    labels = spark.createDataFrame([(1, 4), (1, 5), (2, 6)], "id int, cluster int")
+    with pytest.raises(Exception, match="several labels for 1"):
+        compare.attach_labels(df, labels, "id").collect()
+
+
 def test_numbering(spark):
     df = spark.range(500).select(((F.col("id") * 37) % 500).alias("id")).repartition(6)
     got = number_in_order(df, [F.col("id").desc()], "n")
