@@ -70,6 +70,8 @@ SELECT c_custkey AS customer_key, c_name AS name_full, c_acctbal AS balance_1_0_
 
 ORACLES["csv_multiline"] = "SELECT doc_id, md5(text) AS text_md5, LENGTH(text) AS n, lang FROM documents"
 
+ORACLES["csv_marked"] = "SELECT c_custkey, c_name, c_acctbal FROM customer"
+
 ORACLES["csv_roundtrip"] = f"""WITH {FEATURE_TABLE}
 SELECT entity, {r('total')} AS total, {r('bad')} AS bad, {r('span')} AS span, {r('long_span')} AS long_span,
        {big(LABEL_A)} AS cluster FROM features WHERE {LABEL_A} IS NOT NULL"""
@@ -122,6 +124,13 @@ SELECT entity, {DAY_TEXT}, {r('total_metric')} AS total_metric,
        {', '.join(f'bucket_{t}' for t in THRESHOLDS)}, {', '.join(f'{big(f"day_{t}")} AS day_{t}' for t in THRESHOLDS)}
 FROM running"""
 
+ORACLES["counter_timestamps"] = f"""WITH moments AS (
+  SELECT event_type AS entity, ts, SUM(CAST(value AS DECIMAL(18,2))) AS added FROM events GROUP BY event_type, ts),
+run AS (SELECT *, SUM(added) OVER (PARTITION BY entity ORDER BY ts ROWS UNBOUNDED PRECEDING) AS total FROM moments)
+SELECT entity, EPOCH_US(ts) AS at, {r('total')} AS total,
+       {', '.join(f"{big(f'CASE WHEN total < {t} THEN 0 ELSE ROW_NUMBER() OVER (PARTITION BY entity, total >= {t} ORDER BY ts) END')} AS day_{t}" for t in (1000, 20000))}
+FROM run"""
+
 ORACLES["first_crossing"] = f"""WITH {RUNNING}
 SELECT entity, {DAY_TEXT}, {r('total_metric')} AS total_metric, {big('day_100')} AS day_100,
        {big('day_500')} AS day_500 FROM running WHERE day_1000 = 1"""

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelwright.operators import columns, compare, dbscan, joins, kmeans, projection, regression, stats, ward
 from panelwright.operators import thresholds as th
+from panelwright.operators.running import running_sums
 from panelwright.plans import base
 from panelwright.plans.base import FEATURES, THRESHOLDS, day_text, load, real, whole
 from panelwright.session import materialise, scratch_path
@@ -48,6 +50,23 @@ def csv_multiline(spark, sf_dir):
     return back.select("doc_id", F.md5("text").alias("text_md5"), whole(F.length("text")).alias("n"), "lang")
 
 
+@query
+def csv_marked(spark, sf_dir):
+    """Files that begin with a byte-order mark and end each line in a comma."""
+    path = scratch_path(spark, "marked-csv")
+    source = load(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal")
+
+    header = "\ufeff" + ",".join(f'"{c}"' for c in source.columns) + ","
+
+    def lines(batches):
+        yield pd.DataFrame({"value": [header]})
+        for batch in batches:
+            yield pd.DataFrame({"value": [f'"{k}","{n}","{b}",' for k, n, b in batch.itertuples(index=False)]})
+
+    source.mapInPandas(lines, "value string").write.text(path)
+    return csv.read_csv(spark, path, source.schema, trailing_comma=True)
+
+
 @query
 def csv_roundtrip(spark, sf_dir):
     path = scratch_path(spark, "clusters-csv")
@@ -177,6 +196,20 @@ def threshold_counter(spark, sf_dir):
     )
 
 
+@query
+def counter_timestamps(spark, sf_dir):
+    """Counters over moments of few, busy entities, which are cut into blocks of time."""
+    moments = load(spark, sf_dir, "events").groupBy(F.col("event_type").alias("entity"), F.col("ts").alias("at")).agg(
+        F.sum(F.col("value").cast("decimal(18,2)")).alias("added")
+    )
+    run = running_sums(moments, ["entity"], "at", {"total": F.col("added")})
+    counted = th.threshold_counters(run, "entity", "at", "total", (1000, 20000), buckets=False)
+    return counted.select(
+        "entity", F.unix_micros(F.col("at").cast("timestamp")).alias("at"), real("total").alias("total"),
+        whole("day_1000").alias("day_1000"), whole("day_20000").alias("day_20000"),
+    )
+
+
 @query
 def first_crossing(spark, sf_dir):
     return th.first_crossing(base.running(spark, sf_dir), 1000).select(
