@@ -65,6 +65,19 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+SIX = (*FEATURES, "mean_value", "top_value", "days")
+
+
+def six_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three features, and mean and largest value and number of active days of each user."""
+    events = load(spark, sf_dir, "events").groupBy(F.col("user_id").alias("entity")).agg(
+        F.avg("value").alias("mean_value"),
+        F.max("value").alias("top_value"),
+        F.count_distinct(F.to_date("ts")).cast("double").alias("days"),
+    )
+    return features(spark, sf_dir).select("entity", *FEATURES).join(events, "entity")
+
+
 def label_a() -> Column:
     """A fixed grouping by final value; none for the outliers."""
     total = F.col("total")

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from panelwright.plans.base import FEATURES, THRESHOLDS
+from panelwright.plans.base import FEATURES, SIX, THRESHOLDS
 
 ORACLES: dict[str, str] = {}
 
@@ -495,12 +495,15 @@ FROM scaled JOIN features USING (entity), axis_one AS a, axis_two AS b"""
 
 ORACLES["pca_two_columns"] = f"""WITH {SCALED} SELECT entity, {r('total')} AS pc1, {r('span')} AS pc2 FROM scaled"""
 
-DISTANCE = "SQRT(" + " + ".join(f"POW(a.{x} - b.{x}, 2)" for x in FEATURES) + ")"
 
 
-def density(eps: float, min_pts: int, tag: str = "") -> str:
+def distance(xs) -> str:
+    return "SQRT(" + " + ".join(f"POW(a.{x} - b.{x}, 2)" for x in xs) + ")"
+
+
+def density(eps: float, min_pts: int, tag: str = "", xs=FEATURES) -> str:
     """CTEs up to labelled{tag}(entity, cluster, is_core): components of core points, then borders."""
-    return f"""near{tag} AS MATERIALIZED (SELECT a.entity AS a, b.entity AS b FROM points AS a, points AS b WHERE {DISTANCE} <= {eps}),
+    return f"""near{tag} AS MATERIALIZED (SELECT a.entity AS a, b.entity AS b FROM points AS a, points AS b WHERE {distance(xs)} <= {eps}),
 core{tag} AS MATERIALIZED (SELECT a AS entity FROM near{tag} GROUP BY a HAVING COUNT(*) >= {min_pts}),
 links{tag} AS MATERIALIZED (
   SELECT a, b FROM near{tag} WHERE a IN (SELECT entity FROM core{tag}) AND b IN (SELECT entity FROM core{tag})),
@@ -522,6 +525,15 @@ POINTS = f"{SCALED}, points AS MATERIALIZED (SELECT * FROM scaled)"
 ORACLES["dbscan_fit"] = f"""WITH RECURSIVE {POINTS}, {density(0.5, 4)}
 SELECT entity, {big('cluster')} AS cluster, is_core FROM labelled"""
 
+ORACLES["dbscan_six"] = f"""WITH RECURSIVE {FEATURE_TABLE}, per_user AS (
+  SELECT user_id AS entity, AVG(value) AS mean_value, MAX(value) AS top_value,
+         CAST(COUNT(DISTINCT CAST(ts AS DATE)) AS DOUBLE) AS days FROM events GROUP BY user_id),
+wide AS (SELECT * FROM features JOIN per_user USING (entity)),
+points AS MATERIALIZED (
+  SELECT entity, {', '.join(f'({x} - AVG({x}) OVER ()) / STDDEV_SAMP({x}) OVER () AS {x}' for x in SIX)} FROM wide),
+{density(1.3, 4, xs=SIX)}
+SELECT entity, {big('cluster')} AS cluster, is_core FROM labelled"""
+
 GRID = [(0.5, 4), (0.8, 4), (0.5, 3)]
 ORACLES["dbscan_sweep"] = f"""WITH RECURSIVE {POINTS}, {', '.join(density(e, m, f'_{i}') for i, (e, m) in enumerate(GRID))}
 """ + " UNION ALL ".join(

@@ -516,6 +516,13 @@ def dbscan_fit(spark, sf_dir):
     return dbscan_view(dbscan.dbscan(scaled_features(spark, sf_dir), "entity", FEATURES, 0.5, 4))
 
 
+@query
+def dbscan_six(spark, sf_dir):
+    stored = materialise(base.six_features(spark, sf_dir), "six-features")
+    scaled = materialise(stats.standardize(stored, base.SIX), "scaled-six-features")
+    return dbscan_view(dbscan.dbscan(scaled, "entity", base.SIX, 1.3, 4))
+
+
 @query
 def dbscan_sweep(spark, sf_dir):
     grid = [(0.5, 4), (0.8, 4), (0.5, 3)]
