@@ -38,8 +38,21 @@ def test_words_match_the_library(reference):
     assert [vocabulary.decode(g).decode() for g in got] == texts
 
 
+def test_both_expressions_split_alike():
+    import regex
+
+    rng = random.Random(3)
+    own, split = regex.compile(PATTERN), bpe.Splitter(PATTERN)
+    assert split.latin is not None
+    every = "".join(map(chr, range(256)))
+    texts = ["".join(rng.choice(every) for _ in range(rng.randint(0, 40))) for _ in range(3000)]
+    texts += ["".join(rng.choice("a1 \n\x85\xa0\x1c'sé²漢") for _ in range(rng.randint(0, 20))) for _ in range(3000)]
+    assert [split.findall(t) for t in texts] == [own.findall(t) for t in texts]
+    assert bpe.Splitter(r"\d+").latin is None and bpe.Splitter(r"(a+)b").findall("aab") == ["aa"]
+
+
 def test_generations_of_words_keep_results(monkeypatch, reference):
-    monkeypatch.setattr(bpe, "KEPT_WORDS", 3)
+    monkeypatch.setattr(bpe, "KEPT", 3)
     vocabulary = bpe.Vocabulary(RANKS, PATTERN)
     for text in ("one two three four five", "two six seven one", "eight nine two one ten", "one two"):
         assert vocabulary.words.encode([text]) == [packed(reference.encode_ordinary(text))]
