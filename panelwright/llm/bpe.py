@@ -12,7 +12,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterable, Iterator
+import re
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -24,10 +25,108 @@ from pyspark.sql import functions as F
 ENCODED = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 NONE = np.uint32(0xFFFFFFFF)  # no such pair; also an empty place of the hash table
 PAD = np.uint32(0xFFFF)
-KEPT_WORDS = 300_000  # encoded words that a task remembers before it starts anew
+KEPT = 400_000  # encoded words of a generation that a task remembers
 CELLS = 1 << 20  # cells of a matrix in work
 
 
+def splitter(pattern: str) -> regex.Pattern:
+    """The pattern, compiled; a repetition at the end of an alternative need not be given back.
+
+    Nothing follows it that could fail, so the matches are the same and found faster. Patterns
+    with groups are left alone.
+    """
+    if "(" not in pattern.replace("(?!", ""):
+        pattern = regex.sub(r"(?<=[}\]st])\+(?=\||$)", "++", pattern)
+    return regex.compile(pattern)
+
+
+def latin(pattern: str) -> re.Pattern | None:
+    """The same pattern for texts of the first 256 characters only, where plain classes do.
+
+    Property classes and white space are written out; None if the pattern escapes anything else.
+    """
+
+    def listed(token: str) -> str:
+        held = [i for i in range(256) if regex.match(token, chr(i))]
+        runs: list[list[int]] = []
+        for i in held:
+            if runs and runs[-1][1] == i - 1:
+                runs[-1][1] = i
+            else:
+                runs.append([i, i])
+        return "".join(f"\\x{a:02x}-\\x{b:02x}" for a, b in runs)
+
+    out, inside = "", False
+    for token in regex.findall(r"\\p\{\w+\}|\\.|.", pattern, flags=regex.DOTALL):
+        if token.startswith("\\p") or token == "\\s":
+            out += listed(token) if inside else f"[{listed(token)}]"
+        elif token == "\\S" and not inside:
+            out += "[^" + listed("\\s") + "]"
+        elif token.startswith("\\"):
+            return None
+        else:
+            inside = token == "[" or inside and token != "]"
+            out += token
+    return re.compile(out)
+
+
+class Splitter:
+    """All matches of a pattern in a text, by the faster of two equal expressions."""
+
+    def __init__(self, pattern: str) -> None:
+        whole = splitter(pattern)
+        self.whole, self.latin = whole, latin(whole.pattern)
+
+    def findall(self, text: str) -> list[str]:
+        if self.latin is not None:
+            try:
+                text.encode("latin-1")
+                return self.latin.findall(text)
+            except UnicodeEncodeError:
+                pass
+        return self.whole.findall(text)
+
+
+class Remembered:
+    """Values of keys that were met lately, in two generations.
+
+    When the younger is full it becomes the elder, and keys that are still in use move over; so
+    the memory is bounded and frequent keys stay.
+    """
+
+    def __init__(self, make: Callable[[list[str]], list[bytes]]) -> None:
+        self.make = make
+        self.young: dict[str, bytes] = {}
+        self.elder: dict[str, bytes] = {}
+
+    def of(self, keys: set[str]) -> dict[str, bytes]:
+        """A table that has at least these keys."""
+        if len(self.young) > KEPT:
+            self.young, self.elder = {}, self.young
+        known, elder, new = self.young, self.elder, []
+        for key in keys:
+            if key not in known:
+                if (value := elder.get(key)) is None:
+                    new.append(key)
+                else:
+                    known[key] = value
+        known.update(zip(new, self.make(new)))
+        return known
+
+
+class Words:
+    """Texts as the ids of their words; a word that was met lately is not encoded again."""
+
+    def __init__(self, pattern: str, encode_words: Callable[[list[str]], list[bytes]]) -> None:
+        self.pattern, self.known = Splitter(pattern), Remembered(encode_words)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian 32-bit integers."""
+        split = [self.pattern.findall(t) for t in texts]
+        get = self.known.of(set().union(*split)).__getitem__
+        return [b"".join(map(get, words)) for words in split]
+
+
 class Vocabulary:
     """A rank file: token bytes by id, byte ids, and the hashed table of mergeable pairs."""
 
@@ -36,7 +135,7 @@ class Vocabulary:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
         if max(ranks.values()) >= int(PAD):
             raise ValueError("ids must fit 16 bits")
-        self.pattern = regex.compile(pattern)
+        self.words = Words(pattern, lambda words: self.encode_words([w.encode("utf-8") for w in words]))
         self.tokens = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.tokens[rank] = token
@@ -49,7 +148,6 @@ class Vocabulary:
                     keys.append(left << 16 | right)
                     values.append(rank)
         self._fill(np.array(keys, dtype=np.uint32), np.array(values, dtype=np.uint32))
-        self.words: dict[str, bytes] = {}
 
     def _fill(self, keys: np.ndarray, values: np.ndarray) -> None:
         bits = max(4, int(4 * len(keys)).bit_length())
@@ -87,8 +185,8 @@ class Vocabulary:
         found[(left == PAD) | (right == PAD)] = NONE
         return found
 
-    def encode_words(self, words: list[bytes]) -> list[np.ndarray]:
-        """Ids of each word, by length bucket."""
+    def encode_words(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word as little-endian 32-bit integers, by length bucket."""
         out: list = [None] * len(words)
         lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         order = np.argsort(lengths, kind="stable")
@@ -104,7 +202,7 @@ class Vocabulary:
             low = high
         return out
 
-    def _merge_rows(self, words: list[bytes]) -> list[np.ndarray]:
+    def _merge_rows(self, words: list[bytes]) -> list[bytes]:
         sizes = np.array([len(w) for w in words])
         width = max(1, int(sizes.max()))
         table = np.full((len(words), width), PAD, dtype=np.uint32)
@@ -118,7 +216,7 @@ class Vocabulary:
             done = least == NONE
             for row in np.flatnonzero(done):
                 ids = table[row]
-                out[live[row]] = ids[ids != PAD].copy()
+                out[live[row]] = ids[ids != PAD].astype("<u4", copy=False).tobytes()
             table, pairs, least, live = table[~done], pairs[~done], least[~done], live[~done]
             if not len(live):
                 break
@@ -164,21 +262,6 @@ class Vocabulary:
         safe = ~risky
         merged[rows[safe]] = chosen[safe]
 
-    def encode(self, text: str) -> bytes:
-        """Ids of a text as little-endian 32-bit integers."""
-        return self.encode_all([text])[0]
-
-    def encode_all(self, texts: Iterable[str]) -> list[bytes]:
-        split = [self.pattern.findall(t) for t in texts]
-        known = self.words
-        new = list({w for ws in split for w in ws if w not in known})
-        if len(known) + len(new) > KEPT_WORDS:
-            known.clear()
-            new = list({w for ws in split for w in ws})
-        for word, ids in zip(new, self.encode_words([w.encode("utf-8") for w in new])):
-            known[word] = ids.astype("<u4").tobytes()
-        return [b"".join([known[w] for w in ws]) for ws in split]
-
     def decode(self, ids: bytes) -> bytes:
         tokens = self.tokens
         return b"".join([tokens[i] for i in np.frombuffer(ids, dtype="<u4").tolist()])
@@ -189,7 +272,7 @@ def vocabulary(path: str, pattern: str) -> Vocabulary:
     return Vocabulary(path, pattern)
 
 
-def by_bytes(texts: list[str], most: int = 4 << 20) -> Iterator[list[str]]:
+def by_bytes(texts: list[str], most: int = 1 << 20) -> Iterator[list[str]]:
     """Runs of texts of bounded total size; a text above the bound is alone."""
     run, size = [], 0
     for text in texts:
@@ -215,7 +298,7 @@ def encode_documents(documents: DataFrame, path: str, pattern: str) -> DataFrame
             texts = [t if isinstance(t, str) else "" for t in batch["text"]]
             low = 0
             for part in by_bytes(texts):
-                ids = words.encode_all(part)
+                ids = words.words.encode(part)
                 yield pd.DataFrame(
                     {"doc_id": batch["doc_id"].iloc[low : low + len(part)], "ids": ids, "decoded": [words.decode(i) for i in ids]}
                 )
@@ -237,7 +320,7 @@ def digest_documents(documents: DataFrame, path: str, pattern: str) -> DataFrame
             texts = [t if isinstance(t, str) else "" for t in batch["text"]]
             low = 0
             for part in by_bytes(texts):
-                ids = words.encode_all(part)
+                ids = words.words.encode(part)
                 yield pd.DataFrame(
                     {
                         "doc_id": batch["doc_id"].iloc[low : low + len(part)],

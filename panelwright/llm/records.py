@@ -1,9 +1,10 @@
 """Token ids in length-delimited binary records, with an index of offsets beside each file.
 
 A record is: length (8 bytes, little-endian), masked CRC-32C of these 8 bytes, the payload, masked
-CRC-32C of the payload. The payload is the document id (8 bytes) and its flag (1 byte, 0 if the id
-is null), then the ids (4 bytes each). The index file holds offset and length of each record
-(8 bytes each), so that a reader may take records in any order.
+CRC-32C of the payload. The payload is the document id (8 bytes), its flag (1 byte, 0 if the id is
+null) and the width of an id (1 byte: 2 for vocabularies that 16 bits can number, else 4), then
+the ids. The index file holds offset and length of each record (8 bytes each), so that a reader
+may take records in any order.
 """
 
 from __future__ import annotations
@@ -20,12 +21,15 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelwright.llm.bpe import Words, by_bytes
 from panelwright.llm.shared import MEMBER_BYTES, attempt_name, join_path, opened, shared_folder
 from panelwright.session import materialise
 
-LANES = 256  # parts of a payload whose checksums run side by side
-KEPT_WORDS = 300_000
-BLOCK = 2048  # records of one unit of reading
+SEGMENT = 1024  # bytes of a payload that are taken along as one part of a checksum
+GROUP = 1 << 20  # characters of text that are encoded together
+AT_ONCE = 2048  # words handed to the library at once
+SOLID = regex.compile(r"\S\Z")
+BLOCK, BLOCK_BYTES = 2048, 2 << 20  # records and bytes of one unit of reading
 FILES = "archive string, part int, nth int, block int, offset long, length long, n_records long, n_ids long"
 
 
@@ -45,111 +49,154 @@ def crc_tables() -> tuple[np.ndarray, np.ndarray]:
     return one, one[first & 0xFF] ^ (first >> np.uint32(8))
 
 
-def _times(matrix: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Products of a 32 x 32 bit matrix (one word per input bit) with words."""
-    out = np.zeros_like(values)
-    for bit in range(32):
-        out ^= np.where((values >> np.uint32(bit)) & np.uint32(1), matrix[bit], np.uint32(0))
+def _stepped(rows: np.ndarray) -> np.ndarray:
+    """Remainders of the rows of an even number of bytes each, all taken along together."""
+    _, two = crc_tables()
+    state = np.zeros(len(rows), dtype=np.uint32)
+    for step in np.ascontiguousarray(rows.view("<u2").T):
+        state = two[(state ^ step) & np.uint32(0xFFFF)] ^ (state >> np.uint32(16))
+    return state
+
+
+@lru_cache(maxsize=1)
+def _moved() -> list[list[int]]:
+    """What SEGMENT zero bytes make of a remainder, by each of its four bytes."""
+    one, _ = crc_tables()
+    tables = []
+    for place in range(4):
+        state = np.arange(256, dtype=np.uint32) << np.uint32(8 * place)
+        for _ in range(SEGMENT):
+            state = one[state & 0xFF] ^ (state >> np.uint32(8))
+        tables.append(state.tolist())
+    return tables
+
+
+def crc32c(datas: list[bytes]) -> list[int]:
+    """CRC-32C of many byte strings at once.
+
+    Each is cut into segments, zeros filled in before the first; a remainder of zero ignores them,
+    and the usual start of all ones is the same as inverting the first four bytes. numpy takes all
+    segments along together, and a table joins the segments of a string.
+    """
+    if not datas:
+        return []
+    if min(map(len, datas)) < 4:
+        small, out = crc_tables()[0].tolist(), []
+        for data in datas:
+            state = 0xFFFFFFFF
+            for byte in data:
+                state = small[(state ^ byte) & 0xFF] ^ (state >> 8)
+            out.append(state ^ 0xFFFFFFFF)
+        return out
+    longest = max(map(len, datas))
+    size = SEGMENT if longest > SEGMENT else longest + longest % 2
+    counts = [-(-len(data) // size) for data in datas]
+    flipped = [bytes(size * n - len(data)) + bytes(255 - b for b in data[:4]) + data[4:] for data, n in zip(datas, counts)]
+    parts = _stepped(np.frombuffer(b"".join(flipped), dtype=np.uint8).reshape(-1, size)).tolist()
+    a, b, c, d = _moved() if size == SEGMENT else ([0],) * 4
+    out, at = [], 0
+    for n in counts:
+        state = parts[at]
+        for part in parts[at + 1 : at + n]:
+            state = a[state & 0xFF] ^ b[state >> 8 & 0xFF] ^ c[state >> 16 & 0xFF] ^ d[state >> 24] ^ part
+        at += n
+        out.append(state ^ 0xFFFFFFFF)
     return out
 
 
-@lru_cache(maxsize=64)
-def _zeros(power: int) -> np.ndarray:
-    """What 2**power zero bytes do to a remainder, as a matrix."""
-    if power == 0:
-        one, _ = crc_tables()
-        units = np.uint32(1) << np.arange(32, dtype=np.uint32)
-        return one[units & 0xFF] ^ (units >> np.uint32(8))
-    half = _zeros(power - 1)
-    return _times(half, half)
-
-
-def _after_zeros(values: np.ndarray, count: int) -> np.ndarray:
-    for power in range(count.bit_length()):
-        if count >> power & 1:
-            values = _times(_zeros(power), values)
-    return values
-
-
-def crc32c(data: bytes) -> int:
-    """CRC-32C; long data is cut into lanes that numpy runs together and joins afterwards."""
-    one, two = crc_tables()
-    state, lane = 0xFFFFFFFF, len(data) // LANES & ~1
-    if lane >= 2:
-        body = np.frombuffer(data, dtype="<u2", count=lane * LANES // 2).reshape(LANES, lane // 2).T
-        sums = np.zeros(LANES, dtype=np.uint32)
-        sums[0] = state
-        for step in np.ascontiguousarray(body):
-            sums = two[(sums ^ step) & np.uint32(0xFFFF)] ^ (sums >> np.uint32(16))
-        size = lane
-        while len(sums) > 1:
-            sums = _after_zeros(sums[0::2], size) ^ sums[1::2]
-            size *= 2
-        state = int(sums[0])
-    small = _small_table()
-    for byte in data[lane * LANES :]:
-        state = small[(state ^ byte) & 0xFF] ^ (state >> 8)
-    return state ^ 0xFFFFFFFF
+def masked(datas: list[bytes]) -> list[int]:
+    return [((crc >> 15 | crc << 17) + MASK_DELTA) & 0xFFFFFFFF for crc in crc32c(datas)]
 
 
-@lru_cache(maxsize=1)
-def _small_table() -> list[int]:
-    return crc_tables()[0].tolist()
+def framed(payloads: list[bytes]) -> list[bytes]:
+    sizes = [struct.pack("<Q", len(p)) for p in payloads]
+    parts = zip(sizes, masked(sizes), payloads, masked(payloads))
+    return [b"".join((s, struct.pack("<I", a), p, struct.pack("<I", b))) for s, a, p, b in parts]
 
 
-def masked(data: bytes) -> int:
-    crc = crc32c(data)
-    return ((crc >> 15 | crc << 17) + MASK_DELTA) & 0xFFFFFFFF
+def unframed(data: bytes) -> list[bytes]:
+    """Payloads of the records that the bytes hold one after another, checksums verified."""
+    sizes, payloads, said, at = [], [], [], 0
+    while at < len(data):
+        (length,) = struct.unpack_from("<Q", data, at)
+        if at + 16 + length > len(data):
+            raise ValueError("the bytes end inside a record")
+        sizes.append(data[at : at + 8])
+        payloads.append(data[at + 12 : at + 12 + length])
+        said += struct.unpack_from("<I", data, at + 8) + struct.unpack_from("<I", data, at + 12 + length)
+        at += 16 + length
+    if masked(sizes) != said[0::2] or masked(payloads) != said[1::2]:
+        raise ValueError("a record does not match its checksum")
+    return payloads
 
 
-def framed(payload: bytes) -> bytes:
-    size = struct.pack("<Q", len(payload))
-    return b"".join((size, struct.pack("<I", masked(size)), payload, struct.pack("<I", masked(payload))))
+HEAD = "<qBB"  # document id, whether it has one, bytes of an id
 
 
-def unframed(frame: bytes, at: int = 0) -> tuple[bytes, int]:
-    """The payload of the record at a place of the bytes, and where the next one begins."""
-    size = frame[at : at + 8]
-    (length,), (said,) = struct.unpack("<Q", size), struct.unpack("<I", frame[at + 8 : at + 12])
-    payload = frame[at + 12 : at + 12 + length]
-    (check,) = struct.unpack("<I", frame[at + 12 + length : at + 16 + length])
-    if masked(size) != said or masked(payload) != check:
-        raise ValueError("a record does not match its checksum")
-    return payload, at + 16 + length
+def payload_of(doc_id: int | None, ids: np.ndarray, width: int) -> bytes:
+    return struct.pack(HEAD, doc_id or 0, doc_id is not None, width) + ids.astype(f"<u{width}").tobytes()
 
 
-def payload_of(doc_id: int | None, ids: bytes) -> bytes:
-    return struct.pack("<qB", doc_id or 0, doc_id is not None) + ids
+def count_ids(payload: bytes) -> int:
+    return (len(payload) - struct.calcsize(HEAD)) // payload[struct.calcsize(HEAD) - 1]
+
+
+def read_payload(payload: bytes) -> tuple[int | None, bytes]:
+    """The document id, and the ids as little-endian 32-bit integers."""
+    doc_id, known, width = struct.unpack_from(HEAD, payload)
+    ids = np.frombuffer(payload, dtype=f"<u{width}", offset=struct.calcsize(HEAD)).astype("<u4")
+    return (doc_id if known else None), ids.tobytes()
 
 
 class Encoder:
-    """The tokenizers library on the words of a text; a word met before is not encoded again.
+    """The tokenizers library on the words of a text; a word met lately is not encoded again.
 
-    The tokenizer's own split pattern cuts a text into words that it encodes one by one, so the
-    ids of a text are those of its words in turn.
+    The pattern must be the tokenizer's own, by which it cuts a text into words that it encodes
+    one by one. No word goes on past a space unless all of it is white space; so words that begin
+    with a space can be handed over as one text: the bytes of the tokens tell where each ends.
     """
 
     def __init__(self, path: str, pattern: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark already uses all cores
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.pattern = regex.compile(pattern)
-        self.words: dict[str, bytes] = {}
-
-    def encode(self, text: str) -> bytes:
-        split = self.pattern.findall(text)
-        known = self.words
-        new = list({w for w in split if w not in known})
-        if len(known) + len(new) > KEPT_WORDS:
-            known.clear()
-            new = list(set(split))
-        for low in range(0, len(new), 10_000):
-            part = new[low : low + 10_000]
-            for word, found in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                known[word] = np.array(found.ids, dtype="<u4").tobytes()
-        return b"".join([known[w] for w in split])
+        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self.words = Words(pattern, self._encode_words)
+        # A token of a byte-level model has a character for each of its bytes.
+        bytewise = isinstance(self.tokenizer.pre_tokenizer, pre_tokenizers.ByteLevel)
+        vocabulary = self.tokenizer.get_vocab() if bytewise else {}
+        self.sizes = np.zeros(1 + max(vocabulary.values(), default=-1), dtype=np.int64)
+        self.sizes[list(vocabulary.values())] = [len(t) for t in vocabulary]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian 32-bit integers."""
+        return self.words.encode(texts)
+
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        out: dict[str, bytes] = {}
+        spaced = [w for w in words if w[0] == " " and SOLID.search(w)] if len(self.sizes) else []
+        for low in range(0, len(spaced), AT_ONCE):
+            part = spaced[low : low + AT_ONCE]
+            ids = np.array(self.tokenizer.encode("".join(part), add_special_tokens=False).ids, dtype="<u4")
+            ends = np.cumsum([len(w.encode("utf-8")) for w in part])
+            reached = np.cumsum(self.sizes[ids])
+            at = np.minimum(np.searchsorted(reached, ends), len(ids) - 1)
+            if (reached[at] == ends).all():
+                data, cuts = ids.tobytes(), [0, *((at + 1) * 4).tolist()]
+                out.update(zip(part, [data[a:b] for a, b in zip(cuts, cuts[1:])]))
+        rest = [w for w in words if w not in out]
+        out.update(zip(rest, self._one_by_one(rest)))
+        return [out[w] for w in words]
+
+    def _one_by_one(self, texts: list[str]) -> list[bytes]:
+        out = []
+        for low in range(0, len(texts), AT_ONCE):  # the library's results are a kilobyte a text
+            for found in self.tokenizer.encode_batch_fast(texts[low : low + AT_ONCE], add_special_tokens=False):
+                ids = found.ids
+                out.append(struct.pack(f"<{len(ids)}I", *ids))
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -157,50 +204,87 @@ def encoder(path: str, pattern: str) -> Encoder:
     return Encoder(path, pattern)
 
 
+def encoded(documents: DataFrame, path: str, pattern: str, end_id: int) -> DataFrame:
+    """(doc_id, payload) per row, in no order: what a record holds, the end id appended."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tool, end = encoder(path, pattern), struct.pack("<I", end_id)
+        for batch in batches:
+            texts = [t if isinstance(t, str) else "" for t in batch["text"]]
+            ids = [None if pd.isna(d) else int(d) for d in batch["doc_id"]]
+            done = 0
+            for part in by_bytes(texts, GROUP):
+                names = ids[done : done + len(part)]
+                done += len(part)
+                found = [np.frombuffer(i + end, dtype="<u4") for i in tool.encode(part)]
+                payloads = [payload_of(d, i, tool.width) for d, i in zip(names, found)]
+                yield pd.DataFrame({"doc_id": pd.array(names, dtype="Int64"), "payload": payloads})
+
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInPandas(run, "doc_id long, payload binary")
+
+
+def in_order(rows: DataFrame, documents: DataFrame) -> DataFrame:
+    """Rows dealt out and sorted by doc_id, nulls first, with their `__part`.
+
+    The bounds of the parts are quantiles of the ids alone, one per partition, so that rows are
+    encoded once and not a second time for a sample of them.
+    """
+    spark = documents.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shares = [i / parts for i in range(1, parts)]
+    found = documents.agg(F.percentile_approx("doc_id", shares, 20 * parts)).first()[0] if shares else None
+    bounds = sorted(set(found or []))
+    part = F.lit(0)
+    if bounds:
+        listed = F.array(*[F.lit(int(b)).cast("long") for b in bounds])
+        part = F.coalesce(F.size(F.filter(listed, lambda b: b <= F.col("doc_id"))), F.lit(0))
+    part = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(part).cast("int")
+    dealt = rows.withColumn("__part", part).repartitionById(len(bounds) + 1, F.col("__part"))
+    return dealt.sortWithinPartitions(F.asc_nulls_first("doc_id"), F.xxhash64("payload"))
+
+
 def write_documents(documents: DataFrame, folder: str, path: str, pattern: str, end_id: int) -> DataFrame:
     """Encode, append the end id, and write records in ascending doc_id order; a manifest of blocks.
 
-    Rows are range-partitioned by doc_id, nulls first; rows of one id are ordered by a hash of
-    their text. A null text is empty. Files are closed at a bounded size. Each attempt of a task
-    has file names of its own and only successful ones are in the manifest, which has a row per
-    block of records: place, counts, and the order (part, nth, block).
+    Nulls come first; rows of one id are ordered by a hash of their ids. A null text is empty.
+    Files are closed at a bounded size. Each attempt of a task has file names of its own and only
+    successful ones are in the manifest, which has a row per block of records: place, counts, and
+    the order (part, nth, block).
     """
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, end = encoder(path, pattern), struct.pack("<I", end_id)
         system, at = opened(folder)
         system.create_dir(at, recursive=True)
         name, nth, out, index = attempt_name(), -1, None, None
+        part, low, count, n_ids = 0, 0, 0, 0
         for batch in batches:
-            part = 0
-            for part, doc_id, text in zip(batch["__part"], batch["doc_id"], batch["text"]):
-                if out is None:
-                    nth, block, offset, low, count, n_ids = nth + 1, 0, 0, 0, 0, 0
-                    file = f"ids-{name}-{nth}.rec"
-                    out = system.open_output_stream(join_path(at, file), compression=None)
-                    index = system.open_output_stream(join_path(at, file + ".idx"), compression=None)
-                ids = words.encode(text if isinstance(text, str) else "") + end
-                frame = framed(payload_of(None if pd.isna(doc_id) else int(doc_id), ids))
-                out.write(frame)
-                index.write(struct.pack("<QQ", offset, len(frame)))
-                offset, count, n_ids = offset + len(frame), count + 1, n_ids + len(ids) // 4
-                full = offset >= MEMBER_BYTES
-                if full or count == BLOCK or offset - low >= MEMBER_BYTES // 8:
-                    yield _manifest(folder, file, part, nth, block, low, offset, count, n_ids)
-                    block, low, count, n_ids = block + 1, offset, 0, 0
-                if full:
-                    out.close(), index.close()
-                    out = None
+            part = int(batch["__part"].iloc[0]) if len(batch) else part
+            payloads = [bytes(p) for p in batch["payload"]]
+            for start in range(0, len(payloads), AT_ONCE):
+                for payload, frame in zip(payloads[start:], framed(payloads[start : start + AT_ONCE])):
+                    if out is None:
+                        nth, block, offset, low, count, n_ids = nth + 1, 0, 0, 0, 0, 0
+                        file = f"ids-{name}-{nth}.rec"
+                        out = system.open_output_stream(join_path(at, file), compression=None)
+                        index = system.open_output_stream(join_path(at, file + ".idx"), compression=None)
+                    out.write(frame)
+                    index.write(struct.pack("<QQ", offset, len(frame)))
+                    offset, count, n_ids = offset + len(frame), count + 1, n_ids + count_ids(payload)
+                    full = offset >= MEMBER_BYTES
+                    if full or count == BLOCK or offset - low >= BLOCK_BYTES:
+                        yield _manifest(folder, file, part, nth, block, low, offset, count, n_ids)
+                        block, low, count, n_ids = block + 1, offset, 0, 0
+                    if full:
+                        out.close(), index.close()
+                        out = None
         if out is not None:
             out.close(), index.close()
             if count:
                 yield _manifest(folder, file, part, nth, block, low, offset, count, n_ids)
 
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.withColumn("__tie", F.xxhash64("text"))
-    ordered = rows.repartitionByRange(F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "__tie")
-    ordered = ordered.select("doc_id", "text", F.spark_partition_id().alias("__part"))
-    return materialise(ordered.mapInPandas(write, FILES), "id-files")
+    rows = in_order(encoded(documents, path, pattern, end_id), documents.select(F.col("doc_id").cast("long").alias("doc_id")))
+    return materialise(rows.mapInPandas(write, FILES), "id-files")
 
 
 def _manifest(folder, file, part, nth, block, low, high, count, n_ids) -> pd.DataFrame:
@@ -221,8 +305,12 @@ def with_starts(manifest: DataFrame) -> DataFrame:
     return blocks.join(parts, "part").withColumn("start", F.col("__in") + F.col("__before")).drop("__in", "__before")
 
 
-def read_documents(manifest: DataFrame) -> DataFrame:
-    """(doc_id, start, ids) from the files, block by block, checksums verified."""
+def read_documents(manifest: DataFrame, digest: bool = False) -> DataFrame:
+    """(doc_id, start, ids) from the files, block by block, checksums verified.
+
+    With digest, (doc_id, start, n_tokens, ids_crc32) instead: the ids stay in the task.
+    """
+    names = ["doc_id", "start", *(["n_tokens", "ids_crc32"] if digest else ["ids"])]
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -231,15 +319,15 @@ def read_documents(manifest: DataFrame) -> DataFrame:
                 with system.open_input_file(at) as file:
                     file.seek(int(offset))
                     data = file.read(int(length))
-                rows, here = [], 0
-                while here < len(data):
-                    payload, here = unframed(data, here)
-                    doc_id, known = struct.unpack("<qB", payload[:9])
-                    rows.append((doc_id if known else None, start, payload[9:]))
-                    start += (len(payload) - 9) // 4
-                yield pd.DataFrame(rows, columns=["doc_id", "start", "ids"]).astype({"doc_id": "Int64"})
+                rows = []
+                for payload in unframed(data):
+                    doc_id, ids = read_payload(payload)
+                    rows.append((doc_id, start, *((len(ids) // 4, zlib.crc32(ids)) if digest else (ids,))))
+                    start += len(ids) // 4
+                yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
 
-    return _spread(with_starts(manifest)).mapInPandas(read, "doc_id long, start long, ids binary")
+    kinds = "n_tokens long, ids_crc32 long" if digest else "ids binary"
+    return _spread(with_starts(manifest)).mapInPandas(read, f"doc_id long, start long, {kinds}")
 
 
 def read_shuffled(manifest: DataFrame, seed: int) -> DataFrame:
@@ -261,9 +349,8 @@ def read_shuffled(manifest: DataFrame, seed: int) -> DataFrame:
                 with system.open_input_file(at) as file:
                     for i in part.sort_values("offset").index:
                         file.seek(int(part["offset"][i]))
-                        payload, _ = unframed(file.read(int(part["length"][i])))
-                        doc_id, known = struct.unpack("<qB", payload[:9])
-                        rows[i] = (batch["position"].iloc[i], doc_id if known else None, payload[9:])
+                        (payload,) = unframed(file.read(int(part["length"][i])))
+                        rows[i] = (batch["position"].iloc[i], *read_payload(payload))
             yield pd.DataFrame([rows[i] for i in sorted(rows)], columns=["position", "doc_id", "ids"]).astype({"doc_id": "Int64"})
 
     files = manifest.select("archive").distinct()
@@ -283,13 +370,4 @@ def packed_documents(documents: DataFrame, path: str, pattern: str, end_id: int)
     each; an empty table has no files and no rows; other columns are not read.
     """
     folder = shared_folder(documents.sparkSession, "ids")
-    manifest = write_documents(documents, folder, path, pattern, end_id)
-
-    def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            sums = [zlib.crc32(i) for i in batch["ids"]]
-            yield pd.DataFrame(
-                {"doc_id": batch["doc_id"].astype("Int64"), "start": batch["start"], "n_tokens": [len(i) // 4 for i in batch["ids"]], "ids_crc32": sums}
-            )
-
-    return read_documents(manifest).mapInPandas(digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return read_documents(write_documents(documents, folder, path, pattern, end_id), digest=True)
