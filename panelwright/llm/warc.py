@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelwright.llm.decontam import measured
 from panelwright.llm.shared import MEMBER_BYTES, attempt_name, join_path, opened, shared_folder
 from panelwright.session import materialise
 
@@ -96,13 +97,14 @@ def decide(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
 
     Of equal payloads of at least least_bytes the row with the largest page_id is the response;
     rows that share that page_id all are. Rows without page_id count as smaller than any; a group
-    of only such rows has no revisits. Digests are grouped with map-side maxima, and the join by
-    digest is one that Spark can split, so a payload on a third of the pages is no single task.
+    of only such rows has no revisits. Digests are grouped with map-side maxima; only those that
+    occur again are joined to the pages, by broadcast if they were measured to be few, so that
+    payloads are not shuffled, else by a join that Spark can split.
     """
     rows = pages.select("page_id", "url", "html", F.sha2(F.coalesce("html", F.lit("")), 256).alias("__same"))
     large = F.octet_length(F.coalesce("html", F.lit(""))) >= least_bytes
     last = rows.filter(large).groupBy("__same").agg(F.max("page_id").alias("__last"), F.count(F.lit(1)).alias("__n"))
-    last = last.filter("__n > 1").drop("__n")
+    last = measured(last.filter("__n > 1").drop("__n"), "repeated-payloads")
     joined = rows.join(last, "__same", "left")
     other = F.col("page_id").isNull() | (F.col("page_id") < F.col("__last"))
     return joined.select("page_id", "url", "html", F.when(other, F.col("__last")).alias("keeper"))
