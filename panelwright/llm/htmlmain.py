@@ -5,8 +5,10 @@ their path and wording. Over the pages of a host each token has an occurrence ve
 on every page. Tokens with equal vectors form a class. A class is valid if it is on enough of the
 host's pages, is not a single token, and hangs below one other class; valid classes nested in one
 another are the template of the host. What the template does not hold are slots. A text stands in
-the slot of its nearest template element; slots of menus, adverts, notices and the like, slots
-that consist of links, and wording that belongs to the template itself are left out.
+the slot of its nearest template element; slots that consist of links and wording that belongs to
+the template itself are left out, on every page. The names of elements are hints that rank slots:
+a slot named as an advert, notice, menu and the like is left out unless its text outranks all
+others of the host, and one in article or main ranks above others.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ from panelwright.session import materialise
 SHARE = 0.5  # of a host's pages that a class must be on
 PAGES = 5  # fewer pages of a host cannot tell constant wording from an article's
 LINKED = 0.5  # a slot with more of its text in links is a menu
+WEIGHTS = (0.02, 1, 5, 10)  # of text in a slot named as aside, without a hint, in main, in article
+FAINT = 0.02  # weight of constant wording against other text when a page's slots are ranked
 
 MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<raw>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -47,6 +51,8 @@ CLOSES_P = set(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 "
     "h4 h5 h6 header hr main menu nav ol p pre section table ul".split()
 )
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
+FLOW = HEADINGS | set("p li dt dd pre blockquote".split())  # text of the slot around it; except headings, if it has no marks
 SIBLINGS = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
     "option": {"option"}, "thead": {"tbody", "thead"}, "tbody": {"thead", "tbody", "tr", "td", "th"},
@@ -63,14 +69,16 @@ KEEPS = set("article main with has no".split())
 ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 
 
+def hidden(marks: dict[str, str]) -> bool:
+    return "hidden" in marks or marks.get("aria-hidden") == "true" or "display:none" in marks.get("style", "").replace(" ", "").lower()
+
+
 def aside(name: str, marks: dict[str, str], inside: bool) -> bool:
-    """Whether an element is no part of the article, by its name, role, class and id."""
+    """Whether an element looks like no part of the article, by its name, role, class and id."""
     if name in DROPPED or (name == "header" and not inside):
         return True
     if name in ("article", "main", "body", "html"):
         return name == "article" and bool({"comment", "comments", "reply"} & _parts(marks))
-    if "hidden" in marks or marks.get("aria-hidden") == "true" or "display:none" in marks.get("style", "").replace(" ", "").lower():
-        return True
     if marks.get("role", "").lower() in ROLES:
         return True
     if "class" not in marks and "id" not in marks:
@@ -91,20 +99,23 @@ def attributes(raw: str) -> dict[str, str]:
 
 
 class Element:
-    __slots__ = ("name", "token", "out", "main", "inline", "linked")
+    __slots__ = ("name", "token", "out", "main", "inline", "linked", "flow", "quiet")
 
-    def __init__(self, name: str, token: int, out: bool, main: int, inline: bool, linked: bool) -> None:
+    def __init__(self, name: str, token: int, out: int, main: int, inline: bool, linked: bool, flow: bool, quiet: bool) -> None:
         self.name, self.token, self.out, self.main, self.inline, self.linked = name, token, out, main, inline, linked
+        self.flow, self.quiet = flow, quiet
 
 
 def read_page(page: str) -> tuple[dict[int, tuple[int, int]], list[tuple]]:
-    """Elements {token: (count, parent)} and blocks (path of tokens, text, linked, out, main).
+    """Elements {token: (count, parent)} and blocks (path of tokens, own token, text, linked, hint).
 
-    main is 2 inside article, 1 inside main, else 0. White space in a block becomes one space.
+    The path ends with the element whose slot the text is in. hint is 3 inside article, 2 inside
+    main, 0 inside elements named as asides, else 1; hidden text is left out. White space in a
+    block becomes one space.
     """
     seen: dict[int, tuple[int, int]] = {}
     blocks: list[tuple] = []
-    stack = [Element("", 0, False, 0, False, False)]
+    stack = [Element("", 0, 0, 0, False, False, False, False)]
     pieces: list[str] = []
     linked = 0
 
@@ -112,14 +123,18 @@ def read_page(page: str) -> tuple[dict[int, tuple[int, int]], list[tuple]]:
         nonlocal linked
         text = " ".join("".join(pieces).split())
         if text:
-            top = next(e for e in reversed(stack) if not e.inline)
-            blocks.append((tuple(e.token for e in stack if not e.inline), text, min(linked, len(text)), top.out, top.main))
+            held = [e for e in stack if not e.inline]
+            top = held[-1]
+            while held[-1].flow:
+                held.pop()
+            if top.out < 2:
+                blocks.append((tuple(e.token for e in held), top.token, text, min(linked, len(text)), 0 if top.out else 1 + top.main))
         pieces.clear()
         linked = 0
 
     def said(raw: str) -> None:
         nonlocal linked
-        if raw and not (stack[-1].out and stack[-1].inline):
+        if raw and not stack[-1].quiet:
             text = entities.unescape(raw) if "&" in raw else raw
             pieces.append(text)
             if stack[-1].linked:
@@ -187,24 +202,28 @@ def read_page(page: str) -> tuple[dict[int, tuple[int, int]], list[tuple]]:
         top = stack[-1]
         raw = found["marks"] or found["marks2"] or ""
         marks = attributes(raw) if len(raw) > 1 else {}
-        out = top.out or (bool(marks) or not inline) and aside(name, marks, top.main == 2)
+        out = top.out
+        if out < 2 and marks and hidden(marks) or name == "head":
+            out = 2
+        elif not out and (marks or not inline) and aside(name, marks, top.main == 2):
+            out = 1
         main = max(top.main, 2 if name == "article" else 1 if name == "main" or marks.get("role") == "main" else 0)
-        token = top.token
+        token, flow = top.token, name in HEADINGS or name in FLOW and not marks.keys() & {"class", "id"}
         if not inline:
             label = f"{name}.{marks.get('class', '')}#{re.sub(r'[0-9]+', '0', marks.get('id', ''))}"
             token = xxhash.xxh64_intdigest(label.encode(), top.token) & (2**63 - 1)
             count, _ = seen.get(token, (0, 0))
             seen[token] = (count + 1, top.token)
-        stack.append(Element(name, token, out, main, inline, top.linked or name == "a"))
+        stack.append(Element(name, token, out, main, inline, top.linked or name == "a", flow, inline and (top.quiet or out > top.out)))
     flush()
     return seen, blocks
 
 
-def wording(path: tuple[int, ...], text: str) -> int:
-    return xxhash.xxh64_intdigest(text.encode("utf-8"), path[-1] if path else 0) & (2**63 - 1) | 1 << 62
+def wording(own: int, text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8"), own) & (2**63 - 1) | 1 << 62
 
 
-TOKENS = "host string, token long, parent long, n int, chars long, linked long, wording boolean"
+TOKENS = "host string, token long, parent long, n int, chars long, linked long, hint int, wording boolean"
 
 
 def page_tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -215,26 +234,29 @@ def page_tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for host, key, page in zip(batch["host"], batch["key"], batch["html"]):
             seen, blocks = read_page(page)
             sizes: dict[int, list[int]] = {}
-            said: dict[int, tuple[int, int]] = {}
-            for path, text, linked, _, _ in blocks:
-                slot = sizes.setdefault(path[-1], [0, 0])
+            said: dict[int, tuple[int, int, int]] = {}
+            for path, own, text, linked, hint in blocks:
+                slot = sizes.setdefault(path[-1], [0, 0, 0])
                 slot[0] += len(text)
                 slot[1] += linked
-                words = wording(path, text)
-                said[words] = (said.get(words, (0, 0))[0] + 1, path[-1])
+                slot[2] = max(slot[2], hint)
+                words = wording(own, text)
+                said[words] = (said.get(words, (0,))[0] + 1, path[-1], len(text))
             for token, (count, parent) in seen.items():
-                rows.append((host, token, parent, count, *sizes.get(token, (0, 0)), False, key))
-            for token, (count, parent) in said.items():
-                rows.append((host, token, parent, count, 0, 0, True, key))
+                rows.append((host, token, parent, count, *sizes.get(token, (0, 0, -1)), False, key))
+            for token, (count, parent, chars) in said.items():
+                rows.append((host, token, parent, count, count * chars, 0, -1, True, key))
         yield pd.DataFrame(rows, columns=names)
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, elements, menus, constant, n): tokens of the host's template.
+    """(host, elements, menus, constant, raised): what the host's template says of its slots.
 
     pages holds host, key and html. Occurrence vectors are folded into one number each by a
-    combinable aggregate, so the pages of one host, however many, never meet in a task. As a
-    class must be on half of the host's pages, a template is at most twice a mean page.
+    combinable aggregate, so the pages of one host, however many, never meet in a task. Of the
+    valid elements only menus and what hangs right below one are stored, as no others are asked
+    for: a slot further down is told by the one of them that is nearest. raised are slots named
+    as asides whose text outranks that of all others of the host.
     """
     tokens = pages.mapInPandas(page_tokens, TOKENS + ", page long")
     tokens = tokens.groupBy("host", "token", "wording").agg(
@@ -243,6 +265,7 @@ def templates(pages: DataFrame) -> DataFrame:
         F.min("parent").alias("parent"),
         F.sum("chars").alias("chars"),
         F.sum("linked").alias("linked"),
+        F.max("hint").alias("hint"),
     )
     tokens = materialise(tokens, "page-tokens")
     hosts = pages.groupBy("host").agg(F.count(F.lit(1)).alias("all"))
@@ -258,33 +281,52 @@ def templates(pages: DataFrame) -> DataFrame:
     # A class hangs below at most one other; a lone element still parts the page.
     valid = classes.filter((F.col("parents") <= 1) & ((F.col("size") > 1) | ~F.col("worded")))
     held = placed.join(valid.select("host", "own"), ["host", "own"])
-    menu = ~F.col("wording") & (F.col("linked") > LINKED * F.col("chars"))
-    constant = F.col("wording") & (F.col("pages") >= PAGES)
-    return held.groupBy("host").agg(
-        F.collect_list(F.when(~F.col("wording"), F.col("token"))).alias("elements"),
-        F.collect_list(F.when(menu, F.col("token"))).alias("menus"),
-        F.collect_list(F.when(constant, F.col("token"))).alias("constant"),
+    constant = held.filter(F.col("wording") & (F.col("pages") >= PAGES))
+    fixed = constant.groupBy("host", F.col("parent").alias("token")).agg(F.sum("chars").alias("fixed"))
+    slots = held.filter(~F.col("wording")).join(fixed, ["host", "token"], "left")
+    slots = slots.withColumn("menu", F.col("linked") > LINKED * F.col("chars"))
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in WEIGHTS]), F.greatest("hint", F.lit(0)) + 1)
+    slots = slots.withColumn("rank", F.greatest(F.col("chars") - F.col("linked") - F.coalesce("fixed", F.lit(0)), F.lit(0)) * weight)
+    # Text outside the template, in no slot that is valid, is ranked as well.
+    best = tokens.filter(~F.col("wording") & (F.col("hint") > 0))
+    best = best.groupBy("host").agg(F.max((F.col("chars") - F.col("linked")) * weight).alias("best"))
+    raised = slots.join(best, "host", "left").filter(
+        (F.col("hint") == 0) & ~F.col("menu") & (F.col("pages") >= PAGES) & (F.col("rank") > 0) & (F.col("rank") >= F.coalesce("best", F.lit(0)))
     )
+    menus = slots.filter("menu").select("host", "token")
+    below = slots.filter("not menu").join(menus.withColumnRenamed("token", "parent"), ["host", "parent"])
+    parts = [
+        frame.select("host", "token", F.lit(kind).alias("kind"))
+        for kind, frame in (("elements", below), ("menus", menus), ("constant", constant), ("raised", raised))
+    ]
+    said = parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+    return said.groupBy("host").agg(*[F.collect_list(F.when(F.col("kind") == k, F.col("token"))).alias(k) for k in KINDS])
+
+
+KINDS = ("elements", "menus", "constant", "raised")
 
 
-def main_text(page: str, elements: set[int], menus: set[int], constant: set[int]) -> str:
+def main_text(page: str, elements: set[int], menus: set[int], constant: set[int], raised: set[int] = frozenset()) -> str:
     """The text of the page's article slots, blocks joined by one space.
 
-    Of blocks that are no aside, those in an article count, without one those in main, without
-    one all whose slot is no menu and whose wording is not the template's.
+    Left out are slots named as asides, unless raised, menus, and constant wording. In the slot
+    that ranks highest on the page constant wording stays if it is the larger part, as the text
+    of near copies is constant too.
     """
     _, blocks = read_page(page)
-    level = max((main for _, _, _, out, main in blocks if not out), default=0)
-    kept = []
-    for path, text, _, out, main in blocks:
-        if out or main < level:
+    kept, ranks = [], {}
+    for path, own, text, linked, hint in blocks:
+        slot = path[-1]
+        if hint == 0 and slot not in raised or next((t for t in reversed(path) if t in menus or t in elements), 0) in menus:
             continue
-        if not level:
-            slot = next((t for t in reversed(path) if t in elements), 0)
-            if slot in menus or wording(path, text) in constant:
-                continue
-        kept.append(text)
-    return " ".join(kept)
+        fixed = wording(own, text) in constant
+        kept.append((slot, text, fixed))
+        rank = ranks.setdefault(slot, [0.0, 0, 0])
+        rank[0] += (len(text) - linked) * (FAINT if fixed else 1) * WEIGHTS[hint]
+        rank[1 + fixed] += len(text)
+    top = max(ranks, key=lambda slot: ranks[slot][0], default=0)
+    whole = top in ranks and ranks[top][1] < ranks[top][2]
+    return " ".join(text for slot, text, fixed in kept if not fixed or (whole and slot == top))
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -302,7 +344,7 @@ def extract(pages: DataFrame) -> DataFrame:
         held: dict[str, tuple] = {}
         for batch in batches:
             texts = []
-            for host, page, *tokens in zip(batch["host"], batch["html"], batch["elements"], batch["menus"], batch["constant"]):
+            for host, page, *tokens in zip(batch["host"], batch["html"], *[batch[k] for k in KINDS]):
                 if host not in held:
                     if len(held) >= 1000:
                         held.clear()

@@ -186,3 +186,24 @@ def test_broken_markup_does_not_crash(page):
 def test_deep_nesting():
     page = "<article>" + "<div>" * 5000 + "deep" + "</div>" * 5000 + "<p>end"
     assert htmlmain.main_text(page, set(), set(), set()) == "deep end"
+
+
+def test_template_decides_on_pages_with_article(spark):
+    body = (
+        "<body><main><div class=lede><p>Lede {0} of it.</p></div><article><h1>Head {0}</h1><div class=x><p>Read it in our app</p></div>"
+        "<p>Story {0} is told at length.</p><div class=y><a>one {0}</a> <a>two</a></div></article></main></body>"
+    )
+    rows = [(i, f"http://d.example/{i}", body.format(i)) for i in range(6)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for r in htmlmain.extract(frame).collect():
+        assert r.text == f"Lede {r.page_id} of it. Head {r.page_id} Story {r.page_id} is told at length."
+    emptied = htmlmain.main_text(rows[3][2], set(), set(), set())
+    assert "our app" in emptied and "one 3 two" in emptied
+
+
+def test_names_only_rank_slots(spark):
+    body = "<body><div class=social-studies><b>{0}</b></div><div class=z>Page {0:.1}</div><div class=ad>buy {0:.2}</div></body>"
+    rows = [(i, f"http://e.example/{i}", body.format(f"{i} is a number of which much is to be told. " * 20)) for i in range(6)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for r in htmlmain.extract(frame).collect():
+        assert r.text == (f"{r.page_id} is a number of which much is to be told. " * 20) + f"Page {r.page_id}"
