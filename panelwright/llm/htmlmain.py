@@ -26,7 +26,7 @@ from panelwright.llm.decontam import measured
 from panelwright.session import materialise
 
 SHARE = 0.5  # of a host's pages that a class must be on
-PAGES = 5  # fewer pages of a host cannot tell constant wording from an article's
+PAGES = 5  # fewer distinct pages of a host cannot tell constant wording from an article's
 LINKED = 0.5  # a slot with more of its text in links is a menu
 WEIGHTS = (0.02, 1, 5, 10)  # of text in a slot named as aside, without a hint, in main, in article
 FAINT = 0.02  # weight of constant wording against other text when a page's slots are ranked
@@ -252,7 +252,8 @@ def page_tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def templates(pages: DataFrame) -> DataFrame:
     """(host, elements, menus, constant, raised): what the host's template says of its slots.
 
-    pages holds host, key and html. Occurrence vectors are folded into one number each by a
+    pages holds host, key and html; key is of the content only. Copies of a page count once, as
+    they tell nothing of what is constant, and equal rows would cancel each other. Occurrence vectors are folded into one number each by a
     combinable aggregate, so the pages of one host, however many, never meet in a task. Of the
     valid elements only menus and what hangs right below one are stored, as no others are asked
     for: a slot further down is told by the one of them that is nearest. raised are slots named
@@ -337,7 +338,8 @@ def extract(pages: DataFrame) -> DataFrame:
     """
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"), host.alias("host"))
-    keyed = rows.select("host", F.xxhash64("page_id", "url", "html").alias("key"), "html")
+    keyed = rows.select("host", "html").filter("html != ''").distinct().withColumn("key", F.xxhash64("html"))
+    keyed = materialise(keyed, "distinct-pages")
     template = measured(templates(keyed), "templates")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

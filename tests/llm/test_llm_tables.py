@@ -207,3 +207,20 @@ def test_names_only_rank_slots(spark):
     frame = spark.createDataFrame(rows, "page_id long, url string, html string")
     for r in htmlmain.extract(frame).collect():
         assert r.text == (f"{r.page_id} is a number of which much is to be told. " * 20) + f"Page {r.page_id}"
+
+
+def test_copies_are_not_template(spark):
+    copy = "<body><div class=w><p>Once there was a copied page.</p><p>It had two paragraphs.</p></div></body>"
+    text = "Once there was a copied page. It had two paragraphs."
+    rows = [(i, f"http://f.example/{i}", copy) for i in range(6)] + [(5, "http://f.example/5", copy)]
+    rows += [(i, f"http://g.example/{i}", copy) for i in range(6)]
+    rows += [(i, f"http://g.example/{i}", f"<body><div class=w><p>Own text {i}.</p></div></body>") for i in range(6, 12)]
+    near = "<body><div class=w><p>Once there was a copied page.</p><p>It had two paragraphs.</p><p>At {0}.</p></div></body>"
+    rows += [(i, f"http://n.example/{i}", near.format(i)) for i in range(6)]
+    got = htmlmain.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        if "n.example" in r.url:
+            assert r.text == f"{text} At {r.page_id}."
+        else:
+            assert r.text == (text if r.page_id < 6 else f"Own text {r.page_id}.")
