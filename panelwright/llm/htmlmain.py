@@ -2,9 +2,9 @@
 
 A page is read as tokens: elements, named by their path and marks, and runs of text, named by
 their path and wording. Over the pages of a host each token has an occurrence vector, its count
-on every page. Tokens with equal vectors form a class. A class is valid if it is on enough of the
-host's pages, is not a single token, and hangs below one other class; valid classes nested in one
-another are the template of the host. What the template does not hold are slots. A text stands in
+on every page. Tokens with equal vectors form a class. A class is valid if it is on a few
+pages of the host and hangs below one other class; valid classes nested in one another are the
+template of the host, or of each layout that the host has. What the template does not hold are slots. A text stands in
 the slot of its nearest template element; slots that consist of links and wording that belongs to
 the template itself are left out, on every page. The names of elements are hints that rank slots:
 a slot named as an advert, notice, menu and the like is left out unless its text outranks all
@@ -25,7 +25,9 @@ from pyspark.sql import functions as F
 from panelwright.llm.decontam import measured
 from panelwright.session import materialise
 
-SHARE = 0.5  # of a host's pages that a class must be on
+FEW = 3  # distinct pages that an element must be on, or SHARE of those of a small host
+SHARE = 0.5  # of the pages with a slot that its constant wording is on
+REPEATED = 0.9  # a slot with more of its text in wording that PAGES share says nothing of its own
 PAGES = 5  # fewer distinct pages of a host cannot tell constant wording from an article's
 LINKED = 0.5  # a slot with more of its text in links is a menu
 WEIGHTS = (0.02, 1, 5, 10)  # of text in a slot named as aside, without a hint, in main, in article
@@ -242,6 +244,7 @@ def page_tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 slot[2] = max(slot[2], hint)
                 words = wording(own, text)
                 said[words] = (said.get(words, (0,))[0] + 1, path[-1], len(text))
+            rows.append((host, 0, 0, 1, *sizes.get(0, (0, 0, -1)), False, key))
             for token, (count, parent) in seen.items():
                 rows.append((host, token, parent, count, *sizes.get(token, (0, 0, -1)), False, key))
             for token, (count, parent, chars) in said.items():
@@ -269,20 +272,27 @@ def templates(pages: DataFrame) -> DataFrame:
         F.max("hint").alias("hint"),
     )
     tokens = materialise(tokens, "page-tokens")
-    hosts = pages.groupBy("host").agg(F.count(F.lit(1)).alias("all"))
-    often = tokens.join(hosts, "host").filter((F.col("pages") >= SHARE * F.col("all")) & ((F.col("pages") > 1) | ~F.col("wording")))
+    hosts = tokens.filter((F.col("token") == 0) & ~F.col("wording")).select("host", F.col("pages").alias("all"))
+    least = F.least(F.lit(float(FEW)), SHARE * F.col("all"))
+    often = tokens.join(hosts, "host").filter(F.col("pages") >= F.when(F.col("wording"), F.lit(float(PAGES))).otherwise(least))
     often = materialise(often, "frequent-tokens")
-    above = often.filter(~F.col("wording")).select("host", F.col("token").alias("parent"), F.struct("vector", "pages").alias("above"))
+    above = often.filter(~F.col("wording")).select(
+        "host", F.col("token").alias("parent"), F.struct("vector", "pages").alias("above"), F.col("chars").alias("around")
+    )
     placed = often.join(above, ["host", "parent"], "left").withColumn("own", F.struct("vector", "pages"))
     classes = placed.groupBy("host", "own").agg(
         F.count(F.lit(1)).alias("size"),
-        F.count_distinct(F.when(F.col("above") != F.col("own"), F.col("above"))).alias("parents"),
-        F.bool_or("wording").alias("worded"),
+        F.count_distinct(F.when(~F.col("wording") & (F.col("above") != F.col("own")), F.col("above"))).alias("parents"),
+    )
+    # A class of elements hangs below at most one other; a lone element still parts the page.
+    held = placed.join(classes, ["host", "own"]).filter((F.col("parents") <= 1) | F.col("wording"))
+    # Wording is constant where its slot has it on most pages, whatever part of the host's pages
+    # has that slot, or where the slot has little else than wording that pages share.
+    said = held.filter("wording")
+    shared = said.groupBy("host", "parent").agg(F.sum("chars").alias("shared"))
+    constant = said.join(shared, ["host", "parent"]).filter(
+        ((F.col("size") > 1) & (F.col("pages") >= SHARE * F.col("above.pages"))) | (F.col("shared") >= REPEATED * F.col("around"))
     )
-    # A class hangs below at most one other; a lone element still parts the page.
-    valid = classes.filter((F.col("parents") <= 1) & ((F.col("size") > 1) | ~F.col("worded")))
-    held = placed.join(valid.select("host", "own"), ["host", "own"])
-    constant = held.filter(F.col("wording") & (F.col("pages") >= PAGES))
     fixed = constant.groupBy("host", F.col("parent").alias("token")).agg(F.sum("chars").alias("fixed"))
     slots = held.filter(~F.col("wording")).join(fixed, ["host", "token"], "left")
     slots = slots.withColumn("menu", F.col("linked") > LINKED * F.col("chars"))
@@ -339,7 +349,6 @@ def extract(pages: DataFrame) -> DataFrame:
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"), host.alias("host"))
     keyed = rows.select("host", "html").filter("html != ''").distinct().withColumn("key", F.xxhash64("html"))
-    keyed = materialise(keyed, "distinct-pages")
     template = measured(templates(keyed), "templates")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -224,3 +224,22 @@ def test_copies_are_not_template(spark):
             assert r.text == f"{text} At {r.page_id}."
         else:
             assert r.text == (text if r.page_id < 6 else f"Own text {r.page_id}.")
+
+
+def test_each_layout_has_its_template(spark):
+    body = (
+        "<body><div class={0}><div class=x><p>Welcome to our {0} site</p></div><div class=y><a>one {1}</a> <a>two</a></div>"
+        "<div class=z><p>Story {1} is told.</p></div></div></body>"
+    )
+    rows = [(i, f"http://l.example/{i}", body.format(("red", "green", "blue")[i % 3], i)) for i in range(18)]
+    # the same elements in all layouts, other wording in each
+    alike = "<body><div class=x><p>Welcome to our {0} site</p></div><div class=z><p>Story {1} is told.</p></div></body>"
+    rows += [(i, f"http://k.example/{i}", alike.format(("red", "green", "blue")[i % 3], i)) for i in range(18)]
+    # a line that a few articles share is no template
+    quote = "<body><div class=z><p>Story {0} is told at some length.</p><p>{1}</p></div></body>"
+    rows += [(i, f"http://q.example/{i}", quote.format(i, "So it goes." if i < 6 else f"End {i}.")) for i in range(18)]
+    for r in htmlmain.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
+        story = f"Story {r.page_id} is told."
+        if "q.example" in r.url:
+            story = f"Story {r.page_id} is told at some length. " + ("So it goes." if r.page_id < 6 else f"End {r.page_id}.")
+        assert r.text == story
