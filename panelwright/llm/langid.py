@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwright.llm import gru
@@ -146,22 +146,27 @@ def remainder(doc_id: Column, parts: int) -> Column:
 
 
 def fit(documents: DataFrame, parts: int = 4, held: int = 2, docs: int = DOCS) -> Model | None:
-    """Train on a bounded sample: about docs / languages documents of each, a span of each.
+    """Train on a bounded sample: at most docs / languages documents of each, a span of each.
 
-    The sample is drawn by a hash of the text. None if no row may be learned from.
+    Copies of a text in a language count once, both in the language's share and in the sample,
+    which are the texts with the smallest hashes. None if no row may be learned from.
     """
     rows = documents.filter(may_learn(F.col("doc_id"), parts, held) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    rows = rows.select("lang", "text")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows = rows.select("lang", "text", F.xxhash64("text", F.lit(11)).alias("mark"))
+    texts = rows.select("lang", "mark").distinct()
+    sizes = {r["lang"]: r["n"] for r in texts.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return None
     want = max(1, docs // len(sizes))
-    share = F.create_map(*[F.lit(v) for k, n in sizes.items() for v in (k, min(1.0, want * 1.2 / n))])
-    drawn = F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1 << 20)) / float(1 << 20)
+    # A few more than wanted by share, so that few rows are ranked.
+    share = F.create_map(*[F.lit(v) for k, n in sizes.items() for v in (k, min(1.0, (want * 1.2 + 64) / n))])
+    drawn = F.pmod("mark", F.lit(1 << 40))
     place = F.pmod(F.xxhash64("text", F.lit(12)), F.greatest(F.char_length("text") - SPAN, F.lit(1)))
     span = F.substring(F.col("text"), place.cast("int") + 1, F.lit(SPAN))
-    found = rows.filter(drawn < F.element_at(share, F.col("lang"))).select("lang", span.alias("text"))
-    found = sorted(map(tuple, found.limit(2 * docs + 64 * len(sizes)).collect()))
+    found = rows.filter(drawn / float(1 << 40) < F.element_at(share, F.col("lang")))
+    found = found.groupBy("lang", "mark").agg(F.min(span).alias("text"))
+    found = found.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy(drawn, "mark")))
+    found = sorted((r["lang"], r["text"]) for r in found.filter(F.col("nth") <= want).collect())
     model = Model(sorted(sizes))
     if len(sizes) > 1:
         model.train([t.encode("utf-8") for _, t in found], [lang for lang, _ in found])

@@ -92,6 +92,17 @@ def test_language_is_learned_and_held_out(spark, documents, empty, words, monkey
     assert not ids & {200, 201, 202, 203} and set(range(120)) <= ids
 
 
+def test_copies_do_not_fill_the_language_sample(spark, monkeypatch):
+    taught = []
+    monkeypatch.setattr(langid.Model, "train", lambda self, texts, langs: taught.append(list(zip(langs, texts))))
+    rows = [(i, f"own text {i}", "xx" if i % 2 else "yy") for i in range(600)] + [(1000 + i, "copied text", "xx") for i in range(6000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for n in (3, 5):
+        langid.fit(frame.repartition(n), docs=80)
+    assert taught[0] == taught[1] and len(set(taught[0])) == len(taught[0])
+    assert [sum(lang == k for lang, _ in taught[0]) for k in ("xx", "yy")] == [40, 40]
+
+
 def test_windows_hold_every_word():
     for n in range(1, 200):
         covered = {i for low in toxicity.starts(n) for i in range(low, min(n, low + toxicity.WINDOW))}
