@@ -4,8 +4,9 @@ A text is a sequence of words, and a word enters by itself (an embedding of its
 characters (embeddings of its character n-grams, pooled); both also carry how much more often
 they stand in toxic documents of the sample than in others. Overlapping windows of words run
 through the network, attention pools the states of a window, and the score of a text is that of
-its highest window. Training knows documents only: of a toxic one, the window that the network
-finds highest is the positive example; of a clean one, every drawn window is negative.
+its highest window. Training knows documents only: of a toxic one, the window with the most evidence is
+the positive example or, where its words tell nothing, the one that the network finds highest; of
+a clean one, every drawn window is negative.
 """
 
 from __future__ import annotations
@@ -29,7 +30,6 @@ HIDDEN, EMBEDDING = 8, 6
 WORDS, GRAM_SLOTS = 1 << 13, 1 << 14  # most frequent words with an embedding of their own; hashed n-grams
 GRAMS = (3, 4, 5)
 DOCS = 3000  # documents of each label to learn from: a bounded sample
-SPAN = 4000  # characters of each that are learned from, at a place drawn by a hash
 STEPS, BATCH, RATE = 160, 64, 0.01
 ECHO = 0.25  # share of clean windows that repeat a few of their words
 LOOKS = (20, 50, 80, 110, 140)  # steps at which the highest windows of clean documents are found anew
@@ -231,9 +231,9 @@ class Model:
     def train(self, texts: list[str], toxic: list[bool], steps: int = STEPS, rate: float = RATE, seed: int = 2) -> None:
         """Evidence that a document is shown comes from the other folds of the sample.
 
-        A toxic document shows its hottest window; one without any evidence in it is left out, as
-        nothing tells which of its windows is meant. A clean one shows its hottest, the one that
-        the network found highest when it last looked, or any other.
+        A toxic document shows its hottest window; one without any evidence in it shows the one that
+        the network found highest when it last looked, from the first look on. A clean one shows
+        its hottest, the one found highest, or any other.
         """
         rng = np.random.default_rng(seed)
         split = [tokens(t) for t in texts]
@@ -249,32 +249,42 @@ class Model:
             others.append(Evidence([seen[i] for i in rest], [parts[i] for i in rest], [toxic[i] for i in rest]))
         bags = [[words[low : low + WINDOW] for low in starts(len(words))] for words in split]
         groups: list[tuple[list, list]] = [([], []) for _ in range(FOLDS)]
+        bare: list[list] = [[] for _ in range(FOLDS)]  # toxic without evidence
         for i, words in enumerate(seen):
             if words:
                 odds = dict(zip(words, others[fold[i]].of(words, *grams(words)).sum(axis=1)))
                 heat = np.array([sum(odds[w] for w in window) for window in bags[i]])
-                if heat.max() > 0 or not toxic[i]:
-                    groups[fold[i]][bool(toxic[i])].append([i, int(heat.argmax()), int(heat.argmax())])
+                to = groups[fold[i]][bool(toxic[i])] if heat.max() > 0 or not toxic[i] else bare[fold[i]]
+                to.append([i, int(heat.argmax()), int(heat.argmax())])
+        told = any(mine[1] for mine in groups)
         adam = gru.Adam(self.weights, rate)
         for step in range(steps):
             adam.rate = rate * (1 - step / steps) + rate * 0.05
-            for mine, evidence in zip(groups, others):
+            for mine, unsure, evidence in zip(groups, bare, others):
                 if step in LOOKS:
                     self._look(bags, mine[0], evidence)
+                if step in LOOKS or not (step or told):  # without any evidence the first look is at once
+                    self._look(bags, unsure, evidence)
+                    for row in unsure:
+                        row[1] = row[2]
+                    if step == (LOOKS[0] if told else 0):
+                        mine[1].extend(unsure)
                 if mine[0] and mine[1]:
                     adam.step(self._step(rng, bags, mine, evidence))
         self.forget()
 
-    def _look(self, bags: list, clean: list, evidence: Evidence) -> None:
-        """Note the window of each clean document that the network finds highest now."""
-        for low in range(0, len(clean), 200):
-            part = clean[low : low + 200]
-            x, filled, words = batch([window for i, _, _ in part for window in bags[i]])
+    def _look(self, bags: list, rows: list, evidence: Evidence) -> None:
+        """Note the window of each document that the network finds highest now."""
+        best = np.full(len(rows), -np.inf)
+        every = [(n, at) for n, (i, _, _) in enumerate(rows) for at in range(len(bags[i]))]
+        for low in range(0, len(every), ROWS):
+            part = every[low : low + ROWS]
+            x, filled, words = batch([bags[rows[n][0]][at] for n, at in part])
             features, _ = self.features(words, evidence)
             logits = self.windows(x, filled, {side: self.table(features, side) for side in ("ahead", "back")})
-            ends = np.cumsum([len(bags[i]) for i, _, _ in part])
-            for row, own in zip(part, np.split(logits, ends[:-1])):
-                row[2] = int(own.argmax())
+            for (n, at), logit in zip(part, logits):
+                if logit > best[n]:
+                    best[n], rows[n][2] = logit, at
 
     def _step(self, rng: np.random.Generator, bags: list, mine: tuple[list, list], evidence: Evidence) -> dict:
         picked: list[tuple[list[str], bool]] = [([], False)]  # nothing said is nothing toxic
@@ -350,7 +360,7 @@ def starts(n: int) -> list[int]:
 
 
 def fit(documents: DataFrame, labels: DataFrame, parts: int = 3, held: int = 1, docs: int = DOCS) -> Model:
-    """Train on a bounded sample: at most about docs documents of each label, a span of each.
+    """Train on a bounded sample: at most about docs documents of each label, whole.
 
     The sample is drawn from the labels by a hash; its ids are few, so the texts are not shuffled
     to find theirs. Rows without doc_id, label or text take no part.
@@ -363,10 +373,8 @@ def fit(documents: DataFrame, labels: DataFrame, parts: int = 3, held: int = 1,
         F.lit(min(1.0, docs / max(1, sizes.get(False, 0))))
     )
     chosen = F.broadcast(told.filter(drawn < share).limit(3 * docs))  # bounded by the limit
-    place = F.pmod(F.xxhash64("text", F.lit(12)), F.greatest(F.char_length("text") - SPAN, F.lit(1)))
-    span = F.substring(F.col("text"), place.cast("int") + 1, F.lit(SPAN))
     rows = documents.filter(F.col("text").isNotNull()).select("doc_id", "text").join(chosen, "doc_id")
-    found = rows.select("toxic", span.alias("text")).limit(4 * docs).collect()
+    found = rows.select("toxic", "text").limit(4 * docs).collect()
     found = sorted((bool(r["toxic"]), r["text"]) for r in found)
     model = Model()
     model.train([t for _, t in found], [bad for bad, _ in found])

@@ -154,6 +154,31 @@ def test_toxicity_is_learned_and_held_out(labelled):
     assert {r.doc_id for r in kept.collect()} == {i for i, r in rows.items() if not r.predicted}
 
 
+def test_toxic_documents_without_evidence_and_late_passages_are_shown(spark, words, monkeypatch):
+    rng, shown, texts = random.Random(8), set(), []
+    step, fit = toxicity.Model._step, toxicity.Model.train
+
+    def spied(self, rng, bags, mine, evidence):
+        shown.update(i for i, _, _ in mine[1])
+        return step(self, rng, bags, mine, evidence)
+
+    def noted(self, found, toxic):
+        texts.extend(zip(found, toxic))
+        fit(self, found, toxic)
+
+    monkeypatch.setattr(toxicity.Model, "_step", spied)
+    monkeypatch.setattr(toxicity.Model, "train", noted)
+    rows = []
+    for i in range(120):
+        text = " ".join(rng.choice(words[0]) for _ in range(60))
+        rows.append((i, text + " grumf plonk" * (i % 4 == 0), int(i % 2 == 0)))  # every second toxic one has no toxic word
+    rows.append((200, " ".join(words[0] * 20) + " grumf plonk", 1))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    toxicity.fit(frame.select("doc_id", "text"), frame.select("doc_id", "toxic"), parts=1, held=1)
+    assert {n for n, (_, toxic) in enumerate(texts) if toxic} == shown
+    assert {t for t, _ in texts} == {t for _, t, _ in rows}
+
+
 def test_toxicity_without_documents_or_labels(labelled):
     docs, labels = labelled
     assert toxicity.detect(docs.limit(0), labels).count() == 0
