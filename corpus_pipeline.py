@@ -46,7 +46,8 @@ STAGES = [
     ("byte-level BPE", encoded),
 ]
 
-#: Trained networks and links between fingerprints are beyond SQL; the tests use brute force.
+#: Trained networks and links between fingerprints are beyond SQL; the tests hold the stages after
+#: the two networks against plain Python, taking what the networks kept as given.
 ORACLE_SQL = None
 
 
