@@ -8,13 +8,27 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm import bpe, decontam, htmlmain, langid, records, sharding, simhash, topk, toxicity, warc
+from panelwright.llm import (
+    bpe,
+    decontam,
+    htmlmain,
+    langid,
+    pii,
+    records,
+    runs,
+    sharding,
+    simhash,
+    topk,
+    toxicity,
+    warc,
+)
 from panelwright.llm.oracles import ORACLES
 
 SHARDS = 40
 END_ID = 2
 TOXIC = 0.7
 SHINGLE, DIFFERING = 4, 4
+LEAST_RUN, LEAST_PERIODS = 24, 3
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +80,16 @@ def op10_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.packed_documents(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, END_ID)
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.detect(_table(spark, sf_dir, "documents")))
+
+
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    changed = documents.withColumn("text", runs.planted(F.col("doc_id"), F.col("text")))
+    return runs.digest(runs.detect(changed, LEAST_RUN, LEAST_PERIODS))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -79,6 +103,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_decontamination,
         op9_bpe,
         op10_records,
+        op11_pii,
+        op12_runs,
     )
 }
 
