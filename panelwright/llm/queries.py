@@ -13,6 +13,7 @@ from panelwright.llm import (
     decontam,
     htmlmain,
     langid,
+    phrases,
     pii,
     records,
     runs,
@@ -29,6 +30,7 @@ END_ID = 2
 TOXIC = 0.7
 SHINGLE, DIFFERING = 4, 4
 LEAST_RUN, LEAST_PERIODS = 24, 3
+LEAST_PHRASE, FIRST_PHRASES = 100, 2000
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -90,6 +92,10 @@ def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.digest(runs.detect(changed, LEAST_RUN, LEAST_PERIODS))
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"), LEAST_PHRASE, FIRST_PHRASES)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -105,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_records,
         op11_pii,
         op12_runs,
+        op13_phrases,
     )
 }
 

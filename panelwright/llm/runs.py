@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelwright.llm.shared import packed, ranks
+
 # Every difference modulo 13 is one of two members of this set.
 MODULUS, COVER = 13, (0, 1, 3, 9)
 #: SHIFTS[i % 13, (j - i) % 13] is the least step that brings i and j to members of the cover.
@@ -39,12 +41,6 @@ PLACES = 1 << 21  # grid places in work at once
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def ranks(keys: np.ndarray) -> tuple[np.ndarray, int]:
-    """Dense ranks from 0 and their number."""
-    distinct, found = np.unique(keys, return_inverse=True)
-    return found.astype(np.int64), len(distinct)
-
-
 class Extensions:
     """Longest common extensions to the right in an array of non-negative numbers.
 
@@ -65,26 +61,14 @@ class Extensions:
         order[self.rank] = np.arange(m)
         self.table = self._table(self._neighbours(levels, order))
 
-    def _blocks(self, n: int) -> np.ndarray:
-        """Ranks of the sampled places by the next 13 words, several words to a sort key."""
+    def _blocks(self) -> np.ndarray:
+        """Ranks of the sampled places by the next 13 words."""
         padded = np.concatenate([self.w + 1, np.zeros(MODULUS, dtype=np.int64)])
-        columns, count = [padded[self.sampled + d] for d in range(MODULUS)], int(padded.max()) + 1
-        while len(columns) > 1:
-            fit = max(2, 62 // max(1, count.bit_length()))
-            packed, largest = [], 0
-            for k in range(0, len(columns), fit):
-                key = columns[k]
-                for column in columns[k + 1 : k + fit]:
-                    key = key * count + column
-                key, distinct = ranks(key)
-                packed.append(key)
-                largest = max(largest, distinct)
-            columns, count = packed, largest
-        return columns[0]
+        return ranks(packed([padded[self.sampled + d] for d in range(MODULUS)], int(padded.max()) + 1)[0])[0]
 
     def _levels(self, n: int, m: int) -> list[np.ndarray]:
         """Ranks of the sampled suffixes by 13, 26, 52 ... words, until all differ."""
-        levels, step = [self._blocks(n)], MODULUS
+        levels, step = [self._blocks()], MODULUS
         while int(levels[-1].max()) + 1 < m:
             further = self.sampled + step
             behind = np.where(further < n, levels[-1][self.index[np.minimum(further, n - 1)]] + 1, 0)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import posixpath
 
+import numpy as np
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -56,3 +57,30 @@ def with_positions(placed: DataFrame, group: list[str], name: str) -> DataFrame:
     shifts = F.broadcast(spark.createDataFrame(rows, schema))  # one row per partition and group that meet
     joined = placed.join(shifts, [*group, "__part"])
     return joined.withColumn(name, F.col("__row") + F.col("__shift")).drop("__part", "__row", "__shift")
+
+
+def ranks(keys: np.ndarray) -> tuple[np.ndarray, int]:
+    """Dense ranks from 0 and their number."""
+    distinct, found = np.unique(keys, return_inverse=True)
+    return found.astype(np.int64), len(distinct)
+
+
+def packed(columns: list[np.ndarray], count: int) -> tuple[np.ndarray, int]:
+    """One number per row of columns of numbers below count, in the rows' order, and a bound on them.
+
+    As many columns as fit go into 62 bits; where several are needed, their ranks are packed again.
+    """
+    while len(columns) > 1:
+        fit = max(2, 62 // max(1, (count - 1).bit_length()))
+        groups = [columns[k : k + fit] for k in range(0, len(columns), fit)]
+        keys = []
+        for group in groups:
+            key = group[0]
+            for column in group[1:]:
+                key = key * count + column
+            keys.append(key)
+        if len(keys) == 1:
+            return keys[0], count ** len(groups[0])
+        columns, sizes = zip(*map(ranks, keys))
+        count = max(sizes)
+    return columns[0], count
