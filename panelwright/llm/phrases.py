@@ -18,11 +18,13 @@ in it or not by its parts.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -150,12 +152,20 @@ def _rows(language: str, line: list[bytes], proposed: np.ndarray, before: np.nda
         yield pa.RecordBatch.from_arrays(columns, schema=PHRASE_ROWS)
 
 
-def count_pass(texts: DataFrame, proposed: np.ndarray, before: np.ndarray | None) -> DataFrame:
+def sent(texts: DataFrame, held: np.ndarray) -> Broadcast:
+    """A filter for the tasks, FILTER_BITS at most and far less while it holds few phrases."""
+    return texts.sparkSession.sparkContext.broadcast(zlib.compress(held.tobytes(), 1))
+
+
+def received(held: Broadcast) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(held.value), dtype=np.uint64)
+
+
+def count_pass(texts: DataFrame, proposed: Broadcast, before: Broadcast | None) -> DataFrame:
     """(lang, size, phrase, a): counts of what `proposed` and its border hold beyond `before`."""
-    context = texts.sparkSession.sparkContext
-    filters = context.broadcast((proposed, before))  # FILTER_BITS each
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filters = received(proposed), None if before is None else received(before)
         lines: dict[str, list[bytes]] = {}
         held = 0
         for batch in batches:
@@ -167,24 +177,24 @@ def count_pass(texts: DataFrame, proposed: np.ndarray, before: np.ndarray | None
                 held += len(grown) + 1
                 if held >= CHUNK:
                     for name, whole in lines.items():
-                        yield from _rows(name, whole, *filters.value)
+                        yield from _rows(name, whole, *filters)
                     lines, held = {}, 0
         for name, whole in lines.items():
-            yield from _rows(name, whole, *filters.value)
+            yield from _rows(name, whole, *filters)
 
     found = texts.select("lang", "text").mapInArrow(run, "lang string, size int, phrase string, a long")
     return found.groupBy("lang", "size", "phrase").agg(F.sum("a").alias("a"))
 
 
-def with_known(found: DataFrame, proposed: np.ndarray) -> DataFrame:
+def with_known(found: DataFrame, proposed: Broadcast) -> DataFrame:
     """Adds whether the filter held a phrase already; phrases of the greatest size need no place in it."""
-    filters = found.sparkSession.sparkContext.broadcast(proposed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = received(proposed)
         for batch in batches:
             sizes = batch.column("size").to_numpy()
             hashes = phrase_hashes(batch.column("lang").to_pylist(), batch.column("phrase").to_pylist())
-            known = holds(filters.value, hashes) | (sizes == 0) | (sizes == LONGEST)
+            known = holds(held, hashes) | (sizes == 0) | (sizes == LONGEST)
             yield batch.append_column("known", pa.array(known))
 
     return found.mapInArrow(run, "lang string, size int, phrase string, a long, known boolean")
@@ -213,14 +223,18 @@ def with_added(proposed: np.ndarray, failures: DataFrame) -> np.ndarray:
 
 def close(texts: DataFrame, proposed: np.ndarray, least: int, label: str) -> tuple[np.ndarray, list[DataFrame]]:
     """Passes until no border phrase is frequent: the grown filter and the frequent phrases of each pass."""
-    before, tables = None, []
+    before, now, tables = None, sent(texts, proposed), []
     while True:
-        found = count_pass(texts, proposed, before).filter((F.col("a") >= least) | (F.col("size") == 0))
-        table, failures = materialise_counted(with_known(found, proposed), label, ~F.col("known"))
+        found = count_pass(texts, now, before).filter((F.col("a") >= least) | (F.col("size") == 0))
+        table, failures = materialise_counted(with_known(found, now), label, ~F.col("known"))
         tables.append(table)
+        if before is not None:
+            before.destroy()
         if not failures:
+            now.destroy()
             return proposed, tables
-        before, proposed = proposed, with_added(proposed, table.filter("not known"))
+        proposed = with_added(proposed, table.filter("not known"))
+        before, now = now, sent(texts, proposed)
 
 
 def frequent(documents: DataFrame, least: int, bits: int = FILTER_BITS) -> DataFrame:
