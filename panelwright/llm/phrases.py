@@ -4,16 +4,18 @@ A phrase is frequent if its words stand in a row within pieces of text at least
 part of a frequent phrase is frequent. A sample of the documents, mined level by level at a lowered
 bound, proposes phrases. One pass over all documents counts the proposed phrases and their negative
 border, that is, every phrase that is not proposed although both its parts without the last and
-without the first word are. Frequent phrases of the border (failures) become proposals, and a
-further pass counts what their border adds, until no border phrase is frequent: then the counts
-of all frequent phrases are known, exactly and completely. Counting starts from no proposal at
-all in the sample, which makes the same loop a level-wise search.
+without the first word are. If the border holds frequent phrases (failures), an expansion pass
+counts, of the phrases not counted yet, those whose parts are each frequent or not counted either.
+That closes the search: all parts of a frequent phrase are frequent, so one that is still not
+counted passes this test. Every phrase counted anew holds a failure, so there are few.
+
+The sample is mined by the same passes from no proposal at all: words, then pairs of them as the
+border of the words, then the expansion.
 
 Proposals are known to the tasks through a Bloom filter of a fixed number of bits, the only thing
 that is broadcast. A phrase that it takes for proposed by mistake is counted needlessly; no count
-and no decision rests on it. As each pass knows the filter of the pass before, it counts exactly
-the phrases that no earlier pass has counted. The border is never listed: a phrase of the text is
-in it or not by its parts.
+and no decision rests on it. As a pass knows the filter of the pass before, it leaves out exactly
+what was counted then. The border is never listed: a phrase of the text is in it by its parts.
 """
 
 from __future__ import annotations
@@ -36,21 +38,30 @@ SHARE = 8  # one document in so many is in the sample
 LOWERED = 0.5  # bound in the sample, as a part of the one that is expected there
 FILTER_BITS = 1 << 26
 PROBES = 3
-CHUNK = 1 << 19  # words whose phrases are counted together before they leave a task
+CHUNK_BYTES = 6 << 20  # texts whose phrases are counted together before they leave a task
 UNKNOWN = "und"
 
 # Signs that end a piece, and those that part words.
 ENDS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
+END = b"."  # stands for all of them, as no word can hold it
 LOWERING = bytes(
-    ord("\n") if c in ENDS else ord(" ") if c in BLANKS else c + 32 if ord("A") <= c <= ord("Z") else c for c in range(256)
+    END[0] if c in ENDS else ord(" ") if c in BLANKS else c + 32 if ord("A") <= c <= ord("Z") else c for c in range(256)
 )
 MIX, SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)  # odd multipliers
 
 
-def tokens(text: str) -> list[bytes]:
-    """Words in lower case, with a line feed for each end of a piece."""
-    line = text.encode("utf-8").translate(LOWERING)
-    return [t for t in line.replace(b"\n", b" \n ").split(b" ") if t]
+def tokens(texts: list[bytes]) -> list[bytes]:
+    """Words in lower case, with END for each end of a piece and of a text."""
+    line = END.join([*texts, b""]).translate(LOWERING)
+    return line.replace(END, b" . ").split()
+
+
+class Numbers(dict):
+    """Numbers words in the order in which they are asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self)
+        return number
 
 
 def word_hashes(language: str, words: list[bytes]) -> np.ndarray:
@@ -90,61 +101,64 @@ def phrase_hashes(languages: list[str], phrases: list[str]) -> np.ndarray:
 
 
 class Counter:
-    """Counts phrases of one language in a run of tokens."""
+    """Counts phrases in a run of tokens of one language.
 
-    def __init__(self, language: str, proposed: np.ndarray, before: np.ndarray | None) -> None:
-        self.language, self.proposed, self.before = language, proposed, before
+    `known` is the filter of proposed or frequent phrases, `before` that of the pass before (None for
+    a first pass). `hopeful` takes phrases that were not counted yet for frequent ones.
+    """
+
+    def __init__(self, language: str, known: np.ndarray, before: np.ndarray | None, hopeful: bool) -> None:
+        self.language, self.known, self.before, self.hopeful = language, known, before, hopeful
 
     def count(self, line: list[bytes]) -> Iterator[tuple[int, list[bytes], np.ndarray]]:
         """(size, phrases, counts) for words and for all sizes up to LONGEST; size 0 holds the words' number."""
-        numbers: dict[bytes, int] = {b"\n": 0}
-        ids = np.fromiter((numbers.setdefault(t, len(numbers)) for t in line), dtype=np.int64, count=len(line))
+        numbers = Numbers({END: 0})
+        ids = np.fromiter(map(numbers.__getitem__, line), dtype=np.int64, count=len(line))
         words = list(numbers)
+        single = word_hashes(self.language, words)
+        allowed = ids > 0  # places whose phrase of the present size may be frequent
         if self.before is None:
             counts = np.bincount(ids, minlength=len(words))[1:]
             yield 1, words[1:], counts
             yield 0, [b""], np.array([counts.sum()])
-        single = word_hashes(self.language, words)
+        counted = allowed if self.before is not None else np.zeros_like(allowed)
         hashes = single[ids]
-        # Places whose phrase of the present size is proposed or in the border; the same for the pass before.
-        now = ids > 0
-        old = now if self.before is not None else np.zeros_like(now)
-        place = np.flatnonzero(now)
+        member = holds(self.known, single)[ids]
+        old = counted & holds(self.before, single)[ids] if self.before is not None else counted
         for size in range(2, LONGEST + 1):
-            known = np.zeros(len(line), dtype=bool)
-            known[place] = holds(self.proposed, hashes[place])
-            grown = _both(now, known)
-            if self.before is not None:
-                known = np.zeros(len(line), dtype=bool)
-                at = np.flatnonzero(old)
-                known[at] = holds(self.before, hashes[at])
-                old = _both(old, known)
-            now, place = grown, np.flatnonzero(grown)
+            likely = counted & member | allowed & ~counted if self.hopeful else allowed & member
+            allowed, counted = _both(likely), _both(old)
+            place = np.flatnonzero(allowed | counted)
+            if not len(place):
+                return
             hashes[place] = longer_hash(hashes[place], single[ids[place + size - 1]])
-            at = place[~old[place]] if self.before is not None else place
+            at = np.flatnonzero(allowed & ~counted)
             if len(at):
                 key, _ = packed([ids[at + d] for d in range(size)], len(words))
                 _, first, counts = np.unique(key, return_index=True, return_counts=True)
                 yield size, [b" ".join(line[i : i + size]) for i in at[first].tolist()], counts
-            if not len(place):
-                return
+            member = np.zeros_like(allowed)
+            member[place] = holds(self.known, hashes[place])
+            if self.before is not None:
+                old = np.zeros_like(allowed)
+                at = np.flatnonzero(counted)
+                old[at] = holds(self.before, hashes[at])
 
 
-def _both(now: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """Places where the phrase here and the one that begins a word later are both known."""
-    known &= now
-    grown = np.zeros_like(known)
-    grown[:-1] = known[:-1] & known[1:]
+def _both(here: np.ndarray) -> np.ndarray:
+    """Places that hold, as do the places a word later."""
+    grown = np.zeros_like(here)
+    grown[:-1] = here[:-1] & here[1:]
     return grown
 
 
 PHRASE_ROWS = pa.schema([("lang", pa.string()), ("size", pa.int32()), ("phrase", pa.string()), ("a", pa.int64())])
 
 
-def _rows(language: str, line: list[bytes], proposed: np.ndarray, before: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    for size, phrases, counts in Counter(language, proposed, before).count(line):
+def _rows(counter: Counter, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
+    for size, phrases, counts in counter.count(tokens(texts)):
         columns = [
-            pa.array([language] * len(phrases), pa.string()),
+            pa.array([counter.language] * len(phrases), pa.string()),
             pa.array(np.full(len(phrases), size, dtype=np.int32)),
             pa.array(phrases, pa.binary()).cast(pa.string()),
             pa.array(counts.astype(np.int64)),
@@ -161,26 +175,23 @@ def received(held: Broadcast) -> np.ndarray:
     return np.frombuffer(zlib.decompress(held.value), dtype=np.uint64)
 
 
-def count_pass(texts: DataFrame, proposed: Broadcast, before: Broadcast | None) -> DataFrame:
-    """(lang, size, phrase, a): counts of what `proposed` and its border hold beyond `before`."""
+def count_pass(texts: DataFrame, known: Broadcast, before: Broadcast | None, hopeful: bool) -> DataFrame:
+    """(lang, size, phrase, a): exact counts of the phrases of one pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filters = received(proposed), None if before is None else received(before)
+        filters = received(known), None if before is None else received(before)
         lines: dict[str, list[bytes]] = {}
         held = 0
         for batch in batches:
-            for language, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                line = lines.setdefault(language, [])
-                grown = tokens(text.as_py())
-                line += grown
-                line.append(b"\n")
-                held += len(grown) + 1
-                if held >= CHUNK:
-                    for name, whole in lines.items():
-                        yield from _rows(name, whole, *filters)
+            for language, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
+                lines.setdefault(language, []).append(text)
+                held += len(text) + 1
+                if held >= CHUNK_BYTES:
+                    for name, held_texts in lines.items():
+                        yield from _rows(Counter(name, *filters, hopeful), held_texts)
                     lines, held = {}, 0
-        for name, whole in lines.items():
-            yield from _rows(name, whole, *filters)
+        for name, held_texts in lines.items():
+            yield from _rows(Counter(name, *filters, hopeful), held_texts)
 
     found = texts.select("lang", "text").mapInArrow(run, "lang string, size int, phrase string, a long")
     return found.groupBy("lang", "size", "phrase").agg(F.sum("a").alias("a"))
@@ -221,20 +232,26 @@ def with_added(proposed: np.ndarray, failures: DataFrame) -> np.ndarray:
     return grown
 
 
-def close(texts: DataFrame, proposed: np.ndarray, least: int, label: str) -> tuple[np.ndarray, list[DataFrame]]:
-    """Passes until no border phrase is frequent: the grown filter and the frequent phrases of each pass."""
-    before, now, tables = None, sent(texts, proposed), []
-    while True:
-        found = count_pass(texts, now, before).filter((F.col("a") >= least) | (F.col("size") == 0))
+def close(texts: DataFrame, proposed: np.ndarray, least: int, label: str, borders: int) -> tuple[np.ndarray, list[DataFrame]]:
+    """All frequent phrases: a filter that holds them, and the tables of each pass.
+
+    `borders` passes count what is proposed and its border, the frequent ones of which are proposed to
+    the next; one expansion pass counts the rest, if there were failures at all.
+    """
+    before, now, tables, failures = None, sent(texts, proposed), [], 1
+    while failures and len(tables) <= borders:
+        found = count_pass(texts, now, before, hopeful=len(tables) == borders)
+        found = found.filter((F.col("a") >= least) | (F.col("size") == 0))
         table, failures = materialise_counted(with_known(found, now), label, ~F.col("known"))
         tables.append(table)
         if before is not None:
             before.destroy()
-        if not failures:
-            now.destroy()
-            return proposed, tables
-        proposed = with_added(proposed, table.filter("not known"))
-        before, now = now, sent(texts, proposed)
+        before = now
+        if failures:
+            proposed = with_added(proposed, table.filter("not known"))
+            now = sent(texts, proposed)
+    now.destroy()
+    return proposed, tables
 
 
 def frequent(documents: DataFrame, least: int, bits: int = FILTER_BITS) -> DataFrame:
@@ -251,8 +268,8 @@ def frequent(documents: DataFrame, least: int, bits: int = FILTER_BITS) -> DataF
     texts = rows.select("lang", "text")
     sample = materialise(rows.filter(F.pmod("draw", F.lit(SHARE)) == 0).select("lang", "text"), "phrase-sample")
     nothing = np.zeros(bits // 64, dtype=np.uint64)
-    proposed, _ = close(sample, nothing, max(1, round(LOWERED * least / SHARE)), "sampled-phrases")
-    _, tables = close(texts, proposed, least, "frequent-phrases")
+    proposed, _ = close(sample, nothing, max(1, round(LOWERED * least / SHARE)), "sampled-phrases", 2)
+    _, tables = close(texts, proposed, least, "frequent-phrases", 1)
     out = tables[0]
     for table in tables[1:]:
         out = out.unionByName(table)
