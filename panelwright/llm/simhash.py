@@ -1,13 +1,15 @@
 """SimHash near-duplicates by a binary trie self-join.
 
 Fingerprints are the leaves of a binary trie. The join goes down from pairs of nodes, adds up the
-bits in which they differ, and drops a pair once the error budget is spent. Two tries are walked,
-one over the bits as they are and one with the halves exchanged: of 64 bits with at most k
-differing, one half has at most k // 2, so each trie's first 32 levels work with that budget.
-
-The tops of the tries are walked by Spark: a fingerprint goes to the pairs of top nodes it can
-belong to, and each pair is one group. Crowded top nodes are cut into blocks, so that a group is
-bounded whatever the data. A group returns a forest of links, never all pairs.
+bits in which they differ, and drops a pair once the error budget is spent.
+
+The tops of the tries are dealt out by Spark, without any error: of budget + 1 pieces of the 64
+bits at least one is the same in two linked fingerprints, so each piece in turn leads a trie, and
+prints that agree in it form one group. A fingerprint is copied budget + 1 times, whatever the
+table's size; of the leading piece only as many bits are looked at as the table's size asks for.
+Where all of them leave the groups too large, tries are led by two pieces
+of budget + 2, or by three of budget + 3. Crowded groups are cut into blocks that are joined pair by
+pair, so that a group is bounded whatever the data. A group returns a forest of links, never all pairs.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from panelwright.session import materialise, materialise_counted
 
 BITS = 64
 CELL = 4096  # fingerprints of a block
+MOST_LEADING = 3  # pieces that lead a trie
 FRONTIER = 1 << 17  # node pairs in work at once
 LEAF = 16  # node pairs with so few member pairs are compared directly
 COUNTS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1)[:, ::-1].astype(np.int64)
@@ -91,12 +94,12 @@ def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b)
 
 
-def trie_join(left: np.ndarray, right: np.ndarray | None, depth: int, half: int, whole: int) -> np.ndarray:
+def trie_join(left: np.ndarray, right: np.ndarray | None, depth: int, whole: int) -> np.ndarray:
     """Links within `whole` bits as a forest: root position of each of the sorted values.
 
-    Values of left (and right, behind them) are sorted; all of one side share their first depth
-    bits. right None joins left with itself. Budgets: `half` within the first 32 bits, `whole`
-    in all. Pairs of nodes that already hang together as one component are dropped.
+    Values of left (and right, behind them) are sorted; all of them share their first depth bits.
+    right None joins left with itself. Pairs of nodes that already hang together as one component
+    are dropped.
     """
     values = left if right is None else np.concatenate([left, right])
     forest = Forest(len(values))
@@ -104,10 +107,7 @@ def trie_join(left: np.ndarray, right: np.ndarray | None, depth: int, half: int,
     begin = (0, n, 0, n) if right is None else (0, n, n, len(values))
     if begin[1] == begin[0] or begin[3] == begin[2]:
         return forest.root
-    spent = 0 if right is None else int(differing(left[0] >> np.uint64(BITS - depth), right[0] >> np.uint64(BITS - depth))) if depth else 0
-    if spent > min(half if depth <= 32 else whole, whole):
-        return forest.root
-    stack = [(depth, np.array([begin], dtype=np.int64), np.array([spent]))]
+    stack = [(depth, np.array([begin], dtype=np.int64), np.array([0]))]
     steps = _steps(forest.root)
     while stack:
         level, nodes, errors = stack.pop()
@@ -130,7 +130,7 @@ def trie_join(left: np.ndarray, right: np.ndarray | None, depth: int, half: int,
                 steps = _steps(forest.root)
         nodes, errors = nodes[~ends], errors[~ends]
         if len(nodes):
-            stack.append((level + 1, *_children(values, nodes, errors, level, half if level < 32 else whole)))
+            stack.append((level + 1, *_children(values, nodes, errors, level, whole)))
     return forest.root
 
 
@@ -181,48 +181,71 @@ def _split(values: np.ndarray, low: np.ndarray, high: np.ndarray, level: int) ->
     return low
 
 
+def pieces(count: int) -> list[tuple[int, int]]:
+    """(lowest bit, width) of so many pieces of nearly equal width."""
+    ends = [BITS * i // count for i in range(count + 1)]
+    return [(a, b - a) for a, b in zip(ends, ends[1:])]
+
+
+def tries(budget: int, count: int) -> tuple[list[list[tuple[int, int]]], int]:
+    """The pieces in the order of each trie, the leading ones first, and how many lead.
+
+    As few lead as leave half a block to a group of evenly spread fingerprints.
+    """
+    for leading in range(1, MOST_LEADING + 1):
+        parts = pieces(budget + leading)
+        chosen = list(combinations(parts, leading))
+        if count <= CELL // 2 << min(sum(width for _, width in c) for c in chosen):
+            break
+    return [[*c, *(p for p in parts if p not in c)] for c in chosen], leading
+
+
+def gathered(values: np.ndarray, order: list[tuple[int, int]]) -> np.ndarray:
+    """Values with their pieces moved into another order, the first one on top."""
+    out = np.zeros_like(values)
+    for low, width in order:
+        piece = values >> np.uint64(low) & np.uint64((1 << width) - 1)
+        out = out << np.uint64(width) | piece if width < BITS else piece
+    return out
+
+
 def links(prints: DataFrame, budget: int, count: int) -> DataFrame:
     """Links (a, b) of distinct fingerprints (fp) that join all within the budget, in some forest."""
-    spark = prints.sparkSession
-    depth = max(0, min(28, (max(count, 1) // (CELL // 2)).bit_length()))
-    half = budget // 2
-    masks = [sum(1 << i for i in c) for k in range(half + 1) for c in combinations(range(depth), k)]
-    # The other half of a pair that is not within `half` in the first 32 bits is within it there.
-    turned = F.shiftrightunsigned("fp", 32).bitwiseOR(F.shiftleft("fp", 32))
-    rows = prints.select(F.explode(F.array(F.struct(F.lit(0).alias("trie"), F.col("fp").alias("v")), F.struct(F.lit(1).alias("trie"), turned.alias("v")))).alias("x"))
-    rows = rows.select("x.trie", "x.v", (F.shiftrightunsigned("x.v", 64 - depth) if depth else F.lit(0).cast("long")).alias("cell"))
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("v", F.lit(1)), F.lit(1 << 20)))
+    orders, leading = tries(budget, count)
+    needed = (max(count, 1) // (CELL // 2)).bit_length()  # bits of a cell that leave half a block to it
+    depths = [min(needed, sum(width for _, width in order[:leading])) for order in orders]
+    heads = []
+    for number, order in enumerate(orders):
+        cell = F.lit(0).cast("long")
+        for low, width in order[:leading]:
+            piece = F.shiftrightunsigned("fp", low).bitwiseAND((1 << width) - 1) if width < BITS else F.col("fp")
+            cell = F.shiftleft(cell, width).bitwiseOR(piece) if width < BITS else piece
+        cell = F.shiftrightunsigned(cell, sum(width for _, width in order[:leading]) - depths[number])
+        heads.append(F.struct(F.lit(number).alias("trie"), cell.alias("cell")))
+    rows = prints.select("fp", F.inline(F.array(*heads)))
     sizes = rows.groupBy("trie", "cell").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("blocks"))
     sizes = materialise(sizes.filter("blocks > 1"), "crowded-cells")
     own = rows.join(sizes, ["trie", "cell"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    own = own.withColumn("block", (F.col("salt") % F.col("blocks")).cast("int"))
-    around = F.explode(F.array(*[F.lit(m).cast("long") for m in masks]))
-    away = own.withColumn("mask", around).withColumn("other", F.col("cell").bitwiseXOR(F.col("mask")))
-    there = sizes.select("trie", F.col("cell").alias("other"), F.col("blocks").alias("other_blocks"))
-    away = away.join(there, ["trie", "other"], "left").withColumn("other_blocks", F.coalesce("other_blocks", F.lit(1)))
-    away = away.withColumn("other_block", F.explode(F.sequence(F.lit(0), F.col("other_blocks") - 1)))
-    mine, theirs = F.struct("cell", "block"), F.struct(F.col("other").alias("cell"), F.col("other_block").alias("block"))
-    away = away.select("trie", "v", F.least(mine, theirs).alias("low"), F.greatest(mine, theirs).alias("high"), (mine <= theirs).alias("is_low"))
+    own = own.withColumn("block", F.pmod(F.xxhash64("fp", F.lit(1)), F.col("blocks")).cast("int"))
+    # A block meets itself and every other block of its cell; with itself alone in a cell of one block.
+    met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("trie", "cell", "fp", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), (F.col("block") <= F.col("other")).alias("is_low"))
 
     def walk(batch: pd.DataFrame) -> pd.DataFrame:
         trie, flag = int(batch["trie"].iloc[0]), batch["is_low"].to_numpy()
-        values = batch["v"].to_numpy().view(np.uint64)
-        first, second = np.sort(values[flag]), np.sort(values[~flag])
-        same_cell = bool(batch["same_cell"].iloc[0])
-        if batch["same"].iloc[0]:
-            second = None
-        elif not len(first) or not len(second):
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        root = trie_join(first, second, 0 if same_cell and second is not None else depth, half, budget)
-        both = first if second is None else np.concatenate([first, second])
+        prints = batch["fp"].to_numpy().view(np.uint64)
+        values = gathered(prints, orders[trie])
+        if batch["low"].iloc[0] == batch["high"].iloc[0]:
+            sides = [np.argsort(values)]
+        else:
+            sides = [np.flatnonzero(flag), np.flatnonzero(~flag)]
+            sides = [side[np.argsort(values[side])] for side in sides]
+        root = trie_join(values[sides[0]], values[sides[1]] if len(sides) > 1 else None, depths[trie], budget)
+        both = prints[np.concatenate(sides)]
         moved = np.flatnonzero(root != np.arange(len(root)))
-        ends = [both[moved], both[root[moved]]]
-        if trie:
-            ends = [x >> np.uint64(32) | x << np.uint64(32) for x in ends]
-        return pd.DataFrame({"a": ends[0].view(np.int64), "b": ends[1].view(np.int64)})
+        return pd.DataFrame({"a": both[moved].view(np.int64), "b": both[root[moved]].view(np.int64)})
 
-    grouped = away.withColumn("same", F.col("low") == F.col("high")).withColumn("same_cell", F.col("low.cell") == F.col("high.cell"))
-    return grouped.groupBy("trie", "low", "high").applyInPandas(walk, "a long, b long")
+    return met.groupBy("trie", "cell", "low", "high").applyInPandas(walk, "a long, b long")
 
 
 def near_duplicates(documents: DataFrame, shingle: int, budget: int) -> DataFrame:
@@ -247,10 +270,12 @@ def keep_one(documents: DataFrame, shingle: int, budget: int) -> DataFrame:
     Rows without doc_id stay, as no other row can stand for them by name. Rows that share a kept
     doc_id are repeated rows: one of them stays.
     """
-    found = near_duplicates(documents, shingle, budget).filter(F.col("doc_id") == F.col("component_id"))
-    kept = materialise(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("__n")), "kept")
-    once, many = kept.filter("__n = 1").select("doc_id"), kept.filter("__n > 1").select("doc_id")
-    single = documents.filter(F.col("doc_id").isNull()).unionByName(documents.join(once, "doc_id", "left_semi"))
+    found = near_duplicates(documents, shingle, budget).filter(F.col("doc_id").isNotNull())
+    kept = found.groupBy("doc_id").agg(F.count_if(F.col("doc_id") == F.col("component_id")).alias("__n"))
+    odd = materialise(kept.filter("__n <> 1"), "dropped")  # few rows beside those that stay
+    single = documents.join(odd.select("doc_id"), "doc_id", "left_anti").select(*documents.columns)
+    many = odd.filter("__n > 1").select("doc_id")
     if many.isEmpty():
         return single
-    return single.unionByName(documents.join(many, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    repeated = documents.join(many, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return single.unionByName(repeated.select(*documents.columns))

@@ -74,21 +74,34 @@ def linked(values, budget, within=lambda a, b: True):
 @pytest.mark.parametrize("whole", [0, 3, 4, 5])
 def test_trie_join_of_one_side(whole):
     values = clustered(600, whole)
-    forest = simhash.Forest(len(values))
-    for turn in (False, True):
-        turned = values << np.uint64(32) | values >> np.uint64(32) if turn else values
-        order = np.argsort(turned)
-        root = simhash.trie_join(turned[order], None, 0, whole // 2, whole)
-        forest.join(order, order[root])
-    assert same_parts(forest.root.tolist(), linked(values, whole))
-
-
-def test_spark_links_with_crowded_cells(spark, monkeypatch):
+    root = simhash.trie_join(values, None, 0, whole)
+    assert same_parts(root.tolist(), linked(values, whole))
+
+
+@pytest.mark.parametrize("leading", [1, 2, 3])
+def test_pieces_of_all_tries(leading, monkeypatch):
+    """Any four errors leave the leading pieces of some trie alone; each trie holds every bit once."""
+    monkeypatch.setattr(simhash, "CELL", 2)
+    orders, found = simhash.tries(4, {1: 1, 2: 1 << 15, 3: 1 << 40}[leading])
+    assert found == leading
+    rng = random.Random(leading)
+    value = rng.getrandbits(64)
+    for order in orders:
+        assert sum(width for _, width in order) == 64
+        moved = simhash.gathered(np.array([value], dtype=np.uint64), order)[0]
+        assert bin(int(moved)).count("1") == bin(value).count("1")
+    for _ in range(300):
+        wrong = rng.sample(range(64), 4)
+        hit = [[any(low <= w < low + width for w in wrong) for low, width in order[:leading]] for order in orders]
+        assert not all(map(any, hit))
+
+
+@pytest.mark.parametrize("depth", [1, 3])
+def test_spark_links_with_crowded_cells(spark, monkeypatch, depth):
     monkeypatch.setattr(simhash, "CELL", 32)
-    values = clustered(900, 9)
+    values = clustered(900 if depth == 1 else 120, 9)
     frame = spark.createDataFrame([(simhash.signed(int(v)),) for v in values], "fp long")
-    found = simhash.links(frame, 4, len(values)).collect()
-    assert len(found) < 8 * 37 * len(values)
+    found = simhash.links(frame, 4, len(values) if depth == 1 else 1 << 60).collect()
     place = {simhash.signed(int(v)): i for i, v in enumerate(values)}
     forest = simhash.Forest(len(values))
     forest.join(np.array([place[r.a] for r in found]), np.array([place[r.b] for r in found]))
@@ -98,9 +111,9 @@ def test_spark_links_with_crowded_cells(spark, monkeypatch):
 def test_frontier_in_portions(monkeypatch):
     monkeypatch.setattr(simhash, "FRONTIER", 7)
     values = clustered(200, 3)
-    few = simhash.trie_join(values, None, 0, 4, 4)
+    few = simhash.trie_join(values, None, 0, 4)
     monkeypatch.undo()
-    assert same_parts(few.tolist(), simhash.trie_join(values, None, 0, 4, 4).tolist())
+    assert same_parts(few.tolist(), simhash.trie_join(values, None, 0, 4).tolist())
 
 
 def test_one_of_each_group_stays(documents):
