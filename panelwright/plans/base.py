@@ -78,6 +78,20 @@ def six_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features(spark, sf_dir).select("entity", *FEATURES).join(events, "entity")
 
 
+EXACT = ("total", "bad", "span", "top_value", "days", "moves")
+
+
+def exact_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six features without rounding of their own, so that ties of distances are ties in any engine."""
+    events = load(spark, sf_dir, "events").groupBy(F.col("user_id").alias("entity")).agg(
+        F.max("value").alias("top_value"),
+        F.count_distinct(F.to_date("ts")).cast("double").alias("days"),
+        F.count(F.lit(1)).cast("double").alias("moves"),
+    )
+    table = features(spark, sf_dir).join(events, "entity")
+    return table.withColumn("total", F.col("total") / 64).select("entity", *EXACT, "long_span")
+
+
 def label_a() -> Column:
     """A fixed grouping by final value; none for the outliers."""
     total = F.col("total")

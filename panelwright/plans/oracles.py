@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from panelwright.plans.base import FEATURES, SIX, THRESHOLDS
+from panelwright.plans.base import EXACT, FEATURES, SIX, THRESHOLDS
 
 ORACLES: dict[str, str] = {}
 
@@ -534,6 +534,42 @@ points AS MATERIALIZED (
 {density(1.3, 4, xs=SIX)}
 SELECT entity, {big('cluster')} AS cluster, is_core FROM labelled"""
 
+EXACT_FEATURES = f"""{FEATURE_TABLE}, per_user AS (
+  SELECT user_id AS entity, MAX(value) AS top_value, CAST(COUNT(DISTINCT CAST(ts AS DATE)) AS DOUBLE) AS days,
+         CAST(COUNT(*) AS DOUBLE) AS moves FROM events GROUP BY user_id),
+exact AS MATERIALIZED (SELECT entity, total / 64 AS total, bad, span, top_value, days, moves, long_span
+  FROM features JOIN per_user USING (entity))"""
+
+ORACLES["nearest_entities"] = f"""WITH {EXACT_FEATURES},
+complete AS (SELECT * FROM exact WHERE {' AND '.join(f'{x} IS NOT NULL' for x in EXACT)}),
+pairs AS (
+  SELECT a.entity, b.entity AS neighbour, {' + '.join(f'(b.{x} - a.{x}) * (b.{x} - a.{x})' for x in EXACT)} AS d2
+  FROM complete AS a JOIN complete AS b ON a.entity <> b.entity),
+ranked AS (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY entity ORDER BY d2, neighbour) AS rank FROM pairs)
+SELECT entity, {big('rank')} AS rank, neighbour, {r('SQRT(d2)')} AS distance FROM ranked WHERE rank <= 5"""
+
+MISSING = ("total", "bad", "span", "long_span")
+ORACLES["partners_with_missing"] = f"""WITH {EXACT_FEATURES},
+holes AS MATERIALIZED (
+  SELECT entity, CASE WHEN entity % 11 <> 3 THEN total END AS total, CASE WHEN entity % 7 <> 2 THEN bad END AS bad,
+         CASE WHEN entity % 5 <> 1 THEN span END AS span, long_span FROM exact),
+pairs AS (
+  SELECT a.entity, b.entity AS other,
+         {' + '.join(f'COALESCE((a.{x} - b.{x}) * (a.{x} - b.{x}), 0)' for x in MISSING)} AS squares,
+         {' + '.join(f'CAST(a.{x} IS NOT NULL AND b.{x} IS NOT NULL AS INTEGER)' for x in MISSING)} AS common
+  FROM holes AS a JOIN holes AS b ON a.entity <> b.entity),
+measured AS (
+  SELECT entity, other, SQRT(squares * CAST({len(MISSING)} AS DOUBLE) / common) AS distance FROM pairs WHERE common > 0),
+counted AS (
+  SELECT entity, COUNT(*) AS comparable, COUNT(*) FILTER (WHERE distance <= 3.0) AS near FROM measured GROUP BY entity),
+first AS (
+  SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY entity ORDER BY distance, other) AS place
+                 FROM measured WHERE distance <= 3.0) WHERE place = 1)
+SELECT entity, {big(' + '.join(f'CAST(h.{x} IS NOT NULL AS INTEGER)' for x in MISSING))} AS present,
+       COALESCE(comparable, 0) AS comparable, COALESCE(near, 0) AS near, f.other AS nearest, {r('f.distance')} AS distance
+FROM holes AS h LEFT JOIN counted USING (entity) LEFT JOIN first AS f USING (entity)"""
+
 GRID = [(0.5, 4), (0.8, 4), (0.5, 3)]
 ORACLES["dbscan_sweep"] = f"""WITH RECURSIVE {POINTS}, {', '.join(density(e, m, f'_{i}') for i, (e, m) in enumerate(GRID))}
 """ + " UNION ALL ".join(

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.operators import columns, compare, dbscan, joins, kmeans, projection, regression, stats, ward
+from panelwright.operators import columns, compare, dbscan, joins, kmeans, neighbours, projection, regression, stats, ward
 from panelwright.operators import thresholds as th
 from panelwright.operators.running import running_sums
 from panelwright.plans import base
@@ -507,6 +507,30 @@ def pairwise_distance(spark, sf_dir):
     return found.select("entity", whole("cluster").alias("cluster"), real("distance").alias("distance"))
 
 
+@query
+def nearest_entities(spark, sf_dir):
+    """The five nearest other entities of each, in six features."""
+    table = materialise(base.exact_features(spark, sf_dir), "exact-features")
+    found = neighbours.nearest(table, "entity", base.EXACT, 5, invalid="skip")
+    return found.select("entity", whole("rank").alias("rank"), "neighbour", real("distance").alias("distance"))
+
+
+@query
+def partners_with_missing(spark, sf_dir):
+    """Distances over the coordinates that both entities have; the span to 3000 and others are missing at times."""
+    table = base.exact_features(spark, sf_dir).withColumns({
+        "span": F.when(F.col("entity") % 5 != 1, F.col("span")),
+        "bad": F.when(F.col("entity") % 7 != 2, F.col("bad")),
+        "total": F.when(F.col("entity") % 11 != 3, F.col("total")),
+    })
+    missing = ("total", "bad", "span", "long_span")
+    table = materialise(table.select("entity", *missing), "features-with-missing")
+    found = neighbours.partners_with_missing(table, "entity", missing, 3.0)
+    return found.select(
+        "entity", whole("present").alias("present"), "comparable", "near", "nearest", real("distance").alias("distance")
+    )
+
+
 def dbscan_view(labels):
     return labels.select("entity", whole("cluster").alias("cluster"), "is_core")
 
