@@ -39,6 +39,7 @@ LOWERED = 0.5  # bound in the sample, as a part of the one that is expected ther
 FILTER_BITS = 1 << 26
 PROBES = 3
 CHUNK_BYTES = 6 << 20  # texts whose phrases are counted together before they leave a task
+BATCH_ROWS = 1 << 15  # counted phrases that are spelled out and leave a task together
 UNKNOWN = "und"
 
 # Signs that end a piece, and those that part words.
@@ -64,6 +65,17 @@ class Numbers(dict):
         return number
 
 
+class Line:
+    """Texts of one language in a row, as the numbers of their words; 0 is END."""
+
+    def __init__(self) -> None:
+        self.numbers, self.parts = Numbers({END: 0}), []
+
+    def add(self, text: bytes) -> None:
+        words = tokens([text])
+        self.parts.append(np.fromiter(map(self.numbers.__getitem__, words), dtype=np.int32, count=len(words)))
+
+
 def word_hashes(language: str, words: list[bytes]) -> np.ndarray:
     seed = xxhash.xxh32_intdigest(language.encode("utf-8"))
     return np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), dtype=np.uint64, count=len(words))
@@ -101,7 +113,7 @@ def phrase_hashes(languages: list[str], phrases: list[str]) -> np.ndarray:
 
 
 class Counter:
-    """Counts phrases in a run of tokens of one language.
+    """Counts phrases in a line of one language.
 
     `known` is the filter of proposed or frequent phrases, `before` that of the pass before (None for
     a first pass). `hopeful` takes phrases that were not counted yet for frequent ones.
@@ -110,11 +122,11 @@ class Counter:
     def __init__(self, language: str, known: np.ndarray, before: np.ndarray | None, hopeful: bool) -> None:
         self.language, self.known, self.before, self.hopeful = language, known, before, hopeful
 
-    def count(self, line: list[bytes]) -> Iterator[tuple[int, list[bytes], np.ndarray]]:
+    def count(self, line: Line) -> Iterator[tuple[int, list[bytes], np.ndarray]]:
         """(size, phrases, counts) for words and for all sizes up to LONGEST; size 0 holds the words' number."""
-        numbers = Numbers({END: 0})
-        ids = np.fromiter(map(numbers.__getitem__, line), dtype=np.int64, count=len(line))
-        words = list(numbers)
+        ids = np.concatenate([*line.parts, np.zeros(1, dtype=np.int32)])
+        words = list(line.numbers)
+        spelled = np.array(words, dtype=object)
         single = word_hashes(self.language, words)
         allowed = ids > 0  # places whose phrase of the present size may be frequent
         if self.before is None:
@@ -134,9 +146,13 @@ class Counter:
             hashes[place] = longer_hash(hashes[place], single[ids[place + size - 1]])
             at = np.flatnonzero(allowed & ~counted)
             if len(at):
-                key, _ = packed([ids[at + d] for d in range(size)], len(words))
+                key, _ = packed([ids[at + d].astype(np.int64) for d in range(size)], len(words))
                 _, first, counts = np.unique(key, return_index=True, return_counts=True)
-                yield size, [b" ".join(line[i : i + size]) for i in at[first].tolist()], counts
+                first = at[first]
+                del key, at
+                for k in range(0, len(first), BATCH_ROWS):
+                    rows = spelled[ids[first[k : k + BATCH_ROWS, None] + np.arange(size)]].tolist()
+                    yield size, list(map(b" ".join, rows)), counts[k : k + BATCH_ROWS]
             member = np.zeros_like(allowed)
             member[place] = holds(self.known, hashes[place])
             if self.before is not None:
@@ -155,8 +171,8 @@ def _both(here: np.ndarray) -> np.ndarray:
 PHRASE_ROWS = pa.schema([("lang", pa.string()), ("size", pa.int32()), ("phrase", pa.string()), ("a", pa.int64())])
 
 
-def _rows(counter: Counter, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
-    for size, phrases, counts in counter.count(tokens(texts)):
+def _rows(counter: Counter, line: Line) -> Iterator[pa.RecordBatch]:
+    for size, phrases, counts in counter.count(line):
         columns = [
             pa.array([counter.language] * len(phrases), pa.string()),
             pa.array(np.full(len(phrases), size, dtype=np.int32)),
@@ -180,18 +196,20 @@ def count_pass(texts: DataFrame, known: Broadcast, before: Broadcast | None, hop
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filters = received(known), None if before is None else received(before)
-        lines: dict[str, list[bytes]] = {}
+        lines: dict[str, Line] = {}
         held = 0
         for batch in batches:
             for language, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
-                lines.setdefault(language, []).append(text)
+                lines.setdefault(language, Line()).add(text)
                 held += len(text) + 1
                 if held >= CHUNK_BYTES:
-                    for name, held_texts in lines.items():
-                        yield from _rows(Counter(name, *filters, hopeful), held_texts)
-                    lines, held = {}, 0
-        for name, held_texts in lines.items():
-            yield from _rows(Counter(name, *filters, hopeful), held_texts)
+                    while lines:
+                        name, line = lines.popitem()
+                        yield from _rows(Counter(name, *filters, hopeful), line)
+                    held = 0
+        while lines:
+            name, line = lines.popitem()
+            yield from _rows(Counter(name, *filters, hopeful), line)
 
     found = texts.select("lang", "text").mapInArrow(run, "lang string, size int, phrase string, a long")
     return found.groupBy("lang", "size", "phrase").agg(F.sum("a").alias("a"))
