@@ -168,18 +168,15 @@ def _both(here: np.ndarray) -> np.ndarray:
     return grown
 
 
-PHRASE_ROWS = pa.schema([("lang", pa.string()), ("size", pa.int32()), ("phrase", pa.string()), ("a", pa.int64())])
+PHRASE_ROWS = pa.schema([("key", pa.string()), ("a", pa.int64())])
 
 
 def _rows(counter: Counter, line: Line) -> Iterator[pa.RecordBatch]:
-    for size, phrases, counts in counter.count(line):
-        columns = [
-            pa.array([counter.language] * len(phrases), pa.string()),
-            pa.array(np.full(len(phrases), size, dtype=np.int32)),
-            pa.array(phrases, pa.binary()).cast(pa.string()),
-            pa.array(counts.astype(np.int64)),
-        ]
-        yield pa.RecordBatch.from_arrays(columns, schema=PHRASE_ROWS)
+    """Language and phrase travel as one text, with a line feed between them, which no word can hold."""
+    head = counter.language.encode("utf-8") + b"\n"
+    for _, phrases, counts in counter.count(line):
+        keys = pa.array(map(head.__add__, phrases), pa.binary()).cast(pa.string())
+        yield pa.RecordBatch.from_arrays([keys, pa.array(counts.astype(np.int64))], schema=PHRASE_ROWS)
 
 
 def sent(texts: DataFrame, held: np.ndarray) -> Broadcast:
@@ -191,8 +188,8 @@ def received(held: Broadcast) -> np.ndarray:
     return np.frombuffer(zlib.decompress(held.value), dtype=np.uint64)
 
 
-def count_pass(texts: DataFrame, known: Broadcast, before: Broadcast | None, hopeful: bool) -> DataFrame:
-    """(lang, size, phrase, a): exact counts of the phrases of one pass."""
+def count_pass(texts: DataFrame, known: Broadcast, before: Broadcast | None, hopeful: bool, least: int) -> DataFrame:
+    """(lang, size, phrase, a): exact counts of the phrases of one pass, from `least` on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filters = received(known), None if before is None else received(before)
@@ -211,8 +208,11 @@ def count_pass(texts: DataFrame, known: Broadcast, before: Broadcast | None, hop
             name, line = lines.popitem()
             yield from _rows(Counter(name, *filters, hopeful), line)
 
-    found = texts.select("lang", "text").mapInArrow(run, "lang string, size int, phrase string, a long")
-    return found.groupBy("lang", "size", "phrase").agg(F.sum("a").alias("a"))
+    found = texts.select("lang", "text").mapInArrow(run, "key string, a long").groupBy("key").agg(F.sum("a").alias("a"))
+    found = found.withColumn("phrase", F.substring_index("key", "\n", -1)).filter((F.col("a") >= least) | (F.col("phrase") == ""))
+    language = F.substring("key", F.lit(1), F.length("key") - F.length("phrase") - 1)
+    size = F.when(F.col("phrase") == "", 0).otherwise(F.size(F.split("phrase", " ")))
+    return found.select(language.alias("lang"), size.alias("size"), "phrase", "a")
 
 
 def with_known(found: DataFrame, proposed: Broadcast) -> DataFrame:
@@ -258,8 +258,7 @@ def close(texts: DataFrame, proposed: np.ndarray, least: int, label: str, border
     """
     before, now, tables, failures = None, sent(texts, proposed), [], 1
     while failures and len(tables) <= borders:
-        found = count_pass(texts, now, before, hopeful=len(tables) == borders)
-        found = found.filter((F.col("a") >= least) | (F.col("size") == 0))
+        found = count_pass(texts, now, before, len(tables) == borders, least)
         table, failures = materialise_counted(with_known(found, now), label, ~F.col("known"))
         tables.append(table)
         if before is not None:
