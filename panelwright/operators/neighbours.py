@@ -8,9 +8,9 @@ its pivot, its radius, the box around it and its number of points.
 Inside its own cell each point finds its m nearest, which bounds how far the true ones can be.
 Pairs of cells are then walked down the tree together: a pair stays only while the distance of the
 pivots less both radii, and the gap between the boxes around the cells, are within the bound of the
-first cell, and a bound is lowered where a cell of more than m points lies wholly nearer. What is left are the cells that a point must still look
-into, and there only the points whose distance to the pivot differs from its own by no more than
-its bound.
+first cell, and a bound is lowered where cells of more than m points together lie wholly nearer. What
+is left are the cells that a point must still look into, and there only the points whose distance to
+the pivot differs from its own by no more than its bound.
 
 With missing coordinates, see `partners_with_missing`: rows are taken in classes by what is missing.
 """
@@ -168,8 +168,11 @@ def _cell_pairs(levels: list[DataFrame], own: DataFrame, m: int, d: int) -> Data
         both = F.col("radius_a") + F.col("radius_b")
         boxes = [[F.col(f"{c}_{end}")[i] for i in range(d)] for end in ("a", "b") for c in ("low", "high")]
         beyond = F.least(F.col("gap") + both, F.sqrt(largest_gap(*boxes)))
-        full = F.min(F.when(F.col("n_b") > m, beyond)).over(Window.partitionBy("next_a"))
-        pairs = pairs.withColumn("gap", gap).withColumn("bound", F.least("bound", "theta_a", full))
+        # The cells that lie nearest as a whole, until they hold more than m points together.
+        nearer = Window.partitionBy("next_a").orderBy("beyond").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        pairs = pairs.withColumn("gap", gap).withColumn("beyond", beyond).withColumn("held", F.sum("n_b").over(nearer))
+        full = F.min(F.when(F.col("held") > m, F.col("beyond"))).over(Window.partitionBy("next_a"))
+        pairs = pairs.withColumn("bound", F.least("bound", "theta_a", full))
         limit = F.col("bound") + F.lit(SLACK) * (F.col("gap") + both)
         pairs = pairs.filter((F.col("gap") - both <= limit) & (F.sqrt(least_gap(*boxes)) <= limit))
         shape = [F.col(f"{c}_b").alias(c) for c in ("pivot", "radius", "low", "high")]

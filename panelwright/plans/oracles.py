@@ -641,5 +641,15 @@ matched AS (SELECT label_b, label_a, ROW_NUMBER() OVER (PARTITION BY label_b ORD
 SELECT entity, CAST(b.label_a AS VARCHAR) AS label_a, CAST(m.label_a AS VARCHAR) AS label_b
 FROM both_labels AS b JOIN matched AS m ON b.label_b = m.label_b AND place = 1"""
 
+ORACLES["cluster_assignment"] = f"""WITH RECURSIVE {BOTH},
+shared AS (SELECT label_b, label_a, COUNT(*) AS n FROM both_labels GROUP BY label_b, label_a),
+names AS (SELECT unnest([1, 2, 3, 4]) AS l),
+orders AS (SELECT a.l AS p1, b.l AS p2, c.l AS p3, d.l AS p4 FROM names a, names b, names c, names d
+  WHERE a.l NOT IN (b.l, c.l, d.l) AND b.l NOT IN (c.l, d.l) AND c.l <> d.l),
+places AS (SELECT *, unnest([1, 2, 3, 4]) AS label_b, unnest([p1, p2, p3, p4]) AS label_a FROM orders),
+totals AS (SELECT p1, p2, p3, p4, SUM(COALESCE(n, 0)) AS total FROM places LEFT JOIN shared USING (label_b, label_a) GROUP BY p1, p2, p3, p4),
+chosen AS (SELECT [p1, p2, p3, p4] AS names FROM totals ORDER BY total DESC, p1, p2, p3, p4 LIMIT 1)
+SELECT entity, CAST(label_a AS VARCHAR) AS label_a, CAST(c.names[label_b] AS VARCHAR) AS label_b FROM both_labels, chosen AS c"""
+
 ORACLES["relabel_map"] = f"""WITH RECURSIVE {BOTH}
 SELECT entity, CASE label_b WHEN 1 THEN '2' WHEN 2 THEN '4' WHEN 4 THEN '3' WHEN 3 THEN '1' END AS label_b FROM both_labels"""

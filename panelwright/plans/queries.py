@@ -608,6 +608,14 @@ def cluster_best_match(spark, sf_dir):
     return matched.select("entity", F.col("label_a").cast("string").alias("label_a"), "label_b")
 
 
+@query
+def cluster_assignment(spark, sf_dir):
+    """The second labels renamed one to one, so that no two of them become the same."""
+    both = two_labelings(spark, sf_dir)
+    renamed = compare.relabel(both, "label_b", compare.assignment(both, "label_b", "label_a"))
+    return renamed.select("entity", F.col("label_a").cast("string").alias("label_a"), "label_b")
+
+
 @query
 def relabel_map(spark, sf_dir):
     swapped = compare.relabel(two_labelings(spark, sf_dir), "label_b", {1: 2, 2: 4, 4: 3, 3: 1})

@@ -1,5 +1,8 @@
 import datetime as dt
+import itertools
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -17,21 +20,21 @@ def text_file(tmp_path, text, name="t.csv"):
 
 def test_multi_line_csv_with_mark_and_trailing_comma(spark, tmp_path):
     text = (
-        "﻿\"Country Code\",\"Region\",\"SpecialNotes\",\r\n"
-        "\"ABW\",\"Latin America\",\"\",\r\n"
-        "\"AFG\",\"\",\"Fiscal year end: March 20; \nsecond line \"\"quoted\"\"\",\r\n"
-        "\"CIV\",\"Côte d'Ivoire\",\"x\",\r\n"
+        "﻿\"Place Key\",\"Zone\",\"LongRemark\",\r\n"
+        "\"QAA\",\"North Reach\",\"\",\r\n"
+        "\"QBB\",\"\",\"a first line, then; \nsecond line \"\"quoted\"\"\",\r\n"
+        "\"QCC\",\"Île d'Écho\",\"x\",\r\n"
     )
     df = csv.read_csv(spark, text_file(tmp_path, text), multi_line=True, sanitize=True)
-    assert df.columns == ["country_code", "region", "specialnotes"]
-    rows = {r.country_code: r for r in df.collect()}
-    assert rows["AFG"].specialnotes.replace("\r", "") == "Fiscal year end: March 20; \nsecond line \"quoted\""
-    assert rows["CIV"].region == "Côte d'Ivoire" and len(rows) == 3
-    schema = "`Country Code` string, Region string, SpecialNotes string"
+    assert df.columns == ["place_key", "zone", "longremark"]
+    rows = {r.place_key: r for r in df.collect()}
+    assert rows["QBB"].longremark.replace("\r", "") == "a first line, then; \nsecond line \"quoted\""
+    assert rows["QCC"].zone == "Île d'Écho" and len(rows) == 3
+    schema = "`Place Key` string, Zone string, LongRemark string"
     typed = csv.read_csv(spark, str(tmp_path / "t.csv"), schema, multi_line=True, trailing_comma=True)
-    assert typed.columns == ["Country Code", "Region", "SpecialNotes"] and typed.count() == 3
-    aggregates = typed.filter("Region is null or Region = ''").select("Country Code")
-    assert [r[0] for r in columns.exclude(typed.select(typed["Country Code"].alias("c")), "c", aggregates).collect()] == ["ABW", "CIV"]
+    assert typed.columns == ["Place Key", "Zone", "LongRemark"] and typed.count() == 3
+    aggregates = typed.filter("Zone is null or Zone = ''").select("Place Key")
+    assert [r[0] for r in columns.exclude(typed.select(typed["Place Key"].alias("c")), "c", aggregates).collect()] == ["QAA", "QCC"]
 
 
 def test_missing_marker_and_awkward_names(spark, tmp_path):
@@ -188,3 +191,24 @@ def test_labels(spark):
     assert compare.attach_labels(df, labels, "id", only_labelled=True).count() == 2
     assert compare.part(compare.attach_labels(df, labels, "id"), "cluster", 5).first().id == 3
     assert {tuple(r) for r in compare.crosstab(df, "a", "b").collect()} == {(1, 2, 2), (2, 1, 1), (2, 2, 1), (None, 1, 1)}
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 5])
+def test_assigned_against_permutations(n):
+    rng = random.Random(n)
+    for _ in range(60):
+        gain = np.array([[rng.randint(0, 3) for _ in range(n)] for _ in range(n)], dtype=np.int64).reshape(n, n)
+        best = min(itertools.permutations(range(n)), key=lambda p: (-sum(gain[i, j] for i, j in enumerate(p)), p))
+        assert tuple(compare.assigned(gain)) == best
+
+
+def test_assignment(spark, monkeypatch):
+    rows = [("p", 1)] * 5 + [("p", 2)] * 4 + [("q", 1)] * 4 + [("r", 1)] * 3 + [("q", None), (None, 2)]
+    df = spark.createDataFrame(rows, "a string, b int")
+    assert [tuple(r) for r in compare.best_match(df, "a", "b").orderBy("from").collect()] == [("p", 1, 5), ("q", 1, 4), ("r", 1, 3)]
+    assert [tuple(r) for r in compare.assignment(df, "a", "b").orderBy("from").collect()] == [("p", 2, 4), ("q", 1, 4), ("r", None, 0)]
+    assert [tuple(r) for r in compare.assignment(df, "b", "a").orderBy("from").collect()] == [(1, "q", 4), (2, "p", 4)]
+    assert compare.assignment(df.limit(0), "a", "b").count() == 0
+    monkeypatch.setattr(compare, "MOST_LABELS", 2)
+    with pytest.raises(ValueError, match="3 labels to assign"):
+        compare.assignment(df, "a", "b")
