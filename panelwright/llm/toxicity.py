@@ -18,6 +18,7 @@ import numpy as np
 import pandas as pd
 import regex
 import xxhash
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -372,9 +373,11 @@ def fit(documents: DataFrame, labels: DataFrame, parts: int = 3, held: int = 1,
     share = F.when(F.col("toxic"), F.lit(min(1.0, docs / max(1, sizes.get(True, 0))))).otherwise(
         F.lit(min(1.0, docs / max(1, sizes.get(False, 0))))
     )
-    chosen = F.broadcast(told.filter(drawn < share).limit(3 * docs))  # bounded by the limit
+    lowest = told.filter(drawn < share).orderBy(drawn, "doc_id").limit(3 * docs)
+    chosen = F.broadcast(lowest)  # bounded by the limit
     rows = documents.filter(F.col("text").isNotNull()).select("doc_id", "text").join(chosen, "doc_id")
-    found = rows.select("toxic", "text").limit(4 * docs).collect()
+    # Repeated doc_ids can make the texts many more than the ids.
+    found = rows.select("toxic", "text").orderBy(F.xxhash64("text", "toxic")).limit(4 * docs).collect()
     found = sorted((bool(r["toxic"]), r["text"]) for r in found)
     model = Model()
     model.train([t for _, t in found], [bad for bad, _ in found])
@@ -383,12 +386,14 @@ def fit(documents: DataFrame, labels: DataFrame, parts: int = 3, held: int = 1,
 
 def scorer(spark, model: Model):
     """A column function text -> score; null is scored as an empty text."""
-    sent = spark.sparkContext.broadcast(model)  # bounded by the sample and the hashed tables
+    # Bounded by the sample and the hashed tables; with its code, as executors may have no copy of it.
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(model))
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = cloudpickle.loads(sent.value)
         for batch in batches:
-            yield pd.Series(sent.value.scores([t if isinstance(t, str) else "" for t in batch]))
+            yield pd.Series(model.scores([t if isinstance(t, str) else "" for t in batch]))
 
     return score
 

@@ -1,5 +1,9 @@
+import os
 import random
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -195,3 +199,21 @@ def test_remembered_words_do_not_change_scores(monkeypatch):
     fresh = toxicity.Model()
     one_by_one = np.concatenate([fresh.scores([t]) for t in texts])
     assert np.allclose(whole, one_by_one, atol=1e-5)
+
+
+def test_toxicity_model_travels_with_its_code(tmp_path):
+    """The package is on the driver's path only: workers start elsewhere and cannot import it."""
+    root = str(Path(__file__).resolve().parents[2])
+    program = f"""
+import sys
+sys.path.insert(0, {root!r})
+from panelwright.llm import toxicity
+from panelwright.session import local_session
+spark = local_session("2", memory="2g")
+rows = spark.createDataFrame([(i, w) for i in range(40) for w in ("a nice day", "an awful brute")], "doc_id long, text string")
+labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+print(toxicity.detect(rows, labels).filter("score between 0 and 1").count())
+"""
+    kept = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    ended = subprocess.run([sys.executable, "-c", program], cwd=tmp_path, env=kept, capture_output=True, text=True, timeout=300)
+    assert ended.stdout.split()[-1:] == ["80"], ended.stderr[-2000:]
