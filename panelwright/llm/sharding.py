@@ -1,23 +1,27 @@
 """Shards of near-equal bytes: best-fit-decreasing packing of indivisible groups.
 
-Groups of equal texts must not be torn apart. Groups too large to be lost in a shard are packed
-one by one; all others first fall into bundles by the hash of their text. Large groups and bundles
-are bounded in number by the shard count alone, whatever the table holds, so the packing itself
-sees a bounded list while every size in it is an aggregate over all rows.
+Groups of equal texts must not be torn apart. Groups of equal size are interchangeable, and while a
+bin that took one of them has room for another it stays the tightest, so best fit runs over (size,
+number of groups) and places many groups in one step, with the very result of placing them one by
+one. The driver holds one line per distinct size: of sizes that add up to B bytes there are at most
+sqrt(2 B). Which group goes where follows from its number within its size.
 """
 
 from __future__ import annotations
 
 import random
+from collections import Counter
+from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelwright.llm.shared import with_positions
+from panelwright.operators.joins import left_join
 from panelwright.session import materialise
 
-LARGE = 64  # a group above this part of a shard's mean size is packed by itself
-LEVELS, WIDTH = 12, 128  # bundles: so many per level, each level half as heavy as the one before
+HOT = 2500  # a group with at least one in so many rows is joined by broadcast: there are no more than that
 
 
 class Bins:
@@ -64,84 +68,121 @@ class Bins:
         return high
 
 
-def best_fit(sizes: list[tuple[int, object]], capacity: int, most: int | None = None) -> dict | None:
-    """Item -> bin for items (size, name), largest first, each into the tightest bin with room.
+def best_fit_classes(
+    classes: Iterable[tuple[int, int]], capacity: int, most: int | None = None
+) -> list[tuple[int, int, int]] | None:
+    """(size, bin, count) for classes (size, count), largest first, each item into the tightest bin with room.
 
     A bin is opened only if none fits; an item above the capacity has a bin of its own. None if
     more than `most` bins are needed.
     """
-    bins, placed, opened = Bins(), {}, 0
-    for size, name in sizes:
-        spot = bins.take(size)
-        if spot is None:
-            if opened == most:
-                return None
-            spot, opened = (capacity, opened), opened + 1
-        placed[name] = spot[1]
-        if spot[0] > size:
-            bins.add(spot[0] - size, spot[1])
+    bins, placed, opened = Bins(), [], 0
+    for size, count in classes:
+        while count:
+            spot = bins.take(size)
+            if spot is None:
+                if opened == most:
+                    return None
+                spot, opened = (capacity, opened), opened + 1
+            taken = min(count, max(1, spot[0] // size)) if size else count
+            placed.append((size, spot[1], taken))
+            count -= taken
+            if spot[0] > taken * size:
+                bins.add(spot[0] - taken * size, spot[1])
     return placed
 
 
-def into_shards(items: list[tuple[int, object]], shards: int) -> dict:
-    """Item -> shard: the least capacity for which best fit needs no more than the shards.
+def classes_into_shards(classes: Iterable[tuple[int, int]], shards: int) -> list[tuple[int, int, int]]:
+    """(size, shard, count): the least capacity for which best fit needs no more than the shards.
 
     Items heavier than the mean of what is left have a shard each, as nothing can go with them
     without a heavier shard; the capacity is searched for the others.
     """
-    items = sorted(items, key=lambda x: (-x[0], str(x[1])))
-    placed, total, at = {}, sum(size for size, _ in items), 0
-    while at < len(items) and shards - at > 1 and items[at][0] * (shards - at) >= total:
-        placed[items[at][1]] = at
-        total -= items[at][0]
+    classes = sorted(classes, reverse=True)
+    placed, total, at, first = [], sum(size * count for size, count in classes), 0, 0
+    while first < len(classes) and shards - at > 1 and classes[first][0] * (shards - at) >= total:
+        size, count = classes[first]
+        placed.append((size, at, 1))
+        total -= size
         at += 1
-    rest, left = items[at:], shards - at
+        if count > 1:
+            classes[first] = (size, count - 1)
+        else:
+            first += 1
+    rest, left = classes[first:], shards - at
     if not rest:
         return placed
     low = max(rest[0][0], -(-total // left))
     high, found = low, None
-    while (found := best_fit(rest, high, left)) is None:
+    while (found := best_fit_classes(rest, high, left)) is None:
         high = high + max(1, high // 64)
     while low < high:
         middle = (low + high) // 2
-        tried = best_fit(rest, middle, left)
+        tried = best_fit_classes(rest, middle, left)
         if tried is None:
             low = middle + 1
         else:
             high, found = middle, tried
-    return placed | {name: at + b for name, b in found.items()}
+    return placed + [(size, at + b, count) for size, b, count in found]
 
 
-def bundle(key: Column) -> Column:
-    """A bundle's number from a 64-bit hash: level l gets a 2^-(l+1) part of the groups."""
-    mixed = F.xxhash64(key, F.lit("bundle"))
-    level = F.lit(LEVELS - 1)
-    for at in reversed(range(LEVELS - 1)):
-        level = F.when(F.getbit(mixed, F.lit(at)) == 1, F.lit(at)).otherwise(level)
-    return (level * WIDTH + F.pmod(F.shiftright(mixed, 16), F.lit(WIDTH))).cast("int")
+def handed_out(items: Iterable[tuple[int, object]], placed: list[tuple[int, int, int]]) -> dict:
+    """Item -> bin, where the items of a size take its places in their order."""
+    places: dict[int, list[int]] = {}
+    for size, b, count in placed:
+        places.setdefault(size, []).extend([b] * count)
+    spots = {size: iter(bins) for size, bins in places.items()}
+    return {name: next(spots[size]) for size, name in items}
+
+
+def best_fit(sizes: list[tuple[int, object]], capacity: int, most: int | None = None) -> dict | None:
+    """Item -> bin for items (size, name), largest first; see best_fit_classes."""
+    placed = best_fit_classes(Counter(size for size, _ in sizes).items(), capacity, most)
+    return None if placed is None else handed_out(sizes, placed)
+
+
+def into_shards(items: list[tuple[int, object]], shards: int) -> dict:
+    """Item -> shard for items (size, name); see classes_into_shards."""
+    placed = classes_into_shards(Counter(size for size, _ in items).items(), shards)
+    return handed_out(sorted(items, key=lambda x: str(x[1])), placed)
 
 
 def pack(rows: DataFrame, key: str, size: str, shards: int) -> DataFrame:
     """Add `shard`: rows with equal keys stay together, shards have near-equal sums of size.
 
-    The driver sees at most shards * LARGE groups and LEVELS * WIDTH bundles. A group on a third
-    of the rows is pre-aggregated where its rows lie and joined by a table of that bound.
+    Every group meets best-fit decreasing, at any size of the table. The driver sees one line per
+    distinct size of a group and partition that holds it. A group on a third of the rows is
+    pre-aggregated where its rows lie, and joined by a table of at most HOT groups.
     """
     spark = rows.sparkSession
-    groups = rows.groupBy(key).agg(F.sum(size).alias("__bytes"))
-    groups = materialise(groups.withColumn("__bundle", bundle(F.col(key))), "groups")
-    total = groups.agg(F.sum("__bytes")).first()[0] or 0
-    least = max(1, -(-total // (shards * LARGE)))
-    large = [(r["__bytes"], r[key]) for r in groups.filter(F.col("__bytes") >= least).collect()]
-    small = groups.filter(F.col("__bytes") < least).groupBy("__bundle").agg(F.sum("__bytes").alias("n")).collect()
-    placed = into_shards([(s, ("g", k)) for s, k in large] + [(r["n"], ("b", r["__bundle"])) for r in small], shards)
-    kind = dict(rows.dtypes)[key]
-    by_group = spark.createDataFrame([(k, placed["g", k]) for _, k in large], f"`{key}` {kind}, __own int")
-    by_bundle = spark.createDataFrame([(r["__bundle"], placed["b", r["__bundle"]]) for r in small], "__bundle int, __of int")
-    # Both tables are bounded by the number of shards.
-    joined = rows.withColumn("__bundle", bundle(F.col(key))).join(F.broadcast(by_group), key, "left")
-    joined = joined.join(F.broadcast(by_bundle), "__bundle", "left")
-    return joined.withColumn("shard", F.coalesce("__own", "__of")).drop("__own", "__of", "__bundle")
+    groups = rows.groupBy(F.col(key).alias("__key")).agg(
+        F.coalesce(F.sum(size), F.lit(0)).cast("long").alias("__bytes"), F.count(F.lit(1)).alias("__rows")
+    )
+    ordered = groups.repartitionByRange("__bytes", "__key").sortWithinPartitions("__bytes", "__key")
+    ordered = materialise(
+        ordered.select("*", F.spark_partition_id().alias("__part"), F.monotonically_increasing_id().alias("__row")), "groups"
+    )
+    sizes = ordered.groupBy("__bytes").agg(F.count(F.lit(1)).alias("n")).toArrow()
+    placed = classes_into_shards(zip(sizes.column("__bytes").to_pylist(), sizes.column("n").to_pylist()), shards)
+    ends: dict[int, list[int]] = {}
+    spots: dict[int, list[int]] = {}
+    for weight, shard, count in placed:
+        before = ends.setdefault(weight, [])
+        before.append((before[-1] if before else 0) + count)
+        spots.setdefault(weight, []).append(shard)
+    schema = pa.schema([("weight", pa.int64()), ("__ends", pa.list_(pa.int64())), ("__spots", pa.list_(pa.int32()))])
+    plan = pa.table([list(ends), list(ends.values()), [spots[w] for w in ends]], schema=schema)
+    numbered = with_positions(ordered, ["__bytes"], "__number")
+    numbered = left_join(numbered, spark.createDataFrame(plan), [("__bytes", "weight")])
+    passed = F.size(F.filter("__ends", lambda end: end <= F.col("__number")))
+    assigned = numbered.select("__key", "__rows", F.get("__spots", passed).alias("shard"))
+    assigned = materialise(assigned, "assigned")
+    total = assigned.agg(F.sum("__rows")).first()[0] or 0
+    hot = F.col("__rows") * HOT >= total
+    many = F.broadcast(assigned.filter(hot).drop("__rows"))  # at most HOT groups
+    same = F.col(key).eqNullSafe(F.col("__key"))
+    others = rows.join(many, same, "left_anti").join(assigned.filter(~hot).drop("__rows"), same)
+    return rows.join(many, same).unionByName(others).drop("__key")
 
 
 def shard_documents(documents: DataFrame, shards: int) -> DataFrame:

@@ -243,3 +243,36 @@ def test_each_layout_has_its_template(spark):
         if "q.example" in r.url:
             story = f"Story {r.page_id} is told at some length. " + ("So it goes." if r.page_id < 6 else f"End {r.page_id}.")
         assert r.text == story
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_classes_of_equal_sizes_fill_shards_as_single_items_do(seed):
+    rng = random.Random(seed)
+    sizes = sorted((rng.choice([0, 3, 7, 7, 20, rng.randint(1, 400)]) for _ in range(500)), reverse=True)
+    for capacity in (401, 777, 2500):
+        load, plain = Counter(), Counter()
+        for size, b, count in sharding.best_fit_classes(sorted(Counter(sizes).items(), reverse=True), capacity):
+            load[b] += size * count
+        for size, b in zip(sizes, plain_best_fit(sizes, capacity)):
+            plain[b] += size
+        assert load == plain
+
+
+def test_groups_of_one_size_and_a_hot_one(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "HOT", 20)
+    rows = [(f"k{i % 700}", 5) for i in range(700)] + [("hot", 5)] * 400 + [(None, 3)] * 2 + [("zero", 0)]
+    df = spark.createDataFrame(rows, "name string, weight long").repartition(5)
+    found = sharding.pack(df, "name", "weight", 6).collect()
+    assert Counter((r.name, r.weight) for r in found) == Counter(rows)
+    place, load, groups = defaultdict(set), Counter(), Counter()
+    for r in found:
+        place[r.name].add(r.shard)
+        load[r.shard] += r.weight
+    assert all(len(s) == 1 for s in place.values())
+    for name, weight in rows:
+        groups[name] += weight
+    names = sharding.into_shards([(w, n) for n, w in groups.items()], 6)
+    plain = Counter()
+    for name, weight in groups.items():
+        plain[names[name]] += weight
+    assert sorted(load.values()) == sorted(plain.values())
