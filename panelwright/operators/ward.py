@@ -203,6 +203,66 @@ def numbered(tree: DataFrame) -> DataFrame:
     return number_in_order(tree, _order(False), "step")
 
 
+def merge_matrix(df: DataFrame, id_column: str, tree: DataFrame) -> DataFrame:
+    """(step, first, second, height, size): what each join of the numbered tree brings together.
+
+    A negative number is a single row, counted from 1 in the order of its id; a positive one is the
+    step that made the cluster. Single rows come before clusters, smaller before larger rows and
+    earlier before later steps. `df` holds the ids the tree was built on; ids must be unique.
+    """
+    row = number_in_order(df.select(quoted(id_column).alias("id")), [F.col("id")], "row")
+    steps = materialise(numbered(tree).select("step", "left", "right", "height", "size"), "steps")
+    # A cluster goes by its smallest member, so that the one with the smallest of all can be joined n - 1
+    # times: the join before is the neighbour in a numbered order and not in a window by member.
+    ordered = number_in_order(steps.select("left", "step"), [F.col("left"), F.col("step")], "at")
+    ordered = materialise(ordered, "joins-by-member")
+    before = ordered.select((F.col("at") + 1).alias("at"), F.col("left").alias("member"), F.col("step").alias("made"))
+    earlier = ordered.join(before, "at").filter("left = member").select("step", "made")
+    last = steps.groupBy(F.col("left").alias("right")).agg(F.max("step").alias("grown"))
+    single = row.select(F.col("id").alias("left"), F.col("row").alias("left_row"))
+    other = row.select(F.col("id").alias("right"), F.col("row").alias("right_row"))
+    joined = steps.join(earlier, "step", "left").join(last, "right", "left").join(single, "left").join(other, "right")
+    a, b = F.coalesce("made", -F.col("left_row")), F.coalesce("grown", -F.col("right_row"))
+    rows = (a < 0) & (b < 0)  # `left` has the smaller id
+    first, second = F.when(rows, a).otherwise(F.least(a, b)), F.when(rows, b).otherwise(F.greatest(a, b))
+    return joined.select("step", first.alias("first"), second.alias("second"), "height", "size")
+
+
+def leaf_order(df: DataFrame, id_column: str, tree: DataFrame) -> DataFrame:
+    """(id, place): the places from 1 of the rows when the tree is drawn without crossings.
+
+    The first cluster of each join (see merge_matrix) stands before the second. The tour around the
+    tree, which enters and leaves each cluster, is a list: the rows from a place to its end are
+    counted by pointer jumping, where every element is the target of one other at most, however
+    deep or lopsided the tree is. Rounds grow with the logarithm of the number of rows.
+    """
+    spark = df.sparkSession
+    row = number_in_order(df.select(quoted(id_column).alias("id")), [F.col("id")], "row")
+    matrix = materialise(merge_matrix(df, id_column, tree), "merge-matrix")
+    # Elements: row r is -r, entering the cluster of step s is 2 s and leaving it 2 s + 1.
+    first, second = (F.when(F.col(c) < 0, F.col(c)).otherwise(2 * F.col(c)) for c in ("first", "second"))
+    left, right = (F.when(F.col(c) < 0, F.col(c)).otherwise(2 * F.col(c) + 1) for c in ("first", "second"))
+    hops = [(2 * F.col("step"), first), (left, second), (right, 2 * F.col("step") + 1)]
+    pairs = F.explode(F.array(*[F.struct(at.alias("at"), next_.alias("next")) for at, next_ in hops]))
+    tour = matrix.select(pairs.alias("p")).selectExpr("p.at AS at", "p.next AS next", "if(p.at < 0, 1L, 0L) AS rows")
+    tour, going = materialise_counted(tour, "tour")
+    while going:
+        step = spark.sql(
+            """
+            SELECT p.at, q.next, p.rows + coalesce(q.rows, 0L) AS rows
+            FROM {tour} p LEFT JOIN {tour} q ON p.next = q.at WHERE p.next IS NOT NULL
+            UNION ALL SELECT at, next, rows FROM {tour} WHERE next IS NULL
+            """,
+            tour=tour,
+        )
+        tour, going = materialise_counted(step, "tour", F.col("next").isNotNull())
+    n = row.agg(F.count(F.lit(1))).first()[0]
+    leaves = tour.filter("at < 0").select((-F.col("at")).alias("row"), (F.lit(n + 1) - F.col("rows")).alias("place"))
+    # A table of one row has no join.
+    placed = row.join(leaves, "row", "left").withColumn("place", F.coalesce("place", F.lit(1).cast("long")))
+    return placed.select(F.col("id").alias(id_column), "place")
+
+
 def cut(df: DataFrame, id_column: str, tree: DataFrame, k: int) -> DataFrame:
     """(id, cluster): k clusters, numbered by their smallest member.
 

@@ -602,6 +602,32 @@ ORACLES["ward_merges"] = f"""WITH RECURSIVE {SCALED}, points AS MATERIALIZED (SE
 SELECT CAST(step AS BIGINT) AS step, left_rep AS left, right_rep AS right, {r('height')} AS height, {big('size')} AS size
 FROM merges"""
 
+#: The joins of Ward's tree of `points` as signed numbers: matrix(step, a, b, height, size).
+MATRIX = f"""{greedy_ward('points')},
+numbers AS (SELECT entity, ROW_NUMBER() OVER (ORDER BY entity) AS n FROM points),
+joined AS (
+  SELECT m.step, m.height, m.size,
+         COALESCE((SELECT MAX(p.step) FROM merges AS p WHERE p.left_rep = m.left_rep AND p.step < m.step), -l.n) AS u,
+         COALESCE((SELECT MAX(p.step) FROM merges AS p WHERE p.left_rep = m.right_rep), -r.n) AS v
+  FROM merges AS m JOIN numbers AS l ON l.entity = m.left_rep JOIN numbers AS r ON r.entity = m.right_rep),
+matrix AS MATERIALIZED (
+  SELECT step, CASE WHEN u < 0 AND v < 0 THEN u ELSE LEAST(u, v) END AS a,
+         CASE WHEN u < 0 AND v < 0 THEN v ELSE GREATEST(u, v) END AS b, height, size
+  FROM joined)"""
+
+ORACLES["ward_matrix"] = f"""WITH RECURSIVE {SCALED}, points AS MATERIALIZED (SELECT * FROM scaled), {MATRIX}
+SELECT {big('step')} AS step, {big('a')} AS first, {big('b')} AS second, {r('height')} AS height, {big('size')} AS size
+FROM matrix"""
+
+ORACLES["ward_order"] = f"""WITH RECURSIVE {SCALED}, points AS MATERIALIZED (SELECT * FROM scaled), {MATRIX},
+below AS MATERIALIZED (
+  SELECT step, a AS child, 0 AS shift FROM matrix UNION ALL
+  SELECT m.step, m.b, COALESCE(f.size, 1) FROM matrix AS m LEFT JOIN matrix AS f ON f.step = m.a),
+walk(node, place) AS (
+  SELECT MAX(step), CAST(1 AS BIGINT) FROM matrix UNION ALL
+  SELECT below.child, CAST(walk.place + below.shift AS BIGINT) FROM walk JOIN below ON below.step = walk.node)
+SELECT entity, {big('place')} AS place FROM walk JOIN numbers ON node = -n"""
+
 #: Ward's tree of `points` cut at four: ward_labels(entity, cluster).
 CUT = f"""{greedy_ward('points')},
 kept AS MATERIALIZED (SELECT * FROM merges WHERE step <= (SELECT COUNT(*) - 4 FROM points)),

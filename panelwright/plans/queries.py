@@ -567,6 +567,21 @@ def ward_cut(spark, sf_dir):
     return ward.cut(table, "entity", tree, 4).select("entity", whole("cluster").alias("cluster"))
 
 
+@query
+def ward_matrix(spark, sf_dir):
+    """What each join brings together: single rows below zero, earlier joins above."""
+    table = scaled_features(spark, sf_dir)
+    matrix = ward.merge_matrix(table, "entity", ward.ward_tree(table, "entity", FEATURES))
+    return matrix.select("step", whole("first").alias("first"), whole("second").alias("second"), real("height").alias("height"), "size")
+
+
+@query
+def ward_order(spark, sf_dir):
+    """Places of the entities along the drawn tree."""
+    table = scaled_features(spark, sf_dir)
+    return ward.leaf_order(table, "entity", ward.ward_tree(table, "entity", FEATURES))
+
+
 @query
 def ward_elbow(spark, sf_dir):
     table = materialise(base.features(spark, sf_dir), "features")

@@ -208,6 +208,50 @@ def test_ward_matches_the_greedy_tree(spark, monkeypatch, candidates):
         assert math.isclose(r.wss, total[r.k], rel_tol=1e-9)
 
 
+def drawn(matrix, node):
+    """Rows below a node from left to right."""
+    order, todo = [], [node]
+    while todo:
+        at = todo.pop()
+        if at < 0:
+            order.append(-at)
+        else:
+            todo += reversed(matrix[at])
+    return order
+
+
+@pytest.mark.parametrize("shape", ["blobs", "chain"])
+def test_ward_merge_matrix_and_leaf_order(spark, shape):
+    points = blobs(13, 50, 2) if shape == "blobs" else np.array([(1.7**i, 0.0) for i in range(40)])
+    if shape == "blobs":
+        points[20:24] = points[3]  # copies
+    n = len(points)
+    df, names = frame(spark, points)
+    tree = ward.ward_tree(df, "id", names)
+    ids = sorted(r.id for r in df.collect())
+    members = {-(i + 1): {v} for i, v in enumerate(ids)}
+    matrix, joins = {}, {r.step: r for r in ward.numbered(tree).collect()}
+    for r in ward.merge_matrix(df, "id", tree).orderBy("step").collect():
+        assert r.first < r.second or (r.second < 0 and -r.first < -r.second)
+        matrix[r.step] = (r.first, r.second)
+        one, other = members.pop(r.first), members.pop(r.second)
+        assert {min(one), min(other)} == {joins[r.step].left, joins[r.step].right}
+        members[r.step] = one | other
+    assert list(members) == [n - 1] and members[n - 1] == set(ids)
+    place = {r.id: r.place for r in ward.leaf_order(df, "id", tree).collect()}
+    assert [ids[i - 1] for i in drawn(matrix, n - 1)] == sorted(ids, key=place.get)
+    assert sorted(place.values()) == list(range(1, n + 1))
+
+
+def test_ward_order_of_one_row_and_of_none(spark):
+    df, names = frame(spark, np.array([[1.0, 2.0]]))
+    tree = ward.ward_tree(df, "id", names)
+    assert [r.place for r in ward.leaf_order(df, "id", tree).collect()] == [1]
+    none = df.limit(0)
+    tree = ward.ward_tree(none, "id", names)
+    assert ward.leaf_order(none, "id", tree).count() == 0 == ward.merge_matrix(none, "id", tree).count()
+
+
 def test_ward_on_a_lattice_of_ties(spark):
     points = np.array([(x, y) for x in range(8) for y in range(8)], float)
     df, names = frame(spark, points)
