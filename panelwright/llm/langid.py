@@ -21,7 +21,6 @@ PIECE = 128  # bytes the network sees at once
 ROWS = 2048  # pieces in work at once
 HIDDEN = 8  # units of each direction
 DOCS = 4000  # documents to learn from, shared evenly by the languages: a bounded sample
-SPAN = 384  # characters of each that are learned from, at a place drawn by a hash
 STEPS, BATCH, RATE = 400, 128, 0.02
 UNKNOWN = "und"
 LETTER = regex.compile(r"\p{L}")
@@ -80,21 +79,27 @@ class Model:
         return loss, grads
 
     def train(self, texts: list[bytes], langs: list[str], steps: int = STEPS, rate: float = RATE, seed: int = 2) -> None:
-        """Cross-entropy at every letter, languages in equal shares, Adam with a falling rate."""
+        """Cross-entropy at every letter, languages in equal shares, Adam with a falling rate.
+
+        All pieces of the whole texts are learned from; a step draws texts evenly and then a piece of
+        each, so that a very long text does not stand for its language.
+        """
         rng = np.random.default_rng(seed)
-        pieces, of = [], []
+        pieces, ends, of = [], [], []
         for text, lang in zip(texts, langs):
-            for part, _, _ in cut(text):
-                pieces.append(part)
+            if text:
+                pieces.extend(part for part, _, _ in cut(text))
+                ends.append(len(pieces))
                 of.append(self.langs.index(lang))
-        x, y = np.stack(pieces), np.array(of)
+        x, y, ends = np.stack(pieces), np.array(of), np.array(ends)
+        starts = np.concatenate([[0], ends[:-1]])
         groups = [np.flatnonzero(y == i) for i in range(len(self.langs))]
         groups = [g for g in groups if len(g)]
         adam = gru.Adam(self.weights, rate)
         for step in range(steps):
             adam.rate = rate * (1 - step / steps) + rate * 0.05
             rows = np.concatenate([rng.choice(g, max(1, BATCH // len(groups))) for g in groups])
-            part = np.ascontiguousarray(x[rows].T)
+            part = np.ascontiguousarray(x[rng.integers(starts[rows], ends[rows])].T)
             _, grads = self.gradients(part, y[rows], IS_LETTER[part])
             adam.step(grads)
 
@@ -146,7 +151,7 @@ def remainder(doc_id: Column, parts: int) -> Column:
 
 
 def fit(documents: DataFrame, parts: int = 4, held: int = 2, docs: int = DOCS) -> Model | None:
-    """Train on a bounded sample: at most docs / languages documents of each, a span of each.
+    """Train on a bounded sample: at most docs / languages documents of each, whole texts.
 
     Copies of a text in a language count once, both in the language's share and in the sample,
     which are the texts with the smallest hashes. None if no row may be learned from.
@@ -161,10 +166,8 @@ def fit(documents: DataFrame, parts: int = 4, held: int = 2, docs: int = DOCS) -
     # A few more than wanted by share, so that few rows are ranked.
     share = F.create_map(*[F.lit(v) for k, n in sizes.items() for v in (k, min(1.0, (want * 1.2 + 64) / n))])
     drawn = F.pmod("mark", F.lit(1 << 40))
-    place = F.pmod(F.xxhash64("text", F.lit(12)), F.greatest(F.char_length("text") - SPAN, F.lit(1)))
-    span = F.substring(F.col("text"), place.cast("int") + 1, F.lit(SPAN))
     found = rows.filter(drawn / float(1 << 40) < F.element_at(share, F.col("lang")))
-    found = found.groupBy("lang", "mark").agg(F.min(span).alias("text"))
+    found = found.groupBy("lang", "mark").agg(F.min("text").alias("text"))
     found = found.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy(drawn, "mark")))
     found = sorted((r["lang"], r["text"]) for r in found.filter(F.col("nth") <= want).collect())
     model = Model(sorted(sizes))
