@@ -5,10 +5,11 @@ their path and wording. Over the pages of a host each token has an occurrence ve
 on every page. Tokens with equal vectors form a class. A class is valid if it is on a few
 pages of the host and hangs below one other class; valid classes nested in one another are the
 template of the host, or of each layout that the host has. What the template does not hold are slots. A text stands in
-the slot of its nearest template element; slots that consist of links and wording that belongs to
-the template itself are left out, on every page. The names of elements are hints that rank slots:
-a slot named as an advert, notice, menu and the like is left out unless its text outranks all
-others of the host, and one in article or main ranks above others.
+the slot of its nearest template element. Left out, on every page, are slots that consist of links,
+slots that say little beside the best one of their class, which is on the same pages, and wording
+that belongs to the template itself: a slot that holds nothing else on a page. The names of elements
+are hints that rank slots: a slot named as an advert, notice, menu and the like is left out unless
+its text outranks all others of the host, and one in article or main ranks above others.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 import xxhash
@@ -31,6 +33,7 @@ REPEATED = 0.9  # a slot with more of its text in wording that PAGES share says
 PAGES = 5  # fewer distinct pages of a host cannot tell constant wording from an article's
 LINKED = 0.5  # a slot with more of its text in links is a menu
 WEIGHTS = (0.02, 1, 5, 10)  # of text in a slot named as aside, without a hint, in main, in article
+LOW = 0.01  # rank of a slot outside article and main, against the best of its class, that is too little for text of its own
 FAINT = 0.02  # weight of constant wording against other text when a page's slots are ranked
 
 MARKUP = re.compile(
@@ -253,14 +256,16 @@ def page_tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, elements, menus, constant, raised): what the host's template says of its slots.
+    """(host, elements, menus, constant, raised, low): what the host's template says of its slots.
 
     pages holds host, key and html; key is of the content only. Copies of a page count once, as
     they tell nothing of what is constant, and equal rows would cancel each other. Occurrence vectors are folded into one number each by a
     combinable aggregate, so the pages of one host, however many, never meet in a task. Of the
     valid elements only menus and what hangs right below one are stored, as no others are asked
     for: a slot further down is told by the one of them that is nearest. raised are slots named
-    as asides whose text outranks that of all others of the host.
+    as asides whose text outranks that of all others of the host. low are slots outside article and
+    main that say too little beside the best slot of their own class; as a class is on the same
+    pages throughout, no layout is measured by another.
     """
     tokens = pages.mapInPandas(page_tokens, TOKENS + ", page long")
     tokens = tokens.groupBy("host", "token", "wording").agg(
@@ -304,31 +309,41 @@ def templates(pages: DataFrame) -> DataFrame:
     raised = slots.join(best, "host", "left").filter(
         (F.col("hint") == 0) & ~F.col("menu") & (F.col("pages") >= PAGES) & (F.col("rank") > 0) & (F.col("rank") >= F.coalesce("best", F.lit(0)))
     )
+    leading = slots.groupBy("host", "own").agg(F.max("rank").alias("leading"))
+    low = slots.join(leading, ["host", "own"]).filter((F.col("hint") <= 1) & (F.col("chars") > 0) & (F.col("rank") < LOW * F.col("leading")))
     menus = slots.filter("menu").select("host", "token")
     below = slots.filter("not menu").join(menus.withColumnRenamed("token", "parent"), ["host", "parent"])
     parts = [
         frame.select("host", "token", F.lit(kind).alias("kind"))
-        for kind, frame in (("elements", below), ("menus", menus), ("constant", constant), ("raised", raised))
+        for kind, frame in (("elements", below), ("menus", menus), ("constant", constant), ("raised", raised), ("low", low))
     ]
-    said = parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+    said = reduce(DataFrame.union, parts)
     return said.groupBy("host").agg(*[F.collect_list(F.when(F.col("kind") == k, F.col("token"))).alias(k) for k in KINDS])
 
 
-KINDS = ("elements", "menus", "constant", "raised")
+KINDS = ("elements", "menus", "constant", "raised", "low")
 
 
-def main_text(page: str, elements: set[int], menus: set[int], constant: set[int], raised: set[int] = frozenset()) -> str:
+def main_text(
+    page: str,
+    elements: set[int],
+    menus: set[int],
+    constant: set[int],
+    raised: set[int] = frozenset(),
+    low: set[int] = frozenset(),
+) -> str:
     """The text of the page's article slots, blocks joined by one space.
 
-    Left out are slots named as asides, unless raised, menus, and constant wording. In the slot
-    that ranks highest on the page constant wording stays if it is the larger part, as the text
-    of near copies is constant too.
+    Left out are slots named as asides, unless raised, menus, low slots, and slots that hold only
+    constant wording on this page. Beside text of its own a slot's constant wording stays, such as a
+    quotation that articles share. Where constant wording is the larger part of the slot that ranks
+    highest on the page, the page is a near copy of others, and it stays in every slot.
     """
     _, blocks = read_page(page)
     kept, ranks = [], {}
     for path, own, text, linked, hint in blocks:
         slot = path[-1]
-        if hint == 0 and slot not in raised or next((t for t in reversed(path) if t in menus or t in elements), 0) in menus:
+        if slot in low or hint == 0 and slot not in raised or next((t for t in reversed(path) if t in menus or t in elements), 0) in menus:
             continue
         fixed = wording(own, text) in constant
         kept.append((slot, text, fixed))
@@ -336,8 +351,8 @@ def main_text(page: str, elements: set[int], menus: set[int], constant: set[int]
         rank[0] += (len(text) - linked) * (FAINT if fixed else 1) * WEIGHTS[hint]
         rank[1 + fixed] += len(text)
     top = max(ranks, key=lambda slot: ranks[slot][0], default=0)
-    whole = top in ranks and ranks[top][1] < ranks[top][2]
-    return " ".join(text for slot, text, fixed in kept if not fixed or (whole and slot == top))
+    copied = top in ranks and ranks[top][1] < ranks[top][2]
+    return " ".join(text for slot, text, fixed in kept if not fixed or copied or ranks[slot][1])
 
 
 def extract(pages: DataFrame) -> DataFrame:
