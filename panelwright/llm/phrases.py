@@ -16,6 +16,11 @@ Proposals are known to the tasks through a Bloom filter of a fixed number of bit
 that is broadcast. A phrase that it takes for proposed by mistake is counted needlessly; no count
 and no decision rests on it. As a pass knows the filter of the pass before, it leaves out exactly
 what was counted then. The border is never listed: a phrase of the text is in it by its parts.
+
+Counted phrases leave a task in blocks, one for each of many buckets, in which phrases that differ
+in their last word share one line, and meet again by bucket. A bucket is told by a phrase's hash, the
+phrases of one beginning falling into several, so none is hot; past the shuffle Spark takes the blocks
+apart and adds up each phrase by itself.
 """
 
 from __future__ import annotations
@@ -39,7 +44,9 @@ LOWERED = 0.5  # bound in the sample, as a part of the one that is expected ther
 FILTER_BITS = 1 << 26
 PROBES = 3
 CHUNK_BYTES = 6 << 20  # texts whose phrases are counted together before they leave a task
-BATCH_ROWS = 1 << 15  # counted phrases that are spelled out and leave a task together
+BATCH_ROWS = 1 << 15  # counted phrases that are spelled out together, but for the rest of a block
+BUCKETS = 1 << 14
+APART = 8  # buckets over which phrases that differ in their last word are spread
 UNKNOWN = "und"
 
 # Signs that end a piece, and those that part words.
@@ -122,8 +129,8 @@ class Counter:
     def __init__(self, language: str, known: np.ndarray, before: np.ndarray | None, hopeful: bool) -> None:
         self.language, self.known, self.before, self.hopeful = language, known, before, hopeful
 
-    def count(self, line: Line) -> Iterator[tuple[int, list[bytes], np.ndarray]]:
-        """(size, phrases, counts) for words and for all sizes up to LONGEST; size 0 holds the words' number."""
+    def count(self, line: Line) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+        """(buckets, blocks) for words, their number, and phrases of all sizes up to LONGEST."""
         ids = np.concatenate([*line.parts, np.zeros(1, dtype=np.int32)])
         words = list(line.numbers)
         spelled = np.array(words, dtype=object)
@@ -131,8 +138,9 @@ class Counter:
         allowed = ids > 0  # places whose phrase of the present size may be frequent
         if self.before is None:
             counts = np.bincount(ids, minlength=len(words))[1:]
-            yield 1, words[1:], counts
-            yield 0, [b""], np.array([counts.sum()])
+            first = np.arange(1, len(words))
+            yield from self._blocks(spelled, first[:, None], single[1:], np.zeros(len(first), dtype=np.uint64), counts)
+            yield np.zeros(1, dtype=np.int64), [b",;%d" % counts.sum()]
         counted = allowed if self.before is not None else np.zeros_like(allowed)
         hashes = single[ids]
         member = holds(self.known, single)[ids]
@@ -143,16 +151,17 @@ class Counter:
             place = np.flatnonzero(allowed | counted)
             if not len(place):
                 return
-            hashes[place] = longer_hash(hashes[place], single[ids[place + size - 1]])
             at = np.flatnonzero(allowed & ~counted)
+            starts = hashes[at]
+            hashes[place] = longer_hash(hashes[place], single[ids[place + size - 1]])
             if len(at):
                 key, _ = packed([ids[at + d].astype(np.int64) for d in range(size)], len(words))
                 _, first, counts = np.unique(key, return_index=True, return_counts=True)
-                first = at[first]
+                starts, first = starts[first], at[first]
                 del key, at
-                for k in range(0, len(first), BATCH_ROWS):
-                    rows = spelled[ids[first[k : k + BATCH_ROWS, None] + np.arange(size)]].tolist()
-                    yield size, list(map(b" ".join, rows)), counts[k : k + BATCH_ROWS]
+                rows = ids[first[:, None] + np.arange(size)]
+                yield from self._blocks(spelled, rows, starts, single[rows[:, -1]], counts)
+                del rows, first, starts
             member = np.zeros_like(allowed)
             member[place] = holds(self.known, hashes[place])
             if self.before is not None:
@@ -161,6 +170,36 @@ class Counter:
                 old[at] = holds(self.before, hashes[at])
 
 
+    @staticmethod
+    def _blocks(spelled: np.ndarray, rows: np.ndarray, starts: np.ndarray, lasts: np.ndarray, counts: np.ndarray) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+        """Blocks of phrases, given in order as numbers of their words and hashes of beginning and last word.
+
+        A block has a line for each beginning: its words, then each last word, with its count unless
+        that is 1. Commas, semicolons and line feeds part these, as no word can hold one.
+        """
+        buckets = ((starts >> np.uint64(20)) + (lasts >> np.uint64(20)) % np.uint64(APART)) % np.uint64(BUCKETS)
+        order = np.argsort(buckets.astype(np.uint16), kind="stable")
+        buckets = buckets[order].astype(np.int64)
+        ends = np.flatnonzero(np.append(buckets[1:] != buckets[:-1], True)) + 1  # past each block
+        low = 0
+        while low < len(order):
+            high = ends[np.searchsorted(ends, min(low + BATCH_ROWS, len(order)))]
+            own = order[low:high]
+            items = spelled[rows[own, -1]].tolist()
+            for i in np.flatnonzero(counts[own] > 1).tolist():
+                items[i] += b";%d" % counts[own[i]]
+            bounds = ends[(ends > low) & (ends <= high)] - low
+            opens = np.concatenate([[0], bounds[:-1]])
+            heads = np.ones(len(own), dtype=bool)
+            heads[1:] = (rows[own[1:], :-1] != rows[own[:-1], :-1]).any(axis=1)
+            heads[opens] = True
+            heads = np.flatnonzero(heads)
+            for i, begin in zip(heads.tolist(), spelled[rows[own[heads], :-1]].tolist()):
+                items[i] = b"\n" + b" ".join(begin) + b"," + items[i]
+            yield buckets[low + opens], [b",".join(items[a:b])[1:] for a, b in zip(opens.tolist(), bounds.tolist())]
+            low = high
+
+
 def _both(here: np.ndarray) -> np.ndarray:
     """Places that hold, as do the places a word later."""
     grown = np.zeros_like(here)
@@ -168,15 +207,25 @@ def _both(here: np.ndarray) -> np.ndarray:
     return grown
 
 
-PHRASE_ROWS = pa.schema([("key", pa.string()), ("a", pa.int64())])
+BLOCK_ROWS = pa.schema([("bucket", pa.int32()), ("lang", pa.string()), ("block", pa.string())])
 
 
 def _rows(counter: Counter, line: Line) -> Iterator[pa.RecordBatch]:
-    """Language and phrase travel as one text, with a line feed between them, which no word can hold."""
-    head = counter.language.encode("utf-8") + b"\n"
-    for _, phrases, counts in counter.count(line):
-        keys = pa.array(map(head.__add__, phrases), pa.binary()).cast(pa.string())
-        yield pa.RecordBatch.from_arrays([keys, pa.array(counts.astype(np.int64))], schema=PHRASE_ROWS)
+    for buckets, blocks in counter.count(line):
+        names = pa.array([counter.language]).take(pa.array(np.zeros(len(blocks), dtype=np.int32)))
+        yield pa.RecordBatch.from_arrays([pa.array(buckets.astype(np.int32)), names, pa.array(blocks, pa.binary()).cast(pa.string())], schema=BLOCK_ROWS)
+
+
+def added_up(blocks: DataFrame, tasks: int) -> DataFrame:
+    """(lang, phrase, a) of all blocks. The number of tasks is fixed, as blocks are small for the rows in them."""
+    lines = blocks.repartition(tasks, "bucket").select("bucket", "lang", F.explode(F.split("block", ",\n")).alias("line"))
+    lines = lines.select("bucket", "lang", F.split("line", ",").alias("items"))
+    begin = F.col("items")[0]
+    lines = lines.select("bucket", "lang", begin.alias("begin"), F.explode(F.slice("items", 2, F.size("items") - 1)).alias("item"))
+    last = F.substring_index("item", ";", 1)
+    phrase = F.when(F.col("begin") == "", last).otherwise(F.concat_ws(" ", "begin", last))
+    a = F.when(F.contains("item", F.lit(";")), F.substring_index("item", ";", -1).cast("long")).otherwise(F.lit(1).cast("long"))
+    return lines.select("bucket", "lang", phrase.alias("phrase"), a.alias("a")).groupBy("bucket", "lang", "phrase").agg(F.sum("a").alias("a"))
 
 
 def sent(texts: DataFrame, held: np.ndarray) -> Broadcast:
@@ -208,11 +257,11 @@ def count_pass(texts: DataFrame, known: Broadcast, before: Broadcast | None, hop
             name, line = lines.popitem()
             yield from _rows(Counter(name, *filters, hopeful), line)
 
-    found = texts.select("lang", "text").mapInArrow(run, "key string, a long").groupBy("key").agg(F.sum("a").alias("a"))
-    found = found.withColumn("phrase", F.substring_index("key", "\n", -1)).filter((F.col("a") >= least) | (F.col("phrase") == ""))
-    language = F.substring("key", F.lit(1), F.length("key") - F.length("phrase") - 1)
+    blocks = texts.select("lang", "text").mapInArrow(run, "bucket int, lang string, block string")
+    tasks = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), texts.rdd.getNumPartitions())
+    found = added_up(blocks, tasks).filter((F.col("a") >= least) | (F.col("phrase") == ""))
     size = F.when(F.col("phrase") == "", 0).otherwise(F.size(F.split("phrase", " ")))
-    return found.select(language.alias("lang"), size.alias("size"), "phrase", "a")
+    return found.select("lang", size.alias("size"), "phrase", "a")
 
 
 def with_known(found: DataFrame, proposed: Broadcast) -> DataFrame:
