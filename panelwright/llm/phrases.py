@@ -45,7 +45,7 @@ FILTER_BITS = 1 << 26
 PROBES = 3
 CHUNK_BYTES = 6 << 20  # texts whose phrases are counted together before they leave a task
 BATCH_ROWS = 1 << 15  # counted phrases that are spelled out together, but for the rest of a block
-BUCKETS = 1 << 14
+BUCKETS = 32, 1 << 16  # for each task that adds up blocks, and at most
 APART = 8  # buckets over which phrases that differ in their last word are spread
 UNKNOWN = "und"
 
@@ -126,8 +126,8 @@ class Counter:
     a first pass). `hopeful` takes phrases that were not counted yet for frequent ones.
     """
 
-    def __init__(self, language: str, known: np.ndarray, before: np.ndarray | None, hopeful: bool) -> None:
-        self.language, self.known, self.before, self.hopeful = language, known, before, hopeful
+    def __init__(self, language: str, known: np.ndarray, before: np.ndarray | None, hopeful: bool, buckets: int) -> None:
+        self.language, self.known, self.before, self.hopeful, self.buckets = language, known, before, hopeful, buckets
 
     def count(self, line: Line) -> Iterator[tuple[np.ndarray, list[bytes]]]:
         """(buckets, blocks) for words, their number, and phrases of all sizes up to LONGEST."""
@@ -170,14 +170,13 @@ class Counter:
                 old[at] = holds(self.before, hashes[at])
 
 
-    @staticmethod
-    def _blocks(spelled: np.ndarray, rows: np.ndarray, starts: np.ndarray, lasts: np.ndarray, counts: np.ndarray) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+    def _blocks(self, spelled: np.ndarray, rows: np.ndarray, starts: np.ndarray, lasts: np.ndarray, counts: np.ndarray) -> Iterator[tuple[np.ndarray, list[bytes]]]:
         """Blocks of phrases, given in order as numbers of their words and hashes of beginning and last word.
 
         A block has a line for each beginning: its words, then each last word, with its count unless
         that is 1. Commas, semicolons and line feeds part these, as no word can hold one.
         """
-        buckets = ((starts >> np.uint64(20)) + (lasts >> np.uint64(20)) % np.uint64(APART)) % np.uint64(BUCKETS)
+        buckets = ((starts >> np.uint64(20)) + (lasts >> np.uint64(20)) % np.uint64(APART)) % np.uint64(self.buckets)
         order = np.argsort(buckets.astype(np.uint16), kind="stable")
         buckets = buckets[order].astype(np.int64)
         ends = np.flatnonzero(np.append(buckets[1:] != buckets[:-1], True)) + 1  # past each block
@@ -239,6 +238,8 @@ def received(held: Broadcast) -> np.ndarray:
 
 def count_pass(texts: DataFrame, known: Broadcast, before: Broadcast | None, hopeful: bool, least: int) -> DataFrame:
     """(lang, size, phrase, a): exact counts of the phrases of one pass, from `least` on."""
+    tasks = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), texts.rdd.getNumPartitions())
+    buckets = min(BUCKETS[0] * tasks, BUCKETS[1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filters = received(known), None if before is None else received(before)
@@ -251,14 +252,13 @@ def count_pass(texts: DataFrame, known: Broadcast, before: Broadcast | None, hop
                 if held >= CHUNK_BYTES:
                     while lines:
                         name, line = lines.popitem()
-                        yield from _rows(Counter(name, *filters, hopeful), line)
+                        yield from _rows(Counter(name, *filters, hopeful, buckets), line)
                     held = 0
         while lines:
             name, line = lines.popitem()
-            yield from _rows(Counter(name, *filters, hopeful), line)
+            yield from _rows(Counter(name, *filters, hopeful, buckets), line)
 
     blocks = texts.select("lang", "text").mapInArrow(run, "bucket int, lang string, block string")
-    tasks = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), texts.rdd.getNumPartitions())
     found = added_up(blocks, tasks).filter((F.col("a") >= least) | (F.col("phrase") == ""))
     size = F.when(F.col("phrase") == "", 0).otherwise(F.size(F.split("phrase", " ")))
     return found.select("lang", size.alias("size"), "phrase", "a")
