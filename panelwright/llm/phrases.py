@@ -17,8 +17,9 @@ that is broadcast. A phrase that it takes for proposed by mistake is counted nee
 and no decision rests on it. As a pass knows the filter of the pass before, it leaves out exactly
 what was counted then. The border is never listed: a phrase of the text is in it by its parts.
 
-Counted phrases leave a task in blocks, one for each of many buckets, in which phrases that differ
-in their last word share one line, and meet again by bucket. A bucket is told by a phrase's hash, the
+Counted phrases leave a task in blocks, one for each bucket of a fixed number, so that blocks grow with
+the texts and not with the product of the tasks on both sides; in a block phrases that differ in their
+last word share one line, and blocks meet again by bucket. A bucket is told by a phrase's hash, the
 phrases of one beginning falling into several, so none is hot; past the shuffle Spark takes the blocks
 apart and adds up each phrase by itself.
 """
@@ -45,7 +46,7 @@ FILTER_BITS = 1 << 26
 PROBES = 3
 CHUNK_BYTES = 6 << 20  # texts whose phrases are counted together before they leave a task
 BATCH_ROWS = 1 << 15  # counted phrases that are spelled out together, but for the rest of a block
-BUCKETS = 32, 1 << 16  # for each task that adds up blocks, and at most
+BUCKETS = 1 << 10  # at most so many blocks for each size of phrases of a chunk, however many tasks there are
 APART = 8  # buckets over which phrases that differ in their last word are spread
 UNKNOWN = "und"
 
@@ -239,7 +240,7 @@ def received(held: Broadcast) -> np.ndarray:
 def count_pass(texts: DataFrame, known: Broadcast, before: Broadcast | None, hopeful: bool, least: int) -> DataFrame:
     """(lang, size, phrase, a): exact counts of the phrases of one pass, from `least` on."""
     tasks = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), texts.rdd.getNumPartitions())
-    buckets = min(BUCKETS[0] * tasks, BUCKETS[1])
+    tasks, buckets = min(tasks, BUCKETS), BUCKETS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filters = received(known), None if before is None else received(before)

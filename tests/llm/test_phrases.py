@@ -87,6 +87,24 @@ def test_all_frequent_phrases_are_counted_once(spark):
     assert sorted((r.lang, r.phrase, r.a) for r in got) == sorted((*k, a) for k, a in counts.items() if a >= 15)
 
 
+def test_blocks_do_not_grow_with_the_tasks_that_add_them_up(spark, monkeypatch):
+    rng = random.Random(2)
+    rows = [("en", " ".join(f"w{rng.randint(0, 400)}" for _ in range(400))) for _ in range(10)]
+    frame = spark.createDataFrame(rows, "lang string, text string").coalesce(1)
+    held, add = [], phrases.added_up
+    monkeypatch.setattr(phrases, "added_up", lambda blocks, tasks: held.append(blocks.count()) or add(blocks, tasks))
+    everything = np.full(1 << 10, 2**64 - 1, dtype=np.uint64)
+    counts, before = [], spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for tasks in (2, 64):
+            spark.conf.set("spark.sql.shuffle.partitions", tasks)
+            counts.append(phrases.count_pass(frame, phrases.sent(frame, everything), None, False, 1).count())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert counts[0] == counts[1]
+    assert held[0] == held[1]
+
+
 def test_empty_tables(spark, documents, empty):
     assert phrases.collocations(empty, 2, 10).count() == 0
     assert phrases.collocations(documents, 10**9, 10).count() == 0
