@@ -191,13 +191,17 @@ def partners_with_missing(df: DataFrame, id_column: str, features: Sequence[str]
     one, `near` those within the distance; `nearest` is the nearest of these (the smaller id on a
     tie), null if there is none. NaN counts as missing. Ids must be unique.
 
-    Entities are classed by which coordinates they have, at most 2 ** features classes. Each pair of
-    classes shares its own coordinates, so it has a grid of its own on up to three of them, with a
-    width scaled to it; all pairs of classes are joined at once on class, partner's class and cell.
+    Entities are classed by which coordinates they have, at most 2 ** features classes, and copies
+    of one point in a class become one weighted point. Each pair of classes shares its own
+    coordinates, so it has a grid of its own on up to three of them, with a width scaled to it; all
+    pairs of classes are joined at once on class, partner's class and cell. Pairs are met twice, for
+    the counts and least distances and then for the ids at these, so that no pair is sorted or
+    shuffled; the second time only the cells no farther than the nearest partner are looked into.
     """
     d = len(features)
     xs = [f"x{i}" for i in range(d)]
-    values = [F.nanvl(quoted(f).cast("double"), F.lit(None).cast("double")).alias(x) for f, x in zip(features, xs)]
+    # Adding zero turns a negative zero into a positive one.
+    values = [(F.nanvl(quoted(f).cast("double"), F.lit(None).cast("double")) + F.lit(0.0)).alias(x) for f, x in zip(features, xs)]
     rows = df.select(quoted(id_column).alias("id"), *values)
     mask = F.lit(0)
     for i, x in enumerate(xs):
@@ -206,6 +210,16 @@ def partners_with_missing(df: DataFrame, id_column: str, features: Sequence[str]
     classes = {r["own"]: r["count"] for r in rows.groupBy("own").count().collect()}  # at most 2 ** d
     comparable = {a: sum(n for b, n in classes.items() if a & b) - int(a > 0) for a in classes}
 
+    # A row without an id is nobody's partner. Missing coordinates are told by the class, so zeros can stand for them.
+    placed = rows.filter(F.col("id").isNotNull() & (F.col("own") > 0))
+    keys = ["own", *[f"k{i}" for i in range(d)]]
+    placed = placed.select("id", "own", *[F.coalesce(x, F.lit(0.0)).alias(k) for x, k in zip(xs, keys[1:])], *xs)
+    points = placed.groupBy(*keys).agg(F.min("id").alias("pid"), F.count(F.lit(1)).alias("w"), *[F.first(x).alias(x) for x in xs])
+    points = materialise(points, "distinct-points")
+    named = points.select("pid", "w", *[F.col(k).alias(f"{k}_key") for k in keys])
+    members = materialise(left_join(placed.select("id", *keys), named, [(k, f"{k}_key") for k in keys], how="inner").select("id", "pid", "w"), "members")
+    seconds = members.filter("w > 1 AND id <> pid").groupBy("pid").agg(F.min("id").alias("second"))
+
     heads = []
     for a in classes:
         for b in classes:
@@ -215,27 +229,48 @@ def partners_with_missing(df: DataFrame, id_column: str, features: Sequence[str]
     heads = df.sparkSession.createDataFrame(heads, "own int, partner int, lead array<int>, width double")
     axis = F.transform("lead", lambda i: F.floor(F.get(F.array(*xs), i) / F.col("width")))
     filled = F.concat(axis, F.array_repeat(F.lit(0).cast("long"), GRID_DIMENSIONS - F.size("lead")))
-    met = rows.join(heads, "own").select("id", "own", "partner", F.size("lead").alias("lead"), filled.alias("cell"), *xs)
-    listed = rows.withColumns({"comparable": _looked_up("own", comparable), "present": F.bit_count(F.col("own")).cast("int")})
-    listed = listed.select("id", "present", "comparable")
-    around = met
-    for i in range(GRID_DIMENSIONS):
-        steps = F.when(F.col("lead") > i, F.array(*map(F.lit, (-1, 0, 1)))).otherwise(F.array(F.lit(0)))
-        around = around.withColumn(f"step{i}", F.explode(steps)).withColumn(f"c{i}", F.col("cell")[i] + F.col(f"step{i}"))
-    around = around.select("id", "own", "partner", *[f"c{i}" for i in range(GRID_DIMENSIONS)], *xs)
+    met = points.join(heads, "own").select("pid", "w", "own", "partner", "lead", "width", filled.alias("cell"), *xs)
     there = met.select(
-        F.col("id").alias("other"), F.col("own").alias("partner"), F.col("partner").alias("own"),
+        F.col("pid").alias("other"), F.col("w").alias("weight"), F.col("own").alias("partner"), F.col("partner").alias("own"),
         *[F.col("cell")[i].alias(f"c{i}") for i in range(GRID_DIMENSIONS)], *[F.col(x).alias(f"y{i}") for i, x in enumerate(xs)],
     )
-    pairs = around.join(there, ["own", "partner", *[f"c{i}" for i in range(GRID_DIMENSIONS)]]).filter(F.col("id") != F.col("other"))
     squares = squared([F.coalesce(F.col(x) - F.col(f"y{i}"), F.lit(0.0)) for i, x in enumerate(xs)])
     common = F.bit_count(F.col("own").bitwiseAND(F.col("partner")))
-    pairs = pairs.withColumn("distance", F.sqrt(squares * F.lit(float(d)) / common)).filter(F.col("distance") <= within)
-    best = pairs.groupBy("id").agg(F.count(F.lit(1)).alias("near"), F.min(F.struct("distance", "other")).alias("best"))
-    joined = listed.join(best, "id", "left")
+
+    def partners(searching: DataFrame, nearer: bool) -> DataFrame:
+        beside = F.lit(0.0)
+        for i in range(GRID_DIMENSIONS):
+            steps = F.when(F.size("lead") > i, F.array(*map(F.lit, (-1, 0, 1)))).otherwise(F.array(F.lit(0)))
+            searching = searching.withColumn(f"step{i}", F.explode(steps)).withColumn(f"c{i}", F.col("cell")[i] + F.col(f"step{i}"))
+            at, low = F.get(F.array(*xs), F.get("lead", F.lit(i))), F.col("cell")[i] * F.col("width")
+            gap = F.when(F.col(f"step{i}") < 0, at - low).when(F.col(f"step{i}") > 0, low + F.col("width") - at).otherwise(F.lit(0.0))
+            beside = beside + gap * gap
+        if nearer:  # with room for the rounding of the cells' bounds
+            reach = F.col("least") * F.col("least") * common / F.lit(float(d))
+            room = F.lit(SLACK) * F.col("width") * F.col("width")
+            searching = searching.filter(beside * F.lit(1 - SLACK) <= reach + room)
+        searching = searching.select("pid", *["least"] * nearer, "own", "partner", *[f"c{i}" for i in range(GRID_DIMENSIONS)], *xs)
+        pairs = searching.join(there, ["own", "partner", *[f"c{i}" for i in range(GRID_DIMENSIONS)]]).filter(F.col("pid") != F.col("other"))
+        return pairs.withColumn("distance", F.sqrt(squares * F.lit(float(d)) / common)).filter(F.col("distance") <= within)
+
+    found = partners(met, False).groupBy("pid").agg(F.sum("weight").alias("met"), F.min("distance").alias("least"))
+    found = materialise(found, "least-distances")
+    ids = partners(met.join(found.select("pid", "least"), "pid"), True).filter("distance = least").groupBy("pid").agg(F.min("other").alias("other"))
+    found = found.join(ids, "pid")
+
+    # Copies are partners at distance zero, as may be points of other classes.
+    copy = F.when(F.col("w") > 1, F.when(F.col("id") == F.col("pid"), F.col("second")).otherwise(F.col("pid")))
+    best = members.join(found, "pid", "left").join(seconds, "pid", "left").select(
+        "id",
+        (F.coalesce("met", F.lit(0)) + F.col("w") - 1).alias("near"),
+        F.when(copy.isNull(), F.col("other")).when(F.col("least") == 0, F.least(copy, "other")).otherwise(copy).alias("other"),
+        F.when(copy.isNull(), F.col("least")).otherwise(F.lit(0.0)).alias("distance"),
+    )
+    listed = rows.withColumns({"comparable": _looked_up("own", comparable), "present": F.bit_count(F.col("own")).cast("int")})
+    joined = listed.select("id", "present", "comparable").join(best, "id", "left")
     return joined.select(
         F.col("id").alias(id_column), "present", "comparable", F.coalesce("near", F.lit(0)).alias("near"),
-        F.col("best.other").alias("nearest"), F.col("best.distance").alias("distance"),
+        F.col("other").alias("nearest"), "distance",
     )
 
 

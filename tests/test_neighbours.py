@@ -109,3 +109,24 @@ def test_partners_of_empty_and_all_missing_tables(spark):
     only = frame(spark, [(1, None, None), (2, float("nan"), None)], 2)
     got = neighbours.partners_with_missing(only, "name", ["f0", "f1"], 1.0).collect()
     assert sorted(map(tuple, got)) == [(1, 0, 0, 0, None, None), (2, 0, 0, 0, None, None)]
+
+
+def test_partners_among_copies_and_missing_ids(spark):
+    """Copies are partners at distance zero, also beside points of other classes; a row without an id is nobody's."""
+    rows = [(i, 0.5, 1.0) for i in (7, 3, 9)] + [(1, 0.5, None), (20, None, 1.0), (4, None, 1.0), (5, 0.75, 1.0), (None, 0.5, 1.0), (None, None, None)]
+    got = neighbours.partners_with_missing(frame(spark, rows, 2), "name", ["f0", "f1"], 1.0).collect()
+    assert sorted(tuple(r) for r in got if r.name is not None) == [
+        (*row[:2], row[2] + 1, *row[3:]) for row in plain_partners([r for r in rows if r[0] is not None], 1.0)
+    ]
+    assert sorted(tuple(r)[1:] for r in got if r.name is None) == [(0, 0, 0, None, None), (2, 7, 0, None, None)]
+
+
+def test_pairs_of_a_crowd_are_not_sorted(spark, monkeypatch):
+    """A thousand copies and a crowd around them: counts and ids come from hash aggregates over distinct points."""
+    stored, real = {}, neighbours.materialise
+    monkeypatch.setattr(neighbours, "materialise", lambda df, label: stored.setdefault(label, (df, real(df, label)))[1])
+    rows = [(i, 1.0, 2.0) for i in range(1000)] + [(1000 + i, 1.0 + i / 1000, None) for i in range(100)]
+    got = neighbours.partners_with_missing(frame(spark, rows, 2), "name", ["f0", "f1"], 2.0).collect()
+    assert {r.near for r in got} == {1099}
+    assert stored["distinct-points"][1].count() == 101
+    assert "SortAggregate" not in stored["least-distances"][0]._jdf.queryExecution().executedPlan().toString()
