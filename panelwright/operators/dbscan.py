@@ -22,14 +22,14 @@ from panelwright.operators.columns import quoted
 from panelwright.operators.graph import components
 from panelwright.operators.grid import GRID_DIMENSIONS, around, largest_gap, least_gap, selective, squared
 from panelwright.operators.joins import left_join
-from panelwright.session import materialise, materialise_counted, spread
+from panelwright.session import materialise, spread
 
 # Two cells are compared point by point up to this product of their sizes, else by halving.
 PAIR_BUDGET = 10_000
 # Halving beyond this depth would exceed the range of the cell numbers.
 DEEPEST = 40
 COMPARISONS_PER_TASK = 500_000
-BOXES_PER_TASK = 5_000
+GAPS_PER_TASK = 2_000_000
 
 
 def distance_pairs(
@@ -115,21 +115,29 @@ def _bounds(d: int, name: str, side: str = "") -> list[Column]:
     return [F.col(f"{name}{i}{side}") for i in range(d)]
 
 
-def _near(left: DataFrame, rows: int, right: DataFrame, d: int, eps: float, side: float) -> DataFrame:
+def _near(left: DataFrame, right: DataFrame, d: int, eps: float, side: float, once: str | None = None) -> DataFrame:
     """Pairs of boxes within eps, columns suffixed _a and _b, with squared gaps `least` and `largest`.
 
-    `rows` is about the number of left boxes. Boxes are at most `side` long, so the low corners of two of them in reach differ by at most
-    eps + side in each dimension and lie in adjacent cells of that width.
+    Boxes are at most `side` long, so the low corners of two of them in reach differ by at most
+    eps + side in each dimension and lie in adjacent cells of that width. The left boxes are divided
+    by the gaps to measure, which grow with the crowd around them and not with their own number. Of
+    the two orders of a pair only that with the smaller `once` on the left is measured.
     """
     width, g = eps + side, min(d, GRID_DIMENSIONS)
     names = [f"g{i}" for i in range(g)]
     corner = [F.floor(F.col(f"lo{i}") / F.lit(width)) for i in range(g)]
-    a = around(spread(left, rows, BOXES_PER_TASK), corner, names).select(*names, *[F.col(c).alias(f"{c}_a") for c in left.columns])
+    found = right.select(*[c.alias(n) for c, n in zip(corner, names)]).groupBy(*names).agg(F.count(F.lit(1)).alias("there"))
+    searched = left.groupBy(*[c.alias(f"{n}_own") for c, n in zip(corner, names)]).agg(F.count(F.lit(1)).cast("double").alias("here"))
+    searched = around(searched, [F.col(f"{n}_own") for n in names], names)
+    work = searched.join(found, names).agg(F.sum(F.col("here") * F.col("there"))).first()[0] or 0.0
+    a = around(spread(left, work, GAPS_PER_TASK), corner, names).select(*names, *[F.col(c).alias(f"{c}_a") for c in left.columns])
     b = right.select(*[c.alias(n) for c, n in zip(corner, names)], *[F.col(c).alias(f"{c}_b") for c in right.columns])
     bounds = (_bounds(d, "lo", "_a"), _bounds(d, "hi", "_a"), _bounds(d, "lo", "_b"), _bounds(d, "hi", "_b"))
+    pairs = a.join(b, names)
+    if once:
+        pairs = pairs.filter(F.col(f"{once}_a") < F.col(f"{once}_b"))
     return (
-        a.join(b, names)
-        .drop(*names)
+        pairs.drop(*names)
         .withColumn("least", least_gap(*bounds))
         .filter(F.col("least") <= F.lit(eps * eps))
         .withColumn("largest", largest_gap(*bounds))
@@ -143,16 +151,15 @@ def _labels(rows, points, id_column, d, eps, min_pts, border_points) -> DataFram
     side = eps / d**0.5 * (1 - 1e-9)
 
     celled = points.withColumn("cell", F.array(*[F.floor(F.col(x) / F.lit(side)) for x in xs]))
-    cells, n_cells = materialise_counted(
-        celled.groupBy("cell").agg(F.sum("w").alias("w"), F.count(F.lit(1)).alias("n"), *_box(xs)), "cells"
-    )
+    cells = celled.groupBy("cell").agg(F.sum("w").alias("w"), F.count(F.lit(1)).alias("n"), *_box(xs))
+    cells = materialise(cells, "cells")
     crowd = cells.select(F.col("cell").alias("own_cell"), F.col("w").alias("cell_w"), F.col("n").alias("cell_n"))
     celled = left_join(celled, crowd, [("cell", "own_cell")])
 
     # Points of thin cells, as boxes without extent, against the boxes of the cells around.
     thin = celled.filter(F.col("cell_w") < min_pts)
     probes = thin.select("pid", "cell", "cell_w", *[F.col(x).alias(f"{b}{i}") for i, x in enumerate(xs) for b in ("lo", "hi")])
-    near = _near(probes, n_cells, cells.select("cell", "w", *_corner_names(d)), d, eps, side)
+    near = _near(probes, cells.select("cell", "w", *_corner_names(d)), d, eps, side)
     near = near.filter("cell_a != cell_b").select(
         "pid_a", "cell_w_a", "cell_b", "w_b", (F.col("largest") <= limit).alias("inside"),
         *[F.col(f"lo{i}_a").alias(f"y{i}") for i in range(d)],
@@ -177,10 +184,9 @@ def _labels(rows, points, id_column, d, eps, min_pts, border_points) -> DataFram
     judged = materialise(thick.unionByName(judged.select(*thick.columns)), "core-points")
 
     cores = judged.filter("is_core")
-    core_cells, n_core_cells = materialise_counted(
-        cores.groupBy("cell").agg(F.min("pid").alias("node"), F.max("cell_n").alias("n"), *_box(xs)), "core-cells"
-    )
-    edges = _links(cores, core_cells, n_core_cells, d, eps, side)
+    core_cells = cores.groupBy("cell").agg(F.min("pid").alias("node"), F.max("cell_n").alias("n"), *_box(xs))
+    core_cells = materialise(core_cells, "core-cells")
+    edges = _links(cores, core_cells, d, eps, side)
     roots = components(core_cells.select("node"), edges)
     rooted = materialise(
         core_cells.join(roots, "node").select("cell", "root", *_corner_names(d)), "rooted-cells"
@@ -229,11 +235,11 @@ def _border_roots(edge_points, near, cores, rooted, d, limit) -> DataFrame:
     return here.union(sure).union(met).groupBy("pid").agg(F.min("root").alias("root"))
 
 
-def _links(cores: DataFrame, core_cells: DataFrame, n_cells: int, d: int, eps: float, side: float) -> DataFrame:
+def _links(cores: DataFrame, core_cells: DataFrame, d: int, eps: float, side: float) -> DataFrame:
     """Edges (a, b) between cells that hold core points within eps of each other."""
     limit = F.lit(eps * eps)
     boxes = core_cells.select("node", "cell", "n", *_corner_names(d))
-    pairs = _near(boxes, n_cells, boxes, d, eps, side).filter("node_a < node_b")
+    pairs = _near(boxes, boxes, d, eps, side, once="node")
     pairs = pairs.withColumn("inside", F.col("largest") <= limit)
     pairs = materialise(pairs.select("node_a", "node_b", "cell_a", "cell_b", "n_a", "n_b", "inside"), "cell-pairs")
     edges = pairs.filter("inside").select("node_a", "node_b")

@@ -320,3 +320,18 @@ def test_more_clusters_than_allowed(spark):
             ward.cut(df, "id", tree, bad)
         with pytest.raises(ValueError):
             ward.elbow(tree, [1, bad])
+
+
+def test_dbscan_divides_boxes_by_the_gaps_they_measure(spark, monkeypatch):
+    """In six features nearly every box meets every other, so few boxes can be much work."""
+    rng = random.Random(6)
+    rows = [(i, *[rng.gauss(0, 1) for _ in range(6)]) for i in range(300)]
+    names = [f"f{i}" for i in range(6)]
+    works, spread = [], db.spread
+    monkeypatch.setattr(db, "spread", lambda df, work, per_task: works.append(work / per_task) or spread(df, work, per_task))
+    plain = sorted(map(tuple, db.dbscan(spark.createDataFrame(rows, ["id", *names]), "id", names, 1.3, 4).collect()))
+    assert max(works) * 2_000_000 > 20 * len(rows)
+    monkeypatch.setattr(db, "GAPS_PER_TASK", 1_000)
+    works.clear()
+    assert sorted(map(tuple, db.dbscan(spark.createDataFrame(rows, ["id", *names]), "id", names, 1.3, 4).collect())) == plain
+    assert max(works) > 6
