@@ -145,6 +145,8 @@ def _round(probes: DataFrame, live: DataFrame, xs: Sequence[str], radius: float,
     both clusters along, so that it can become the joined one, and every cluster also offers
     itself as the last resort: grouping the choices by pair then yields the next state. Equal
     heights are ordered by a hash of the pair, so that chains of ties break up in few rounds.
+    Clusters of one class find each other, so that each takes only offers of its own search, of which
+    a task keeps the best; a pair of two classes, met once, is offered to both.
     """
     own = cells(xs, radius)
     g = range(len(own))
@@ -171,10 +173,11 @@ def _round(probes: DataFrame, live: DataFrame, xs: Sequence[str], radius: float,
         b AS (SELECT *, {at} FROM found),
         pairs AS (
           SELECT 2 * a.size * b.size / (a.size + b.size) * ({gap}) AS h2,
-                 xxhash64(least(a.rep, b.rep), greatest(a.rep, b.rep)) AS tie, {one} AS one, {other} AS other
-          FROM a JOIN b ON {same} WHERE a.rep < b.rep OR (b.class > a.k AND a.rep > b.rep)),
+                 xxhash64(least(a.rep, b.rep), greatest(a.rep, b.rep)) AS tie, {one} AS one, {other} AS other,
+                 if(b.class > a.k, array(a.rep, b.rep), array(a.rep)) AS reps
+          FROM a JOIN b ON {same} WHERE a.rep <> b.rep),
         offers AS (
-          SELECT explode(array(one.rep, other.rep)) AS rep, struct(h2, tie, one, other) AS pair
+          SELECT explode(reps) AS rep, struct(h2, tie, one, other) AS pair
           FROM pairs WHERE {'true' if everything else f'h2 <= {radius * radius!r}D'}
           UNION ALL
           SELECT a.rep, struct(double('infinity'), 0L, {mine}, if(false, {mine}, NULL)) FROM {{live}} AS a),

@@ -335,3 +335,26 @@ def test_dbscan_divides_boxes_by_the_gaps_they_measure(spark, monkeypatch):
     works.clear()
     assert sorted(map(tuple, db.dbscan(spark.createDataFrame(rows, ["id", *names]), "id", names, 1.3, 4).collect())) == plain
     assert max(works) > 6
+
+
+def written_records(plan):
+    """Records that each shuffle of an executed plan wrote."""
+    metric = plan.metrics().get("shuffleRecordsWritten")
+    out = [metric.get().value()] if plan.nodeName() == "Exchange" and metric.isDefined() else []
+    inner = [plan.plan()] if "QueryStage" in plan.nodeName() else []
+    inner += [plan.executedPlan()] if plan.nodeName() == "AdaptiveSparkPlan" else []
+    children = plan.children()
+    for p in inner + [children.apply(i) for i in range(children.size())]:
+        out += written_records(p)
+    return out
+
+
+def test_ward_offers_are_reduced_in_the_task_that_searches(spark):
+    """Candidates of one class are not sent to both ends, so that shuffles hold clusters and not candidates."""
+    rng, n = random.Random(3), 200
+    live = spark.createDataFrame([(i, 1.0, rng.random(), rng.random()) for i in range(n)], "rep long, size double, x0 double, x1 double")
+    live = ward.materialise(live.coalesce(1), "clusters")
+    for everything in (True, False):
+        step = ward._round(live.repartition(8), live, ["x0", "x1"], 1.0, everything)
+        assert len(step.collect()) < n
+        assert 0 < max(written_records(step._jdf.queryExecution().executedPlan())) <= 3 * n
