@@ -12,7 +12,7 @@ a clean one, every drawn window is negative.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -36,6 +36,7 @@ ECHO = 0.25  # share of clean windows that repeat a few of their words
 LOOKS = (20, 50, 80, 110, 140)  # steps at which the highest windows of clean documents are found anew
 FOLDS = 4
 KEPT_WORDS = 100_000  # words whose inputs a task remembers before it starts anew
+PORTION = 1 << 18  # hashed n-grams that a tally holds before it sums them up
 WORD = regex.compile(r"\w+")
 SMOOTH = 4.0  # documents of prior weight at the share that chance would give
 CHANCE = 5.0  # standard deviations above chance that a word or n-gram must be
@@ -69,24 +70,32 @@ def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 class Evidence:
     """Log-odds of words and n-grams that stand in toxic documents clearly more often than chance."""
 
-    def __init__(self, documents: list[list[str]], parts: list[np.ndarray], toxic: list[bool]) -> None:
+    def __init__(self, documents: Iterable[list[str]], parts: Iterable[np.ndarray], toxic: Iterable[bool]) -> None:
         """documents: the distinct words of each; parts: the distinct hashes of their n-grams."""
-        n_bad = sum(toxic)
-        n = (len(toxic) - n_bad, n_bad)
-        every: Counter = Counter()
-        bad_words: Counter = Counter()
-        gram_counts = (Tally(), Tally())
+        counted = Counted()
         for found, hashes, bad in zip(documents, parts, toxic):
-            every.update(found)
-            if bad:
-                bad_words.update(found)
-            gram_counts[bad].add(hashes)
+            counted.add(found, hashes, bad)
+        self._weigh([counted])
+
+    @classmethod
+    def summed(cls, portions: list[Counted]) -> Evidence:
+        """What documents tell that were counted in portions."""
+        made = cls.__new__(cls)
+        made._weigh(portions)
+        return made
+
+    def _weigh(self, portions: list[Counted]) -> None:
+        n = (sum(c.documents[False] for c in portions), sum(c.documents[True] for c in portions))
+        clean_words, bad_words = Counter(), Counter()
+        for c in portions:
+            clean_words.update(c.words[False])
+            bad_words.update(c.words[True])
         keys = list(bad_words)
         bad = np.array([bad_words[k] for k in keys], dtype=float)
-        odds = log_odds(bad, np.array([every[k] for k in keys], dtype=float) - bad, *n)
+        odds = log_odds(bad, np.array([clean_words[k] for k in keys], dtype=float), *n)
         self.words = {k: float(v) for k, v in zip(keys, odds) if v > 0}
-        hashes, bad = gram_counts[True].total()
-        others, counts = gram_counts[False].total()
+        hashes, bad = together([c.grams[True] for c in portions])
+        others, counts = together([c.grams[False] for c in portions])
         at = np.minimum(np.searchsorted(others, hashes), max(0, len(others) - 1))
         clean = np.where(others[at] == hashes, counts[at], 0) if len(others) else np.zeros(len(hashes))
         odds = log_odds(bad.astype(float), clean.astype(float), *n)
@@ -102,28 +111,53 @@ class Evidence:
         return out
 
 
+class Counted:
+    """By label, the number of documents, and of those that hold a word or a hashed n-gram."""
+
+    def __init__(self) -> None:
+        self.documents = [0, 0]
+        self.words: tuple[Counter, Counter] = (Counter(), Counter())
+        self.grams = (Tally(), Tally())
+
+    def add(self, words: list[str], hashes: np.ndarray, toxic: bool) -> None:
+        self.documents[toxic] += 1
+        self.words[toxic].update(words)
+        self.grams[toxic].add(hashes)
+
+
 class Tally:
     """Counts of 64-bit numbers, summed up in bounded portions."""
 
     def __init__(self) -> None:
-        self.keys, self.counts, self.open, self.size = np.empty(0, np.uint64), np.empty(0, np.int64), [], 0
+        self.keys, self.counts, self.open, self.size = np.empty(0, np.uint64), np.empty(0, np.int32), [], 0
 
     def add(self, keys: np.ndarray) -> None:
         self.open.append(keys)
         self.size += len(keys)
-        if self.size > 1 << 20:
+        if self.size > PORTION:
             self.total()
 
     def total(self) -> tuple[np.ndarray, np.ndarray]:
         if self.open:
-            keys = np.concatenate([self.keys, *self.open])
-            weights = np.concatenate([self.counts, np.ones(self.size, np.int64)])
-            self.keys, where = np.unique(keys, return_inverse=True)
-            self.counts = np.bincount(where, weights=weights).astype(np.int64)
+            self.keys, self.counts = merged([self.keys, *self.open], [self.counts, np.ones(self.size, np.int32)])
             self.open, self.size = [], 0
         return self.keys, self.counts
 
 
+def merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, with the sums of their counts."""
+    keys, counts = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
+    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
+
+
+def together(tallies: list[Tally]) -> tuple[np.ndarray, np.ndarray]:
+    totals = [t.total() for t in tallies]
+    return totals[0] if len(totals) == 1 else merged(*map(list, zip(*totals)))
+
+
 def log_odds(bad: np.ndarray, clean: np.ndarray, n_clean: int, n_bad: int) -> np.ndarray:
     """Smoothed log of the ratio of shares, scaled to 0..2; 0 unless far above chance."""
     total = max(1, n_clean + n_bad)
@@ -237,18 +271,19 @@ class Model:
         its hottest, the one found highest, or any other.
         """
         rng = np.random.default_rng(seed)
-        split = [tokens(t) for t in texts]
+        names: dict[str, str] = {}  # one object for each word, however often it stands
+        split = [[names.setdefault(w, w) for w in tokens(t)] for t in texts]
         fold = np.array([xxhash.xxh64_intdigest(t.encode("utf-8"), 3) % FOLDS for t in texts])
         seen = [sorted(set(words)) for words in split]
-        parts = [np.unique(grams(s)[1]) if s else np.empty(0, np.uint64) for s in seen]
-        self.evidence = Evidence(seen, parts, toxic)
+        counted = [Counted() for _ in range(FOLDS)]
+        for words, k, bad in zip(seen, fold, toxic):
+            counted[k].add(words, np.unique(grams(words)[1]) if words else np.empty(0, np.uint64), bool(bad))
+        self.evidence = Evidence.summed(counted)
         often = sorted(Counter(w for words in seen for w in words).items(), key=lambda x: (-x[1], x[0]))
         self.vocabulary = {w: i for i, (w, n) in enumerate(often[: WORDS - 1], 1) if n >= 3}
-        others = []
-        for k in range(FOLDS):
-            rest = np.flatnonzero(fold != k)
-            others.append(Evidence([seen[i] for i in rest], [parts[i] for i in rest], [toxic[i] for i in rest]))
-        bags = [[words[low : low + WINDOW] for low in starts(len(words))] for words in split]
+        others = [Evidence.summed([c for j, c in enumerate(counted) if j != k]) for k in range(FOLDS)]
+        del names, counted, often
+        bags = [Bag(words) for words in split]
         groups: list[tuple[list, list]] = [([], []) for _ in range(FOLDS)]
         bare: list[list] = [[] for _ in range(FOLDS)]  # toxic without evidence
         for i, words in enumerate(seen):
@@ -355,9 +390,23 @@ def batch(windows: list[list[str]]) -> tuple[np.ndarray, np.ndarray, list[str]]:
     return x, np.array([max(1, len(window)) for window in windows]), words
 
 
-def starts(n: int) -> list[int]:
+class Bag:
+    """The windows of a text, cut when they are asked for."""
+
+    def __init__(self, words: list[str]) -> None:
+        self.words = words
+
+    def __len__(self) -> int:
+        return len(starts(len(self.words)))
+
+    def __getitem__(self, at: int) -> list[str]:
+        low = starts(len(self.words))[at]
+        return self.words[low : low + WINDOW]
+
+
+def starts(n: int) -> range:
     """Where the overlapping windows of n words begin; together they hold every word."""
-    return [] if not n else list(range(0, max(1, n - WINDOW + STRIDE), STRIDE))
+    return range(0, max(1, n - WINDOW + STRIDE) if n else 0, STRIDE)
 
 
 def fit(documents: DataFrame, labels: DataFrame, parts: int = 3, held: int = 1, docs: int = DOCS) -> Model:

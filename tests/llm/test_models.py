@@ -2,6 +2,7 @@ import os
 import random
 import subprocess
 import sys
+import tracemalloc
 import zlib
 from pathlib import Path
 
@@ -217,3 +218,28 @@ print(toxicity.detect(rows, labels).filter("score between 0 and 1").count())
     kept = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     ended = subprocess.run([sys.executable, "-c", program], cwd=tmp_path, env=kept, capture_output=True, text=True, timeout=300)
     assert ended.stdout.split()[-1:] == ["80"], ended.stderr[-2000:]
+
+
+def test_toxicity_sample_takes_little_memory():
+    """A word of the sample is one object, windows are cut when needed, n-grams of a document are not kept."""
+    rng = np.random.default_rng(5)
+    words = ["".join(chr(97 + c) for c in rng.integers(26, size=8)) for _ in range(2000)]
+    texts = [" ".join(words[k] for k in rng.integers(2000, size=1500)) for _ in range(400)]
+    tracemalloc.start()
+    toxicity.Model().train(texts, [bool(n % 2) for n in range(400)], steps=0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 * 400 * 1500  # bytes a word
+
+
+def test_toxicity_evidence_counted_in_portions():
+    rng = np.random.default_rng(6)
+    documents = [sorted({f"w{k}" for k in rng.integers(40, size=12)} | ({"bad"} if n % 3 == 0 else set())) for n in range(300)]
+    parts = [np.unique(toxicity.grams(words)[1]) for words in documents]
+    toxic = [n % 3 == 0 for n in range(300)]
+    portions = [toxicity.Counted() for _ in range(4)]
+    for n, (words, hashes) in enumerate(zip(documents, parts)):
+        portions[n % 4].add(words, hashes, toxic[n])
+    whole, summed = toxicity.Evidence(documents, parts, toxic), toxicity.Evidence.summed(portions)
+    assert whole.words == summed.words and "bad" in whole.words
+    assert np.array_equal(whole.hashes, summed.hashes) and np.array_equal(whole.odds, summed.odds) and len(whole.hashes)
