@@ -33,6 +33,9 @@ from panelwright.session import materialise, materialise_counted
 CELL = 256  # points of a cell that is not dealt again
 FAN = 16  # pivots that a crowded cell is dealt to, beside its farthest point
 SLACK = 1e-9  # part of the distances that rounding may have moved a bound by
+POINTS_PER_TASK = 5_000  # points that look for others in their own cell
+PROBES = 4096  # points that look into another cell at once
+PAIRS_PER_TASK = 8_000_000
 
 
 def nearest(df: DataFrame, id_column: str, features: Sequence[str], m: int = 5, *, invalid: str = "error") -> DataFrame:
@@ -52,7 +55,7 @@ def nearest(df: DataFrame, id_column: str, features: Sequence[str], m: int = 5,
     kind = dict(points.dtypes)["pid"]
 
     leaves, levels = _tree(points.select("pid", *xs), xs)
-    own = materialise(_inside_cells(leaves, xs, m, kind), "cell-neighbours")
+    own = materialise(_inside_cells(leaves, xs, m, kind, points.count() // POINTS_PER_TASK), "cell-neighbours")
     pairs = _cell_pairs(levels, own, m, d)
 
     probe = own.select("node", "pid", "theta", *[F.col(x).alias(f"y{i}") for i, x in enumerate(xs)])
@@ -62,11 +65,9 @@ def nearest(df: DataFrame, id_column: str, features: Sequence[str], m: int = 5,
     point = [F.col(f"y{i}") for i in range(d)]
     beside = least_gap(point, point, *[[F.col(c)[i] for i in range(d)] for c in ("low", "high")])
     probe = probe.filter((F.col("gap") - F.col("radius") <= F.col("within")) & (beside <= F.col("within") * F.col("within")))
-    probe = probe.drop("node", "theta", "bound", "pivot", "radius", "low", "high")
-    there = own.select(F.col("node").alias("other"), F.col("pid").alias("near"), "dp", *xs)
-    d2 = squared([F.col(x) - F.col(f"y{i}") for i, x in enumerate(xs)])
-    met = probe.join(there, "other").filter(F.abs(F.col("gap") - F.col("dp")) <= F.col("within"))
-    met = met.select("pid", "near", d2.alias("d2"), "within").filter(F.col("d2") <= F.col("within") * F.col("within")).drop("within")
+    probe = probe.select("other", "pid", "gap", "within", *[f"y{i}" for i in range(d)])
+    there = own.select("node", F.col("pid").alias("near"), "dp", *xs)
+    met = _across_cells(materialise(probe, "probes"), there, xs, m, kind)
 
     listed = own.select("pid", F.inline("nearest")).unionByName(met)
     listed = listed.withColumn("nth", F.row_number().over(Window.partitionBy("pid").orderBy("d2", "near"))).filter(F.col("nth") <= m)
@@ -122,7 +123,7 @@ def _box(xs: list[str]) -> list[Column]:
     return [F.array(*map(f, xs)).alias(name) for f, name in ((F.min, "low"), (F.max, "high"))]
 
 
-def _inside_cells(leaves: DataFrame, xs: list[str], m: int, kind: str) -> DataFrame:
+def _inside_cells(leaves: DataFrame, xs: list[str], m: int, kind: str, tasks: int) -> DataFrame:
     """Each point's m nearest in its own cell; theta is the distance of the last, infinite if there are fewer."""
 
     def search(cell: pd.DataFrame) -> pd.DataFrame:
@@ -141,7 +142,48 @@ def _inside_cells(leaves: DataFrame, xs: list[str], m: int, kind: str) -> DataFr
 
     columns = ", ".join(f"{x} double" for x in xs)
     schema = f"node string, pid {kind}, {columns}, dp double, theta double, nearest array<struct<near:{kind},d2:double>>"
-    return leaves.select("node", "pid", *xs, "dp").groupBy("node").applyInPandas(search, schema)
+    leaves = leaves.select("node", "pid", *xs, "dp")
+    # Adaptive execution would put the few bytes of all cells into one task.
+    leaves = leaves.repartition(tasks, "node") if tasks > 1 else leaves
+    return leaves.groupBy("node").applyInPandas(search, schema)
+
+
+def _across_cells(probe: DataFrame, there: DataFrame, xs: list[str], m: int, kind: str) -> DataFrame:
+    """(pid, near, d2): of each cell that a point looks into, at most the m nearest points within its bound.
+
+    A cell meets the points that look into it in portions, so that no crowd around a cell is one group.
+    """
+
+    def search(points: pd.DataFrame, cell: pd.DataFrame) -> pd.DataFrame:
+        cell = cell.sort_values("near", kind="stable")
+        names, kept = cell["near"].to_numpy(), []
+        for low in range(0, len(points), PROBES):
+            part = points.iloc[low : low + PROBES]
+            gap, within = part["gap"].to_numpy()[:, None], part["within"].to_numpy()[:, None]
+            d2 = np.zeros((len(part), len(cell)))
+            for i, x in enumerate(xs):
+                d2 += (cell[x].to_numpy()[None, :] - part[f"y{i}"].to_numpy()[:, None]) ** 2
+            d2[(np.abs(gap - cell["dp"].to_numpy()[None, :]) > within) | (d2 > within * within)] = np.inf
+            some = np.flatnonzero(np.isfinite(d2).any(axis=1))
+            order = np.argsort(d2[some], axis=1, kind="stable")[:, :m]
+            gaps = np.take_along_axis(d2[some], order, axis=1)
+            row, place = np.nonzero(np.isfinite(gaps))
+            pids = part["pid"].to_numpy()[some[row]]
+            kept.append(pd.DataFrame({"pid": pids, "near": names[order[row, place]], "d2": gaps[row, place]}))
+        return pd.concat(kept) if kept else pd.DataFrame({"pid": names[:0], "near": names[:0], "d2": np.empty(0)})
+
+    sizes = probe.groupBy("other").agg(F.count(F.lit(1)).alias("probes"))
+    sizes = sizes.join(there.groupBy(F.col("node").alias("other")).agg(F.count(F.lit(1)).alias("n")), "other")
+    sizes = sizes.select("other", F.ceil(F.col("probes") / PROBES).alias("portions"), (F.col("probes") * F.col("n")).cast("double").alias("pairs"))
+    sizes = materialise(sizes, "cell-probes")
+    tasks = int(sizes.agg(F.sum("pairs")).first()[0] or 0) // PAIRS_PER_TASK + 1
+    keys = ["other", "portion"]
+    probe = probe.join(sizes.select("other", "portions"), "other").withColumn("portion", F.pmod(F.xxhash64("pid"), "portions")).drop("portions")
+    portions = F.explode(F.sequence(F.lit(0).cast("long"), F.col("portions") - 1)).alias("portion")
+    there = there.withColumnRenamed("node", "other").join(sizes.select("other", portions), "other")
+    probe, there = (t.repartition(tasks, *keys) for t in (probe, there))
+    found = probe.groupBy(*keys).cogroup(there.groupBy(*keys))
+    return found.applyInPandas(search, f"pid {kind}, near {kind}, d2 double")
 
 
 def _cell_pairs(levels: list[DataFrame], own: DataFrame, m: int, d: int) -> DataFrame:

@@ -4,6 +4,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from panelwright.operators import neighbours
 
@@ -130,3 +131,22 @@ def test_pairs_of_a_crowd_are_not_sorted(spark, monkeypatch):
     assert {r.near for r in got} == {1099}
     assert stored["distinct-points"][1].count() == 101
     assert "SortAggregate" not in stored["least-distances"][0]._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_crowd_that_looks_into_one_cell_is_divided(spark, monkeypatch):
+    """Points that look into a cell meet it in portions, in several tasks, and none is lost."""
+    monkeypatch.setattr(neighbours, "PROBES", 64)
+    monkeypatch.setattr(neighbours, "PAIRS_PER_TASK", 5000)
+    draw = random.Random(3)
+    cell = [(i, draw.randrange(40) / 40) for i in range(50)]  # with ties
+    looking = [(1000 + i, draw.uniform(-0.2, 1.2)) for i in range(1000)]
+    there = spark.createDataFrame([("0", i, x, x) for i, x in cell], "node string, near bigint, dp double, x0 double")
+    probe = [("0", i, abs(y), 0.1, y) for i, y in looking]
+    probe = spark.createDataFrame(probe, "other string, pid bigint, gap double, within double, y0 double")
+    found = neighbours._across_cells(probe, there, ["x0"], 3, "bigint").withColumn("task", F.spark_partition_id()).collect()
+    assert len({r["task"] for r in found}) > 2
+    expected = []
+    for i, y in looking:
+        near = sorted(((x - y) * (x - y), j) for j, x in cell)
+        expected += [(i, j, d2) for d2, j in near if d2 <= 0.1 * 0.1 and abs(abs(y) - dict(cell)[j]) <= 0.1][:3]
+    assert sorted((r["pid"], r["near"], r["d2"]) for r in found) == sorted(expected)
