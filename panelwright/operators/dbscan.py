@@ -12,7 +12,10 @@ of parts is surely within or beyond the radius.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +33,8 @@ PAIR_BUDGET = 10_000
 DEEPEST = 40
 COMPARISONS_PER_TASK = 500_000
 GAPS_PER_TASK = 2_000_000
+# Settings of a sweep that are worked on at the same time.
+SETTINGS_AT_ONCE = 4
 
 
 def distance_pairs(
@@ -82,15 +87,20 @@ def dbscan_sweep(
     """Sizes per (eps, min_pts) and cluster: (eps, min_pts, cluster, size, cores)."""
     rows = _rows(df, id_column, features, invalid, max((eps for eps, _ in grid), default=1.0))
     points = _distinct(rows)
-    out = None
-    for eps, min_pts in grid:
+
+    def counted(setting: tuple[float, int]) -> DataFrame:
+        eps, min_pts = setting
         labels = _labels(rows, points, id_column, len(features), eps, min_pts, True)
         sizes = labels.groupBy("cluster").agg(
             F.count(F.lit(1)).alias("size"), F.count_if("is_core").alias("cores")
         )
-        sizes = sizes.select(F.lit(float(eps)).alias("eps"), F.lit(min_pts).alias("min_pts"), "cluster", "size", "cores")
-        out = sizes if out is None else out.unionByName(sizes)
-    return out
+        return sizes.select(F.lit(float(eps)).alias("eps"), F.lit(min_pts).alias("min_pts"), "cluster", "size", "cores")
+
+    # A setting is a row of small jobs that leave most cores idle, and none waits for another setting.
+    with ThreadPoolExecutor(SETTINGS_AT_ONCE) as pool:  # each with local properties of its own
+        runs = [pool.submit(inheritable_thread_target(df.sparkSession)(counted), setting) for setting in grid]
+        sizes = [run.result() for run in runs]
+    return reduce(DataFrame.unionByName, sizes) if sizes else None
 
 
 def _rows(df, id_column, features, invalid, eps):

@@ -1,5 +1,6 @@
 import math
 import random
+import threading
 
 import numpy as np
 import pytest
@@ -358,3 +359,18 @@ def test_ward_offers_are_reduced_in_the_task_that_searches(spark):
         step = ward._round(live.repartition(8), live, ["x0", "x1"], 1.0, everything)
         assert len(step.collect()) < n
         assert 0 < max(written_records(step._jdf.queryExecution().executedPlan())) <= 3 * n
+
+
+def test_settings_of_a_sweep_do_not_wait_for_each_other(spark, monkeypatch):
+    draw = random.Random(8)
+    df = spark.createDataFrame([(i, draw.gauss(0, 1), draw.gauss(0, 1)) for i in range(80)], "id bigint, a double, b double")
+    grid = [(0.3, 3), (0.5, 4), (0.3, 5)]
+    expected = {}
+    for eps, min_pts in grid:
+        for r in db.dbscan(df, "id", ["a", "b"], eps, min_pts).collect():
+            size, cores = expected.get((eps, min_pts, r["cluster"]), (0, 0))
+            expected[eps, min_pts, r["cluster"]] = size + 1, cores + r["is_core"]
+    together, real = threading.Barrier(len(grid), timeout=120), db._labels
+    monkeypatch.setattr(db, "_labels", lambda *a: together.wait() >= 0 and real(*a))
+    found = db.dbscan_sweep(df, "id", ["a", "b"], grid).collect()
+    assert {(r["eps"], r["min_pts"], r["cluster"]): (r["size"], r["cores"]) for r in found} == expected
