@@ -14,6 +14,7 @@ import base64
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -22,6 +23,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelwright.llm.shared import releasing
+
 ENCODED = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 NONE = np.uint32(0xFFFFFFFF)  # no such pair; also an empty place of the hash table
 PAD = np.uint32(0xFFFF)
@@ -96,6 +99,10 @@ class Remembered:
 
     def __init__(self, make: Callable[[list[str]], list[bytes]]) -> None:
         self.make = make
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop all, as at the end of a task; else a worker holds them beside other steps' work."""
         self.young: dict[str, bytes] = {}
         self.elder: dict[str, bytes] = {}
 
@@ -272,6 +279,16 @@ def vocabulary(path: str, pattern: str) -> Vocabulary:
     return Vocabulary(path, pattern)
 
 
+@contextmanager
+def lent(path: str, pattern: str) -> Iterator[Vocabulary]:
+    """The vocabulary for one task; the words it remembers go when the task ends."""
+    words = vocabulary(path, pattern)
+    try:
+        yield words
+    finally:
+        words.words.known.forget()
+
+
 def by_bytes(texts: list[str], most: int = 1 << 20) -> Iterator[list[str]]:
     """Runs of texts of bounded total size; a text above the bound is alone."""
     run, size = [], 0
@@ -292,17 +309,18 @@ def encode_documents(documents: DataFrame, path: str, pattern: str) -> DataFrame
     an empty table gives none; other columns are not read. There is no shuffle.
     """
 
+    @releasing
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = vocabulary(path, pattern)
-        for batch in batches:
-            texts = [t if isinstance(t, str) else "" for t in batch["text"]]
-            low = 0
-            for part in by_bytes(texts):
-                ids = words.words.encode(part)
-                yield pd.DataFrame(
-                    {"doc_id": batch["doc_id"].iloc[low : low + len(part)], "ids": ids, "decoded": [words.decode(i) for i in ids]}
-                )
-                low += len(part)
+        with lent(path, pattern) as words:
+            for batch in batches:
+                texts = [t if isinstance(t, str) else "" for t in batch["text"]]
+                low = 0
+                for part in by_bytes(texts):
+                    ids = words.words.encode(part)
+                    yield pd.DataFrame(
+                        {"doc_id": batch["doc_id"].iloc[low : low + len(part)], "ids": ids, "decoded": [words.decode(i) for i in ids]}
+                    )
+                    low += len(part)
 
     return _nullable(documents).mapInPandas(run, "doc_id long, ids binary, decoded binary")
 
@@ -314,21 +332,22 @@ def _nullable(documents: DataFrame) -> DataFrame:
 def digest_documents(documents: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) per row, as encode_documents() has them."""
 
+    @releasing
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = vocabulary(path, pattern)
-        for batch in batches:
-            texts = [t if isinstance(t, str) else "" for t in batch["text"]]
-            low = 0
-            for part in by_bytes(texts):
-                ids = words.words.encode(part)
-                yield pd.DataFrame(
-                    {
-                        "doc_id": batch["doc_id"].iloc[low : low + len(part)],
-                        "n_tokens": [len(i) // 4 for i in ids],
-                        "ids_sha256": [hashlib.sha256(i).hexdigest() for i in ids],
-                        "decoded_sha256": [hashlib.sha256(words.decode(i)).hexdigest() for i in ids],
-                    }
-                )
-                low += len(part)
+        with lent(path, pattern) as words:
+            for batch in batches:
+                texts = [t if isinstance(t, str) else "" for t in batch["text"]]
+                low = 0
+                for part in by_bytes(texts):
+                    ids = words.words.encode(part)
+                    yield pd.DataFrame(
+                        {
+                            "doc_id": batch["doc_id"].iloc[low : low + len(part)],
+                            "n_tokens": [len(i) // 4 for i in ids],
+                            "ids_sha256": [hashlib.sha256(i).hexdigest() for i in ids],
+                            "decoded_sha256": [hashlib.sha256(words.decode(i)).hexdigest() for i in ids],
+                        }
+                    )
+                    low += len(part)
 
     return _nullable(documents).mapInPandas(run, "doc_id long, " + ENCODED)

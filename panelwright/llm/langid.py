@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwright.llm import gru
+from panelwright.llm.shared import releasing
 
 PIECE = 128  # bytes the network sees at once
 ROWS = 2048  # pieces in work at once
@@ -180,6 +181,7 @@ def predictor(model: Model | None):
     """A column function text -> (lang, score): `und` and 0 for null or without letters."""
 
     @F.pandas_udf("lang string, score double")
+    @releasing
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             good = [i for i, t in enumerate(batch) if isinstance(t, str) and LETTER.search(t)]

@@ -1,10 +1,14 @@
-"""Files in the shared folder, and offsets of ordered rows."""
+"""Files in the shared folder, offsets of ordered rows, and the memory of Python workers."""
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import posixpath
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -37,6 +41,31 @@ def join_path(folder: str, name: str) -> str:
     return posixpath.join(folder, name)
 
 
+def release() -> None:
+    """Give free memory back to the system, which Arrow and the C library would keep for later."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim is not None:
+        trim(0)
+
+
+def releasing(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """The function over a task's batches, with free memory given back once the task has its last one.
+
+    Spark keeps a Python worker for later tasks, of other steps too; what it holds on to stands
+    beside the executor's heap until then.
+    """
+
+    @functools.wraps(run)
+    def whole(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return whole
+
+
 def with_positions(placed: DataFrame, group: list[str], name: str) -> DataFrame:
     """Number the rows of each group from 0 in the order in which they are stored.
 

@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelwright.llm.shared import releasing
 from panelwright.operators.graph import components
 from panelwright.session import materialise, materialise_counted
 
@@ -58,6 +59,7 @@ def signed(value: int) -> int:
 def fingerprints(documents: DataFrame, shingle: int) -> DataFrame:
     """(doc_id, fp) with the fingerprint as a signed 64-bit integer; a null text has no words."""
 
+    @releasing
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = [signed(fingerprint(t.encode("utf-8"), shingle)) if isinstance(t, str) else 0 for t in batch["text"]]

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from panelwright.llm import gru
 from panelwright.llm.langid import may_learn, remainder
+from panelwright.llm.shared import releasing
 
 WINDOW, STRIDE = 32, 16  # words of a window, and between the starts of windows
 ROWS = 4096  # windows in work at once
@@ -439,6 +440,7 @@ def scorer(spark, model: Model):
     sent = spark.sparkContext.broadcast(cloudpickle.dumps(model))
 
     @F.pandas_udf("double")
+    @releasing
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = cloudpickle.loads(sent.value)
         for batch in batches:

@@ -9,7 +9,7 @@ import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
-from panelwright.llm import bpe, records
+from panelwright.llm import bpe, records, shared
 from panelwright.llm.shared import opened, shared_folder
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -65,6 +65,47 @@ def test_documents_round_trip(documents, empty, reference):
     assert bpe.digest_documents(empty, RANKS, PATTERN).count() == 0
 
 
+def test_a_worker_holds_no_words_after_its_task(spark, documents):
+    """Spark hands the worker on to later tasks, where its words would stand beside their work."""
+
+    def held(batches):
+        for batch in batches:
+            table = bpe.vocabulary(RANKS, PATTERN)
+            used = bpe.vocabulary.cache_info().hits > 0  # a worker that has encoded before
+            known = table.words.known
+            batch["id"] = len(known.young) + len(known.elder) if used else -1
+            yield batch
+
+    for encode in (bpe.encode_documents, bpe.digest_documents):
+        assert encode(documents, RANKS, PATTERN).count() == documents.count()
+        encode(documents, RANKS, PATTERN).write.format("noop").mode("overwrite").save()
+        found = [r.id for r in spark.range(0, 40, 1, 4).mapInPandas(held, "id long").collect()]
+        assert max(found) == 0  # some worker is one of those, and none holds a word
+
+
+def test_free_memory_is_given_back_after_the_last_batch(monkeypatch):
+    seen = []
+    monkeypatch.setattr(shared, "release", lambda: seen.append("given back"))
+
+    @shared.releasing
+    def run(batches):
+        for batch in batches:
+            seen.append(batch)
+            yield batch * 2
+
+    assert list(run(iter([1, 2]))) == [2, 4] and seen == [1, 2, "given back"]
+    part = run(iter([3, 4]))
+    assert next(part) == 6
+    part.close()  # a task that is not read to its end
+    assert seen == [1, 2, "given back", 3, "given back"]
+
+
+def test_release_leaves_what_is_in_use():
+    kept = np.arange(1 << 20)
+    shared.release()
+    assert (kept == np.arange(1 << 20)).all()
+
+
 def bitwise(data):
     state = 0xFFFFFFFF
     for byte in data:
