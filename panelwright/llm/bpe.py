@@ -19,6 +19,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -90,6 +91,48 @@ class Splitter:
         return self.whole.findall(text)
 
 
+# The expression that byte-level tokenizers cut by, and the kinds of characters that it knows.
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+LETTER, DIGIT, SIGN, SPACE, EDGE = range(5)
+
+
+@lru_cache(maxsize=1)
+def kinds() -> np.ndarray:
+    """The kind of each of the first 256 characters."""
+    names = {r"\p{L}": LETTER, r"\p{N}": DIGIT, r"\s": SPACE}
+    found = [next((k for n, k in names.items() if regex.match(n, chr(i))), SIGN) for i in range(256)]
+    return np.array(found, dtype=np.uint8)
+
+
+def cuts(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """Where BYTE_LEVEL's matches begin in texts of the first 256 characters, a byte for each.
+
+    Returns the texts, each between line feeds that are its edges; the places where matches and
+    edges begin; and which of these are edges. A match begins where the kind changes; the last
+    white space before other text stands alone or, if a space, begins the match after it; an
+    apostrophe that begins a match takes the letters of a contraction along.
+    """
+    data = b"\n".join([b"", *texts, b""])
+    held = np.frombuffer(data + b"\n", dtype=np.uint8)  # one more to look ahead at
+    edges = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    kind = kinds()[held[:-1]]
+    kind[edges] = EDGE
+    begins = np.ones(len(kind), dtype=bool)
+    np.not_equal(kind[1:], kind[:-1], out=begins[1:])
+    begins[edges] = True
+    after = 1 + np.flatnonzero((kind[:-1] == SPACE) & (kind[1:] < SPACE))
+    begins[after - 1] = True
+    begins[after] = held[after - 1] != ord(" ")
+    quotes = np.flatnonzero((held[:-1] == ord("'")) & begins)
+    one, two = held[quotes + 1], held[quotes + 2]
+    for last in ("s", "t", "m", "d", "re", "ve", "ll"):
+        at = quotes[(one == ord(last[0])) & (two == ord(last[1]) if last[1:] else True)]
+        begins[at + 1] = False
+        begins[at + 1 + len(last)] = True
+    places = np.flatnonzero(begins)
+    return data, places, np.searchsorted(places, edges)
+
+
 class Remembered:
     """Values of keys that were met lately, in two generations.
 
@@ -126,13 +169,47 @@ class Words:
 
     def __init__(self, pattern: str, encode_words: Callable[[list[str]], list[bytes]]) -> None:
         self.pattern, self.known = Splitter(pattern), Remembered(encode_words)
+        self.cut = pattern == BYTE_LEVEL
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
+        single: dict[int, bytes] = {}
+        for i, text in enumerate(texts if self.cut else []):
+            try:
+                single[i] = text.encode("latin-1")
+            except UnicodeEncodeError:
+                pass
+        rest = [i for i in range(len(texts)) if i not in single]
+        out = dict(zip(single, self._by_cuts([*single.values()]))) if single else {}
+        out.update(zip(rest, self._by_matches([texts[i] for i in rest])))
+        return [out[i] for i in range(len(texts))]
+
+    def _by_matches(self, texts: list[str]) -> list[bytes]:
         split = [self.pattern.findall(t) for t in texts]
         get = self.known.of(set().union(*split)).__getitem__
         return [b"".join(map(get, words)) for words in split]
 
+    def _by_cuts(self, texts: list[bytes]) -> list[bytes]:
+        """The same for texts of a byte a character: each distinct word of them is looked up once."""
+        data, places, edges = cuts(texts)
+        offsets = np.append(places, len(data)).astype(np.int64, copy=False)
+        pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(places), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+        numbered = pieces.dictionary_encode()
+        which, take = numbered.indices.to_numpy(), self._ids_of(numbered.dictionary).__getitem__
+        bounds = edges.tolist()
+        return [b"".join(map(take, which[a + 1 : b].tolist())) for a, b in zip(bounds, bounds[1:])]
+
+    def _ids_of(self, distinct: pa.LargeBinaryArray) -> list[bytes]:
+        _, offsets, data = distinct.buffers()
+        text, at = data.to_pybytes().decode("latin-1"), np.frombuffer(offsets, dtype=np.int64)[: len(distinct) + 1].tolist()
+        words = [text[a:b] for a, b in zip(at, at[1:])]
+        out = [*map(self.known.young.get, words)]
+        gaps = [i for i, ids in enumerate(out) if ids is None]
+        known = self.known.of({words[i] for i in gaps})
+        for i in gaps:
+            out[i] = known[words[i]]
+        return out
+
 
 class Vocabulary:
     """A rank file: token bytes by id, byte ids, and the hashed table of mergeable pairs."""

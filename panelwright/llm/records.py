@@ -14,21 +14,20 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
-import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwright.llm.bpe import Words, by_bytes
-from panelwright.llm.shared import MEMBER_BYTES, attempt_name, join_path, opened, shared_folder
+from panelwright.llm.shared import MEMBER_BYTES, attempt_name, join_path, opened, releasing, shared_folder
 from panelwright.session import materialise
 
 SEGMENT = 1024  # bytes of a payload that are taken along as one part of a checksum
-GROUP = 1 << 20  # characters of text that are encoded together
+GROUP = 1 << 21  # characters of text that are encoded together
 AT_ONCE = 2048  # words handed to the library at once
-SOLID = regex.compile(r"\S\Z")
 BLOCK, BLOCK_BYTES = 2048, 2 << 20  # records and bytes of one unit of reading
 FILES = "archive string, part int, nth int, block int, offset long, length long, n_records long, n_ids long"
 
@@ -148,12 +147,21 @@ def read_payload(payload: bytes) -> tuple[int | None, bytes]:
     return (doc_id if known else None), ids.tobytes()
 
 
+def byte_letters() -> dict[int, str]:
+    """The character by which byte-level models write each byte; 255, which UTF-8 lacks, parts words."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    moved = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(moved)} | {255: " "}
+
+
 class Encoder:
     """The tokenizers library on the words of a text; a word met lately is not encoded again.
 
     The pattern must be the tokenizer's own, by which it cuts a text into words that it encodes
-    one by one. No word goes on past a space unless all of it is white space; so words that begin
-    with a space can be handed over as one text: the bytes of the tokens tell where each ends.
+    one by one. A byte-level tokenizer's model gets many words at once, in its own letters, of
+    which the space is none: so the library need not search for words that are known, and the
+    bytes of the tokens tell where each ends. Words with a character that the library classes
+    otherwise than the pattern here, as by another version of Unicode, are handed over whole.
     """
 
     def __init__(self, path: str, pattern: str) -> None:
@@ -164,11 +172,20 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.words = Words(pattern, self._encode_words)
-        # A token of a byte-level model has a character for each of its bytes.
-        bytewise = isinstance(self.tokenizer.pre_tokenizer, pre_tokenizers.ByteLevel)
-        vocabulary = self.tokenizer.get_vocab() if bytewise else {}
-        self.sizes = np.zeros(1 + max(vocabulary.values(), default=-1), dtype=np.int64)
-        self.sizes[list(vocabulary.values())] = [len(t) for t in vocabulary]
+        self.alike: set[str] = set()  # characters met, by whether both class them alike
+        self.unlike: set[str] = set()
+        cut = self.tokenizer.pre_tokenizer
+        bytewise = isinstance(cut, pre_tokenizers.ByteLevel) and not cut.add_prefix_space
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.model = None
+        if bytewise and self.tokenizer.normalizer is None and all(t.special for t in added):
+            self.model = Tokenizer(self.tokenizer.model)
+            self.model.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+            self.letters = byte_letters()
+            # A token of a byte-level model has a character for each of its bytes.
+            vocabulary = self.tokenizer.get_vocab()
+            self.sizes = np.zeros(1 + max(vocabulary.values(), default=-1), dtype=np.int64)
+            self.sizes[list(vocabulary.values())] = [len(t) for t in vocabulary]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
@@ -176,20 +193,38 @@ class Encoder:
 
     def _encode_words(self, words: list[str]) -> list[bytes]:
         out: dict[str, bytes] = {}
-        spaced = [w for w in words if w[0] == " " and SOLID.search(w)] if len(self.sizes) else []
-        for low in range(0, len(spaced), AT_ONCE):
-            part = spaced[low : low + AT_ONCE]
-            ids = np.array(self.tokenizer.encode("".join(part), add_special_tokens=False).ids, dtype="<u4")
-            ends = np.cumsum([len(w.encode("utf-8")) for w in part])
-            reached = np.cumsum(self.sizes[ids])
-            at = np.minimum(np.searchsorted(reached, ends), len(ids) - 1)
-            if (reached[at] == ends).all():
-                data, cuts = ids.tobytes(), [0, *((at + 1) * 4).tolist()]
-                out.update(zip(part, [data[a:b] for a, b in zip(cuts, cuts[1:])]))
+        if self.model is not None:
+            odd = self._classed_otherwise(set().union(*words))
+            known = [w for w in words if odd.isdisjoint(w)] if odd else words
+            for low in range(0, len(known), AT_ONCE):
+                out.update(self._at_once(known[low : low + AT_ONCE]))
         rest = [w for w in words if w not in out]
         out.update(zip(rest, self._one_by_one(rest)))
         return [out[w] for w in words]
 
+    def _classed_otherwise(self, characters: set[str]) -> set[str]:
+        """Those that the library does not cut off beside a letter, a digit, a sign and a space as the pattern does."""
+        for c in characters - self.alike - self.unlike:
+            probe = f"a{c}1{c}!{c} {c}"
+            theirs = [end for _, (_, end) in self.tokenizer.pre_tokenizer.pre_tokenize_str(probe)]
+            ours = accumulate(map(len, self.words.pattern.findall(probe)))
+            (self.alike if theirs == [*ours] else self.unlike).add(c)
+        return characters & self.unlike
+
+    def _at_once(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        """The words with their ids; none if the tokens don't add up to them."""
+        spelled = [w.encode("utf-8") for w in words]
+        text = b"\xff".join(spelled).decode("latin-1").translate(self.letters)
+        (found,) = self.model.encode_batch_fast([text], add_special_tokens=False)
+        ids = np.array(found.ids, dtype="<u4")
+        ends = np.cumsum(np.fromiter(map(len, spelled), dtype=np.int64, count=len(spelled)))
+        reached = np.cumsum(self.sizes[ids])
+        at = np.searchsorted(reached, ends)
+        if not len(ids) or reached[-1] != ends[-1] or (reached[at] != ends).any():
+            return iter(())
+        data, cuts = ids.tobytes(), [0, *((at + 1) * 4).tolist()]
+        return zip(words, [data[a:b] for a, b in zip(cuts, cuts[1:])])
+
     def _one_by_one(self, texts: list[str]) -> list[bytes]:
         out = []
         for low in range(0, len(texts), AT_ONCE):  # the library's results are a kilobyte a text
@@ -207,6 +242,7 @@ def encoder(path: str, pattern: str) -> Encoder:
 def encoded(documents: DataFrame, path: str, pattern: str, end_id: int) -> DataFrame:
     """(doc_id, payload) per row, in no order: what a record holds, the end id appended."""
 
+    @releasing
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tool, end = encoder(path, pattern), struct.pack("<I", end_id)
         for batch in batches:

@@ -51,6 +51,63 @@ def test_both_expressions_split_alike():
     assert bpe.Splitter(r"\d+").latin is None and bpe.Splitter(r"(a+)b").findall("aab") == ["aa"]
 
 
+def test_cuts_are_where_the_expression_matches():
+    import regex
+
+    rng = random.Random(6)
+    own, every = regex.compile(PATTERN), "".join(map(chr, range(256)))
+    assert bpe.BYTE_LEVEL == PATTERN
+    texts = ["", "'", "'re", "it's 'll'd we'vex", "a  b", "a \n b", " \n", "x \n", "\n'sa", "", "'" * 3 + "s", "5's\x85 \xa0'm"]
+    for held in (every, "a1 \n'!stmdrevl\x85\xa0\x1c", "' stre l", "ab  \n"):
+        texts += ["".join(rng.choice(held) for _ in range(rng.randint(0, 30))) for _ in range(2000)]
+    data, places, edges = bpe.cuts([t.encode("latin-1") for t in texts])
+    ends, known = [*places[1:].tolist(), len(data)], set(edges.tolist())
+    found = []
+    for i, (a, b) in enumerate(zip(places.tolist(), ends)):
+        if i in known:
+            found.append([])
+        else:
+            found[-1].append(data[a:b].decode("latin-1"))
+    assert found == [own.findall(t) for t in texts] + [[]]
+
+
+def test_a_word_is_looked_up_once_for_a_run_of_texts():
+    class Counted(dict):
+        asked = 0
+
+        def get(self, key, other=None):
+            Counted.asked += 1
+            return super().get(key, other)
+
+        def __getitem__(self, key):
+            Counted.asked += 1
+            return super().__getitem__(key)
+
+    words = bpe.Words(PATTERN, lambda found: [struct.pack("<I", len(w)) for w in found])
+    words.known.young = Counted()
+    assert words.encode(["one two" * 1000, "漢 one", "two\n", ""])[1:] == [packed([1, 4]), packed([3, 1]), b""]
+    assert Counted.asked < 30
+
+
+def test_library_encodes_words_as_it_encodes_texts():
+    tokenizer = Tokenizer.from_file(JSON)
+    tokenizer.encode_special_tokens = True
+    rng = random.Random(7)
+    alphabet = "abcdeéßñÿ漢字ж😀 \n\t'.,0123ABC　\x00\x1c\x85"
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60))) for _ in range(2000)]
+    texts += ["", " ", "<|endoftext|>x <|endoftext|>", "=" * 700, "ab" * 3000, " " * 900 + "x", "it's we'll 'tis"]
+    texts += ["".join(map(chr, range(256)))]
+    # Letters of a late version of Unicode, which the library may not class as such.
+    texts += [f"ab{c}cd ef {c} {c}x" for c in "\u0558\u088f\ua7ce\U000107bb\U000323b0"]
+    tool = records.Encoder(JSON, PATTERN)
+    assert tool.model is not None
+    want = [packed(tokenizer.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert tool.encode(texts) == want
+    tool.words.known.forget()
+    tool.sizes[:] = 0  # no word's end is found
+    assert tool.encode(texts) == want
+
+
 def test_generations_of_words_keep_results(monkeypatch, reference):
     monkeypatch.setattr(bpe, "KEPT", 3)
     vocabulary = bpe.Vocabulary(RANKS, PATTERN)
