@@ -195,9 +195,18 @@ class Words:
         offsets = np.append(places, len(data)).astype(np.int64, copy=False)
         pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(places), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
         numbered = pieces.dictionary_encode()
-        which, take = numbered.indices.to_numpy(), self._ids_of(numbered.dictionary).__getitem__
-        bounds = edges.tolist()
-        return [b"".join(map(take, which[a + 1 : b].tolist())) for a, b in zip(bounds, bounds[1:])]
+        which, ids = numbered.indices.to_numpy(), self._ids_of(numbered.dictionary)
+        # The ids of all distinct words in one row, and which of them each place takes, text by text.
+        sizes = np.fromiter(map(len, ids), dtype=np.int32, count=len(ids)) // 4
+        counts = sizes[which]
+        counts[edges] = 0
+        ends = np.cumsum(counts, dtype=np.int32)
+        first = (np.cumsum(sizes, dtype=np.int32) - sizes)[which]
+        taken = np.repeat(first - ends + counts, counts)
+        taken += np.arange(len(taken), dtype=np.int32)
+        found = np.frombuffer(b"".join(ids), dtype="<u4")[taken]
+        bounds = ends[edges].tolist()
+        return [found[a:b].tobytes() for a, b in zip(bounds, bounds[1:])]
 
     def _ids_of(self, distinct: pa.LargeBinaryArray) -> list[bytes]:
         _, offsets, data = distinct.buffers()
