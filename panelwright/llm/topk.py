@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 CANDIDATES = 4096  # rows of a candidate block
 QUERIES = 512  # rows of a query block
 TILE = 32  # query rows whose score arrays are in work at once
+DENSE = 4  # a term that at least one row in DENSE holds is added to all of them, zeros included
 EXACT = 1 << 52  # sums below this are exact in double precision
 PACKED = "block long, ids binary, dims int, weights binary, longs boolean"
 
@@ -78,26 +79,28 @@ def _unpacked(ids: bytes, dims: int, weights: bytes, longs: bool) -> tuple[np.nd
 
 
 def postings(table: np.ndarray, kind: type) -> list[tuple[np.ndarray | None, np.ndarray]]:
-    """Per term the rows that hold it and their weights; None for all rows."""
+    """Per term the rows that hold it and their weights; None for all rows, where many hold it."""
     lists = []
     for column in table.T:
         rows = np.flatnonzero(column)
-        lists.append((None if len(rows) == len(column) else rows, column[rows].astype(kind)))
+        many = len(rows) * DENSE >= len(column)
+        lists.append((None, column.astype(kind)) if many else (rows, column[rows].astype(kind)))
     return lists
 
 
 def scatter(queries: np.ndarray, lists: list, n: int, kind: type) -> np.ndarray:
     """Scores of a few query rows against the n rows of the postings, term by term."""
-    scores = np.zeros((len(queries), n), dtype=kind)
+    scores, room = np.zeros((len(queries), n), dtype=kind), np.empty((len(queries), n), dtype=kind)
     for term in range(min(queries.shape[1], len(lists))):
         holders = np.flatnonzero(queries[:, term])
         rows, weights = lists[term]
         if not len(holders) or not len(weights):
             continue
+        if rows is None and len(holders) * DENSE >= len(queries):
+            scores += np.multiply(queries[:, term].astype(kind)[:, None], weights, out=room)
+            continue
         added = queries[holders, term].astype(kind)[:, None] * weights
-        if rows is None and len(holders) == len(queries):
-            scores += added
-        elif rows is None:
+        if rows is None:
             scores[holders] += added
         else:
             scores[np.ix_(holders, rows)] += added
@@ -129,7 +132,9 @@ def top_k(rows: DataFrame, is_query: Column, k: int, stripes: int | None = None)
 
     Every query block is copied to a fixed number of stripes, every candidate block lies in one,
     so candidates are never copied, nothing passes through the driver, and a vector repeated any
-    number of times only fills blocks like any other rows.
+    number of times only fills blocks like any other rows. The join is named, as Spark's estimate of
+    a table does not count the copies and would have the driver gather and broadcast them; its tasks
+    are as many as stripes, since the work of a stripe is out of proportion to its bytes.
     """
     spark = rows.sparkSession
     stripes = stripes or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -172,8 +177,8 @@ def top_k(rows: DataFrame, is_query: Column, k: int, stripes: int | None = None)
                 }
             )
 
-    pairs = candidates.join(asked, "stripe").drop("stripe")
-    found = pairs.mapInPandas(search, "query_id long, vec_id long, score long")
+    pairs = candidates.repartition(stripes, "stripe").join(asked.repartition(stripes, "stripe").hint("merge"), "stripe")
+    found = pairs.drop("stripe").mapInPandas(search, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

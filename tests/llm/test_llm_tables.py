@@ -86,6 +86,22 @@ def test_top_k_against_all_pairs(spark, monkeypatch):
     assert topk.top_k(clean.limit(0), F.col("id") % 10 == 0, 5).count() == 0
 
 
+def test_top_k_sends_no_copies_of_the_queries_through_the_driver(spark):
+    frame = spark.createDataFrame([(i, [i % 7, 0, i % 3]) for i in range(60)], "id long, w array<long>")
+    found = topk.top_k(frame, F.col("id") % 10 == 0, 2, stripes=40)
+    assert len(found.collect()) == 12
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_dense_and_thin_terms_give_the_same_scores():
+    rng = np.random.default_rng(2)
+    share = np.array([0.0, 0.02, 0.2, 0.25, 0.6, 1.0])
+    table, queries = (rng.integers(1, 9, (n, 6)) * (rng.random((n, 6)) < share) for n in (200, 9))
+    for kind in (np.float64, np.int64):
+        assert (topk.scatter(queries, topk.postings(table, kind), 200, kind) == queries @ table.T).all()
+
+
 def test_top_k_refuses_to_overflow(spark):
     frame = spark.createDataFrame([(0, [2**62]), (1, [2**62])], "id long, w array<long>")
     with pytest.raises(Exception, match="64 bits"):
