@@ -48,7 +48,16 @@ def left_join(
     condition = F.lit(True)
     for l, r in on:
         condition = condition & (quoted(l) == F.col(keys[r]))
-    return fact.join(F.broadcast(right) if small else right, condition, how).drop(*keys.values())
+    return fact.join(F.broadcast(right) if small else right.hint("merge"), condition, how).drop(*keys.values())
+
+
+def sized(table: DataFrame, rows: float) -> DataFrame:
+    """A side of a join, to be broadcast only if its counted rows are few, and merged otherwise.
+
+    Left to itself, Spark goes by the bytes of compressed files and does not count what an explode
+    adds, so that the driver may have to hold many times the bytes that were allowed.
+    """
+    return F.broadcast(table) if rows <= BROADCAST_ROWS else table.hint("merge")
 
 
 def enrich(panel: DataFrame, dimensions: Sequence[Dimension], *, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:

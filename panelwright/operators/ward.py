@@ -23,7 +23,8 @@ from panelwright.functions.nulls import complete_rows
 from panelwright.functions.numbering import number_in_order
 from panelwright.operators.columns import quoted
 from panelwright.operators.grid import GRID_DIMENSIONS, selective
-from panelwright.operators.joins import left_join
+from panelwright.operators import joins
+from panelwright.operators.joins import left_join, sized
 from panelwright.session import materialise, materialise_counted, scratch_path, spread, write_counted
 
 CANDIDATES = 4_000_000
@@ -61,9 +62,9 @@ def ward_tree(
     copies = copies.selectExpr("rep AS left", "id AS right", "0D AS height", "cast(size AS long) AS size", "0 AS round")
 
     corners = live.agg(F.count(F.lit(1)), F.sum("size"), *[f(x) for x in xs for f in (F.min, F.max)]).first()
-    m = corners[0]
+    m, points = corners[0], corners[1] or 1.0
     extent = math.sqrt(sum((corners[3 + 2 * i] - corners[2 + 2 * i]) ** 2 for i in range(d))) if m else 0.0
-    highest = extent * math.sqrt(corners[1] or 1.0)  # no join is higher
+    highest = extent * math.sqrt(points)  # no join is higher
     radius = highest
     number = 0
     if m * m > candidates:
@@ -77,7 +78,9 @@ def ward_tree(
         number += 1
         everything = m * m <= candidates
         pairs = min(m * m / 2, NEIGHBOURS * max(candidates, CANDIDATES_PER_CLUSTER * m))
-        step = _round(spread(live, pairs, PAIRS_PER_TASK), live, xs, radius, everything)
+        # A cluster is listed once for each class up to its own: at most so often in all.
+        searched = F.broadcast(live) if everything else sized(live, m * (1 + math.log2(points / m)))
+        step = _round(spread(live, pairs, PAIRS_PER_TASK), searched, xs, radius, everything)
         joined, left = write_counted(step, f"{states}/round={number}")
         live = joined.select("rep", "size", *xs)
         before, m = m, left
@@ -141,7 +144,8 @@ def _round(probes: DataFrame, live: DataFrame, xs: Sequence[str], radius: float,
 
     With `everything` all pairs are compared, whatever their height.
 
-    `probes` is the same table as `live`, divided by the work of comparing its rows. A pair takes
+    `probes` is the same table as `live`, divided by the work of comparing its rows; a hint on `live`
+    says how the two are joined, and gets lost in a named subquery. A pair takes
     both clusters along, so that it can become the joined one, and every cluster also offers
     itself as the last resort: grouping the choices by pair then yields the next state. Equal
     heights are ordered by a hash of the pair, so that chains of ties break up in few rounds.
@@ -157,6 +161,7 @@ def _round(probes: DataFrame, live: DataFrame, xs: Sequence[str], radius: float,
     if everything:
         adjacent, listed, at, same = "", "LATERAL VIEW explode(array(0)) t AS k", "0 AS c0", "a.k = b.k"
     classed = "0" if everything else SIZE_CLASS
+    b = f"(SELECT *, {at} FROM (SELECT *, {classed} AS class FROM {{live}}) {listed})"
     gap = " + ".join(f"(a.{x} - b.{x}) * (a.{x} - b.{x})" for x in xs)
     mine, theirs = (f"struct({', '.join(f'{t}.{c}' for c in ('rep', 'size', *xs))})" for t in "ab")
     one, other = f"if(a.rep < b.rep, {mine}, {theirs})", f"if(a.rep < b.rep, {theirs}, {mine})"
@@ -169,18 +174,16 @@ def _round(probes: DataFrame, live: DataFrame, xs: Sequence[str], radius: float,
         f"""
         WITH searching AS (SELECT *, {classed} AS k FROM {{probes}}),
         a AS (SELECT * FROM searching {adjacent}),
-        found AS (SELECT * FROM (SELECT *, {classed} AS class FROM {{live}}) {listed}),
-        b AS (SELECT *, {at} FROM found),
         pairs AS (
           SELECT 2 * a.size * b.size / (a.size + b.size) * ({gap}) AS h2,
                  xxhash64(least(a.rep, b.rep), greatest(a.rep, b.rep)) AS tie, {one} AS one, {other} AS other,
                  if(b.class > a.k, array(a.rep, b.rep), array(a.rep)) AS reps
-          FROM a JOIN b ON {same} WHERE a.rep <> b.rep),
+          FROM a JOIN {b} AS b ON {same} WHERE a.rep <> b.rep),
         offers AS (
           SELECT explode(reps) AS rep, struct(h2, tie, one, other) AS pair
           FROM pairs WHERE {'true' if everything else f'h2 <= {radius * radius!r}D'}
           UNION ALL
-          SELECT a.rep, struct(double('infinity'), 0L, {mine}, if(false, {mine}, NULL)) FROM {{live}} AS a),
+          SELECT a.rep, struct(double('infinity'), 0L, {mine}, if(false, {mine}, NULL)) FROM {{probes}} AS a),
         chosen AS (SELECT rep, min(pair) AS pair FROM offers GROUP BY rep),
         grouped AS (
           SELECT first(pair.one) AS one, first(pair.other) AS other, first(pair.h2) AS h2, count(*) AS ends,
@@ -214,17 +217,18 @@ def merge_matrix(df: DataFrame, id_column: str, tree: DataFrame) -> DataFrame:
     earlier before later steps. `df` holds the ids the tree was built on; ids must be unique.
     """
     row = number_in_order(df.select(quoted(id_column).alias("id")), [F.col("id")], "row")
-    steps = materialise(numbered(tree).select("step", "left", "right", "height", "size"), "steps")
+    steps, n = materialise_counted(numbered(tree).select("step", "left", "right", "height", "size"), "steps")
     # A cluster goes by its smallest member, so that the one with the smallest of all can be joined n - 1
     # times: the join before is the neighbour in a numbered order and not in a window by member.
     ordered = number_in_order(steps.select("left", "step"), [F.col("left"), F.col("step")], "at")
     ordered = materialise(ordered, "joins-by-member")
     before = ordered.select((F.col("at") + 1).alias("at"), F.col("left").alias("member"), F.col("step").alias("made"))
-    earlier = ordered.join(before, "at").filter("left = member").select("step", "made")
+    earlier = ordered.join(sized(before, n), "at").filter("left = member").select("step", "made")
     last = steps.groupBy(F.col("left").alias("right")).agg(F.max("step").alias("grown"))
     single = row.select(F.col("id").alias("left"), F.col("row").alias("left_row"))
     other = row.select(F.col("id").alias("right"), F.col("row").alias("right_row"))
-    joined = steps.join(earlier, "step", "left").join(last, "right", "left").join(single, "left").join(other, "right")
+    joined = steps.join(sized(earlier, n), "step", "left").join(sized(last, n), "right", "left")
+    joined = joined.join(sized(single, n), "left").join(sized(other, n), "right")
     a, b = F.coalesce("made", -F.col("left_row")), F.coalesce("grown", -F.col("right_row"))
     rows = (a < 0) & (b < 0)  # `left` has the smaller id
     first, second = F.when(rows, a).otherwise(F.least(a, b)), F.when(rows, b).otherwise(F.greatest(a, b))
@@ -249,20 +253,21 @@ def leaf_order(df: DataFrame, id_column: str, tree: DataFrame) -> DataFrame:
     pairs = F.explode(F.array(*[F.struct(at.alias("at"), next_.alias("next")) for at, next_ in hops]))
     tour = matrix.select(pairs.alias("p")).selectExpr("p.at AS at", "p.next AS next", "if(p.at < 0, 1L, 0L) AS rows")
     tour, going = materialise_counted(tour, "tour")
+    n = row.agg(F.count(F.lit(1))).first()[0]
+    hint = "BROADCAST" if 3 * n <= joins.BROADCAST_ROWS else "MERGE"  # a row more and two hops a join
     while going:
         step = spark.sql(
-            """
-            SELECT p.at, q.next, p.rows + coalesce(q.rows, 0L) AS rows
-            FROM {tour} p LEFT JOIN {tour} q ON p.next = q.at WHERE p.next IS NOT NULL
-            UNION ALL SELECT at, next, rows FROM {tour} WHERE next IS NULL
+            f"""
+            SELECT /*+ {hint}(q) */ p.at, q.next, p.rows + coalesce(q.rows, 0L) AS rows
+            FROM {{tour}} p LEFT JOIN {{tour}} q ON p.next = q.at WHERE p.next IS NOT NULL
+            UNION ALL SELECT at, next, rows FROM {{tour}} WHERE next IS NULL
             """,
             tour=tour,
         )
         tour, going = materialise_counted(step, "tour", F.col("next").isNotNull())
-    n = row.agg(F.count(F.lit(1))).first()[0]
     leaves = tour.filter("at < 0").select((-F.col("at")).alias("row"), (F.lit(n + 1) - F.col("rows")).alias("place"))
     # A table of one row has no join.
-    placed = row.join(leaves, "row", "left").withColumn("place", F.coalesce("place", F.lit(1).cast("long")))
+    placed = row.join(sized(leaves, n), "row", "left").withColumn("place", F.coalesce("place", F.lit(1).cast("long")))
     return placed.select(F.col("id").alias(id_column), "place")
 
 
@@ -278,20 +283,21 @@ def cut(df: DataFrame, id_column: str, tree: DataFrame, k: int) -> DataFrame:
     if k > 1:
         highest = tree.orderBy(*_order(True)).limit(k - 1).select("right")
         kept = tree.join(F.broadcast(highest), "right", "left_anti")  # k - 1 rows
-    pointers = materialise(kept.select(F.col("right").alias("node"), F.col("left").alias("at")), "pointers")
+    pointers, n = materialise_counted(kept.select(F.col("right").alias("node"), F.col("left").alias("at")), "pointers")
+    hint = "BROADCAST" if n <= joins.BROADCAST_ROWS else "MERGE"
     further = 1
     while further:
         step = df.sparkSession.sql(
-            """
-            SELECT p.node, coalesce(r.at, q.at, p.at) AS at, r.at IS NOT NULL AS further
-            FROM {pointers} p LEFT JOIN {pointers} q ON p.at = q.node LEFT JOIN {pointers} r ON q.at = r.node
+            f"""
+            SELECT /*+ {hint}(q, r) */ p.node, coalesce(r.at, q.at, p.at) AS at, r.at IS NOT NULL AS further
+            FROM {{pointers}} p LEFT JOIN {{pointers}} q ON p.at = q.node LEFT JOIN {{pointers}} r ON q.at = r.node
             """,
             pointers=pointers,
         )
         pointers, further = materialise_counted(step, "pointers", F.col("further"))
         pointers = pointers.select("node", "at")
     ids = df.select(quoted(id_column).alias("node"))
-    rooted = ids.join(pointers, "node", "left").withColumn("root", F.coalesce("at", "node"))
+    rooted = ids.join(sized(pointers, n), "node", "left").withColumn("root", F.coalesce("at", "node"))
     roots = sorted(r["root"] for r in rooted.select("root").distinct().collect())  # k values
     label = F.array_position(F.array(*[F.lit(r) for r in roots]), F.col("root")).cast("int")
     return rooted.select(F.col("node").alias(id_column), label.alias("cluster"))

@@ -7,6 +7,7 @@ import pytest
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 
+from panelwright.operators import compare, joins
 from panelwright.operators import dbscan as db
 from panelwright.operators import kmeans as km
 from panelwright.operators import projection, ward
@@ -374,3 +375,40 @@ def test_settings_of_a_sweep_do_not_wait_for_each_other(spark, monkeypatch):
     monkeypatch.setattr(db, "_labels", lambda *a: together.wait() >= 0 and real(*a))
     found = db.dbscan_sweep(df, "id", ["a", "b"], grid).collect()
     assert {(r["eps"], r["min_pts"], r["cluster"]): (r["size"], r["cores"]) for r in found} == expected
+
+
+def test_joins_of_many_rows_are_not_left_to_the_estimate(spark, monkeypatch):
+    """With few rows Spark's own choice would be to broadcast them all."""
+
+    def text(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    plans = {}
+
+    def noted(store, name):
+        def run(df, label, *rest):
+            plans.setdefault(name or label, []).append(text(df))
+            return store(df, label, *rest)
+
+        return run
+
+    table = spark.createDataFrame([(i, float(i * i % 37), float(i % 5)) for i in range(60)], "id long, x double, y double")
+    xs = ["x", "y"]
+
+    def all_of_it():
+        tree = ward.ward_tree(table, "id", xs, candidates=100)
+        labels = ward.cut(table, "id", tree, 3)
+        both = compare.attach_labels(table, labels, "id")
+        return both, [sorted(map(tuple, d.collect())) for d in (ward.numbered(tree), both, ward.leaf_order(table, "id", tree))]
+
+    _, want = all_of_it()
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 5)
+    monkeypatch.setattr(ward, "write_counted", noted(ward.write_counted, "round"))
+    monkeypatch.setattr(ward, "materialise_counted", noted(ward.materialise_counted, None))
+    both, got = all_of_it()
+    assert got == want
+    wide = table.select("id", "x").withColumnRenamed("x", "z")
+    plans["others"] = [text(both), text(joins.left_join(table, wide, [("id", "id")], broadcast_rows=0))]
+    # The first pointers leave out the highest joins, and the first tour holds the numbers of its rows.
+    large = [plans["round"][0], *plans["pointers"][1:], *plans["tour"][1:], *plans["others"]]
+    assert len(large) > 5 and all("SortMergeJoin" in p and "BroadcastHashJoin" not in p for p in large)
