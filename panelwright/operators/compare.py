@@ -28,7 +28,8 @@ def attach_labels(df: DataFrame, labels: DataFrame, id_column: str, *, only_labe
     )
     kinds = dict(labels.dtypes)
     checked = [F.when(F.col("__n") > 1, many.cast(kinds[c])).otherwise(quoted(c)).alias(c) for c in names]
-    joined = df.join(single.select(quoted(id_column), *checked), id_column, "left")
+    # Labels are as many as entities: merged by id, as Spark's estimate could have the driver broadcast them.
+    joined = df.join(single.select(quoted(id_column), *checked).hint("merge"), id_column, "left")
     if not only_labelled:
         return joined
     return joined.dropna(how="all", subset=names)
